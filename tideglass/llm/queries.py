@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideglass.llm import exact_dedup, fingerprint, language_id, packing, token_counts, url_filter, warc
+from tideglass.llm import exact_dedup, fingerprint, language_id, mixing, packing, pii, token_counts, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,15 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edited(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.replicate(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("rate", F.round("rate", 6))
+
+
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -48,6 +58,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(spark, warc.write(table(spark, sf_dir, "pages")))
 
 
+OP2_SQL = """
+WITH s AS (SELECT source, sum(length(coalesce(text, '')))::BIGINT AS size FROM documents GROUP BY source),
+r AS (SELECT source, CASE WHEN size = 0 THEN 1.0::DOUBLE ELSE sqrt(size::DOUBLE) / sum(sqrt(size::DOUBLE)) OVER () * (sum(size) OVER ())::DOUBLE / size END AS rate FROM s),
+c AS (SELECT source, rate, list_transform(range(60), lambda k: list_sum(list_transform(range(k + 1), lambda j: exp(-rate) * pow(rate, j) / gamma(j + 1.0)))) AS cdf FROM r),
+d AS (SELECT doc_id, text, lang, documents.source, n_chars, rate,
+  len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('20:' || coalesce(doc_id::VARCHAR, '') || ':1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)) AS n
+  FROM documents JOIN c ON documents.source IS NOT DISTINCT FROM c.source),
+e AS (SELECT *, unnest(range(1, n + 1))::INT AS copy_no FROM d)
+SELECT doc_id, text, lang, source, n_chars, copy_no, round(rate, 6) AS rate, md5('20:order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no) AS shuffle_key FROM e
+"""
+
 OP5_SQL = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
@@ -81,6 +102,8 @@ FROM d JOIN g USING (k)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op2_mixing": op2_mixing,
+        "op3_surrogates": op3_surrogates,
         "op4_token_counts": op4_token_counts,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_language_id": op6_language_id,
@@ -91,4 +114,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op2_mixing": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
