@@ -1,0 +1,61 @@
+"""A bounded sketch of a set of 64-bit ids: which ids may be in it. Ids outside may pass, none inside is missed."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+LOG_BITS = 24
+PAGE = 1 << 12
+
+
+def _places(ids: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    u = ids.view(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = (u ^ (u >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    mask = np.uint64((1 << log_bits) - 1)
+    return mixed & mask, (mixed >> np.uint64(32)) & mask
+
+
+@dataclass(frozen=True)
+class Members:
+    """Bits of a filter with two hashes."""
+
+    bits: np.ndarray
+    log_bits: int
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        a, b = _places(np.asarray(ids, np.int64), self.log_bits)
+        get = lambda p: self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1
+        return (get(a) & get(b)).astype(bool)
+
+
+def members(ids: DataFrame, log_bits: int = LOG_BITS) -> Members:
+    """Sketch of the one bigint column of ids; its size does not depend on their number."""
+    size = (1 << log_bits) // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, np.uint8)
+        for batch in batches:
+            for p in _places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), log_bits):
+                np.bitwise_or.at(bits, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+        pages = bits.reshape(-1, PAGE)
+        live = np.flatnonzero(pages.any(axis=1))
+        yield pa.record_batch([pa.array(live.astype(np.int32)), pa.array([pages[i].tobytes() for i in live], pa.binary())], names=["page", "bits"])
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(raw, np.uint8)
+                own[at] = own[at] | part if at in own else part
+        yield pa.record_batch([pa.array(list(own), pa.int32()), pa.array([v.tobytes() for v in own.values()], pa.binary())], names=["page", "bits"])
+
+    bits = np.zeros((size // PAGE, PAGE), np.uint8)
+    for row in ids.mapInArrow(run, "page int, bits binary").repartition("page").mapInArrow(combined, "page int, bits binary").collect():
+        bits[row["page"]] = np.frombuffer(row["bits"], np.uint8)
+    return Members(bits.ravel(), log_bits)

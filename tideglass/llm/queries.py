@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import exact_dedup, fingerprint, language_id, mixing, packing, pii, token_counts, url_filter, warc
+from tideglass.llm import exact_dedup, fingerprint, jaccard_join, language_id, mixing, packing, pii, token_counts, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.cluster(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -107,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_language_id": op6_language_id,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
         "op10_warc": op10_warc,
