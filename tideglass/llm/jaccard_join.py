@@ -11,8 +11,8 @@ Jaccard distance is a metric, so pivots and the triangle inequality can settle p
 3. Windows. A member so close to its pivot that everything within the join's distance of it must be linked to the
    pivot too is settled. Others are replicated into another Voronoi region only if the triangle inequality leaves room
    for a partner there.
-4. Recursion. Each Voronoi region is a smaller region, until none has an open pair. Then links connect everything that
-   is connected, and components follow by star contraction.
+4. Recursion. Each Voronoi region is a smaller region, until none has an open pair: a region whose members are all
+   connected by the links so far has none. In the end links connect everything that is connected.
 
 Equal sets are one point. No pair is emitted but with a pivot; hot pivots are dealt out over several tasks; nothing is
 capped. Sets are known by 64-bit hashes of their shingles and of themselves.
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.llm.bits import Members, members
@@ -39,6 +39,7 @@ from tideglass.llm.store import materialize, width
 PERCENT = 75
 FREQUENT = 200_000
 PIVOTS = 8
+LEAF = 128
 HOT = 2000
 EPS = 1e-9
 _KNOWN = 200_000
@@ -262,14 +263,31 @@ def settle(regions: DataFrame, pivots: DataFrame, measured: DataFrame, radius: f
     return materialize(cells.join(live.select("g"), "g", "left_semi").select("g", "x").distinct(), "regions")
 
 
+def still_open(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Regions whose members are not all connected by now, each set of members once; written."""
+    named = regions if labels is None else regions.join(labels, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("label", "x").alias("label"))
+    label = "x" if labels is None else "label"
+    alike = F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x")), F.bit_xor(F.xxhash64("x", F.lit(1))))
+    live = named.groupBy("g").agg(alike.alias("same"), F.min(label).alias("low"), F.max(label).alias("high")).where("low != high")
+    one = materialize(live.groupBy("same").agg(F.min("g").alias("g")).select("g"), "live")
+    return materialize(regions.join(one, "g", "left_semi"), "regions")
+
+
 def elect(regions: DataFrame, level: int) -> DataFrame:
-    """Pivots of each region: g, i, p. One at first; then all but one member of small regions, and more in larger ones."""
+    """Pivots of each region: g, i, p. One at first, which mostly settles it; more later, and more in larger regions."""
     if level == 0:
         return regions.groupBy("g").agg(F.min("x").alias("p")).select("g", F.lit(0).alias("i"), "p")
     n = regions.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    classes = F.least(F.col("n") - 1, F.greatest(F.lit(PIVOTS), F.ceil(F.sqrt("n")))).cast("int")
+    most = F.greatest(F.lit(PIVOTS), 2 * F.ceil(F.sqrt("n")))
+    # What is still open in a region of bounded size is settled at once: most of its pairs have been measured elsewhere.
+    classes = F.least(F.col("n") - 1, most).cast("int")
+    if level > 1:
+        rank = F.row_number().over(Window.partitionBy("g").orderBy("x")) - 1
+        small = regions.join(n.where(F.col("n") <= LEAF).select("g"), "g", "left_semi").select("g", rank.alias("i"), F.col("x").alias("p"))
+        regions = regions.join(n.where(F.col("n") > LEAF).select("g"), "g", "left_semi")
     sized = regions.join(n.select("g", classes.alias("classes")), "g")
-    return sized.groupBy("g", F.pmod(F.xxhash64("x", F.lit(level)), F.col("classes")).cast("int").alias("i")).agg(F.min("x").alias("p"))
+    drawn = sized.groupBy("g", F.pmod(F.xxhash64("x", F.lit(level)), F.col("classes")).cast("int").alias("i")).agg(F.min("x").alias("p"))
+    return drawn if level < 2 else drawn.unionByName(small)
 
 
 def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -277,8 +295,8 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFram
     spark = docs.sparkSession
     radius = 1 - percent / 100
     regions = neighbourhoods(docs, size, percent)
-    found: list[DataFrame] = []
     done: DataFrame | None = None
+    linked = spark.createDataFrame([], "x bigint, p bigint")
     sets: DataFrame | None = None
     level = 0
     while regions.limit(1).count():
@@ -289,22 +307,18 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFram
             pairs = pairs.join(done.select("x", "p"), ["x", "p"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if level < 2:
-            wanted = members(pairs.select("x").union(pairs.select("p")))
+            wanted = members(regions.select("x"))
             sets = sets_of(docs, wanted, size)
             if level == 1:
                 sets = materialize(sets, "sets")
         measured = distances(pairs, sets)
-        found.append(measured.where(100 * F.col("common") >= percent * F.col("whole")).select("x", "p"))
+        linked = materialize(linked.unionByName(measured.where(100 * F.col("common") >= percent * F.col("whole")).select("x", "p")), "links")
         done = measured if done is None else materialize(done.unionByName(measured), "distances")
         both = done.unionByName(done.select(F.col("p").alias("x"), F.col("x").alias("p"), "common", "whole"))
-        regions = settle(regions, pivots, both, radius)
+        labels = materialize(components(linked), "labels")
+        regions = still_open(settle(still_open(regions, labels), pivots, both, radius), labels)
         level += 1
-    if not found:
-        return spark.createDataFrame([], "x bigint, p bigint")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return materialize(out.distinct(), "links")
+    return linked
 
 
 def components(edges: DataFrame) -> DataFrame:
