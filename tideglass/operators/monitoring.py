@@ -35,7 +35,7 @@ OPS = {
         "WITH last AS (SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) AS r WHERE rn <= :most), s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM last) SELECT event_type, max(CASE WHEN i = least(n - 1, floor(n * 50 / 100)) THEN value END) AS p50, max(CASE WHEN i = least(n - 1, floor(n * 95 / 100)) THEN value END) AS p95, max(CASE WHEN i = least(n - 1, floor(n * 99 / 100)) THEN value END) AS p99 FROM s GROUP BY event_type",
         most=1000,
     ),
-    "k11_counters": Op("Calls, errors and mean size by endpoint.", "SELECT event_type, CAST(count(*) AS BIGINT) AS calls, round(avg(CASE WHEN value < 5 THEN 1.0 ELSE 0.0 END), 6) AS error_rate, round(avg(value), 6) AS avg_value FROM {events} GROUP BY event_type"),
+    "k11_counters": Op("Calls, errors and mean size by endpoint.", "SELECT event_type, CAST(count(*) AS BIGINT) AS calls, round(avg(CASE WHEN value < 5 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS error_rate, round(avg(value), 6) AS avg_value FROM {events} GROUP BY event_type"),
     "k12_errors": Op("Validation errors by class, the first matching rule wins.", f"SELECT {_ERR} AS class, CAST(count(*) AS BIGINT) AS n FROM {{documents}} GROUP BY {_ERR}"),
     "k13_compliance": Op("Five points by source, and a verdict.", "WITH s AS (SELECT source, (CASE WHEN count(*) > 20 THEN 1 ELSE 0 END) + (CASE WHEN avg(n_chars) > 500 THEN 1 ELSE 0 END) + (CASE WHEN min(n_chars) > 10 THEN 1 ELSE 0 END) + (CASE WHEN count(DISTINCT lang) > 2 THEN 1 ELSE 0 END) + (CASE WHEN max(n_chars) < 50000 THEN 1 ELSE 0 END) AS points FROM {documents} GROUP BY source) SELECT source, CAST(points AS BIGINT) AS points, CASE WHEN points >= 4 THEN 'COMPLIANT' WHEN points >= 2 THEN 'NEEDS_ATTENTION' ELSE 'NON_COMPLIANT' END AS verdict FROM s"),
     "k14_rate_limit": Op("Requests of a user in the hour before each, not counting it, and whether a limit was passed.", "SELECT event_id, CAST(n AS BIGINT) AS before, n >= :limit AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) - 1 AS n FROM {events}) AS w", limit=2),

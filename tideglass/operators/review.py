@@ -16,7 +16,7 @@ OPS = {
     "l08_latest_decision": Op("Newest decision on each object.", "SELECT user_id AS object_id, event_type AS decision, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) AS r WHERE rn = 1"),
     "l09_review_counts": Op("Decisions by report and action.", "SELECT user_id AS report_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS approved, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS edited, CAST(count(*) AS BIGINT) AS total FROM {events} GROUP BY user_id"),
     "l10_entity_review": Op("Entities after review: rejected ones go, edited confidences replace.", "SELECT c.candidate, coalesce(e.adjusted, c.confidence) AS confidence FROM {candidates} AS c LEFT JOIN (SELECT candidate, CAST(50 AS DOUBLE) AS adjusted FROM {candidates} WHERE candidate % 7 = 0) AS e ON c.candidate = e.candidate WHERE coalesce(c.status, 'pending') <> 'rejected'"),
-    "l11_feedback": Op("Feedback rows by kind with their score.", "SELECT event_id AS feedback_id, user_id AS analyst, CASE WHEN value < 20 THEN 'correction' WHEN value < 60 THEN 'relevance' ELSE 'quality' END AS kind, round(value / 20, 2) AS score FROM {events}"),
+    "l11_feedback": Op("Feedback rows by kind with their score.", "SELECT event_id AS feedback_id, user_id AS analyst, CASE WHEN value < 20 THEN 'correction' WHEN value < 60 THEN 'relevance' ELSE 'quality' END AS kind, round(value / 20 + 0.0000001, 2) AS score FROM {events}"),
     "l12_feedback_days": Op("Feedback by day over the last week.", f"SELECT CAST(created AS DATE) AS day, CAST(count(*) AS BIGINT) AS n FROM {{candidates}} WHERE created >= {_AT} - INTERVAL 7 DAY GROUP BY CAST(created AS DATE)", as_of=_ASOF),
     "l12_contributors": Op("Ten busiest contributors.", "SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM {events} WHERE user_id <> 0 GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10"),
     "l13_aggregate_confidence": Op("Confidence of an object from its sources and relations.", "WITH s AS (SELECT technique, avg(confidence / 100) AS c FROM {actions} WHERE confidence IS NOT NULL GROUP BY technique), r AS (SELECT technique, avg(coalesce(nullif(mitigation % 10 / 10.0, 0), 0.5)) AS c FROM {brand_mitigates} GROUP BY technique) SELECT coalesce(s.technique, r.technique) AS technique, round(CASE WHEN s.c IS NULL THEN r.c WHEN r.c IS NULL THEN s.c ELSE 0.7 * s.c + 0.3 * r.c END, 6) AS confidence FROM s FULL OUTER JOIN r ON s.technique = r.technique"),
