@@ -1 +1,80 @@
-OPS = {}
+"""From text to claims: spans, windows, evidence, consolidation and entity resolution."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tideglass.functions.sqlop import Op
+
+# A line is scored by its cues; claims are mentions of cue words with a confidence from the line.
+_CLAIMS = "claims AS (SELECT l_orderkey AS chunk, p_brand AS technique, CAST(l_quantity * 2 AS BIGINT) AS confidence, l_linenumber AS span, l_orderkey % 500 AS doc FROM {lineitem} JOIN {part} ON l_partkey = p_partkey)"
+_CHUNKS = "chunks AS (SELECT doc_id, k.i AS chunk_no, k.i * 500 AS c_start, least((k.i + 1) * 500 + 100, n_chars) AS c_end FROM {documents} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS k(i) WHERE k.i * 500 < n_chars)"
+_SPANS = "spans AS (SELECT doc_id, s.i AS span_no, s.i * 137 AS s_start, s.i * 137 + 90 AS s_end FROM {documents} CROSS JOIN (VALUES (0), (1), (2), (3), (5), (8), (13)) AS s(i) WHERE s.i * 137 + 90 <= n_chars)"
+_ENTITIES = "ents AS (SELECT lower(trim(e.event_type)) AS name, CASE WHEN e.user_id % 2 = 0 THEN 'tool' ELSE 'actor' END AS type, CAST(floor(e.value) AS BIGINT) AS confidence, e.user_id AS chunk, e.props AS quote FROM {events} AS e)"
+
+OPS = {
+    "m01_page_text": Op("Length of pages and of their title.", "SELECT page_id, CAST(length(html) AS BIGINT) AS n_html, CAST(strpos_ AS BIGINT) AS title_at FROM (SELECT page_id, html, instr(lower(html), '<title') AS strpos_ FROM {pages}) AS p"),
+    "m03_span_scores": Op("Documents' cue scores, capped at 1, above a threshold.", "SELECT doc_id, round(score, 4) AS score FROM (SELECT doc_id, least(1.0, (CASE WHEN contains(lower(text), 'ing the') THEN 0.5 ELSE 0.0 END) + (CASE WHEN contains(lower(text), 'und') THEN 0.4 ELSE 0.0 END) + (CASE WHEN contains(lower(text), 'que') THEN 0.3 ELSE 0.0 END) + (CASE WHEN contains(lower(text), 'tion') THEN 0.3 ELSE 0.0 END)) AS score FROM {documents}) AS s WHERE score >= :least", least=0.6),
+    "m04_stage_windows": Op("Five-line windows of an episode that hold two different tactics.", "SELECT episode, action_id FROM (SELECT a.episode, a.action_id, min(p.tactic) OVER w AS low, max(p.tactic) OVER w AS high FROM {actions} AS a JOIN {primary_tactic} AS p ON a.technique = p.technique WINDOW w AS (PARTITION BY a.episode ORDER BY a.action_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS s WHERE low <> high"),
+    "m05_entity_spans": Op("Documents that name an entity by pattern.", "SELECT doc_id, CAST(CASE WHEN contains(text, 'APT') OR contains(text, 'AKIA') THEN 0.8 ELSE 0.6 END AS DOUBLE) AS score FROM {documents} WHERE contains(text, 'APT') OR contains(text, 'AKIA') OR contains(text, 'token =')"),
+    "m06_distinct_texts": Op("Texts to look up once, with how often each is asked for.", "SELECT md5(text) AS text_hash, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_doc FROM {documents} GROUP BY md5(text)"),
+    "m07_span_limit": Op("At most three spans of each technique in a document, best first.", f"WITH {_CLAIMS} SELECT doc, technique, chunk, span, confidence FROM (SELECT DISTINCT * FROM (SELECT doc, technique, chunk, span, confidence, row_number() OVER (PARTITION BY doc, technique ORDER BY confidence DESC, chunk, span) AS rn FROM claims) AS r WHERE rn <= :most) AS d", most=3),
+    "m07_span_dedup": Op("Spans merged by their first characters.", "SELECT lower(substr(text, 1, 200)) AS head, CAST(count(*) AS BIGINT) AS n, max(n_chars) AS longest FROM {documents} GROUP BY lower(substr(text, 1, 200))"),
+    "m09_verification": Op("Claims accepted by quotes and evidence score.", f"WITH {_CLAIMS}, v AS (SELECT doc, technique, count(*) AS quotes, max(confidence) AS confidence, least(100, count(*) * 15 + max(confidence) / 4) AS evidence FROM claims GROUP BY doc, technique) SELECT doc, technique, CAST(quotes AS BIGINT) AS quotes, (quotes >= 2 AND evidence >= 40) OR (quotes >= 1 AND evidence >= 50) OR (confidence >= 80 AND quotes >= 1 AND evidence >= 30) AS accepted FROM v"),
+    "m10_calibration": Op("Calibrated confidence from quotes, consensus and evidence.", f"WITH {_CLAIMS}, v AS (SELECT doc, technique, count(*) AS quotes, count(DISTINCT chunk) AS consensus, max(confidence) AS base FROM claims GROUP BY doc, technique) SELECT doc, technique, CAST(greatest(10, least(100, base + (CASE WHEN quotes >= 3 THEN 15 WHEN quotes = 2 THEN 10 ELSE 5 END) + least(consensus - 1, 3) * 5)) AS BIGINT) AS confidence FROM v"),
+    "m11_consolidation": Op("Claims by technique: base of at least 50, boosted by chunks or repeats.", f"WITH {_CLAIMS}, g AS (SELECT doc, technique, max(confidence) AS base, count(DISTINCT chunk) AS chunks, count(*) AS n FROM claims GROUP BY doc, technique) SELECT doc, technique, CAST(least(100, greatest(base, 50) + CASE WHEN chunks > 1 THEN least(20, 5 * chunks) WHEN n > 1 THEN least(10, 3 * n) ELSE 0 END) AS BIGINT) AS confidence FROM g"),
+    "m12_exact_evidence": Op("Evidence that is equal but for case and space.", "SELECT replace(lower(trim(text)), ' ', '') AS norm, min(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS n FROM {documents} GROUP BY replace(lower(trim(text)), ' ', '')"),
+    "m14_candidate_scores": Op("Weighted candidate scores with a tactic bonus, above a threshold.", "SELECT technique, CAST(score AS BIGINT) AS score FROM (SELECT technique, round(60.0 * ((technique * 37) % 100) / 100 + 15 * (CASE WHEN contains(name, '1') THEN 1 ELSE 0 END) + 10 * (CASE WHEN is_sub THEN 1 ELSE 0 END)) + (CASE WHEN tactic = 'LARGE' THEN 6 ELSE 0 END) AS score FROM {techniques}) AS s WHERE score >= :least", least=50),
+    "m16_accumulator": Op("Highest confidence seen so far for each technique as chunks arrive.", f"WITH {_CLAIMS} SELECT doc, technique, chunk, CAST(max(confidence) AS BIGINT) AS best_so_far FROM (SELECT doc, technique, chunk, max(confidence) OVER (PARTITION BY doc, technique ORDER BY chunk RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS confidence FROM claims) AS r GROUP BY doc, technique, chunk"),
+    "m18_entity_groups": Op("Entities by name and type, boosted by mentions and chunks.", f"WITH {_ENTITIES} SELECT name, type, CAST(least(100, max(confidence) + least(20, 5 * count(*))) AS BIGINT) AS confidence, CAST(count(DISTINCT chunk) AS BIGINT) AS chunks FROM ents GROUP BY name, type"),
+    "m19_ignore_list": Op("Names that no ignore rule takes: empty, listed, file extensions.", "SELECT p_partkey, p_name FROM {part} WHERE trim(p_name) <> '' AND lower(p_name) NOT IN ('part_1', 'part_2') AND NOT p_name LIKE '%.exe' AND NOT p_name LIKE '%99'"),
+    "m20_entity_resolution": Op("Names within two edits of each other.", "SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(levenshtein(a.p_name, b.p_name) AS BIGINT) AS edits FROM {part} AS a JOIN {part} AS b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 2"),
+    "m22_bundle_checks": Op("Objects that break a rule of their kind.", "SELECT 'flow without steps' AS rule, CAST(count(*) AS BIGINT) AS n FROM {orders} LEFT JOIN (SELECT DISTINCT l_orderkey FROM {lineitem}) AS l ON o_orderkey = l_orderkey WHERE l_orderkey IS NULL UNION ALL SELECT 'negative confidence', CAST(count(*) AS BIGINT) FROM {lineitem} WHERE l_quantity < 0 UNION ALL SELECT 'no name', CAST(count(*) AS BIGINT) FROM {part} WHERE p_name IS NULL OR p_name = ''"),
+    "p02_span_chunks": Op("Every chunk that a span overlaps: a range join within the document.", f"WITH {_CHUNKS}, {_SPANS} SELECT s.doc_id, s.span_no, c.chunk_no FROM spans AS s JOIN chunks AS c ON s.doc_id = c.doc_id AND s.s_start < c.c_end AND s.s_end > c.c_start"),
+    "p03_redistribution": Op("Spans in contiguous blocks over chunks.", f"WITH {_SPANS} SELECT doc_id, span_no, CAST(floor((rn - 1) / ceil(n / 3.0)) AS BIGINT) AS chunk FROM (SELECT doc_id, span_no, row_number() OVER (PARTITION BY doc_id ORDER BY span_no) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM spans) AS r"),
+    "p04_windows": Op("Sliding character windows that hold enough text.", "SELECT doc_id, w.i * 400 AS start, CAST(length(trim(substr(text, w.i * 400 + 1, 500))) AS BIGINT) AS n FROM {documents} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS w(i) WHERE w.i * 400 < n_chars AND length(trim(substr(text, w.i * 400 + 1, 500))) >= 100"),
+    "p05_chunk_merge": Op("First claim of each technique wins; later ones within ten points add evidence, at most five.", f"WITH {_CLAIMS}, f AS (SELECT doc, technique, confidence, first_value(confidence) OVER (PARTITION BY doc, technique ORDER BY chunk, span, confidence) AS base FROM claims) SELECT doc, technique, CAST(max(confidence) AS BIGINT) AS confidence, CAST(least(5, sum(CASE WHEN confidence >= base - 10 THEN 1 ELSE 0 END)) AS BIGINT) AS quotes FROM f GROUP BY doc, technique"),
+    "p06_entity_evidence": Op("Entity confidence from mentions and chunks, each boost capped.", f"WITH {_ENTITIES} SELECT name, type, CAST(least(100, least(100, max(confidence) + least(20, 5 * count(*))) + least(10, 3 * count(DISTINCT chunk))) AS BIGINT) AS confidence, CAST(count(DISTINCT substr(quote, 1, 100)) AS BIGINT) AS quotes FROM ents GROUP BY name, type"),
+    "p07_entity_dedup": Op("Entities by type and trimmed name with the union of their quotes.", f"WITH {_ENTITIES} SELECT concat(type, ':', name) AS k, CAST(max(confidence) AS BIGINT) AS confidence, CAST(count(DISTINCT quote) AS BIGINT) AS mentions FROM ents GROUP BY concat(type, ':', name)"),
+    "p09_entity_claims": Op("Entity claims with boosts for chunks and unique evidence.", f"WITH {_ENTITIES} SELECT name, type, CAST(max(confidence) + (CASE WHEN count(DISTINCT chunk) > 1 THEN least(20, 5 * count(DISTINCT chunk)) ELSE 0 END) + least(10, 2 * count(DISTINCT quote)) AS BIGINT) AS confidence FROM ents GROUP BY name, type"),
+    "p11_merged_evidence": Op(
+        "Overlapping spans merged: gaps and islands by running maximum of ends.",
+        f"WITH {_SPANS}, {_CHUNKS}, all_ AS (SELECT doc_id, s_start AS a, s_end AS b FROM spans UNION ALL SELECT doc_id, c_start + 40, c_start + 120 FROM chunks), m AS (SELECT doc_id, a, b, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM all_), i AS (SELECT doc_id, a, b, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT doc_id, CAST(min(a) AS BIGINT) AS a, CAST(max(b) AS BIGINT) AS b, CAST(count(*) AS BIGINT) AS n FROM i GROUP BY doc_id, island",
+    ),
+    "l41_pair_suggestions": Op("Techniques that usually follow found ones and are missing.", "SELECT DISTINCT e.episode, r.wanted FROM {et} AS e JOIN (VALUES ('Brand#11', 'Brand#12'), ('Brand#22', 'Brand#23'), ('Brand#33', 'Brand#34')) AS r(found, wanted) ON e.technique = r.found LEFT JOIN {et} AS h ON h.episode = e.episode AND h.technique = r.wanted WHERE h.technique IS NULL"),
+    "l38_evidence_pack": Op("Pair statistics of neighbours with a hash of what they rest on.", "SELECT src, dst, n, md5(concat(src, '>', dst, ':', CAST(n AS VARCHAR(20)))) AS evidence_hash FROM {transitions}"),
+    "l36_maximal_paths": Op("Two-step sequences that no third step continues better.", "SELECT x.src AS s1, x.dst AS s2, y.dst AS s3, round((x.p + y.p) / 2, 6) AS confidence FROM {ptg_edges} AS x JOIN {ptg_edges} AS y ON x.dst = y.src AND y.dst <> x.src ORDER BY round((x.p + y.p) / 2, 6) DESC, s1, s2, s3 LIMIT 40"),
+}
+
+
+def line_refs(docs: DataFrame) -> DataFrame:
+    """First and last line (from 1) that each document's middle half of characters touches."""
+    lines = docs.select("doc_id", F.length("text").alias("n"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    from pyspark.sql import Window
+
+    end = F.sum(F.length("t") + 1).over(Window.partitionBy("doc_id").orderBy("line"))
+    placed = lines.withColumn("stop", end).withColumn("start", F.col("stop") - F.length("t") - 1)
+    hit = placed.where((F.col("start") < F.floor(F.col("n") * 3 / 4)) & (F.col("stop") > F.floor(F.col("n") / 4)))
+    return hit.groupBy("doc_id").agg((F.min("line") + 1).cast("bigint").alias("first_line"), (F.max("line") + 1).cast("bigint").alias("last_line"))
+
+
+def resolve_aliases(aliases: DataFrame, rounds: int = 6) -> DataFrame:
+    """Roots of alias chains (alias, target) by pointer jumping; a cycle ends at its least name: alias, root."""
+    links = aliases.select("alias", F.col("target").alias("root"))
+    for _ in range(rounds):
+        onward = links.select(F.col("alias").alias("root"), F.col("root").alias("next"))
+        links = links.join(onward, "root", "left").select("alias", F.coalesce("next", "root").alias("root"))
+    return links
+
+
+def _aliases(part: DataFrame) -> DataFrame:
+    return resolve_aliases(part.where("p_partkey > 1").select(F.col("p_partkey").alias("alias"), F.floor(F.col("p_partkey") / 3).cast("bigint").alias("target")).where("target > 0"))
+
+
+_LINES = "WITH l AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), p AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS stop FROM l) SELECT doc_id, min(line)::BIGINT AS first_line, max(line)::BIGINT AS last_line FROM p WHERE stop - length(t) - 1 < floor(n * 3 / 4) AND stop > floor(n / 4) GROUP BY doc_id"
+_ALIAS = "WITH RECURSIVE w AS (SELECT p_partkey AS alias, p_partkey // 3 AS root FROM part WHERE p_partkey // 3 > 0 UNION ALL SELECT alias, root // 3 FROM w WHERE root // 3 > 0) SELECT alias, min(root) AS root FROM w GROUP BY alias"
+FUNCTIONS = {
+    "p12_line_refs": (line_refs, ["documents"], _LINES),
+    "p08_alias_roots": (_aliases, ["part"], _ALIAS),
+}

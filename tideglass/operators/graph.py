@@ -1 +1,67 @@
-OPS = {}
+"""Neighbourhoods, paths, lineage and lookups over typed edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tideglass.functions.sqlop import Op
+from tideglass.operators.clustering import with_checkpoints
+
+_EDGES = "edges AS (SELECT 'detects' AS type, strategy AS src, technique AS dst FROM {detects} UNION ALL SELECT 'mitigates', mitigation, technique FROM {mitigates})"
+RELATIONS = ("detects", "mitigates")
+
+OPS = {
+    "i01_subgraph": Op("Up to ten strategies and mitigations of each live technique of a family.", f"WITH {_EDGES} SELECT technique, type, src FROM (SELECT t.technique, type, src, row_number() OVER (PARTITION BY t.technique, type ORDER BY src) AS rn FROM {{techniques}} AS t JOIN edges ON t.technique = edges.dst WHERE family = :family AND NOT revoked) AS r WHERE rn <= :top", family="Brand#11", top=10),
+    "i02_neighbours": Op("Neighbours of a node in both directions by type.", f"WITH {_EDGES} SELECT type, dst AS neighbour, 'outgoing' AS direction FROM edges WHERE src = :node UNION ALL SELECT type, src, 'incoming' FROM edges WHERE dst = :node", node=17),
+    "i05_induced": Op("Edges between given nodes, one for each pair and type.", f"WITH {_EDGES} SELECT DISTINCT type, src, dst FROM edges WHERE src IN :nodes AND dst IN :nodes", nodes=list(range(1, 80))),
+    "i06_actor_search": Op("Actors by part of a name.", "SELECT n_nationkey AS actor, n_name AS name FROM {nation} WHERE contains(lower(n_name), :part) ORDER BY n_nationkey LIMIT :top", part="n_1", top=20),
+    "i07_technique_lookup": Op("Techniques with their primary tactic.", "SELECT n.technique, n.name, p.tactic FROM {technique_names} AS n LEFT JOIN {primary_tactic} AS p ON n.technique = p.technique"),
+    "i08_by_tactic": Op("Techniques of each tactic by flag.", "SELECT tactic, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN is_sub THEN 1 ELSE 0 END) AS BIGINT) AS subs, min(technique) AS first_technique FROM {techniques} WHERE NOT coalesce(revoked, FALSE) GROUP BY tactic"),
+    "i09_autocomplete": Op("Names that contain what was typed, shortest first.", "SELECT technique, name FROM {techniques} WHERE contains(lower(name), :part) ORDER BY length(name), technique LIMIT :top", part="part_1", top=10),
+    "i10_history": Op("Newest queries of each user.", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) AS r WHERE rn <= :top", top=20),
+    "i11_sub_techniques": Op("Sub-techniques of each family.", "SELECT family, CAST(count(*) AS BIGINT) AS subs FROM {techniques} WHERE is_sub GROUP BY family"),
+}
+
+
+def checked(types: list[str] | None) -> list[str]:
+    """Relation types that are known; others are refused rather than put into a query."""
+    wanted = list(types or RELATIONS)
+    if unknown := set(wanted) - set(RELATIONS):
+        raise ValueError(f"unknown relation types: {sorted(unknown)}")
+    return wanted
+
+
+def shortest(edges: DataFrame, source: object, max_length: int = 5) -> DataFrame:
+    """Undirected distances from a node of edges (src, dst): node, hops. Rounds of joins; each node is reached once."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    spark = edges.sparkSession
+    kind = both.schema["src"].dataType.simpleString()
+
+    def run() -> DataFrame:
+        seen = front = spark.createDataFrame([(source, 0)], f"node {kind}, hops long")
+        for hop in range(1, max_length + 1):
+            front = front.join(both, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(hop).cast("long").alias("hops")).checkpoint()
+            if not front.limit(1).count():
+                break
+            seen = seen.unionByName(front).checkpoint()
+        return seen
+
+    return with_checkpoints(edges, run)
+
+
+def _paths(transitions: DataFrame) -> DataFrame:
+    edges = transitions.where("n >= 100").select("src", "dst")
+    return shortest(edges, "click")
+
+
+def _lineage(et: DataFrame) -> DataFrame:
+    """Upstream and downstream objects of an episode within three steps: episodes and techniques as one graph."""
+    edges = et.where("episode <= 400").select(F.concat(F.lit("e"), "episode").alias("src"), F.col("technique").alias("dst"))
+    return shortest(edges, "e1", 3)
+
+
+FUNCTIONS = {
+    "i04_shortest_path": (_paths, ["transitions"], "WITH RECURSIVE b AS (SELECT src, dst FROM transitions WHERE n >= 100 UNION SELECT dst, src FROM transitions WHERE n >= 100), w AS (SELECT 'click' AS node, CAST(0 AS BIGINT) AS hops UNION SELECT dst, hops + 1 FROM w JOIN b ON node = src WHERE hops < 5) SELECT node, min(hops) AS hops FROM w GROUP BY node"),
+    "l16_lineage": (_lineage, ["et"], "WITH RECURSIVE a AS (SELECT 'e' || episode AS src, technique AS dst FROM et WHERE episode <= 400), b AS (SELECT src, dst FROM a UNION SELECT dst, src FROM a), w AS (SELECT 'e1' AS node, CAST(0 AS BIGINT) AS hops UNION SELECT dst, hops + 1 FROM w JOIN b ON node = src WHERE hops < 3) SELECT node, min(hops) AS hops FROM w GROUP BY node"),
+}

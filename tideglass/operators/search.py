@@ -1 +1,171 @@
-OPS = {}
+"""Vector and keyword search, fusion, reranking, chunking and semantic dedup."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tideglass.functions.sqlop import Op
+
+# Keyword scores count a document's hits of a query's words; ranks feed the fusion.
+_KEYWORD = "kw AS (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), :word, ''))) / length(:word) AS hits FROM {documents} WHERE contains(lower(text), :word)), kr AS (SELECT doc_id, row_number() OVER (ORDER BY hits DESC, doc_id) AS rank FROM kw)"
+
+OPS = {
+    "g03_query_expansion": Op("Queries with the synonyms of the groups that they mention.", "SELECT item_id, g.synonym FROM {benchmark} AS b JOIN (VALUES ('the', 'article'), ('and', 'conjunction'), ('tion', 'suffix'), ('that', 'pronoun')) AS g(word, synonym) ON contains(lower(b.text), g.word)"),
+    "g04_keyword_search": Op("Documents by a word with reciprocal-rank scores.", f"WITH {_KEYWORD} SELECT doc_id, round(1.0 / rank, 6) AS score FROM kr WHERE rank <= :top", word="tion", top=50),
+    "g05_rank_fusion": Op(
+        "Weighted reciprocal-rank fusion of a keyword list and a length list, best rank of each id in each list.",
+        f"WITH {_KEYWORD}, lr AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM {{documents}}), u AS (SELECT doc_id, CAST(0.4 AS DOUBLE) / (60 + rank) AS s FROM kr WHERE rank <= 100 UNION ALL SELECT doc_id, CAST(0.6 AS DOUBLE) / (60 + rank) FROM lr WHERE rank <= 100), f AS (SELECT doc_id, round(sum(s), 9) AS score FROM u GROUP BY doc_id) SELECT doc_id, score FROM f ORDER BY score DESC, doc_id LIMIT :top",
+        word="tion",
+        top=50,
+    ),
+    "g06_context": Op("Up to five neighbours of each technique over two kinds of edge, revoked ones left out.", "SELECT technique, kind, other FROM (SELECT u.technique, kind, other, row_number() OVER (PARTITION BY u.technique ORDER BY kind, other) AS rn FROM (SELECT technique, 'detects' AS kind, strategy AS other FROM {detects} UNION ALL SELECT technique, 'mitigates', mitigation FROM {mitigates}) AS u JOIN {techniques} AS t ON u.technique = t.technique WHERE NOT coalesce(t.revoked, FALSE)) AS r WHERE rn <= :top", top=5),
+    "g07_filtered_search": Op("Hits above a score in a phase; the two best of all if none is.", f"WITH {_KEYWORD}, s AS (SELECT kr.doc_id, d.lang, 1.0 / rank AS score, rank FROM kr JOIN {{documents}} AS d ON kr.doc_id = d.doc_id), hit AS (SELECT * FROM s WHERE score >= :least AND lang = :phase), n AS (SELECT count(*) AS n FROM hit) SELECT doc_id, round(score, 6) AS score FROM hit UNION ALL SELECT doc_id, round(score, 6) FROM s CROSS JOIN n WHERE n.n = 0 AND rank <= 2", word="tion", least=0.1, phase="en"),
+    "g08_context_rerank": Op("Scores raised for sub-techniques of found parents and for usual companions.", "WITH s AS (SELECT technique, family, is_sub, 1.0 / (1 + technique % 50) AS score FROM {techniques}) SELECT technique, round(score * (CASE WHEN is_sub AND family IN :found THEN 1.3 ELSE 1.0 END) * (CASE WHEN family IN :related THEN 1.2 ELSE 1.0 END), 6) AS score FROM s", found=["Brand#11", "Brand#23"], related=["Brand#12", "Brand#34"]),
+    "g09_missing_phases": Op("Documents that have enough of one phase and none of the next.", "SELECT doc_id, 'next phase' AS suggestion FROM {documents} WHERE (length(text) - length(replace(text, 'the', ''))) / 3 >= 2 AND NOT contains(text, 'that')"),
+    "g13_keyword_match": Op("Which keywords of an index each document contains.", "SELECT d.doc_id, k.technique FROM {documents} AS d JOIN (VALUES ('of the', 'T1'), ('und', 'T2'), ('que', 'T3'), ('ing that', 'T4')) AS k(keyword, technique) ON contains(lower(d.text), k.keyword)"),
+    "m15_phrases": Op("Documents by technique phrase, exact before partial.", "SELECT doc_id, technique, CAST(max(score) AS BIGINT) AS score FROM (SELECT d.doc_id, p.technique, CASE WHEN contains(d.text, p.phrase) THEN 100 ELSE 75 END AS score FROM {documents} AS d JOIN (VALUES ('The ', 'T1'), ('Und ', 'T2'), ('Que ', 'T3')) AS p(phrase, technique) ON contains(lower(d.text), lower(p.phrase))) AS s GROUP BY doc_id, technique"),
+    "p23_relevance_ladder": Op("First rung of the phrase ladder for each document.", "SELECT doc_id, CAST(CASE WHEN contains(text, ' the ') THEN 100 WHEN contains(lower(text), 'the ') THEN 80 WHEN contains(lower(text), 'the') THEN 75 WHEN contains(lower(text), 'und') THEN 60 ELSE 0 END AS BIGINT) AS relevance FROM {documents}"),
+}
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; zero rows stay zero."""
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+
+
+def knn(vectors: DataFrame, every: int = 50, top: int = 10, label_filter: bool = False, block: int = 512) -> DataFrame:
+    """Exact cosine neighbours of the vectors whose id is a multiple of `every`: query, neighbour, rank, score.
+
+    Queries go in blocks of `block` to every part of the table, which keeps its best `top` of each; the parts' best meet
+    by query. With label_filter a fetch of three times as many is filtered to the query's label, so fewer may be left.
+    """
+    from pyspark.sql import Window
+
+    fetch = max(3 * top, 30) if label_filter else top
+    parts = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    queries = parts.where(F.col("id") % every == 0)
+    blocks = queries.groupBy(F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(1 << 20) * F.greatest(F.lit(1), F.lit(queries.count() // block + 1))).alias("block")).agg(F.collect_list(F.struct("id", "v", "label")).alias("qs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            rows: dict[int, tuple[list, list]] = {}
+            for block_id, qs, ident, v, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.setdefault(block_id, (qs, []))[1].append((ident, v, label))
+            for qs, items in rows.values():
+                score = unit(np.array([q["v"] for q in qs])) @ unit(np.array([v for _, v, _ in items])).T
+                for i, q in enumerate(qs):
+                    for j in np.lexsort(([x[0] for x in items], -np.round(score[i], 9)))[: fetch + 1]:
+                        if items[j][0] != q["id"]:
+                            out.append((q["id"], q["label"], items[j][0], items[j][2], round(float(score[i, j]), 6)))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["query", "ql", "neighbour", "nl", "score"])
+
+    paired = blocks.join(parts.withColumnRenamed("label", "l"), F.lit(True)).select("block", "qs", "id", "v", "l")
+    best = paired.mapInArrow(run, "query long, ql int, neighbour long, nl int, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "neighbour"))
+    fetched = best.withColumn("rank", rank).where(F.col("rank") <= fetch)
+    if label_filter:
+        fetched = fetched.where("ql = nl").withColumn("rank", rank).where(F.col("rank") <= top)
+    return fetched.select("query", "neighbour", F.col("rank").cast("bigint").alias("rank"), "score")
+
+
+def sentence_ends(text: str) -> list[int]:
+    """Where sentences end: after a full stop, question or exclamation mark and white space; not after abbreviations."""
+    return [m.end() for m in re.finditer(r"(?<!\b[A-Z])(?<!\be\.g)(?<!\bi\.e)(?<!\betc)[.!?]\s+", text)]
+
+
+def chunk(docs: DataFrame, target: int = 1200, overlap: int = 150) -> DataFrame:
+    """Chunks of about `target` characters that overlap, cut at the last sentence end in their last fifth: doc_id, chunk_no, start, stop, text."""
+
+    def cut(text: str) -> Iterator[tuple[int, int]]:
+        ends, start = sentence_ends(text), 0
+        while start < len(text):
+            stop = min(start + target, len(text))
+            if stop < len(text):
+                fit = [e for e in ends if start + target * 4 // 5 < e <= stop]
+                stop = fit[-1] if fit else stop
+            yield start, stop
+            if stop == len(text):
+                return
+            start = max(stop - overlap, start + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, i, a, b, t[a:b]) for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, (a, b) in enumerate(cut(t or ""))]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "chunk_no", "start", "stop", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_no long, start long, stop long, text string")
+
+
+def merge_chunks(chunks: DataFrame, most: int = 2000) -> DataFrame:
+    """Neighbouring chunks of a document merged while they fit: doc_id, chunk_no, text."""
+
+    def fold(acc, x):
+        fits = (F.size(acc) > 0) & (F.length(F.element_at(acc, -1)) + F.length(x) + 2 <= most)
+        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit("\n\n"), x)))).otherwise(F.concat(acc, F.array(x)))
+
+    ordered = chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda s: s["text"]).alias("texts"))
+    merged = ordered.select("doc_id", F.aggregate("texts", F.array().cast("array<string>"), fold).alias("texts"))
+    return merged.select("doc_id", F.posexplode("texts").alias("chunk_no", "text")).select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "text")
+
+
+def semantic_dedup(items: DataFrame, threshold: float = 0.95, most: int = 50) -> DataFrame:
+    """Within each group of (grp, id, size, v): an item is a duplicate if its cosine with a kept one is above the
+    threshold; the larger replaces. Groups above `most` items keep all, as their exact dedup is done elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for grp, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                members.sort(key=lambda m: m["id"])
+                if len(members) > most:
+                    out += [(grp, m["id"], m["id"]) for m in members]
+                    continue
+                vs = unit(np.array([m["v"] for m in members], float))
+                kept: list[int] = []
+                owner: dict[int, int] = {}
+                for i, m in enumerate(members):
+                    near = next((k for k in kept if float(vs[i] @ vs[k]) > threshold), None)
+                    if near is None:
+                        kept.append(i)
+                        owner[i] = i
+                    elif m["size"] > members[near]["size"]:
+                        kept[kept.index(near)] = i
+                        owner = {a: i if b == near else b for a, b in owner.items()} | {i: i}
+                    else:
+                        owner[i] = near
+                out += [(grp, m["id"], members[owner[i]]["id"]) for i, m in enumerate(members)]
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["grp", "id", "keep_id"])
+
+    grouped = items.groupBy(F.col("grp").cast("long").alias("grp")).agg(F.collect_list(F.struct("id", "size", "v")).alias("members"))
+    return grouped.mapInArrow(run, "grp long, id long, keep_id long")
+
+
+def _cosine(e: DataFrame) -> DataFrame:
+    """Cosine of neighbouring vectors by id, 0 where a norm is 0; array functions only."""
+    v = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norms = F.sqrt(dot("v", "v")) * F.sqrt(dot("w", "w"))
+    return both.select("vec_id", F.round(F.coalesce(F.try_divide(dot("v", "w"), norms), F.lit(0.0)), 5).alias("cosine"))
+
+
+_KNN = "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS neighbour, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score{extra} FROM embeddings AS q JOIN embeddings AS e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS rank FROM s) "
+FUNCTIONS = {
+    "g01_knn": (knn, ["embeddings"], _KNN.replace("{extra}", "") + "SELECT query, neighbour, rank, score FROM r WHERE rank <= 10"),
+    "g02_knn_filtered": (lambda e: knn(e, label_filter=True), ["embeddings"], _KNN.replace("{extra}", ", q.label = e.label AS same") + ", f AS (SELECT query, neighbour, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS rank FROM r WHERE rank <= 30 AND same) SELECT * FROM f WHERE rank <= 10"),
+    "g11_chunks": (chunk, ["documents"], None),
+    "g12_merged_chunks": (lambda d: merge_chunks(chunk(d)), ["documents"], None),
+    "g14_semantic_dedup": (lambda e: semantic_dedup(e.select((F.col("label") * 10 + F.col("vec_id") % 10).alias("grp"), F.col("vec_id").alias("id"), (F.col("vec_id") % 13).alias("size"), F.col("embedding").alias("v")), 0.3), ["embeddings"], None),
+    "g17_cosine": (_cosine, ["embeddings"], "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings AS a JOIN embeddings AS b ON b.vec_id = a.vec_id + 1"),
+}

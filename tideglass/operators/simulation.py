@@ -1 +1,306 @@
-OPS = {}
+"""Path simulation, value iteration, reachability and choke points over transition graphs."""
+
+from __future__ import annotations
+
+import heapq
+import math
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tideglass.functions.sqlop import Op
+from tideglass.operators.clustering import with_checkpoints
+
+_COUNTERS = "(SELECT technique, count(*) AS n FROM {brand_mitigates} GROUP BY technique)"
+
+OPS = {
+    "e01_start_techniques": Op("Start techniques of an actor in a fixed pseudo-random order.", "SELECT technique FROM {uses} WHERE actor = :actor ORDER BY (technique * 7919 + 104729) % 10007, technique LIMIT :top", actor="NATION_3", top=5),
+    "e02_next_techniques": Op("Ten most likely next states of each, from observed transitions and how often they were seen.", "SELECT src, dst, round(p, 6) AS p FROM (SELECT src, dst, p, row_number() OVER (PARTITION BY src ORDER BY round(p, 9) DESC, dst) AS rn FROM (SELECT src, dst, CASE WHEN p IS NULL THEN 0.3 ELSE least(p + least(n / 10.0, 0.2), 0.95) END AS p FROM {transitions}) AS t WHERE p > :least) AS r WHERE rn <= :top", least=0.05, top=10),
+    "e03_defence_reduction": Op("How much counters lower a technique's chance.", f"SELECT t.technique, round(least(0.15 * coalesce(c.n, 0), 0.75), 6) AS reduction FROM {{primary_tactic}} AS t LEFT JOIN {_COUNTERS} AS c ON t.technique = c.technique"),
+    "e06_path_cost": Op("Length of each episode's path plus a half for each sub-technique.", "SELECT l_orderkey AS episode, round(count(*) + 0.5 * sum(CASE WHEN is_sub THEN 1 ELSE 0 END), 4) AS cost FROM {lineitem} JOIN {techniques} AS t ON l_partkey = t.technique GROUP BY l_orderkey"),
+    "e07_transition_matrix": Op("Mean transition probability between the most frequent states.", "WITH top AS (SELECT src AS s FROM {next_edges} GROUP BY src ORDER BY count(*) DESC, src LIMIT :top) SELECT e.src, e.dst, round(avg(coalesce(p, 0)), 3) AS p FROM {next_edges} AS e JOIN top AS a ON e.src = a.s JOIN top AS b ON e.dst = b.s GROUP BY e.src, e.dst", top=50),
+    "e08_what_if": Op("Two-step paths from compromised states that avoid blocked ones.", "SELECT x.src AS s1, x.dst AS s2, y.dst AS s3, round(x.p * y.p, 6) AS p FROM {ptg_edges} AS x JOIN {ptg_edges} AS y ON x.dst = y.src WHERE x.src = :compromised AND x.dst <> :blocked AND y.dst <> :blocked AND y.dst <> x.src", compromised="click", blocked="error"),
+    "e09_predict_next": Op("Next states of the current ones, by mean probability, with frequency.", "SELECT dst, round(mean_p, 6) AS p, round(least(1.0, n / 100.0), 4) AS frequency FROM (SELECT dst, avg(p) AS mean_p, count(*) AS n FROM {next_edges} WHERE src IN :current AND dst NOT IN :current GROUP BY dst) AS g ORDER BY mean_p DESC, dst LIMIT :top", current=["click", "view"], top=5),
+    "e10_technique_statistics": Op("Uses, actors and most frequent follower of each technique.", "WITH f AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rn FROM {transitions}), u AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM {events} GROUP BY event_type) SELECT event_type, CAST(u.n AS BIGINT) AS uses, CAST(users AS BIGINT) AS flows, f.dst AS top_next, round(least(1.0, u.n / 100.0), 4) AS frequency FROM u LEFT JOIN f ON u.event_type = f.src AND f.rn = 1"),
+    "e11_group_patterns": Op("Most frequent first three actions of an actor's episodes.", "WITH s AS (SELECT episode, max(CASE WHEN action_id = 1 THEN technique END) AS a, max(CASE WHEN action_id = 2 THEN technique END) AS b, max(CASE WHEN action_id = 3 THEN technique END) AS c FROM {actions} GROUP BY episode) SELECT a, b, c, CAST(count(*) AS BIGINT) AS n FROM s JOIN {attribution} AS att ON s.episode = att.episode WHERE actor = :actor GROUP BY a, b, c ORDER BY n DESC, a, b, c LIMIT :top", actor="NATION_3", top=50),
+    "e12_path_confidence": Op("Confidence of two-step paths, lowered for thin evidence and unlikely steps.", "SELECT x.src AS s1, x.dst AS s2, y.dst AS s3, round(x.p * y.p * (CASE WHEN (x.n + y.n) / 2.0 < 2 THEN 0.7 WHEN (x.n + y.n) / 2.0 < 5 THEN 0.85 ELSE 1.0 END) * (CASE WHEN least(x.p, y.p) < 0.2 THEN 0.8 ELSE 1.0 END), 6) AS confidence FROM {ptg_edges} AS x JOIN {ptg_edges} AS y ON x.dst = y.src AND y.dst <> x.src"),
+    "e13_compare_paths": Op("Overlap of the sets of states of flows.", "WITH s AS (SELECT DISTINCT user_id, event_type FROM {events} WHERE user_id <= 40) SELECT a.user_id AS a, b.user_id AS b, CAST(count(*) AS BIGINT) AS shared FROM s AS a JOIN s AS b ON a.event_type = b.event_type AND a.user_id < b.user_id GROUP BY a.user_id, b.user_id".replace(" WHERE user_id <= 40", "")),
+    "e15_compare_rollouts": Op("Change in how often states occur between two halves of the flows.", "WITH a AS (SELECT event_type, count(*) AS n FROM {events} WHERE user_id % 2 = 0 GROUP BY event_type), b AS (SELECT event_type, count(*) AS n FROM {events} WHERE user_id % 2 = 1 GROUP BY event_type) SELECT coalesce(a.event_type, b.event_type) AS event_type, CAST(coalesce(b.n, 0) - coalesce(a.n, 0) AS BIGINT) AS delta FROM a FULL OUTER JOIN b ON a.event_type = b.event_type"),
+    "e17_mitigated_edges": Op("Edges after a state is removed and others are hampered, normalised by source.", "WITH m AS (SELECT src, dst, p * (CASE WHEN dst = :hampered THEN 1 - :penalty ELSE 1.0 END) AS p FROM {ptg_edges} WHERE src <> :removed AND dst <> :removed) SELECT src, dst, round(p / sum(p) OVER (PARTITION BY src), 6) AS p FROM m WHERE p > 0", removed="error", hampered="view", penalty=0.5),
+    "e23_interdiction_candidates": Op("States by weighted degree with the cost of mitigating them.", "WITH d AS (SELECT t, sum(n) AS w FROM (SELECT src AS t, n FROM {ptg_edges} UNION ALL SELECT dst, n FROM {ptg_edges}) AS u GROUP BY t) SELECT t AS state, CAST(w AS BIGINT) AS weight, CAST(CASE WHEN length(t) <= 5 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS cost FROM d"),
+    "e25_interdiction_impact": Op("Share of two-step paths that pass a state.", "WITH p AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM {ptg_edges} AS x JOIN {ptg_edges} AS y ON x.dst = y.src AND y.dst <> x.src), n AS (SELECT count(*) AS n FROM p), s AS (SELECT DISTINCT src AS state FROM {ptg_edges}) SELECT state, round(100.0 * sum(CASE WHEN state IN (a, b, c) THEN 1 ELSE 0 END) / max(n.n), 4) AS pct FROM s CROSS JOIN p CROSS JOIN n GROUP BY state"),
+}
+
+
+def best_paths(edges: DataFrame, starts: list[str], max_depth: int = 5, min_probability: float = 0.01, max_paths: int = 50) -> DataFrame:
+    """Paths without repeats from the starts, by depth, each at least as likely as a minimum: path, depth, p."""
+    step = edges.select("src", "dst", F.col("p").alias("q"))
+    spark = edges.sparkSession
+    front = spark.createDataFrame([([s], 1.0) for s in starts], "path array<string>, p double")
+    found = None
+    for _ in range(max_depth):
+        grown = front.join(step, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")) & (F.col("p") * F.col("q") >= min_probability))
+        front = grown.select(F.concat("path", F.array("dst")).alias("path"), (F.col("p") * F.col("q")).alias("p"))
+        found = front if found is None else found.unionByName(front)
+    named = found.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("bigint").alias("depth"), F.round("p", 9).alias("p"))
+    return named.orderBy(F.desc("p"), "path").limit(max_paths)
+
+
+def rollouts(edges: DataFrame, starts: list[str], targets: list[str], n: int = 2000, max_depth: int = 8, seed: int = 7) -> DataFrame:
+    """Weighted random walks with repeats of a state ending them: path, reached, n. Each walk has its own seed."""
+    graph: dict[str, tuple[list[str], np.ndarray]] = {}
+    rows = edges.select("src", "dst", "p").collect()  # a transition graph, bounded by the states it is about
+    for s in {r["src"] for r in rows}:
+        out = sorted((r["dst"], r["p"]) for r in rows if r["src"] == s)
+        graph[s] = ([d for d, _ in out], np.cumsum([p for _, p in out]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            walks = []
+            for i in pdf["id"]:
+                rng = np.random.default_rng((seed, int(i)))
+                path = [starts[int(i) % len(starts)]]
+                while len(path) <= max_depth and path[-1] not in targets and path[-1] in graph:
+                    names, sums = graph[path[-1]]
+                    nxt = names[min(int(np.searchsorted(sums, rng.random() * sums[-1], "right")), len(names) - 1)]
+                    if nxt in path:
+                        break
+                    path.append(nxt)
+                walks.append((">".join(path), path[-1] in targets))
+            yield pd.DataFrame(walks, columns=["path", "reached"])
+
+    walked = edges.sparkSession.range(n).mapInPandas(run, "path string, reached boolean")
+    return walked.groupBy("path", "reached").agg(F.count(F.lit(1)).alias("n"))
+
+
+def value_iteration(edges: DataFrame, terminal: list[str], gamma: float = 0.95, epsilon: float = 1e-10, reward: float = -0.1, goal: float = 10.0, most: int = 400) -> DataFrame:
+    """Values of states by Jacobi rounds to the fixed point: state, value, action. The state graph is bounded by the
+    techniques it is about, so a round works on arrays; the joins before it are distributed."""
+    rows = edges.select("src", "dst", "p").collect()
+    states = sorted({r[k] for r in rows for k in ("src", "dst")})
+    index = {s: i for i, s in enumerate(states)}
+    src, dst = (np.array([index[r[k]] for r in rows], int) for k in ("src", "dst"))
+    p = np.array([r["p"] for r in rows])
+    gain = np.array([goal if s in terminal else reward for s in states])
+    done = np.array([s in terminal for s in states])
+    value = np.where(done, goal, 0.0)
+    for _ in range(most):
+        q = gain[dst] + gamma * p * value[dst]
+        new = np.full(len(states), -np.inf)
+        np.maximum.at(new, src, q)
+        new = np.where(done, goal, np.where(np.isinf(new), reward, new))
+        if np.abs(new - value).max() < epsilon:
+            break
+        value = new
+    q = gain[dst] + gamma * p * value[dst]
+    best = {}
+    for i in np.argsort(-np.round(q, 9), kind="stable"):
+        best.setdefault(int(src[i]), states[dst[i]])
+    out = [(s, round(float(value[i]), 6), None if done[i] else best.get(i)) for i, s in enumerate(states)]
+    return edges.sparkSession.createDataFrame(out, "state string, value double, action string")
+
+
+def optimal_paths(edges: DataFrame, starts: list[str], terminal: list[str], max_depth: int = 10) -> DataFrame:
+    """The path that the best actions give from each start."""
+    policy = {r["state"]: r["action"] for r in value_iteration(edges, terminal).collect()}
+    out = []
+    for s in starts:
+        path = [s]
+        while len(path) <= max_depth and policy.get(path[-1]) and policy[path[-1]] not in path:
+            path.append(policy[path[-1]])
+        out.append((s, ">".join(path), path[-1] in terminal))
+    return edges.sparkSession.createDataFrame(out, "start string, path string, reached boolean")
+
+
+def reachability(edges: DataFrame, starts: list[str], max_hops: int = 5) -> DataFrame:
+    """Fewest hops to each state: state, hops. Rounds of joins, each new state once."""
+    spark = edges.sparkSession
+    seen = spark.createDataFrame([(s, 0) for s in starts], "state string, hops long")
+    front = seen
+
+    def run() -> DataFrame:
+        nonlocal seen, front
+        for hop in range(1, max_hops + 1):
+            step = front.join(edges, front["state"] == edges["src"]).select(F.col("dst").alias("state")).distinct().join(seen, "state", "left_anti")
+            front = step.select("state", F.lit(hop).cast("long").alias("hops")).checkpoint()
+            if not front.limit(1).count():
+                break
+            seen = seen.unionByName(front)
+        return seen
+
+    return with_checkpoints(edges, run)
+
+
+def choke_points(edges: DataFrame, sources: list[str], targets: list[str], k_paths: int = 50, cutoff: int = 10) -> DataFrame:
+    """Betweenness (by -ln p), articulation, dominance of source-target paths, minimum cut and criticality by state.
+    A model's graph is one bounded group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        graph: dict[str, dict[str, float]] = defaultdict(dict)
+        for s, d, p in pdf[["src", "dst", "p"]].sort_values(["src", "dst"]).itertuples(index=False):
+            graph[s][d] = -math.log(p) if p > 0 else 1000.0
+        nodes = sorted({*graph, *(d for v in graph.values() for d in v)})
+        between = betweenness(graph, nodes)
+        art = articulation({n: set(graph[n]) | {m for m in nodes if n in graph[m]} for n in nodes}, nodes)
+        dom: dict[str, int] = defaultdict(int)
+        for s in sources:
+            for t in targets:
+                paths = simple_paths(graph, s, t, cutoff, k_paths)
+                if paths:
+                    for n in set.intersection(*map(set, paths)) - {s, t}:
+                        dom[n] += 1
+        cut = min_node_cut(graph, nodes, sources, targets)
+        rows = [(n, round(between[n], 6), n in art, dom[n], n in cut, round(10 * between[n] + 5 * (n in art) + 3 * dom[n] + 4 * (n in cut), 6)) for n in nodes]
+        return pd.DataFrame(rows, columns=["state", "betweenness", "articulation", "dominates", "in_cut", "criticality"])
+
+    one = edges.select("src", "dst", "p", F.lit(0).alias("model"))
+    return one.groupBy("model").applyInPandas(run, "state string, betweenness double, articulation boolean, dominates long, in_cut boolean, criticality double")
+
+
+def betweenness(graph: dict, nodes: list) -> dict:
+    """Weighted node betweenness, normalised for directed graphs."""
+    total = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        dist, count, before, order = {s: 0.0}, defaultdict(float, {s: 1.0}), defaultdict(list), []
+        done, heap = set(), [(0.0, s)]
+        while heap:
+            d, v = heapq.heappop(heap)
+            if v in done:
+                continue
+            done.add(v)
+            order.append(v)
+            for w, cost in graph.get(v, {}).items():
+                new = d + cost
+                if w not in dist or new < dist[w] - 1e-12:
+                    dist[w], count[w], before[w] = new, count[v], [v]
+                    heapq.heappush(heap, (new, w))
+                elif abs(new - dist[w]) <= 1e-12 and w not in done:
+                    count[w] += count[v]
+                    before[w].append(v)
+        part = defaultdict(float)
+        for w in reversed(order):
+            for v in before[w]:
+                part[v] += count[v] / count[w] * (1 + part[w])
+            if w != s:
+                total[w] += part[w]
+    n = len(nodes)
+    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    return {k: v * scale for k, v in total.items()}
+
+
+def articulation(graph: dict, nodes: list) -> set:
+    """Nodes whose removal cuts an undirected connected graph; none if it is not connected."""
+
+    def parts(without: object) -> int:
+        left, n = {x for x in nodes if x != without}, 0
+        while left:
+            n += 1
+            todo = [left.pop()]
+            while todo:
+                for m in graph[todo.pop()]:
+                    if m in left:
+                        left.discard(m)
+                        todo.append(m)
+        return n
+
+    return {n for n in nodes if parts(n) > 1} if len(nodes) > 2 and parts(None) == 1 else set()
+
+
+def simple_paths(graph: dict, s: str, t: str, cutoff: int, most: int) -> list[list[str]]:
+    found, stack = [], [[s]]
+    while stack and len(found) < most:
+        path = stack.pop()
+        if path[-1] == t and len(path) > 1:
+            found.append(path)
+        elif len(path) <= cutoff:
+            stack += [[*path, m] for m in sorted(graph.get(path[-1], {}), reverse=True) if m not in path]
+    return found
+
+
+def min_node_cut(graph: dict, nodes: list, sources: list[str], targets: list[str]) -> set:
+    """Fewest states (no source, no target) that separate sources from targets, by augmenting paths over split nodes."""
+    free = {*sources, *targets}
+    cap: dict = defaultdict(lambda: defaultdict(int))
+    for n in nodes:
+        cap[n, 0][n, 1] = len(nodes) if n in free else 1
+        for m in graph.get(n, {}):
+            cap[n, 1][m, 0] = len(nodes)
+    for s in sources:
+        cap["S"][s, 0] = len(nodes)
+    for t in targets:
+        cap[t, 1]["T"] = len(nodes)
+    flow = 0
+    while flow < len(nodes):
+        before, todo = {"S": None}, ["S"]
+        while todo and "T" not in before:
+            v = todo.pop(0)
+            for w in list(cap[v]):
+                if cap[v][w] > 0 and w not in before:
+                    before[w] = v
+                    todo.append(w)
+        if "T" not in before:
+            return {n for n in nodes if n not in free and (n, 0) in before and (n, 1) not in before}
+        w = "T"
+        while before[w] is not None:
+            cap[before[w]][w] -= 1
+            cap[w][before[w]] += 1
+            w = before[w]
+        flow += 1
+    return set()
+
+
+def select_interdictions(candidates: DataFrame, budget: float = 3.0, method: str = "greedy", most: int = 20) -> DataFrame:
+    """Choose states (state, weight, cost) under a budget: greedy by weight, balanced by weight per cost, or the best
+    set by 0/1 knapsack over the `most` heaviest, with costs in tenths."""
+    top = candidates.orderBy(F.desc("weight"), "state").limit(most)
+    rows = [(r["state"], float(r["weight"]), float(r["cost"])) for r in top.collect()]  # at most `most`
+    if method == "optimal":
+        cap = int(round(budget * 10))
+        best: list[tuple[float, tuple]] = [(0.0, ())] * (cap + 1)
+        for state, w, c in rows:
+            k = int(round(c * 10))
+            for b in range(cap, k - 1, -1):
+                if best[b - k][0] + w > best[b][0]:
+                    best[b] = (best[b - k][0] + w, (*best[b - k][1], (state, w, c)))
+        chosen = list(best[cap][1])
+    else:
+        order = rows if method == "greedy" else sorted(rows, key=lambda r: (-r[1] / r[2], r[0]))
+        chosen, spent = [], 0.0
+        for r in order:
+            if spent + r[2] <= budget + 1e-9:
+                chosen.append(r)
+                spent += r[2]
+    return candidates.sparkSession.createDataFrame([(method, *r) for r in chosen], "method string, state string, weight double, cost double")
+
+
+def _interdict(candidates: DataFrame) -> DataFrame:
+    out = None
+    for m in ("greedy", "optimal", "balanced"):
+        one = select_interdictions(candidates, 3.0, m)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _states(edges: DataFrame) -> DataFrame:
+    w = edges.select(F.col("src").alias("state"), "n").unionByName(edges.select(F.col("dst").alias("state"), "n")).groupBy("state").agg(F.sum("n").alias("weight"))
+    return w.withColumn("cost", F.when(F.length("state") <= 5, 2.0).otherwise(1.0))
+
+
+_HOPS = "WITH RECURSIVE walk AS (SELECT 'click' AS state, CAST(0 AS BIGINT) AS hops UNION SELECT dst, hops + 1 FROM walk JOIN ptg_edges ON state = src WHERE hops < 5) SELECT state, min(hops) AS hops FROM walk GROUP BY state"
+_PATHS = "WITH RECURSIVE walk AS (SELECT ['click'] AS path, CAST(1 AS DOUBLE) AS p UNION ALL SELECT list_append(path, dst), walk.p * e.p FROM walk JOIN ptg_edges AS e ON path[-1] = src WHERE len(path) <= 4 AND NOT list_contains(path, dst) AND walk.p * e.p >= 0.01) SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS BIGINT) AS depth, round(p, 9) AS p FROM walk WHERE len(path) > 1 ORDER BY round(p, 9) DESC, 1 LIMIT 50"
+
+FUNCTIONS = {
+    "e04_best_paths": (lambda e: best_paths(e, ["click"], 4), ["ptg_edges"], _PATHS),
+    "e05_monte_carlo": (lambda e: rollouts(e, ["click", "view"], [], 3000, 4), ["ptg_edges"], None),
+    "e14_rollouts": (lambda e: rollouts(e, ["click"], ["purchase"], 2000, 8), ["ptg_edges"], None),
+    "e16_value_iteration": (lambda e: value_iteration(e, ["purchase"]), ["ptg_edges"], None),
+    "e18_optimal_paths": (lambda e: optimal_paths(e, ["click", "view", "signup"], ["purchase"]), ["ptg_edges"], None),
+    "e19_choke_points": (lambda e: choke_points(e, ["click"], ["purchase"]), ["ptg_edges"], None),
+    "e20_path_analysis": (lambda e: best_paths(e, ["click", "view"], 3, 0.0, 100), ["ptg_edges"], None),
+    "e21_reachability": (lambda e: reachability(e, ["click"]), ["ptg_edges"], _HOPS),
+    "e24_interdiction_selection": (lambda e: _interdict(_states(e)), ["ptg_edges"], None),
+}
