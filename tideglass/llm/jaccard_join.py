@@ -5,17 +5,19 @@ Jaccard distance is a metric, so pivots and the triangle inequality can settle p
 1. Neighbourhoods. Sets within the join's distance share a shingle among the first n - ceil(t n) + 1 of either, under
    one order of all shingles (frequent ones, found beforehand, come last). Sets that share such a shingle form a
    region of the space; regions with equal members count once.
-2. Pivots. A region elects pivots (the least set ids of as many hash classes) and every member's distance to them is
-   computed exactly, once for each pair whatever the number of regions it is met in. That settles all pairs with a
-   pivot. Each other member belongs to the Voronoi region of its nearest pivot, or to the far region if none is near.
+2. Pivots. A region elects pivots (the least set ids of as many hash classes). Every member's distance to them is
+   bounded from below by bitmaps and, where the bound leaves room for a link, computed exactly; once for each pair,
+   whatever the number of regions it is met in. That settles all pairs with a pivot. Each other member belongs to the
+   Voronoi region of its nearest pivot.
 3. Windows. A member so close to its pivot that everything within the join's distance of it must be linked to the
-   pivot too is settled. Others are replicated into another Voronoi region only if the triangle inequality leaves room
-   for a partner there.
-4. Recursion. Each Voronoi region is a smaller region, until none has an open pair: a region whose members are all
-   connected by the links so far has none. In the end links connect everything that is connected.
+   pivot too is settled. If the triangle inequality leaves room for a partner outside the pivot's ball, it is
+   replicated into the open region, where the members are that no pivot is near.
+4. Recursion. Open regions are joined in the same way, until none has an open pair: a region whose members are all
+   connected by the links so far has none, and small ones (LEAF members) are settled at once, by sizes and bitmaps,
+   then exactly. In the end links connect everything that is connected.
 
-Equal sets are one point. No pair is emitted but with a pivot; hot pivots are dealt out over several tasks; nothing is
-capped. Sets are known by 64-bit hashes of their shingles and of themselves.
+Equal sets are one point. No pair is emitted but with a pivot, or one that may be a link; hot pivots are dealt out over
+several tasks; nothing is capped. Sets are known by 64-bit hashes of their shingles and of themselves.
 
 A text without words, or null, has an empty set, is linked with nothing and is its own component. Equal doc_ids and
 repeated rows each get their row; a null doc_id is never the name of a component that has another. An empty table
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.bits import Members, members
@@ -55,19 +57,9 @@ def set_id(shingles: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(scanned: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of two thousand neighbouring documents have, at most `most`: sorted hashes and how often each was seen."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                sets = [shingle_set(t, cache, size) for t in whole.column(0).slice(at, 2000).to_pylist()]
-                found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                many = n > 3
-                yield pa.record_batch([pa.array(_signed(found[many])), pa.array(n[many].astype(np.int64))], names=["shingle", "n"])
-
-    counted = materialize(docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")), "frequent")
+    counted = materialize(scanned.where("times IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("n")), "frequent")
     least, held = 0, 0
     for row in counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():  # at most 10,000 rows
         held += row["count"]
@@ -95,13 +87,14 @@ def prefix(shingles: np.ndarray, hashes: np.ndarray, counts: np.ndarray, percent
     return np.concatenate([rare, rest[np.lexsort((rest, counts[at[often]]))][: take - len(rare)]])
 
 
-def points(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, sid (null for an empty set) of every row; written once."""
+def scan(docs: DataFrame, size: int) -> DataFrame:
+    """One pass over the texts, written once. A row for each document: doc_id, n_shingles, sid (null for an empty set),
+    bits (its bitmap); and rows (shingle, times) of shingles that are frequent among two thousand documents."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_shingles", pa.int64()), ("sid", pa.int64())])
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("bits", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -109,15 +102,20 @@ def points(docs: DataFrame, size: int) -> DataFrame:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 sets = [shingle_set(t, cache, size) for t in batch.column(1).to_pylist()]
-                yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], schema=schema)
+                own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s).tobytes() if len(s) else None for s in sets], pa.binary())]
+                yield pa.record_batch([batch.column(0), *own, *(pa.nulls(len(sets), pa.int64()) for _ in range(2))], schema=schema)
+                found, n = np.unique(np.concatenate(sets), return_counts=True)
+                many = n > 3
+                empty = [pa.nulls(int(many.sum()), f.type) for f in list(schema)[:4]]
+                yield pa.record_batch([*empty, pa.array(_signed(found[many])), pa.array(n[many].astype(np.int64))], schema=schema)
 
-    return materialize(rows.mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles bigint, sid bigint"), "points")
+    return materialize(rows.mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles bigint, sid bigint, bits binary, shingle bigint, times bigint"), "points")
 
 
-def neighbourhoods(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def neighbourhoods(docs: DataFrame, scanned: DataFrame, size: int, percent: int) -> DataFrame:
     """Regions of sets that share a prefix shingle: g, x; written once, regions with equal members once."""
     spark = docs.sparkSession
-    often = spark.sparkContext.broadcast(frequent_shingles(docs, size))
+    often = spark.sparkContext.broadcast(frequent_shingles(scanned))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -181,32 +179,50 @@ def neighbourhoods(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return materialize(posted.mapInArrow(group, "g bigint, x bigint").distinct(), "regions")
 
 
-def sets_of(docs: DataFrame, wanted: Members, size: int) -> DataFrame:
-    """sid, shingles (bytes) of the sets that may be wanted, one row each."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap of four to eight bits a shingle in which each shingle turns one bit. Two sets differ in at least as many
+    shingles as their bitmaps differ in bits; halves laid over each other give the bitmap of half the size."""
+    size = 64 << max(0, int(4 * len(shingles) - 1).bit_length() - 6)
+    bits = np.bincount(((shingles >> np.uint64(7)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little")
+
+
+def fold(bitmap: np.ndarray, size: int) -> np.ndarray:
+    while len(bitmap) > size:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] ^ bitmap[half:]
+    return bitmap
+
+
+def least_distance(n: int, a: np.ndarray, m: int, b: np.ndarray) -> float:
+    """A lower bound of the distance of two sets, from their sizes and bitmaps."""
+    size = min(len(a), len(b))
+    differ = max(abs(n - m), int(np.bitwise_count(fold(a, size) ^ fold(b, size)).sum()))
+    return 2 * differ / (n + m + differ)
+
+
+def sets_of(docs: DataFrame, places: Members, wanted: Members, size: int) -> DataFrame:
+    """sid, n, bits (all shingles) of the sets that may be wanted, one row each, from the documents that may be their first."""
+    shared = docs.sparkSession.sparkContext.broadcast((places, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        seen: set[int] = set()
+        places, wanted = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                sets = [s for t in whole.column(0).slice(at, 1000).to_pylist() if len(s := shingle_set(t, cache, size))]
-                if not sets:
-                    continue
+            near = np.flatnonzero(places.holds(whole.column(0).to_numpy(zero_copy_only=False)))
+            for at in range(0, len(near), 1000):
+                texts = whole.column(1).take(pa.array(near[at : at + 1000])).to_pylist()
+                sets = [s for t in texts if len(s := shingle_set(t, cache, size))]
                 ids = np.array([set_id(s) for s in sets], np.int64)
-                out = []
-                for i in np.flatnonzero(shared.value.holds(ids)):
-                    if int(ids[i]) not in seen:
-                        if len(seen) < _KNOWN:
-                            seen.add(int(ids[i]))
-                        out.append(i)
-                yield pa.record_batch([pa.array(ids[out]), pa.array([sets[i].tobytes() for i in out], pa.binary())], names=["sid", "shingles"])
+                out = np.flatnonzero(wanted.holds(ids)) if len(ids) else []
+                yield pa.record_batch([pa.array(ids[out]), pa.array([len(sets[i]) for i in out], pa.int64()), pa.array([sets[i].tobytes() for i in out], pa.binary())], names=["sid", "n", "bits"])
 
-    return docs.select("text").mapInArrow(run, "sid bigint, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    hashed = docs.select(F.xxhash64("doc_id").alias("place"), "text")
+    return hashed.mapInArrow(run, "sid bigint, n bigint, bits binary").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
 
-def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, p, common, whole for distinct pairs (x, p): sizes of intersection and union; written once.
+def distances(pairs: DataFrame, sets: DataFrame, bitmaps: bool) -> DataFrame:
+    """x, p, d for distinct pairs (x, p): the distance, or from bitmaps a lower bound of it; written once.
 
     A set goes to each of its pivots; a pivot with many partners is dealt out over several places.
     """
@@ -214,90 +230,111 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     shares = materialize(pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("shares")), "pivots")
     dealt = pairs.join(shares, "p").select("x", "p", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share"))
     own = shares.select(F.col("p").alias("x"), "p", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    carried = dealt.unionByName(own).join(sets, F.col("x") == F.col("sid")).select("p", "share", (F.col("x") != F.col("p")).alias("partner"), "x", "shingles")
+    carried = dealt.unionByName(own).join(sets, F.col("x") == F.col("sid")).select("p", "share", (F.col("x") != F.col("p")).alias("partner"), "x", "n", "bits")
     placed = carried.repartition(width(spark), "p", "share").sortWithinPartitions("p", "share", "partner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_set = np.zeros(0, np.uint64)
+        n_own, bits_own = 0, np.zeros(0, np.uint64)
         for batch in batches:
-            rows: list[tuple[int, int, int, int]] = []
-            for p, partner, x, raw in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-                s = np.frombuffer(raw, np.uint64)
+            rows: list[tuple[int, int, float]] = []
+            for p, partner, x, n, raw in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+                bits = np.frombuffer(raw, np.uint8 if bitmaps else np.uint64)
                 if not partner:
-                    own_set = s
-                    continue
-                at = np.minimum(np.searchsorted(own_set, s), len(own_set) - 1)
-                common = int((own_set[at] == s).sum())
-                rows.append((x, p, common, len(s) + len(own_set) - common))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["x", "p", "common", "whole"])
+                    n_own, bits_own = n, bits
+                elif bitmaps:
+                    rows.append((x, p, least_distance(n, bits, n_own, bits_own)))
+                else:
+                    at = np.minimum(np.searchsorted(bits_own, bits), n_own - 1)
+                    common = int((bits_own[at] == bits).sum())
+                    rows.append((x, p, 1 - common / (n + n_own - common)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["x", "p", "d"])
+
+    return materialize(placed.mapInArrow(run, "x bigint, p bigint, d double"), "distances")
 
-    return materialize(placed.mapInArrow(run, "x bigint, p bigint, common bigint, whole bigint"), "distances")
+
+def exact(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """x, p, d: the distances of pairs whose lower bounds leave them room to be linked. Only the first document of each
+    set (firsts: sid, first) is read again."""
+    ids = materialize(pairs.select(F.col("x").alias("sid")).union(pairs.select("p")).distinct(), "wanted")
+    places = members(firsts.join(ids, "sid", "left_semi").select(F.xxhash64("first").alias("place")))
+    return distances(pairs, sets_of(docs, places, members(ids), size), bitmaps=False)
 
 
 def settle(regions: DataFrame, pivots: DataFrame, measured: DataFrame, radius: float) -> DataFrame:
-    """The next, smaller regions: what the pivots of each region leave open."""
-    near = 2 * radius
-    seen = regions.join(pivots, "g").where("x != p").join(measured.select("x", "p", (1 - F.col("common") / F.col("whole")).alias("d")), ["x", "p"])
+    """The next, smaller region of each: what its pivots leave open.
+
+    Distances within the radius are exact, others are lower bounds. A member belongs to the Voronoi region of its nearest
+    pivot. If it is within the radius there, and nothing outside the pivot's ball can be within the radius of it, all
+    its links are to members that are linked to that pivot too: it is settled. Other members of Voronoi regions are
+    replicated into the open region, with the members that no pivot is near.
+    """
+    seen = regions.join(pivots, "g").where("x != p").join(measured, ["x", "p"])
     seen = seen.join(pivots.select("g", F.col("p").alias("x")), ["g", "x"], "left_anti").select("g", "x", "i", "d")
-    edge = seen.where(F.col("d") > radius + EPS).groupBy("g", "i").agg(F.min("d").alias("edge"))
+    edge = seen.where(F.col("d") > radius + EPS).groupBy("g", F.col("i").alias("home")).agg(F.min("d").alias("edge"))
     home = seen.groupBy("g", "x").agg(F.min(F.struct("d", "i")).alias("home")).select("g", "x", F.col("home.i").alias("home"), F.col("home.d").alias("least"))
-    home = home.join(edge.withColumnRenamed("i", "home"), ["g", "home"], "left")
-    # Settled: whatever lies within the radius of such a member is within the radius of its pivot.
+    home = home.join(edge, ["g", "home"], "left")
     inside = (F.col("least") <= radius + EPS) & (F.col("edge").isNull() | (F.col("least") + radius < F.col("edge") - EPS))
-    open_ = materialize(home.where(~inside), "open")
-    reach = open_.where(F.col("least") <= near + EPS).groupBy("g", F.col("home").alias("i")).agg(F.max("least").alias("reach"))
-    at_home = open_.select("g", "x", F.when(F.col("least") <= near + EPS, F.col("home")).otherwise(-1).alias("cell"), "least")
-    far = open_.where((F.col("least") <= near + EPS) & (F.col("least") > near - radius - EPS)).select("g", "x", F.lit(-1).alias("cell"), F.lit(1.0).alias("least"))
-    window = (
-        seen.join(open_.where(F.col("least") <= near + EPS), ["g", "x"])
-        .where((F.col("i") < F.col("home")) & (F.col("d") <= F.col("least") + 2 * radius + EPS))
-        .join(reach, ["g", "i"])
-        .where(F.col("d") <= F.col("reach") + radius + EPS)
-        .select("g", "x", F.col("i").alias("cell"), F.col("d").alias("least"))
-    )
-    cells = at_home.unionByName(far).unionByName(window).select(F.xxhash64("g", "cell").alias("g"), "x", "cell", "least")
-    cells = materialize(cells, "cells")
-    # A cell whose members are all linked to its pivot, or that has one member, has no open pair.
-    live = cells.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("cell") < 0, 2.0).otherwise(F.col("least"))).alias("most")).where((F.col("n") > 1) & (F.col("most") > radius + EPS))
-    return materialize(cells.join(live.select("g"), "g", "left_semi").select("g", "x").distinct(), "regions")
-
-
-def still_open(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Regions whose members are not all connected by now, each set of members once; written."""
-    named = regions if labels is None else regions.join(labels, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("label", "x").alias("label"))
-    label = "x" if labels is None else "label"
+    return materialize(home.where(~inside).select("g", "x"), "open")
+
+
+def still_open(regions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Regions whose members are not all connected by now, each set of members once: g, x, label; written."""
+    named = materialize(regions.join(labels, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("label", "x").alias("label")), "labelled")
     alike = F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x")), F.bit_xor(F.xxhash64("x", F.lit(1))))
-    live = named.groupBy("g").agg(alike.alias("same"), F.min(label).alias("low"), F.max(label).alias("high")).where("low != high")
-    one = materialize(live.groupBy("same").agg(F.min("g").alias("g")).select("g"), "live")
-    return materialize(regions.join(one, "g", "left_semi"), "regions")
+    live = named.groupBy("g").agg(alike.alias("same"), F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    one = live.groupBy("same").agg(F.min(F.struct("g", "members")).alias("one")).select("one.*")
+    return materialize(named.join(one, "g"), "regions")
 
 
 def elect(regions: DataFrame, level: int) -> DataFrame:
-    """Pivots of each region: g, i, p. One at first, which mostly settles it; more later, and more in larger regions."""
+    """Pivots of each region: g, i, p. One at first, which mostly settles it; then more, and more in larger regions."""
     if level == 0:
         return regions.groupBy("g").agg(F.min("x").alias("p")).select("g", F.lit(0).alias("i"), "p")
-    n = regions.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    most = F.greatest(F.lit(PIVOTS), 2 * F.ceil(F.sqrt("n")))
-    # What is still open in a region of bounded size is settled at once: most of its pairs have been measured elsewhere.
-    classes = F.least(F.col("n") - 1, most).cast("int")
-    if level > 1:
-        rank = F.row_number().over(Window.partitionBy("g").orderBy("x")) - 1
-        small = regions.join(n.where(F.col("n") <= LEAF).select("g"), "g", "left_semi").select("g", rank.alias("i"), F.col("x").alias("p"))
-        regions = regions.join(n.where(F.col("n") > LEAF).select("g"), "g", "left_semi")
-    sized = regions.join(n.select("g", classes.alias("classes")), "g")
-    drawn = sized.groupBy("g", F.pmod(F.xxhash64("x", F.lit(level)), F.col("classes")).cast("int").alias("i")).agg(F.min("x").alias("p"))
-    return drawn if level < 2 else drawn.unionByName(small)
-
-
-def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    classes = F.greatest(F.lit(PIVOTS), F.ceil(F.sqrt("members"))).cast("int")
+    return regions.groupBy("g", F.pmod(F.xxhash64("x", F.lit(level)), classes).cast("int").alias("i")).agg(F.min("x").alias("p"))
+
+
+def leaves(regions: DataFrame, bitmaps: DataFrame, percent: int, radius: float) -> DataFrame:
+    """Pairs of small regions that may be linked and are not yet connected: x, p. No other pair leaves a region."""
+    spark = regions.sparkSession
+    placed = regions.select("g", "x", "label").join(bitmaps, F.col("x") == F.col("sid")).select("g", "x", "label", "n", "bits").repartition(width(spark), "g").sortWithinPartitions("g", "n", "x")
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        for i, (x, label, n, bits) in enumerate(rows):
+            for y, other, m, more in rows[i + 1 :]:  # in order of size
+                if 100 * n < percent * m:
+                    break
+                if label != other and least_distance(n, bits, m, more) <= radius + EPS:
+                    yield max(x, y), min(x, y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for g, x, label, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != key:
+                    out += pairs(held)
+                    key, held = g, []
+                held.append((x, label, n, np.frombuffer(raw, np.uint8)))
+            yield pa.record_batch([pa.array([r[j] for r in out], pa.int64()) for j in (0, 1)], names=["x", "p"])
+        out = list(pairs(held))
+        yield pa.record_batch([pa.array([r[j] for r in out], pa.int64()) for j in (0, 1)], names=["x", "p"])
+
+    return placed.mapInArrow(run, "x bigint, p bigint")
+
+
+def links(docs: DataFrame, scanned: DataFrame, firsts: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Links (x, p) between sets that connect all sets within the distance, directly or through others; written."""
     spark = docs.sparkSession
     radius = 1 - percent / 100
-    regions = neighbourhoods(docs, size, percent)
+    regions = neighbourhoods(docs, scanned, size, percent)
+    linked = materialize(spark.createDataFrame([], "x bigint, p bigint"), "links")
+    if not regions.limit(1).count():
+        return linked
+    one = scanned.where("sid IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    bitmaps = materialize(one.join(regions.select(F.col("x").alias("sid")).distinct(), "sid", "left_semi"), "bitmaps")
     done: DataFrame | None = None
-    linked = spark.createDataFrame([], "x bigint, p bigint")
-    sets: DataFrame | None = None
     level = 0
     while regions.limit(1).count():
         pivots = materialize(elect(regions, level), "elected")
@@ -305,18 +342,19 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFram
         pairs = regions.join(pivots, "g").where("x != p").select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("x", "p"), ["x", "p"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if level < 2:
-            wanted = members(regions.select("x"))
-            sets = sets_of(docs, wanted, size)
-            if level == 1:
-                sets = materialize(sets, "sets")
-        measured = distances(pairs, sets)
-        linked = materialize(linked.unionByName(measured.where(100 * F.col("common") >= percent * F.col("whole")).select("x", "p")), "links")
-        done = measured if done is None else materialize(done.unionByName(measured), "distances")
-        both = done.unionByName(done.select(F.col("p").alias("x"), F.col("x").alias("p"), "common", "whole"))
-        labels = materialize(components(linked), "labels")
-        regions = still_open(settle(still_open(regions, labels), pivots, both, radius), labels)
+        bounds = distances(materialize(pairs, "pairs"), bitmaps, bitmaps=True)
+        near = exact(docs, firsts, bounds.where(F.col("d") <= radius + EPS).select("x", "p"), size)
+        fresh = bounds.where(F.col("d") > radius + EPS).unionByName(near)
+        done = materialize(fresh if done is None else done.unionByName(fresh), "measured")
+        linked = materialize(linked.unionByName(near.where(F.col("d") <= radius + EPS).select("x", "p")), "links")
+        both = done.unionByName(done.select(F.col("p").alias("x"), F.col("x").alias("p"), "d"))
+        regions = still_open(settle(regions, pivots, both, radius), materialize(components(linked), "labels"))
+        # Small regions are settled at once; large ones elect pivots again.
+        small = leaves(regions.where(F.col("members") <= LEAF), bitmaps, percent, radius)
+        small = small.distinct().join(done.select("x", "p"), ["x", "p"], "left_anti")
+        near = exact(docs, firsts, materialize(small, "leaf-pairs"), size)
+        linked = materialize(linked.unionByName(near.where(F.col("d") <= radius + EPS).select("x", "p")), "links")
+        regions = regions.where(F.col("members") > LEAF)
         level += 1
     return linked
 
@@ -325,7 +363,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for all nodes of edges (x, p), by large-star and small-star rounds."""
     edges = edges.select(F.greatest("x", "p").alias("u"), F.least("x", "p").alias("v")).where("u != v").distinct()
     state = None
-    while True:
+    edges = materialize(edges, "edges")
+    while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -344,9 +383,10 @@ def components(edges: DataFrame) -> DataFrame:
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
     rows = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
-    named = points(rows, size)
-    labels = components(links(rows, size, percent))
-    first = named.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"))
+    scanned = scan(rows, size)
+    named = scanned.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "sid")
+    first = materialize(named.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first")), "firsts")
+    labels = components(links(rows, scanned, first, size, percent))
     labelled = materialize(first.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("label", "sid").alias("label")), "labels")
     names = materialize(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "components")
     by_set = materialize(labelled.join(names, "label").select("sid", "component_id"), "components")
