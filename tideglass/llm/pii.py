@@ -26,34 +26,39 @@ ROUNDS = 12
 # Forms of address by gender, and the patterns of entities.
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа")
-SETTINGS = r"(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_\-]{8,}"
-NAME = r"\p{Lu}[\p{L}'\-]+(?: \p{Lu}[\p{L}'\-]+)?"
+SETTING = r"(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?"
+ADDRESS = rf"(?:{'|'.join(MALE + FEMALE)})\.?\s"
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
-    ("secret", SETTINGS),
+    ("secret", SETTING + r"[A-Za-z0-9+/_\-]{8,}"),
     ("access_key", r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
     ("iban", r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])"),
     ("ssn", r"\d{3}-\d{2}-\d{4}(?!\d)"),
     ("ip", r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)"),
     ("phone", r"\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,4}(?!\d)|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?!\d)"),
     ("number", r"\d(?:[ \-]?\d){8,18}(?!\d)"),
-    ("name", rf"(?<=(?:{'|'.join(MALE + FEMALE)})\.?\s){NAME}"),
+    ("name", ADDRESS + r"\p{Lu}[\p{L}'\-]+(?: \p{Lu}[\p{L}'\-]+)?"),
 )
+#: Every entity holds a digit or an @, sets something, or follows a form of address: most texts are done with this.
+HINT = rf"[0-9@]|[=:]\s{{0,2}}[\"']?[A-Za-z0-9+/_\-]{{8}}|{ADDRESS}\p{{Lu}}"
 # An entity starts where no word does already; the first pattern that fits there wins.
 ENTITY = r"(?<![\p{L}\p{N}._%+@])(?:" + "|".join(p for _, p in PATTERNS) + ")"
 SYLLABLES = tuple(a + b for a in "b d f g k l m n p r s t v z".split() for b in "a e i o u".split())
 DIGIT_TYPES = ("ssn", "phone", "number")
 
 
-def kind_of(mention: Column, before: Column) -> Column:
-    """Type of a mention; `before` is the text that ends where it starts (its last characters are enough)."""
+def kind_of(mention: Column) -> Column:
+    """Type of a mention, which starts with its setting's name or its form of address, if any."""
     whole = lambda name: mention.rlike(f"^(?:{dict(PATTERNS)[name]})$")
-    setting = before.rlike(r"(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?$")
-    out = F.when(whole("email"), "email").when(setting, "secret")
-    for name in ("access_key", "iban", "ssn", "ip", "phone", "number"):
+    out = F.when(whole("email"), "email")
+    for name in ("secret", "access_key", "iban", "ssn", "ip", "phone", "number"):
         out = out.when(whole(name), name)
-    male = before.rlike(rf"(?:^|[^\p{{L}}])(?:{'|'.join(MALE)})\.?\s$")
-    return out.when(male, "name_m").otherwise("name_f")
+    return out.when(mention.rlike(rf"^(?:{'|'.join(MALE)})\.?\s"), "name_m").otherwise("name_f")
+
+
+def lead_of(kind: Column, mention: Column) -> Column:
+    """The part of a mention that stays: a setting's name, a form of address."""
+    return F.when(kind == "secret", F.regexp_extract(mention, SETTING, 0)).when(kind.isin("name_m", "name_f"), F.regexp_extract(mention, ADDRESS, 0)).otherwise("")
 
 
 def digits_of(text: Column) -> Column:
@@ -167,7 +172,7 @@ def replace(docs: DataFrame, key: str = KEY, ident: str = "doc_id", text: str =
     """One row per row of docs: ident, text (rewritten), n_replaced, replaced (kind and surrogate, in order)."""
     rows = docs.select(docs[ident].alias("ident"), docs[text].cast("string").alias("text"))
     replaced = "array<struct<kind:string,surrogate:string>>"
-    hit = F.coalesce(F.col("text").rlike(ENTITY), F.lit(False))
+    hit = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(ENTITY), F.lit(False))
     clean = rows.where(~hit).select("ident", "text", F.lit(0).cast("bigint").alias("n_replaced"), F.array().cast(replaced).alias("replaced"))
     # Texts with entities, cut at them: gaps[0] mention[0] gaps[1] ... written once, so a row number can name each row.
     cut = materialize(
@@ -179,13 +184,14 @@ def replace(docs: DataFrame, key: str = KEY, ident: str = "doc_id", text: str =
         ),
         "mentions",
     )
-    each = cut.select("row", F.posexplode(F.zip_with("mentions", F.slice("gaps", F.lit(1), F.size("mentions")), lambda m, g: F.struct(m.alias("mention"), F.right(g, F.lit(24)).alias("before")))).alias("pos", "x"))
-    each = each.select("row", "pos", F.col("x.mention").alias("mention"), kind_of(F.col("x.mention"), F.col("x.before")).alias("kind"))
+    each = cut.select("row", F.posexplode("mentions").alias("pos", "whole")).withColumn("kind", kind_of(F.col("whole")))
+    each = each.withColumn("lead", lead_of(F.col("kind"), F.col("whole")))
+    each = each.select("row", "pos", "kind", "lead", F.substr("whole", F.length("lead") + 1).alias("mention"))
     each = materialize(each.withColumn("value", canonical(F.col("kind"), F.col("mention"))), "entities")
     known = mapping(materialize(each.select("kind", "value").distinct(), "entities-distinct"), key)
-    new = each.join(known, ["kind", "value"]).select("row", F.struct("pos", "kind", written(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("surrogate")).alias("x"))
+    new = each.join(known, ["kind", "value"]).select("row", F.struct("pos", "kind", "lead", written(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("surrogate")).alias("x"))
     by_row = new.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("found"))
-    rebuilt = F.concat(F.array_join(F.zip_with("found", F.slice("gaps", F.lit(1), F.size("found")), lambda x, g: F.concat(g, x["surrogate"])), ""), F.element_at("gaps", -1))
+    rebuilt = F.concat(F.array_join(F.zip_with("found", F.slice("gaps", F.lit(1), F.size("found")), lambda x, g: F.concat(g, x["lead"], x["surrogate"])), ""), F.element_at("gaps", -1))
     dirty = cut.join(by_row, "row").select(
         "ident",
         rebuilt.alias("text"),
