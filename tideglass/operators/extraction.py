@@ -72,9 +72,103 @@ def _aliases(part: DataFrame) -> DataFrame:
     return resolve_aliases(part.where("p_partkey > 1").select(F.col("p_partkey").alias("alias"), F.floor(F.col("p_partkey") / 3).cast("bigint").alias("target")).where("target > 0"))
 
 
+def running_confidence(events: DataFrame, keep: float = 0.9) -> DataFrame:
+    """Exponential moving average of confidence by type, seeded by the first value above zero: event_type, n, ema.
+
+    An average depends on order, so a type is folded as one; types are cut into days first, each day's fold being the
+    affine map that it applies to what came before, and maps compose in order.
+    """
+    step = F.struct(F.lit(keep).alias("a"), (F.lit(1 - keep) * F.col("value")).alias("b"))
+    compose = lambda acc, x: F.struct((acc["a"] * x["a"]).alias("a"), (acc["b"] * x["a"] + x["b"]).alias("b"))
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    positive = events.where(F.col("value") > 0)
+    first = positive.groupBy("event_type").agg(F.min_by("value", F.struct("ts", "event_id")).alias("seed"), F.min(F.struct("ts", "event_id")).alias("at"))
+    after = positive.join(first, "event_type").where(F.struct("ts", "event_id") > F.col("at"))
+    fold = lambda items: F.aggregate(F.array_sort(F.collect_list(items)), start, lambda acc, x: compose(acc, x["m"]))
+    days = after.groupBy("event_type", F.to_date("ts").alias("day")).agg(fold(F.struct("ts", "event_id", step.alias("m"))).alias("m"), F.count(F.lit(1)).alias("n"))
+    whole = days.groupBy("event_type").agg(fold(F.struct("day", "m")).alias("m"), F.sum("n").alias("n"))
+    joined = first.join(whole, "event_type", "left")
+    return joined.select("event_type", (F.coalesce("n", F.lit(0)) + 1).cast("bigint").alias("n"), F.round(F.coalesce(F.col("m.a"), F.lit(1.0)) * F.col("seed") + F.coalesce(F.col("m.b"), F.lit(0.0)), 6).alias("ema"))
+
+
+def split_sentences(docs: DataFrame) -> DataFrame:
+    """Texts of one or two lines are split at sentence ends into lines: doc_id, n_lines."""
+    short = (F.size(F.split("text", "\n")) <= 2) & (F.length("text") > 100)
+    lines = F.when(short, F.size(F.split("text", r"(?<=[.!?])\s+"))).otherwise(F.size(F.split("text", "\n")))
+    return docs.select("doc_id", lines.cast("bigint").alias("n_lines"))
+
+
+def jaccard_evidence(lines: DataFrame, threshold: float = 0.85, most: int = 50) -> DataFrame:
+    """Within each group, evidence whose word set is like that of a longer kept one goes: grp, id. Groups above `most`
+    items keep all, as their exact dedup is done elsewhere."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for grp, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kept = []
+                for it in sorted(items, key=lambda x: (-len(x["text"]), x["id"])):
+                    words = set(it["text"].lower().split())
+                    if len(items) > most or not any(len(words & k) > threshold * len(words | k) for k in kept):
+                        kept.append(words)
+                        out.append((grp, it["id"]))
+            yield pa.record_batch([pa.array([g for g, _ in out], pa.string()), pa.array([i for _, i in out], pa.int64())], names=["grp", "id"])
+
+    grouped = lines.groupBy(F.col("grp").cast("string").alias("grp")).agg(F.collect_list(F.struct("id", "text")).alias("items"))
+    return grouped.mapInArrow(run, "grp string, id long")
+
+
+def merge_names(entities: DataFrame, most: int = 500, threshold: float = 0.85) -> DataFrame:
+    """Entities of a group (grp, name, confidence, family) merged when their names' edit similarity passes a threshold;
+    a technique never merges with one of its own family, nor names that differ by over 70 % in length; at most `most`
+    comparisons a group, as the reference semantics have it: grp, name, kept."""
+    import pyarrow as pa
+
+    def similar(a: str, b: str) -> float:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return 1 - row[-1] / max(1, len(a), len(b))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for grp, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kept, n = [], 0
+                for it in sorted(items, key=lambda x: (-x["confidence"], x["name"])):
+                    home = None
+                    for k in kept:
+                        sizes = sorted((len(it["name"]), len(k["name"])))
+                        if n >= most or sizes[0] < 0.3 * sizes[1] or it["family"] == k["family"]:
+                            continue
+                        n += 1
+                        if similar(it["name"].lower(), k["name"].lower()) >= threshold:
+                            home = k
+                            break
+                    if home is None:
+                        kept.append(it)
+                    out.append((grp, it["name"], (home or it)["name"]))
+            yield pa.record_batch([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=["grp", "name", "kept"])
+
+    grouped = entities.groupBy(F.col("grp").cast("string").alias("grp")).agg(F.collect_list(F.struct("name", "confidence", "family")).alias("items"))
+    return grouped.mapInArrow(run, "grp string, name string, kept string")
+
+
+def _parts(part: DataFrame) -> DataFrame:
+    return merge_names(part.select(F.concat_ws("|", "p_brand", "p_type").alias("grp"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("confidence"), F.col("p_size").cast("string").alias("family")))
+
+
+_EMA = "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events WHERE value > 0), l AS (SELECT event_type, list(value ORDER BY rn) AS v FROM o GROUP BY event_type) SELECT event_type, len(v)::BIGINT AS n, round(list_reduce(v, lambda a, x: 0.9::DOUBLE * a + (1 - 0.9::DOUBLE) * x), 6) AS ema FROM l"
 _LINES = "WITH l AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), p AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS stop FROM l) SELECT doc_id, min(line)::BIGINT AS first_line, max(line)::BIGINT AS last_line FROM p WHERE stop - length(t) - 1 < floor(n * 3 / 4) AND stop > floor(n / 4) GROUP BY doc_id"
 _ALIAS = "WITH RECURSIVE w AS (SELECT p_partkey AS alias, p_partkey // 3 AS root FROM part WHERE p_partkey // 3 > 0 UNION ALL SELECT alias, root // 3 FROM w WHERE root // 3 > 0) SELECT alias, min(root) AS root FROM w GROUP BY alias"
 FUNCTIONS = {
     "p12_line_refs": (line_refs, ["documents"], _LINES),
+    "k12_running_confidence": (running_confidence, ["events"], _EMA),
+    "m02_sentences": (split_sentences, ["documents"], None),
+    "m12_jaccard_evidence": (lambda d: jaccard_evidence(d.select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "text")), ["documents"], None),
+    "g15_merged_names": (_parts, ["part"], None),
     "p08_alias_roots": (_aliases, ["part"], _ALIAS),
 }

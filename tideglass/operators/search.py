@@ -40,36 +40,43 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
 
 
-def knn(vectors: DataFrame, every: int = 50, top: int = 10, label_filter: bool = False, block: int = 512) -> DataFrame:
+def knn(vectors: DataFrame, every: int = 50, top: int = 10, label_filter: bool = False, block: int = 4096) -> DataFrame:
     """Exact cosine neighbours of the vectors whose id is a multiple of `every`: query, neighbour, rank, score.
 
-    Queries go in blocks of `block` to every part of the table, which keeps its best `top` of each; the parts' best meet
-    by query. With label_filter a fetch of three times as many is filtered to the query's label, so fewer may be left.
+    Queries are sent out in blocks of about `block`; every batch of the table multiplies itself with a block and keeps
+    its best `top` of each query; those meet by query. With label_filter a fetch of three times as many is filtered to
+    the query's label, so fewer may be left.
     """
     from pyspark.sql import Window
 
+    spark = vectors.sparkSession
     fetch = max(3 * top, 30) if label_filter else top
-    parts = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
-    queries = parts.where(F.col("id") % every == 0)
-    blocks = queries.groupBy(F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(1 << 20) * F.greatest(F.lit(1), F.lit(queries.count() // block + 1))).alias("block")).agg(F.collect_list(F.struct("id", "v", "label")).alias("qs"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            rows: dict[int, tuple[list, list]] = {}
-            for block_id, qs, ident, v, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.setdefault(block_id, (qs, []))[1].append((ident, v, label))
-            for qs, items in rows.values():
-                score = unit(np.array([q["v"] for q in qs])) @ unit(np.array([v for _, v, _ in items])).T
-                for i, q in enumerate(qs):
-                    for j in np.lexsort(([x[0] for x in items], -np.round(score[i], 9)))[: fetch + 1]:
-                        if items[j][0] != q["id"]:
-                            out.append((q["id"], q["label"], items[j][0], items[j][2], round(float(score[i, j]), 6)))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["query", "ql", "neighbour", "nl", "score"])
-
-    paired = blocks.join(parts.withColumnRenamed("label", "l"), F.lit(True)).select("block", "qs", "id", "v", "l")
-    best = paired.mapInArrow(run, "query long, ql int, neighbour long, nl int, score double")
+    rows = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("bigint").alias("label"))
+    queries = rows.where(F.col("id") % every == 0)
+    n_blocks = queries.count() // block + 1
+
+    def neighbours(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, labels, qs = shared.value
+            for batch in batches:
+                own, own_labels = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 2))
+                score = np.round(qs @ unit(np.array(batch.column(1).to_pylist(), float).reshape(len(own), -1)).T, 6) if len(own) and len(ids) else np.zeros((0, 0))
+                out: list[tuple] = []
+                for i in range(len(score)):
+                    for j in np.lexsort((own, -score[i]))[: fetch + 1]:
+                        if own[j] != ids[i]:
+                            out.append((int(ids[i]), int(labels[i]), int(own[j]), int(own_labels[j]), float(score[i, j])))
+                cols = list(zip(*out, strict=True)) or [[]] * 5
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.float64()), strict=True)], names=["query", "ql", "neighbour", "nl", "score"])
+
+        return rows.mapInArrow(run, "query long, ql long, neighbour long, nl long, score double")
+
+    best = None
+    for b in range(n_blocks):
+        held = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).collect()  # a block
+        q = (np.array([r["id"] for r in held], np.int64), np.array([r["label"] for r in held], np.int64), unit(np.array([r["v"] for r in held], float).reshape(len(held), -1)))
+        part = neighbours(spark.sparkContext.broadcast(q))
+        best = part if best is None else best.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "neighbour"))
     fetched = best.withColumn("rank", rank).where(F.col("rank") <= fetch)
     if label_filter:
