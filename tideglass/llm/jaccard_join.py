@@ -41,7 +41,7 @@ from tideglass.llm.store import materialize, width
 PERCENT = 75
 FREQUENT = 200_000
 PIVOTS = 8
-LEAF = 128
+LEAF = 512
 HOT = 2000
 EPS = 1e-9
 _KNOWN = 200_000
@@ -302,7 +302,8 @@ def leaves(regions: DataFrame, bitmaps: DataFrame, percent: int, radius: float)
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         for i, (x, label, n, bits) in enumerate(rows):
-            for y, other, m, more in rows[i + 1 :]:  # in order of size
+            for j in range(i + 1, len(rows)):  # in order of size
+                y, other, m, more = rows[j]
                 if 100 * n < percent * m:
                     break
                 if label != other and least_distance(n, bits, m, more) <= radius + EPS:
