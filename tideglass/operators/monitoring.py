@@ -39,6 +39,6 @@ OPS = {
     "k12_errors": Op("Validation errors by class, the first matching rule wins.", f"SELECT {_ERR} AS class, CAST(count(*) AS BIGINT) AS n FROM {{documents}} GROUP BY {_ERR}"),
     "k13_compliance": Op("Five points by source, and a verdict.", "WITH s AS (SELECT source, (CASE WHEN count(*) > 20 THEN 1 ELSE 0 END) + (CASE WHEN avg(n_chars) > 500 THEN 1 ELSE 0 END) + (CASE WHEN min(n_chars) > 10 THEN 1 ELSE 0 END) + (CASE WHEN count(DISTINCT lang) > 2 THEN 1 ELSE 0 END) + (CASE WHEN max(n_chars) < 50000 THEN 1 ELSE 0 END) AS points FROM {documents} GROUP BY source) SELECT source, CAST(points AS BIGINT) AS points, CASE WHEN points >= 4 THEN 'COMPLIANT' WHEN points >= 2 THEN 'NEEDS_ATTENTION' ELSE 'NON_COMPLIANT' END AS verdict FROM s"),
     "k14_rate_limit": Op("Requests of a user in the hour before each, not counting it, and whether a limit was passed.", "SELECT event_id, CAST(n AS BIGINT) AS before, n >= :limit AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) - 1 AS n FROM {events}) AS w", limit=2),
-    "k15_cost": Op("Cost by day and model at a price list.", "SELECT CAST(ts AS DATE) AS day, event_type AS model, CAST(count(*) AS BIGINT) AS calls, round(sum(value / 1000 * (CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.1 ELSE 0.2 END)), 4) AS cost FROM {events} GROUP BY CAST(ts AS DATE), event_type"),
+    "k15_cost": Op("Cost by day and model at a price list.", "SELECT CAST(ts AS DATE) AS day, event_type AS model, CAST(count(*) AS BIGINT) AS calls, round(sum(value / 1000 * (CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.1 ELSE 0.2 END)) + 0.0000001, 4) AS cost FROM {events} GROUP BY CAST(ts AS DATE), event_type"),
     "p30_budget": Op("Running cost of each day and whether the next call would pass the budget.", "WITH c AS (SELECT event_id, CAST(ts AS DATE) AS day, ts, CAST(floor(value * 100) AS BIGINT) AS cents FROM {events}) SELECT event_id, CAST(total AS BIGINT) AS total_cents, total > :budget AS over_budget FROM (SELECT event_id, sum(cents) OVER (PARTITION BY day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM c) AS w", budget=200000),
 }
