@@ -75,9 +75,11 @@ def test_one_document_of_each_group_stays(docs):
     assert sorted(r["doc_id"] for r in jaccard_join.keep_first(docs).collect()) == sorted(set(want.values()))
 
 
-def test_large_regions_recurse_and_stay_exact(spark, monkeypatch):
+@pytest.mark.parametrize("levels", [1, 2, 50])
+def test_large_regions_recurse_and_stay_exact(spark, monkeypatch, levels):
     """A family of drifting copies in which no leaf is small enough, so pivots are elected again and again."""
     monkeypatch.setattr(jaccard_join, "LEAF", 4)
+    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(80)]
     rows = []

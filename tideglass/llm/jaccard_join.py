@@ -13,8 +13,9 @@ Jaccard distance is a metric, so pivots and the triangle inequality can settle p
    pivot too is settled. If the triangle inequality leaves room for a partner outside the pivot's ball, it is
    replicated into the open region, where the members are that no pivot is near.
 4. Recursion. Open regions are joined in the same way, until none has an open pair: a region whose members are all
-   connected by the links so far has none, and small ones (LEAF members) are settled at once, by sizes and bitmaps,
-   then exactly. In the end links connect everything that is connected.
+   connected by the links so far has none. Small ones (LEAF members), and after LEVELS rounds all others in blocks of
+   that size, are settled at once: by sizes and bitmaps, then exactly. In the end links connect everything that is
+   connected.
 
 Equal sets are one point. No pair is emitted but with a pivot, or one that may be a link; hot pivots are dealt out over
 several tasks; nothing is capped. Sets are known by 64-bit hashes of their shingles and of themselves.
@@ -42,6 +43,7 @@ PERCENT = 75
 FREQUENT = 200_000
 PIVOTS = 8
 LEAF = 512
+LEVELS = 2
 HOT = 2000
 EPS = 1e-9
 _KNOWN = 200_000
@@ -295,31 +297,56 @@ def elect(regions: DataFrame, level: int) -> DataFrame:
     return regions.groupBy("g", F.pmod(F.xxhash64("x", F.lit(level)), classes).cast("int").alias("i")).agg(F.min("x").alias("p"))
 
 
+def open_pairs(n: np.ndarray, bits: list[np.ndarray], label: np.ndarray, block: np.ndarray, apart: bool, percent: int, radius: float) -> Iterator[tuple[int, int]]:
+    """Positions of pairs of sets, in order of size, that may be linked and are not connected; of two blocks if apart."""
+    sizes = np.array([len(b) for b in bits])
+    for size in np.unique(sizes):
+        # Partners are at most a third larger, so their bitmaps have this size or twice it.
+        at = np.flatnonzero((sizes == size) | (sizes == 2 * size))
+        folded = np.stack([fold(bits[i], size) for i in at])
+        m, labels, blocks = n[at], label[at], block[at]
+        for k in np.flatnonzero(sizes[at] == size):
+            stop = int(np.searchsorted(m, 100 * m[k] // percent, "right"))
+            if stop <= k + 1:
+                continue
+            other = slice(k + 1, stop)
+            differ = np.maximum(np.bitwise_count(folded[other] ^ folded[k]).sum(axis=1, dtype=np.int64), m[other] - m[k])
+            fits = (2 * differ <= (radius + EPS) * (m[other] + m[k] + differ)) & (labels[other] != labels[k])
+            if apart:
+                fits &= blocks[other] != blocks[k]
+            for j in np.flatnonzero(fits):
+                yield int(at[k]), int(at[k + 1 + j])
+
+
 def leaves(regions: DataFrame, bitmaps: DataFrame, percent: int, radius: float) -> DataFrame:
-    """Pairs of small regions that may be linked and are not yet connected: x, p. No other pair leaves a region."""
-    spark = regions.sparkSession
-    placed = regions.select("g", "x", "label").join(bitmaps, F.col("x") == F.col("sid")).select("g", "x", "label", "n", "bits").repartition(width(spark), "g").sortWithinPartitions("g", "n", "x")
+    """Pairs of regions that may be linked and are not yet connected: x, p. No other pair leaves a region.
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        for i, (x, label, n, bits) in enumerate(rows):
-            for j in range(i + 1, len(rows)):  # in order of size
-                y, other, m, more = rows[j]
-                if 100 * n < percent * m:
-                    break
-                if label != other and least_distance(n, bits, m, more) <= radius + EPS:
-                    yield max(x, y), min(x, y)
+    A region above LEAF members is cut into blocks by hash, and every two blocks meet in a place of their own.
+    """
+    spark = regions.sparkSession
+    blocks = F.ceil(F.col("members") / LEAF).cast("int")
+    cut = regions.select("g", "x", "label", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("x", F.lit(7)), F.col("blocks")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "x", "label")
+    placed = met.join(bitmaps, F.col("x") == F.col("sid")).select("g", "low", "high", "n", "x", "label", "block", "bits").repartition(width(spark), "g", "low", "high").sortWithinPartitions("g", "low", "high", "n", "x")
+
+    def close(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        n, x, label, block = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+        found = open_pairs(n, [np.frombuffer(r[4], np.uint8) for r in rows], label, block, key[1] != key[2], percent, radius)
+        return [(int(max(x[i], x[j])), int(min(x[i], x[j]))) for i, j in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for g, x, label, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g != key:
-                    out += pairs(held)
-                    key, held = g, []
-                held.append((x, label, n, np.frombuffer(raw, np.uint8)))
+            for g, low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, low, high) != key:
+                    out += close(key, held)
+                    key, held = (g, low, high), []
+                held.append(tuple(row))
             yield pa.record_batch([pa.array([r[j] for r in out], pa.int64()) for j in (0, 1)], names=["x", "p"])
-        out = list(pairs(held))
+        out = close(key, held)
         yield pa.record_batch([pa.array([r[j] for r in out], pa.int64()) for j in (0, 1)], names=["x", "p"])
 
     return placed.mapInArrow(run, "x bigint, p bigint")
@@ -350,11 +377,14 @@ def links(docs: DataFrame, scanned: DataFrame, firsts: DataFrame, size: int = SI
         linked = materialize(linked.unionByName(near.where(F.col("d") <= radius + EPS).select("x", "p")), "links")
         both = done.unionByName(done.select(F.col("p").alias("x"), F.col("x").alias("p"), "d"))
         regions = still_open(settle(regions, pivots, both, radius), materialize(components(linked), "labels"))
-        # Small regions are settled at once; large ones elect pivots again.
-        small = leaves(regions.where(F.col("members") <= LEAF), bitmaps, percent, radius)
+        # Small regions are settled at once; large ones elect pivots again, and are then settled too.
+        last = level + 1 >= LEVELS
+        small = leaves(regions if last else regions.where(F.col("members") <= LEAF), bitmaps, percent, radius)
         small = small.distinct().join(done.select("x", "p"), ["x", "p"], "left_anti")
         near = exact(docs, firsts, materialize(small, "leaf-pairs"), size)
         linked = materialize(linked.unionByName(near.where(F.col("d") <= radius + EPS).select("x", "p")), "links")
+        if last:
+            break
         regions = regions.where(F.col("members") > LEAF)
         level += 1
     return linked
