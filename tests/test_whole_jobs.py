@@ -1,0 +1,15 @@
+"""Operators read all of their input: small cases in which a part of it used to be left out."""
+
+import math
+
+from tideglass.operators import cooccurrence
+
+
+def test_profiles_read_every_episode(spark):
+    use = [("x", e, "A") for e in range(200)] + [("x", 200, "B"), ("y", 300, "A"), ("y", 301, "C"), ("y", 302, "C"), ("z", 400, "C")]
+    eta = spark.createDataFrame(use, "actor string, episode long, technique string")
+    got = {(r["actor"], r["technique"]): r for r in cooccurrence.OPS["a04_actor_profiles"](part_use=eta).collect()}
+    assert (got["x", "A"]["frequency"], got["x", "A"]["total_episodes"], got["x", "A"]["signature_rank"]) == (200, 201, 1)
+    assert got["x", "B"]["tfidf"] == round(math.log(3) / 201, 9) and got["x", "B"]["signature_rank"] is None
+    pairs = {(r["actor_a"], r["actor_b"]): r for r in cooccurrence.OPS["a05_actor_similarity"](part_use=eta).collect()}
+    assert pairs["y", "z"]["similarity"] == round(2 / math.sqrt(5), 6)

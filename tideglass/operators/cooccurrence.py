@@ -39,14 +39,13 @@ sets AS (SELECT a.technique AS t1, b.technique AS t2, c.technique AS t3, CAST(co
 bundles AS (SELECT t1, t2, t3, support, support / least(x.s, y.s, z.s) AS confidence, support / (n.n * (x.s / n.n) * (y.s / n.n) * (z.s / n.n)) AS lift, support / (n.n * n.n * (x.s / n.n) * (y.s / n.n) * (z.s / n.n)) AS lift_reference
   FROM sets JOIN support AS x ON t1 = x.technique JOIN support AS y ON t2 = y.technique JOIN support AS z ON t3 = z.technique CROSS JOIN n)"""
 
+# Of few techniques every actor uses every one and all weights vanish, so profiles take the sparse techniques.
 _TFIDF = """
-freq AS (SELECT actor, technique, CAST(count(DISTINCT episode) AS DOUBLE) AS f FROM {eta} GROUP BY actor, technique),
+freq AS (SELECT actor, technique, CAST(count(DISTINCT episode) AS DOUBLE) AS f FROM {part_use} GROUP BY actor, technique),
 sized AS (SELECT actor, technique, f, sum(f) OVER (PARTITION BY actor) AS total FROM freq),
 df AS (SELECT technique, count(*) AS df FROM freq GROUP BY technique),
 actors AS (SELECT CAST(count(DISTINCT actor) AS DOUBLE) AS n FROM freq),
 weights AS (SELECT actor, sized.technique, f, total, f / total * ln(n / df) AS tfidf FROM sized JOIN df ON sized.technique = df.technique CROSS JOIN actors)"""
-# With every actor using every technique all weights vanish, so profiles take each actor's rarer (high quantity) use.
-_RARE = _TFIDF.replace("{eta}", "rare_use").replace("\nfreq", "\nrare_use AS (SELECT actor, episode, technique FROM {eta} WHERE (episode * 7 + length(actor)) % 97 < 3),\nfreq", 1)
 _SIMILAR = """
 norms AS (SELECT actor, sqrt(sum(tfidf * tfidf)) AS norm FROM weights GROUP BY actor),
 dots AS (SELECT a.actor AS a, b.actor AS b, sum(a.tfidf * b.tfidf) AS dot, CAST(count(*) AS BIGINT) AS shared FROM weights AS a JOIN weights AS b ON a.technique = b.technique AND a.actor < b.actor GROUP BY a.actor, b.actor),
@@ -61,8 +60,8 @@ OPS = {
     ),
     "a03_bundles": Op("Frequent sets of three techniques, with the standard lift and the one that divides by the episode count twice.", f"WITH {_TRIPLES} SELECT t1, t2, t3, support, round(confidence, 6) AS confidence, round(lift, 6) AS lift, round(lift_reference, 9) AS lift_reference FROM bundles", min_size=3, min_support=2),
     "a04_actor_profiles": Op(
-        "TF-IDF weights of techniques by actor; the ten heaviest above a threshold are the signature.",
-        f"WITH {_RARE}, ranked AS (SELECT actor, technique, f, total, tfidf, row_number() OVER (PARTITION BY actor ORDER BY round(tfidf, 9) DESC, technique) AS rn FROM weights WHERE tfidf > :threshold) SELECT actor, technique, CAST(f AS BIGINT) AS frequency, CAST(total AS BIGINT) AS total_episodes, round(tfidf, 6) AS tfidf, CAST(rn AS BIGINT) AS signature_rank FROM ranked WHERE rn <= :top",
+        "TF-IDF weights of techniques by actor; the ten heaviest above a threshold are the signature and have a rank.",
+        f"WITH {_TFIDF}, ranked AS (SELECT actor, technique, f, total, tfidf, row_number() OVER (PARTITION BY actor ORDER BY round(tfidf, 9) DESC, technique) AS rn FROM weights) SELECT actor, technique, CAST(f AS BIGINT) AS frequency, CAST(total AS BIGINT) AS total_episodes, round(tfidf, 9) AS tfidf, CAST(CASE WHEN rn <= :top AND tfidf > :threshold THEN rn END AS BIGINT) AS signature_rank FROM ranked",
         threshold=0.01,
         top=10,
     ),
@@ -71,7 +70,7 @@ OPS = {
         "SELECT actor, tactic, n_actions FROM (SELECT actor, tactic, n_actions, row_number() OVER (PARTITION BY actor ORDER BY n_actions DESC, tactic) AS rn FROM (SELECT actor, tactic, CAST(count(*) AS BIGINT) AS n_actions FROM {eta} AS e JOIN {technique_tactic} AS t ON e.technique = t.technique GROUP BY actor, tactic) AS c) AS r WHERE rn <= :top",
         top=3,
     ),
-    "a05_actor_similarity": Op("Cosine of sparse TF-IDF profiles, by a join on shared techniques.", f"WITH {_RARE}, {_SIMILAR} SELECT a AS actor_a, b AS actor_b, shared AS shared_techniques, round(similarity, 6) AS similarity FROM similar_actors", min_similarity=0.3),
+    "a05_actor_similarity": Op("Cosine of sparse TF-IDF profiles, by a join on shared techniques.", f"WITH {_TFIDF}, {_SIMILAR} SELECT a AS actor_a, b AS actor_b, shared AS shared_techniques, round(similarity, 6) AS similarity FROM similar_actors", min_similarity=0.3),
     "a06_bridging_techniques": Op("Techniques of many actors.", "SELECT technique, CAST(count(DISTINCT actor) AS BIGINT) AS n_actors, CAST(count(DISTINCT episode) AS BIGINT) AS n_episodes, round(CAST(count(DISTINCT episode) AS DOUBLE) / count(DISTINCT actor), 6) AS avg_importance FROM {eta} GROUP BY technique HAVING count(DISTINCT actor) >= :min_actors", min_actors=3),
     "a07_top_pairs": Op(
         "Most frequent pairs with names; with a tactic, a pair stays if either side has it.",
@@ -105,7 +104,7 @@ OPS = {
         min_support=2,
         top=50,
     ),
-    "a11_actor_similarity_named": Op("Actor similarity as a percentage.", f"WITH {_RARE}, {_SIMILAR} SELECT a AS actor_a, b AS actor_b, round(similarity, 3) AS similarity, round(similarity * 100, 1) AS similarity_pct FROM similar_actors", min_similarity=0.0),
+    "a11_actor_similarity_named": Op("Actor similarity as a percentage.", f"WITH {_TFIDF}, {_SIMILAR} SELECT a AS actor_a, b AS actor_b, round(similarity, 3) AS similarity, round(similarity * 100, 1) AS similarity_pct FROM similar_actors", min_similarity=0.0),
     "a12_bridging_detail": Op(
         "Bridging techniques with their tactics' number and first actors.",
         "WITH b AS (SELECT technique, count(DISTINCT actor) AS n_actors, count(DISTINCT episode) AS n_episodes, min(actor) AS first_actor, max(actor) AS last_actor FROM {eta} GROUP BY technique HAVING count(DISTINCT actor) >= :min_actors), t AS (SELECT technique, count(*) AS n_tactics FROM {technique_tactic} GROUP BY technique) SELECT b.technique, CAST(n_actors AS BIGINT) AS n_actors, CAST(n_episodes AS BIGINT) AS n_episodes, round(CAST(n_episodes AS DOUBLE) / n_actors, 2) AS avg_importance, CAST(n_tactics AS BIGINT) AS n_tactics, first_actor, last_actor FROM b LEFT JOIN t ON b.technique = t.technique ORDER BY n_actors DESC, n_episodes DESC, b.technique LIMIT :top",

@@ -15,6 +15,7 @@ VIEWS = {
     "et": "SELECT DISTINCT l_orderkey AS episode, p_brand AS technique FROM {lineitem} JOIN {part} ON l_partkey = p_partkey",
     "attribution": "SELECT o_orderkey AS episode, n_name AS actor FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey",
     "eta": "SELECT actor, et.episode, technique FROM {et} AS et JOIN {attribution} AS att ON et.episode = att.episode",
+    "part_use": "SELECT DISTINCT actor, episode, l_partkey AS technique FROM {lineitem} JOIN {attribution} AS att ON l_orderkey = att.episode",
     "technique_tactic": "SELECT DISTINCT p_brand AS technique, p_type AS tactic FROM {part}",
     "primary_tactic": "SELECT technique, min(tactic) AS tactic FROM {technique_tactic} GROUP BY technique",
     "tactic_rank": "SELECT tactic, row_number() OVER (ORDER BY tactic) AS tactic_order FROM (SELECT DISTINCT p_type AS tactic FROM {part}) AS t",
