@@ -1,8 +1,9 @@
 """Operators read all of their input: small cases in which a part of it used to be left out."""
 
 import math
+import random
 
-from tideglass.operators import cooccurrence
+from tideglass.operators import cooccurrence, extraction, search
 
 
 def test_profiles_read_every_episode(spark):
@@ -13,3 +14,37 @@ def test_profiles_read_every_episode(spark):
     assert got["x", "B"]["tfidf"] == round(math.log(3) / 201, 9) and got["x", "B"]["signature_rank"] is None
     pairs = {(r["actor_a"], r["actor_b"]): r for r in cooccurrence.OPS["a05_actor_similarity"](part_use=eta).collect()}
     assert pairs["y", "z"]["similarity"] == round(2 / math.sqrt(5), 6)
+
+
+def _greedy(items, threshold=0.85):
+    kept, out = [], []
+    for text, i in sorted(((t, i) for i, t in items), key=lambda x: (-len(x[0]), x[1])):
+        words = set(text.lower().split())
+        if not any(len(words & k) > threshold * len(words | k) for k in kept):
+            kept.append(words)
+            out.append(i)
+    return sorted(out)
+
+
+def test_large_groups_of_evidence_are_deduplicated(spark):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(30)]
+    items = []
+    for i in range(300):
+        words = base[:]
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(30)] = f"w{rng.randint(0, 60)}"
+        items.append((i, " ".join(words) if i % 10 else ""))
+    items += [(300 + i, " ".join(rng.sample(base, 12))) for i in range(40)]
+    lines = spark.createDataFrame([(g, i, t) for g in ("a", None) for i, t in items], "grp string, id long, text string")
+    want = _greedy(items)
+    assert len(want) < len(items)
+    for rounds in (0, 3):
+        got = extraction.jaccard_evidence(lines, rounds=rounds).collect()
+        assert all(sorted(r["id"] for r in got if r["grp"] == g) == want for g in ("a", None))
+
+
+def test_large_groups_of_vectors_lose_equal_ones(spark):
+    rows = [(1, i, 1, [float(i % 30), 1.0]) for i in range(60)] + [(2, 100 + i, i, [1.0, 0.0]) for i in range(3)]
+    got = {r["id"]: r["keep_id"] for r in search.semantic_dedup(spark.createDataFrame(rows, "grp long, id long, size long, v array<float>")).collect()}
+    assert all(got[i] == i % 30 for i in range(60)) and all(got[100 + i] == 102 for i in range(3))

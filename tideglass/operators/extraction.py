@@ -98,25 +98,92 @@ def split_sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", lines.cast("bigint").alias("n_lines"))
 
 
-def jaccard_evidence(lines: DataFrame, threshold: float = 0.85, most: int = 50) -> DataFrame:
-    """Within each group, evidence whose word set is like that of a longer kept one goes: grp, id. Groups above `most`
-    items keep all, as their exact dedup is done elsewhere."""
+def _word_sets(lines: DataFrame) -> DataFrame:
+    """grp, id, n (characters), words (distinct, sorted) of each row of lines."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            out = []
-            for grp, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kept = []
-                for it in sorted(items, key=lambda x: (-len(x["text"]), x["id"])):
-                    words = set(it["text"].lower().split())
-                    if len(items) > most or not any(len(words & k) > threshold * len(words | k) for k in kept):
-                        kept.append(words)
-                        out.append((grp, it["id"]))
-            yield pa.record_batch([pa.array([g for g, _ in out], pa.string()), pa.array([i for _, i in out], pa.int64())], names=["grp", "id"])
-
-    grouped = lines.groupBy(F.col("grp").cast("string").alias("grp")).agg(F.collect_list(F.struct("id", "text")).alias("items"))
-    return grouped.mapInArrow(run, "grp string, id long")
+            grp, ids, texts = (c.to_pylist() for c in batch.columns)
+            words = [sorted(set((t or "").lower().split())) for t in texts]
+            yield pa.record_batch([pa.array(grp, pa.string()), pa.array(ids, pa.int64()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["grp", "id", "n", "words"])
+
+    # A null group is one too, and joins don't meet nulls.
+    named = F.coalesce(F.concat(F.lit("+"), F.col("grp").cast("string")), F.lit("-"))
+    return lines.select(named.alias("grp"), F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "grp string, id long, n long, words array<string>")
+
+
+def _prefixes(sets: DataFrame, threshold: float, ordered: int = 20_000) -> DataFrame:
+    """grp, word, k, size: sets that are alike share one of these words, the first of either in one order of all words.
+
+    Frequent words come last; how many of them are `ordered` changes the blocks' sizes, and no pair.
+    """
+    import math
+
+    import pyarrow as pa
+
+    often = {r["word"]: r["count"] for r in sets.select(F.explode("words").alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(ordered).collect()}
+    counts = sets.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches):
+        for batch in batches:
+            at, out, sizes = [], [], []
+            for i, words in enumerate(batch.column(2).to_pylist()):
+                take = len(words) - math.ceil(threshold * len(words) - 1e-9) + 1
+                first = sorted(words, key=lambda w: (counts.value.get(w, 0), w))[:take]
+                at += [i] * len(first)
+                out += first
+                sizes += [len(words)] * len(first)
+            where = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(out, pa.string()), pa.array(sizes, pa.int64())], names=["grp", "k", "word", "size"])
+
+    key = sets.schema["k"].dataType.simpleString()
+    return sets.select("grp", "k", "words").mapInArrow(run, f"grp string, k {key}, word string, size long")
+
+
+def jaccard_evidence(lines: DataFrame, threshold: float = 0.85, rounds: int = 3) -> DataFrame:
+    """Within each group, evidence whose word set is like that of a longer kept one goes: grp, id. Longest first, then
+    by id; rows without words stay.
+
+    Equal sets count once. Candidates share a word of their prefixes and are alike in size. A set that comes first in
+    all its blocks is kept, as nothing before it is open, and takes what is like it; so large groups of near copies
+    leave in `rounds` passes with one pair a member. Pairs among those still open are then settled in order.
+    """
+    from tideglass.operators.clustering import with_checkpoints
+
+    def run() -> DataFrame:
+        rows = _word_sets(lines).withColumn("k", F.struct((-F.col("n")).alias("n"), "id", F.monotonically_increasing_id().alias("row"))).select("grp", "k", "words").checkpoint()
+        bare = rows.where(F.size("words") == 0).select("grp", "k")
+        sets = rows.where(F.size("words") > 0).groupBy("grp", "words").agg(F.min("k").alias("k")).checkpoint()
+        blocks = _prefixes(sets, threshold).checkpoint()
+
+        def alike(pairs: DataFrame) -> DataFrame:
+            near = pairs.where((F.least("x", "y") > threshold * F.greatest("x", "y") - 1e-9) & (F.col("a") < F.col("b"))).select("grp", "a", "b").distinct()
+            near = near.join(sets.select("grp", F.col("k").alias("a"), F.col("words").alias("u")), ["grp", "a"]).join(sets.select("grp", F.col("k").alias("b"), F.col("words").alias("v")), ["grp", "b"])
+            shared = F.size(F.array_intersect("u", "v"))
+            return near.where(shared > F.lit(threshold) * (F.size("u") + F.size("v") - shared)).select("grp", "a", "b")
+
+        kept = bare
+        for _ in range(rounds):
+            heads = blocks.groupBy("grp", "word").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("members"))
+            placed = blocks.join(heads, ["grp", "word"]).checkpoint()
+            sure = placed.groupBy("grp", "k").agg(F.min(F.col("k") == F.col("head")).alias("sure")).where("sure").select("grp", "k").checkpoint()
+            firsts = placed.where((F.col("k") == F.col("head")) & (F.col("members") > 1)).join(sure, ["grp", "k"], "left_semi").select("grp", "word", F.col("k").alias("a"), F.col("size").alias("x"))
+            gone = alike(firsts.join(blocks.select("grp", "word", F.col("k").alias("b"), F.col("size").alias("y")), ["grp", "word"])).select("grp", F.col("b").alias("k"))
+            blocks = blocks.join(sure.unionByName(gone).distinct(), ["grp", "k"], "left_anti").checkpoint()
+            kept = kept.unionByName(sure)
+        left = blocks.select("grp", "k").distinct()
+        edges = alike(blocks.select("grp", "word", F.col("k").alias("a"), F.col("size").alias("x")).join(blocks.select("grp", "word", F.col("k").alias("b"), F.col("size").alias("y")), ["grp", "word"])).checkpoint()
+        while left.limit(1).count():
+            sure = left.join(edges.select("grp", F.col("b").alias("k")).distinct(), ["grp", "k"], "left_anti").checkpoint()
+            gone = edges.join(sure.withColumnRenamed("k", "a"), ["grp", "a"], "left_semi").select("grp", F.col("b").alias("k"))
+            done = sure.unionByName(gone).distinct().checkpoint()
+            left = left.join(done, ["grp", "k"], "left_anti").checkpoint()
+            edges = edges.join(done.withColumnRenamed("k", "a"), ["grp", "a"], "left_anti").join(done.withColumnRenamed("k", "b"), ["grp", "b"], "left_anti").checkpoint()
+            kept = kept.unionByName(sure)
+        return kept.select(F.when(F.col("grp") != "-", F.col("grp").substr(F.lit(2), F.length("grp"))).alias("grp"), F.col("k.id").alias("id"))
+
+    return with_checkpoints(lines, run)
 
 
 def merge_names(entities: DataFrame, most: int = 500, threshold: float = 0.85) -> DataFrame:

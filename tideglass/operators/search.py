@@ -127,16 +127,14 @@ def merge_chunks(chunks: DataFrame, most: int = 2000) -> DataFrame:
 
 def semantic_dedup(items: DataFrame, threshold: float = 0.95, most: int = 50) -> DataFrame:
     """Within each group of (grp, id, size, v): an item is a duplicate if its cosine with a kept one is above the
-    threshold; the larger replaces. Groups above `most` items keep all, as their exact dedup is done elsewhere."""
+    threshold; the larger replaces. In groups above `most` items only equal vectors are duplicates, of the least id; those
+    groups are never collected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for grp, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 members.sort(key=lambda m: m["id"])
-                if len(members) > most:
-                    out += [(grp, m["id"], m["id"]) for m in members]
-                    continue
                 vs = unit(np.array([m["v"] for m in members], float))
                 kept: list[int] = []
                 owner: dict[int, int] = {}
@@ -154,8 +152,14 @@ def semantic_dedup(items: DataFrame, threshold: float = 0.95, most: int = 50) ->
             cols = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["grp", "id", "keep_id"])
 
-    grouped = items.groupBy(F.col("grp").cast("long").alias("grp")).agg(F.collect_list(F.struct("id", "size", "v")).alias("members"))
-    return grouped.mapInArrow(run, "grp long, id long, keep_id long")
+    items = items.select(F.col("grp").cast("long").alias("grp"), "id", "size", "v")
+    sizes = items.groupBy("grp").agg((F.count(F.lit(1)) > most).alias("large")).withColumnRenamed("grp", "g")
+    placed = items.join(sizes, F.col("grp").eqNullSafe(F.col("g")))
+    small = placed.where(~F.col("large")).groupBy("grp").agg(F.collect_list(F.struct("id", "size", "v")).alias("members"))
+    large = placed.where("large").select("grp", "id", "v")
+    first = large.groupBy(F.col("grp").alias("g"), F.col("v").alias("w")).agg(F.min("id").alias("keep_id"))
+    equal = large.join(first, F.col("grp").eqNullSafe(F.col("g")) & F.col("v").eqNullSafe(F.col("w")))
+    return small.mapInArrow(run, "grp long, id long, keep_id long").unionByName(equal.select("grp", F.col("id").cast("long").alias("id"), F.col("keep_id").cast("long").alias("keep_id")))
 
 
 def _cosine(e: DataFrame) -> DataFrame:
