@@ -48,3 +48,23 @@ def test_large_groups_of_vectors_lose_equal_ones(spark):
     rows = [(1, i, 1, [float(i % 30), 1.0]) for i in range(60)] + [(2, 100 + i, i, [1.0, 0.0]) for i in range(3)]
     got = {r["id"]: r["keep_id"] for r in search.semantic_dedup(spark.createDataFrame(rows, "grp long, id long, size long, v array<float>")).collect()}
     assert all(got[i] == i % 30 for i in range(60)) and all(got[100 + i] == 102 for i in range(3))
+
+
+def test_near_names_need_not_agree_in_anything_else(spark):
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(0, 5))) for _ in range(60)})
+    part = spark.createDataFrame([(i, n, f"Brand#{i}") for i, n in enumerate(names + ["abc", "abc"])] + [(99, None, "x")], "p_partkey long, p_name string, p_brand string")
+    got = extraction.near_names(part).collect()
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    every = sorted({*names, "abc"})
+    want = {(a, b, edits(a, b)) for a in every for b in every if a < b and edits(a, b) <= 2}
+    assert {(r["name"], r["near_name"], r["edits"]) for r in got if r["p_partkey"] is None} == want
+    assert sorted(r["p_partkey"] for r in got if r["near_name"] is None) == list(range(len(names) + 2))

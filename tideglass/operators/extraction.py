@@ -29,7 +29,6 @@ OPS = {
     "m16_accumulator": Op("Highest confidence seen so far for each technique as chunks arrive.", f"WITH {_CLAIMS} SELECT doc, technique, chunk, CAST(max(confidence) AS BIGINT) AS best_so_far FROM (SELECT doc, technique, chunk, max(confidence) OVER (PARTITION BY doc, technique ORDER BY chunk RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS confidence FROM claims) AS r GROUP BY doc, technique, chunk"),
     "m18_entity_groups": Op("Entities by name and type, boosted by mentions and chunks.", f"WITH {_ENTITIES} SELECT name, type, CAST(least(100, max(confidence) + least(20, 5 * count(*))) AS BIGINT) AS confidence, CAST(count(DISTINCT chunk) AS BIGINT) AS chunks FROM ents GROUP BY name, type"),
     "m19_ignore_list": Op("Names that no ignore rule takes: empty, listed, file extensions.", "SELECT p_partkey, p_name FROM {part} WHERE trim(p_name) <> '' AND lower(p_name) NOT IN ('part_1', 'part_2') AND NOT p_name LIKE '%.exe' AND NOT p_name LIKE '%99'"),
-    "m20_entity_resolution": Op("Names within two edits of each other.", "SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(levenshtein(a.p_name, b.p_name) AS BIGINT) AS edits FROM {part} AS a JOIN {part} AS b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 2"),
     "m22_bundle_checks": Op("Objects that break a rule of their kind.", "SELECT 'flow without steps' AS rule, CAST(count(*) AS BIGINT) AS n FROM {orders} LEFT JOIN (SELECT DISTINCT l_orderkey FROM {lineitem}) AS l ON o_orderkey = l_orderkey WHERE l_orderkey IS NULL UNION ALL SELECT 'negative confidence', CAST(count(*) AS BIGINT) FROM {lineitem} WHERE l_quantity < 0 UNION ALL SELECT 'no name', CAST(count(*) AS BIGINT) FROM {part} WHERE p_name IS NULL OR p_name = ''"),
     "p02_span_chunks": Op("Every chunk that a span overlaps: a range join within the document.", f"WITH {_CHUNKS}, {_SPANS} SELECT s.doc_id, s.span_no, c.chunk_no FROM spans AS s JOIN chunks AS c ON s.doc_id = c.doc_id AND s.s_start < c.c_end AND s.s_end > c.c_start"),
     "p03_redistribution": Op("Spans in contiguous blocks over chunks.", f"WITH {_SPANS} SELECT doc_id, span_no, CAST(floor((rn - 1) / ceil(n / 3.0)) AS BIGINT) AS chunk FROM (SELECT doc_id, span_no, row_number() OVER (PARTITION BY doc_id ORDER BY span_no) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM spans) AS r"),
@@ -59,6 +58,26 @@ def line_refs(docs: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id").agg((F.min("line") + 1).cast("bigint").alias("first_line"), (F.max("line") + 1).cast("bigint").alias("last_line"))
 
 
+def near_names(parts: DataFrame) -> DataFrame:
+    """Pairs of distinct names within two edits (name, near_name, edits; the lesser first), and the rows that bear each
+    name (name, p_partkey): copies of a name meet nobody.
+
+    Names within two edits share what is left of either after at most two deletions, so no pair is missed.
+    """
+
+    def shorter(names: DataFrame) -> DataFrame:
+        n = F.length("left")
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.col("left").substr(F.lit(1), i - 1), F.col("left").substr(i + 1, n)))
+        return names.select("name", F.explode(F.concat(F.array("left"), cut)).alias("left")).distinct()
+
+    one = parts.where("p_name IS NOT NULL").select(F.col("p_name").alias("name")).distinct()
+    left = shorter(shorter(one.withColumn("left", F.col("name"))))
+    met = left.join(left.select(F.col("name").alias("near_name"), "left"), "left").where("name < near_name").select("name", "near_name").distinct()
+    pairs = met.withColumn("edits", F.levenshtein("name", "near_name").cast("bigint")).where("edits <= 2")
+    members = parts.where("p_name IS NOT NULL").select(F.col("p_name").alias("name"), F.lit(None).cast("string").alias("near_name"), F.lit(None).cast("bigint").alias("edits"), "p_partkey")
+    return pairs.withColumn("p_partkey", F.lit(None).cast("bigint")).unionByName(members)
+
+
 def resolve_aliases(aliases: DataFrame, rounds: int = 6) -> DataFrame:
     """Roots of alias chains (alias, target) by pointer jumping; a cycle ends at its least name: alias, root."""
     links = aliases.select("alias", F.col("target").alias("root"))
@@ -230,6 +249,7 @@ def _parts(part: DataFrame) -> DataFrame:
 
 _EMA = "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events WHERE value > 0), l AS (SELECT event_type, list(value ORDER BY rn) AS v FROM o GROUP BY event_type) SELECT event_type, len(v)::BIGINT AS n, round(list_reduce(v, lambda a, x: 0.9::DOUBLE * a + (1 - 0.9::DOUBLE) * x), 6) AS ema FROM l"
 _LINES = "WITH l AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), p AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS stop FROM l) SELECT doc_id, min(line)::BIGINT AS first_line, max(line)::BIGINT AS last_line FROM p WHERE stop - length(t) - 1 < floor(n * 3 / 4) AND stop > floor(n / 4) GROUP BY doc_id"
+_NEAR = "WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL) SELECT a.name, b.name AS near_name, CAST(levenshtein(a.name, b.name) AS BIGINT) AS edits, CAST(NULL AS BIGINT) AS p_partkey FROM n AS a JOIN n AS b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= 2 UNION ALL SELECT p_name, NULL, NULL, p_partkey FROM part WHERE p_name IS NOT NULL"
 _ALIAS = "WITH RECURSIVE w AS (SELECT p_partkey AS alias, p_partkey // 3 AS root FROM part WHERE p_partkey // 3 > 0 UNION ALL SELECT alias, root // 3 FROM w WHERE root // 3 > 0) SELECT alias, min(root) AS root FROM w GROUP BY alias"
 FUNCTIONS = {
     "p12_line_refs": (line_refs, ["documents"], _LINES),
@@ -237,5 +257,6 @@ FUNCTIONS = {
     "m02_sentences": (split_sentences, ["documents"], None),
     "m12_jaccard_evidence": (lambda d: jaccard_evidence(d.select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "text")), ["documents"], None),
     "g15_merged_names": (_parts, ["part"], None),
+    "m20_entity_resolution": (near_names, ["part"], _NEAR),
     "p08_alias_roots": (_aliases, ["part"], _ALIAS),
 }
