@@ -68,3 +68,12 @@ def test_near_names_need_not_agree_in_anything_else(spark):
     want = {(a, b, edits(a, b)) for a in every for b in every if a < b and edits(a, b) <= 2}
     assert {(r["name"], r["near_name"], r["edits"]) for r in got if r["p_partkey"] is None} == want
     assert sorted(r["p_partkey"] for r in got if r["near_name"] is None) == list(range(len(names) + 2))
+
+
+def _documents(spark, lengths):
+    return spark.createDataFrame([(i, "x" * n, n) for i, n in enumerate(lengths)], "doc_id long, text string, n_chars long")
+
+
+def test_windows_reach_the_end(spark):
+    got = extraction.OPS["p04_windows"](documents=_documents(spark, [0, 99, 100, 6150])).collect()
+    assert sorted((r["doc_id"], r["start"], r["n"]) for r in got) == [(2, 0, 100)] + [(3, i, min(500, 6150 - i)) for i in range(0, 6150, 400) if 6150 - i >= 100]

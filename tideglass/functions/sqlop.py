@@ -51,4 +51,5 @@ class Op:
         return spark.sql(self.sql(**given), **frames)
 
     def oracle(self) -> str:
-        return _TABLE.sub(r"\1", self.sql())
+        # The one function that the dialects name differently; both sequences include their end.
+        return _TABLE.sub(r"\1", self.sql()).replace("explode(sequence(", "unnest(generate_series(")

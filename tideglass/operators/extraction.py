@@ -32,7 +32,7 @@ OPS = {
     "m22_bundle_checks": Op("Objects that break a rule of their kind.", "SELECT 'flow without steps' AS rule, CAST(count(*) AS BIGINT) AS n FROM {orders} LEFT JOIN (SELECT DISTINCT l_orderkey FROM {lineitem}) AS l ON o_orderkey = l_orderkey WHERE l_orderkey IS NULL UNION ALL SELECT 'negative confidence', CAST(count(*) AS BIGINT) FROM {lineitem} WHERE l_quantity < 0 UNION ALL SELECT 'no name', CAST(count(*) AS BIGINT) FROM {part} WHERE p_name IS NULL OR p_name = ''"),
     "p02_span_chunks": Op("Every chunk that a span overlaps: a range join within the document.", f"WITH {_CHUNKS}, {_SPANS} SELECT s.doc_id, s.span_no, c.chunk_no FROM spans AS s JOIN chunks AS c ON s.doc_id = c.doc_id AND s.s_start < c.c_end AND s.s_end > c.c_start"),
     "p03_redistribution": Op("Spans in contiguous blocks over chunks.", f"WITH {_SPANS} SELECT doc_id, span_no, CAST(floor((rn - 1) / ceil(n / 3.0)) AS BIGINT) AS chunk FROM (SELECT doc_id, span_no, row_number() OVER (PARTITION BY doc_id ORDER BY span_no) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM spans) AS r"),
-    "p04_windows": Op("Sliding character windows that hold enough text.", "SELECT doc_id, w.i * 400 AS start, CAST(length(trim(substr(text, w.i * 400 + 1, 500))) AS BIGINT) AS n FROM {documents} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS w(i) WHERE w.i * 400 < n_chars AND length(trim(substr(text, w.i * 400 + 1, 500))) >= 100"),
+    "p04_windows": Op("Sliding character windows over the whole text that hold enough text.", "SELECT doc_id, start, CAST(length(trim(substr(text, CAST(start + 1 AS INT), 500))) AS BIGINT) AS n FROM (SELECT doc_id, text, explode(sequence(CAST(0 AS BIGINT), n_chars - 1, CAST(400 AS BIGINT))) AS start FROM {documents} WHERE n_chars > 0) AS w WHERE length(trim(substr(text, CAST(start + 1 AS INT), 500))) >= 100"),
     "p05_chunk_merge": Op("First claim of each technique wins; later ones within ten points add evidence, at most five.", f"WITH {_CLAIMS}, f AS (SELECT doc, technique, confidence, first_value(confidence) OVER (PARTITION BY doc, technique ORDER BY chunk, span, confidence) AS base FROM claims) SELECT doc, technique, CAST(max(confidence) AS BIGINT) AS confidence, CAST(least(5, sum(CASE WHEN confidence >= base - 10 THEN 1 ELSE 0 END)) AS BIGINT) AS quotes FROM f GROUP BY doc, technique"),
     "p06_entity_evidence": Op("Entity confidence from mentions and chunks, each boost capped.", f"WITH {_ENTITIES} SELECT name, type, CAST(least(100, least(100, max(confidence) + least(20, 5 * count(*))) + least(10, 3 * count(DISTINCT chunk))) AS BIGINT) AS confidence, CAST(count(DISTINCT substr(quote, 1, 100)) AS BIGINT) AS quotes FROM ents GROUP BY name, type"),
     "p07_entity_dedup": Op("Entities by type and trimmed name with the union of their quotes.", f"WITH {_ENTITIES} SELECT concat(type, ':', name) AS k, CAST(max(confidence) AS BIGINT) AS confidence, CAST(count(DISTINCT quote) AS BIGINT) AS mentions FROM ents GROUP BY concat(type, ':', name)"),
