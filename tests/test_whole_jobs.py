@@ -77,3 +77,16 @@ def _documents(spark, lengths):
 def test_windows_reach_the_end(spark):
     got = extraction.OPS["p04_windows"](documents=_documents(spark, [0, 99, 100, 6150])).collect()
     assert sorted((r["doc_id"], r["start"], r["n"]) for r in got) == [(2, 0, 100)] + [(3, i, min(500, 6150 - i)) for i in range(0, 6150, 400) if 6150 - i >= 100]
+
+
+def test_spans_and_chunks_reach_the_end(spark):
+    lengths = [0, 89, 90, 601, 7000]
+    docs = _documents(spark, lengths)
+    spans = [(d, i, i * 137, i * 137 + 90) for d, n in enumerate(lengths) for i in range(n) if i * 137 + 90 <= n]
+    chunks = [(d, i, i * 500, min(i * 500 + 600, n)) for d, n in enumerate(lengths) for i in range(n) if i * 500 < n]
+    got = sorted(tuple(r) for r in extraction.OPS["p02_span_chunks"](documents=docs).select("doc_id", "span_no", "chunk_no").collect())
+    assert got == sorted((d, i, j) for d, i, a, b in spans for e, j, x, y in chunks if d == e and a < y and b > x)
+    dealt = {(r["doc_id"], r["span_no"]): r["chunk"] for r in extraction.OPS["p03_redistribution"](documents=docs).collect()}
+    assert dealt.keys() == {(d, i) for d, i, _, _ in spans} and dealt[4, 50] == 2
+    merged = extraction.OPS["p11_merged_evidence"](documents=docs).where("doc_id = 4").collect()
+    assert sum(r["n"] for r in merged) == 51 + 14 and max(r["b"] for r in merged) == 50 * 137 + 90

@@ -9,8 +9,8 @@ from tideglass.functions.sqlop import Op
 
 # A line is scored by its cues; claims are mentions of cue words with a confidence from the line.
 _CLAIMS = "claims AS (SELECT l_orderkey AS chunk, p_brand AS technique, CAST(l_quantity * 2 AS BIGINT) AS confidence, l_linenumber AS span, l_orderkey % 500 AS doc FROM {lineitem} JOIN {part} ON l_partkey = p_partkey)"
-_CHUNKS = "chunks AS (SELECT doc_id, k.i AS chunk_no, k.i * 500 AS c_start, least((k.i + 1) * 500 + 100, n_chars) AS c_end FROM {documents} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS k(i) WHERE k.i * 500 < n_chars)"
-_SPANS = "spans AS (SELECT doc_id, s.i AS span_no, s.i * 137 AS s_start, s.i * 137 + 90 AS s_end FROM {documents} CROSS JOIN (VALUES (0), (1), (2), (3), (5), (8), (13)) AS s(i) WHERE s.i * 137 + 90 <= n_chars)"
+_CHUNKS = "chunks AS (SELECT doc_id, CAST(floor(c_start / 500) AS BIGINT) AS chunk_no, c_start, least(c_start + 600, n_chars) AS c_end FROM (SELECT doc_id, n_chars, explode(sequence(CAST(0 AS BIGINT), n_chars - 1, CAST(500 AS BIGINT))) AS c_start FROM {documents} WHERE n_chars > 0) AS k)"
+_SPANS = "spans AS (SELECT doc_id, CAST(floor(s_start / 137) AS BIGINT) AS span_no, s_start, s_start + 90 AS s_end FROM (SELECT doc_id, explode(sequence(CAST(0 AS BIGINT), n_chars - 90, CAST(137 AS BIGINT))) AS s_start FROM {documents} WHERE n_chars >= 90) AS s)"
 _ENTITIES = "ents AS (SELECT lower(trim(e.event_type)) AS name, CASE WHEN e.user_id % 2 = 0 THEN 'tool' ELSE 'actor' END AS type, CAST(floor(e.value) AS BIGINT) AS confidence, e.user_id AS chunk, e.props AS quote FROM {events} AS e)"
 
 OPS = {
@@ -30,7 +30,7 @@ OPS = {
     "m18_entity_groups": Op("Entities by name and type, boosted by mentions and chunks.", f"WITH {_ENTITIES} SELECT name, type, CAST(least(100, max(confidence) + least(20, 5 * count(*))) AS BIGINT) AS confidence, CAST(count(DISTINCT chunk) AS BIGINT) AS chunks FROM ents GROUP BY name, type"),
     "m19_ignore_list": Op("Names that no ignore rule takes: empty, listed, file extensions.", "SELECT p_partkey, p_name FROM {part} WHERE trim(p_name) <> '' AND lower(p_name) NOT IN ('part_1', 'part_2') AND NOT p_name LIKE '%.exe' AND NOT p_name LIKE '%99'"),
     "m22_bundle_checks": Op("Objects that break a rule of their kind.", "SELECT 'flow without steps' AS rule, CAST(count(*) AS BIGINT) AS n FROM {orders} LEFT JOIN (SELECT DISTINCT l_orderkey FROM {lineitem}) AS l ON o_orderkey = l_orderkey WHERE l_orderkey IS NULL UNION ALL SELECT 'negative confidence', CAST(count(*) AS BIGINT) FROM {lineitem} WHERE l_quantity < 0 UNION ALL SELECT 'no name', CAST(count(*) AS BIGINT) FROM {part} WHERE p_name IS NULL OR p_name = ''"),
-    "p02_span_chunks": Op("Every chunk that a span overlaps: a range join within the document.", f"WITH {_CHUNKS}, {_SPANS} SELECT s.doc_id, s.span_no, c.chunk_no FROM spans AS s JOIN chunks AS c ON s.doc_id = c.doc_id AND s.s_start < c.c_end AND s.s_end > c.c_start"),
+    "p02_span_chunks": Op("Every chunk that a span overlaps: a range join within the document, of a span and the chunks at, before and after its start.", f"WITH {_CHUNKS}, {_SPANS}, near AS (SELECT s.*, CAST(floor(s_start / 500) AS BIGINT) + d.i AS chunk_no FROM spans AS s CROSS JOIN (VALUES (-1), (0), (1)) AS d(i)) SELECT s.doc_id, s.span_no, c.chunk_no FROM near AS s JOIN chunks AS c ON s.doc_id = c.doc_id AND s.chunk_no = c.chunk_no AND s.s_start < c.c_end AND s.s_end > c.c_start"),
     "p03_redistribution": Op("Spans in contiguous blocks over chunks.", f"WITH {_SPANS} SELECT doc_id, span_no, CAST(floor((rn - 1) / ceil(n / 3.0)) AS BIGINT) AS chunk FROM (SELECT doc_id, span_no, row_number() OVER (PARTITION BY doc_id ORDER BY span_no) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM spans) AS r"),
     "p04_windows": Op("Sliding character windows over the whole text that hold enough text.", "SELECT doc_id, start, CAST(length(trim(substr(text, CAST(start + 1 AS INT), 500))) AS BIGINT) AS n FROM (SELECT doc_id, text, explode(sequence(CAST(0 AS BIGINT), n_chars - 1, CAST(400 AS BIGINT))) AS start FROM {documents} WHERE n_chars > 0) AS w WHERE length(trim(substr(text, CAST(start + 1 AS INT), 500))) >= 100"),
     "p05_chunk_merge": Op("First claim of each technique wins; later ones within ten points add evidence, at most five.", f"WITH {_CLAIMS}, f AS (SELECT doc, technique, confidence, first_value(confidence) OVER (PARTITION BY doc, technique ORDER BY chunk, span, confidence) AS base FROM claims) SELECT doc, technique, CAST(max(confidence) AS BIGINT) AS confidence, CAST(least(5, sum(CASE WHEN confidence >= base - 10 THEN 1 ELSE 0 END)) AS BIGINT) AS quotes FROM f GROUP BY doc, technique"),
