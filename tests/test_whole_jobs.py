@@ -3,7 +3,7 @@
 import math
 import random
 
-from tideglass.operators import cooccurrence, extraction, search
+from tideglass.operators import cooccurrence, extraction, graph, search
 
 
 def test_profiles_read_every_episode(spark):
@@ -90,3 +90,10 @@ def test_spans_and_chunks_reach_the_end(spark):
     assert dealt.keys() == {(d, i) for d, i, _, _ in spans} and dealt[4, 50] == 2
     merged = extraction.OPS["p11_merged_evidence"](documents=docs).where("doc_id = 4").collect()
     assert sum(r["n"] for r in merged) == 51 + 14 and max(r["b"] for r in merged) == 50 * 137 + 90
+
+
+def test_lineage_and_paths_read_all_edges(spark):
+    et = spark.createDataFrame([(1, "A"), (900, "A"), (900, "B"), (901, "B"), (902, "C")], "episode long, technique string")
+    assert {r["node"]: r["hops"] for r in graph._lineage(et).collect()} == {"e1": 0, "A": 1, "e900": 2, "B": 3}
+    rare = spark.createDataFrame([("click", "view", 1), ("buy", "view", 500)], "src string, dst string, n long")
+    assert {r["node"]: r["hops"] for r in graph._paths(rare).collect()} == {"click": 0, "view": 1, "buy": 2}

@@ -34,11 +34,11 @@ def checked(types: list[str] | None) -> list[str]:
 
 def shortest(edges: DataFrame, source: object, max_length: int = 5) -> DataFrame:
     """Undirected distances from a node of edges (src, dst): node, hops. Rounds of joins; each node is reached once."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     spark = edges.sparkSession
-    kind = both.schema["src"].dataType.simpleString()
+    kind = edges.schema["src"].dataType.simpleString()
 
     def run() -> DataFrame:
+        both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
         seen = front = spark.createDataFrame([(source, 0)], f"node {kind}, hops long")
         for hop in range(1, max_length + 1):
             front = front.join(both, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(hop).cast("long").alias("hops")).checkpoint()
@@ -51,17 +51,16 @@ def shortest(edges: DataFrame, source: object, max_length: int = 5) -> DataFrame
 
 
 def _paths(transitions: DataFrame) -> DataFrame:
-    edges = transitions.where("n >= 100").select("src", "dst")
-    return shortest(edges, "click")
+    return shortest(transitions.select("src", "dst"), "click")
 
 
 def _lineage(et: DataFrame) -> DataFrame:
     """Upstream and downstream objects of an episode within three steps: episodes and techniques as one graph."""
-    edges = et.where("episode <= 400").select(F.concat(F.lit("e"), "episode").alias("src"), F.col("technique").alias("dst"))
+    edges = et.select(F.concat(F.lit("e"), "episode").alias("src"), F.col("technique").alias("dst"))
     return shortest(edges, "e1", 3)
 
 
 FUNCTIONS = {
-    "i04_shortest_path": (_paths, ["transitions"], "WITH RECURSIVE b AS (SELECT src, dst FROM transitions WHERE n >= 100 UNION SELECT dst, src FROM transitions WHERE n >= 100), w AS (SELECT 'click' AS node, CAST(0 AS BIGINT) AS hops UNION SELECT dst, hops + 1 FROM w JOIN b ON node = src WHERE hops < 5) SELECT node, min(hops) AS hops FROM w GROUP BY node"),
-    "l16_lineage": (_lineage, ["et"], "WITH RECURSIVE a AS (SELECT 'e' || episode AS src, technique AS dst FROM et WHERE episode <= 400), b AS (SELECT src, dst FROM a UNION SELECT dst, src FROM a), w AS (SELECT 'e1' AS node, CAST(0 AS BIGINT) AS hops UNION SELECT dst, hops + 1 FROM w JOIN b ON node = src WHERE hops < 3) SELECT node, min(hops) AS hops FROM w GROUP BY node"),
+    "i04_shortest_path": (_paths, ["transitions"], "WITH RECURSIVE b AS (SELECT src, dst FROM transitions UNION SELECT dst, src FROM transitions), w AS (SELECT 'click' AS node, CAST(0 AS BIGINT) AS hops UNION SELECT dst, hops + 1 FROM w JOIN b ON node = src WHERE hops < 5) SELECT node, min(hops) AS hops FROM w GROUP BY node"),
+    "l16_lineage": (_lineage, ["et"], "WITH RECURSIVE a AS (SELECT 'e' || episode AS src, technique AS dst FROM et), b AS (SELECT src, dst FROM a UNION SELECT dst, src FROM a), w AS (SELECT 'e1' AS node, CAST(0 AS BIGINT) AS hops UNION SELECT dst, hops + 1 FROM w JOIN b ON node = src WHERE hops < 3) SELECT node, min(hops) AS hops FROM w GROUP BY node"),
 }
