@@ -97,3 +97,10 @@ def test_lineage_and_paths_read_all_edges(spark):
     assert {r["node"]: r["hops"] for r in graph._lineage(et).collect()} == {"e1": 0, "A": 1, "e900": 2, "B": 3}
     rare = spark.createDataFrame([("click", "view", 1), ("buy", "view", 500)], "src string, dst string, n long")
     assert {r["node"]: r["hops"] for r in graph._paths(rare).collect()} == {"click": 0, "view": 1, "buy": 2}
+
+
+def test_paths_grow_until_none_goes_on(spark):
+    edges = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.7), ("c", "d", 0.9), ("c", "a", 0.1), ("x", "y", 1.0), ("z", "z", 1.0)], "src string, dst string, p double")
+    got = {tuple(r["path"]): (r["steps"], r["confidence"]) for r in extraction.maximal_paths(edges).collect()}
+    assert got == {tuple("abcd"): (3, 0.7), tuple("bcd"): (2, 0.8), tuple("bca"): (2, 0.4), tuple("cd"): (1, 0.9), tuple("cab"): (2, 0.3), tuple("xy"): (1, 1.0)}
+    assert ["".join(r["path"]) for r in extraction.path_report(edges, top=2).collect()] == ["xy", "cd"]

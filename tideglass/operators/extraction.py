@@ -43,7 +43,6 @@ OPS = {
     ),
     "l41_pair_suggestions": Op("Techniques that usually follow found ones and are missing.", "SELECT DISTINCT e.episode, r.wanted FROM {et} AS e JOIN (VALUES ('Brand#11', 'Brand#12'), ('Brand#22', 'Brand#23'), ('Brand#33', 'Brand#34')) AS r(found, wanted) ON e.technique = r.found LEFT JOIN {et} AS h ON h.episode = e.episode AND h.technique = r.wanted WHERE h.technique IS NULL"),
     "l38_evidence_pack": Op("Pair statistics of neighbours with a hash of what they rest on.", "SELECT src, dst, n, md5(concat(src, '>', dst, ':', CAST(n AS VARCHAR(20)))) AS evidence_hash FROM {transitions}"),
-    "l36_maximal_paths": Op("Two-step sequences that no third step continues better.", "SELECT x.src AS s1, x.dst AS s2, y.dst AS s3, round((x.p + y.p) / 2, 6) AS confidence FROM {ptg_edges} AS x JOIN {ptg_edges} AS y ON x.dst = y.src AND y.dst <> x.src ORDER BY round((x.p + y.p) / 2, 6) DESC, s1, s2, s3 LIMIT 40"),
 }
 
 
@@ -58,6 +57,33 @@ def line_refs(docs: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id").agg((F.min("line") + 1).cast("bigint").alias("first_line"), (F.max("line") + 1).cast("bigint").alias("last_line"))
 
 
+def maximal_paths(edges: DataFrame) -> DataFrame:
+    """All paths of two or more states of edges (src, dst, p), from any state and without repeats, that no further
+    state continues: path, steps, confidence (the mean p)."""
+    from tideglass.operators.clustering import with_checkpoints
+
+    def run() -> DataFrame:
+        onward = edges.select("src", "dst", "p").checkpoint()
+        grown = onward.select(F.array("src").alias("path"), F.lit(0.0).alias("total")).distinct()
+        ended = None
+        while True:
+            # A path that meets no onward edge has ended; the others go on with each.
+            last = (F.element_at("path", -1) == F.col("src")) & ~F.array_contains("path", F.col("dst"))
+            met = grown.join(onward, last, "left").checkpoint()
+            done = met.where("dst IS NULL AND size(path) >= 2").select("path", (F.size("path") - 1).cast("bigint").alias("steps"), F.round(F.col("total") / (F.size("path") - 1), 6).alias("confidence"))
+            ended = done if ended is None else ended.unionByName(done)
+            grown = met.where("dst IS NOT NULL").select(F.concat("path", F.array("dst")).alias("path"), (F.col("total") + F.col("p")).alias("total"))
+            if not grown.limit(1).count():
+                return ended
+
+    return with_checkpoints(edges, run)
+
+
+def path_report(edges: DataFrame, top: int = 40) -> DataFrame:
+    """The `top` maximal paths of highest confidence, longer ones first among equals."""
+    return maximal_paths(edges).orderBy(F.desc("confidence"), F.desc("steps"), "path").limit(top)
+
+
 def near_names(parts: DataFrame) -> DataFrame:
     """Pairs of distinct names within two edits (name, near_name, edits; the lesser first), and the rows that bear each
     name (name, p_partkey): copies of a name meet nobody.
@@ -250,6 +276,7 @@ def _parts(part: DataFrame) -> DataFrame:
 _EMA = "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events WHERE value > 0), l AS (SELECT event_type, list(value ORDER BY rn) AS v FROM o GROUP BY event_type) SELECT event_type, len(v)::BIGINT AS n, round(list_reduce(v, lambda a, x: 0.9::DOUBLE * a + (1 - 0.9::DOUBLE) * x), 6) AS ema FROM l"
 _LINES = "WITH l AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), p AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS stop FROM l) SELECT doc_id, min(line)::BIGINT AS first_line, max(line)::BIGINT AS last_line FROM p WHERE stop - length(t) - 1 < floor(n * 3 / 4) AND stop > floor(n / 4) GROUP BY doc_id"
 _NEAR = "WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL) SELECT a.name, b.name AS near_name, CAST(levenshtein(a.name, b.name) AS BIGINT) AS edits, CAST(NULL AS BIGINT) AS p_partkey FROM n AS a JOIN n AS b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= 2 UNION ALL SELECT p_name, NULL, NULL, p_partkey FROM part WHERE p_name IS NOT NULL"
+_PATHS = "WITH RECURSIVE w AS (SELECT DISTINCT [src] AS path, CAST(0 AS DOUBLE) AS total FROM ptg_edges UNION ALL SELECT list_append(path, dst), total + p FROM w JOIN ptg_edges ON src = path[len(path)] AND NOT list_contains(path, dst)) SELECT path, CAST(len(path) - 1 AS BIGINT) AS steps, round(total / (len(path) - 1), 6) AS confidence FROM w WHERE len(path) >= 2 AND NOT EXISTS (SELECT 1 FROM ptg_edges AS e WHERE e.src = path[len(path)] AND NOT list_contains(path, e.dst))"
 _ALIAS = "WITH RECURSIVE w AS (SELECT p_partkey AS alias, p_partkey // 3 AS root FROM part WHERE p_partkey // 3 > 0 UNION ALL SELECT alias, root // 3 FROM w WHERE root // 3 > 0) SELECT alias, min(root) AS root FROM w GROUP BY alias"
 FUNCTIONS = {
     "p12_line_refs": (line_refs, ["documents"], _LINES),
@@ -257,6 +284,7 @@ FUNCTIONS = {
     "m02_sentences": (split_sentences, ["documents"], None),
     "m12_jaccard_evidence": (lambda d: jaccard_evidence(d.select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "text")), ["documents"], None),
     "g15_merged_names": (_parts, ["part"], None),
+    "l36_maximal_paths": (maximal_paths, ["ptg_edges"], _PATHS),
     "m20_entity_resolution": (near_names, ["part"], _NEAR),
     "p08_alias_roots": (_aliases, ["part"], _ALIAS),
 }
