@@ -170,3 +170,10 @@ def test_frequent_digests_are_found(spark):
     digests = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("d"))
     found = {r[0] for r in exact_dedup.frequent_digests(digests, "d", tracked=64, frequent=16).collect()}
     assert "hot" in found and len(found) <= 16
+
+
+def test_rows_with_repeated_and_null_ids_are_told_apart(spark):
+    near = " ".join(f"a{i}" for i in range(80))
+    rows = [(1, near), (2, near + " end"), (2, " ".join(f"b{i}" for i in range(80))), (None, " ".join(f"c{i}" for i in range(80))), (None, " ".join(f"c{i}" for i in range(80)) + " end"), (None, near + " more")]
+    kept = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0, r["text"][:2]) for r in kept)) == [(0, "c0"), (1, "a0"), (2, "b0")]

@@ -427,10 +427,16 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that another row of their group stands for: the one with the least key stays.
+    """docs without the rows that another row of their group stands for: the one with the least (key, row) stays, null
+    keys last.
 
-    Only ids of rows to go meet the documents. Rows with equal keys stay or go together.
+    Rows are numbered and written once, so equal and null keys are told apart and a tie has one winner even after a
+    task is retried. Only numbers of rows to go meet the documents.
     """
-    gone = cluster(docs, key, text).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_tg_gone")).distinct()
-    gone = materialize(gone, "gone")
-    return docs.join(gone, docs[key] == F.col("_tg_gone"), "left_anti")
+    numbered = materialize(docs.withColumn("_tg_row", F.monotonically_increasing_id()), "numbered")
+    groups = cluster(numbered, "_tg_row", text).select("_tg_row", "component_id")
+    placed = materialize(groups.join(numbered.select("_tg_row", numbered[key].alias("_tg_key")), "_tg_row"), "placed")
+    least = F.min(F.struct(F.col("_tg_key").isNull().alias("none"), "_tg_key", "_tg_row")).alias("best")
+    stay = placed.groupBy("component_id").agg(least).select(F.col("best._tg_row").alias("_tg_row"))
+    gone = materialize(placed.select("_tg_row").join(stay, "_tg_row", "left_anti"), "gone")
+    return numbered.join(gone, "_tg_row", "left_anti").select(*[numbered[c] for c in docs.columns])
