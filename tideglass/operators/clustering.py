@@ -196,6 +196,16 @@ def with_checkpoints(df: DataFrame, make):
     return make()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written once, compressed, beside the checkpoints; within with_checkpoints only."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _minimal_sets(detects: DataFrame, techniques: DataFrame) -> DataFrame:
     edges = detects.join(techniques.select("technique", "family"), "technique").select("family", F.col("strategy").alias("item"), "technique")
     return greedy_cover(edges, "family")

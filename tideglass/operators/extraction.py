@@ -194,37 +194,44 @@ def jaccard_evidence(lines: DataFrame, threshold: float = 0.85, rounds: int = 3)
     all its blocks is kept, as nothing before it is open, and takes what is like it; so large groups of near copies
     leave in `rounds` passes with one pair a member. Pairs among those still open are then settled in order.
     """
-    from tideglass.operators.clustering import with_checkpoints
+    from tideglass.operators.clustering import with_checkpoints, written
 
     def run() -> DataFrame:
-        rows = _word_sets(lines).withColumn("k", F.struct((-F.col("n")).alias("n"), "id", F.monotonically_increasing_id().alias("row"))).select("grp", "k", "words").checkpoint()
+        order = F.struct((-F.col("n")).alias("n"), "id", F.monotonically_increasing_id().alias("row"))
+        # Words hold no space, so joined words are equal where the sets are.
+        rows = written(_word_sets(lines).select("grp", order.alias("k"), "words", F.sha2(F.array_join("words", " "), 256).alias("digest")))
         bare = rows.where(F.size("words") == 0).select("grp", "k")
-        sets = rows.where(F.size("words") > 0).groupBy("grp", "words").agg(F.min("k").alias("k")).checkpoint()
-        blocks = _prefixes(sets, threshold).checkpoint()
+        filled = rows.where(F.size("words") > 0)
+        copies = written(filled.select("grp", "k").join(filled.groupBy("grp", "digest").agg(F.min("k").alias("k")), ["grp", "k"], "left_anti"))
+        sets = filled.join(copies, ["grp", "k"], "left_anti").select("grp", "k", "words")
+        blocks = written(_prefixes(sets, threshold))
 
         def alike(pairs: DataFrame) -> DataFrame:
-            near = pairs.where((F.least("x", "y") > threshold * F.greatest("x", "y") - 1e-9) & (F.col("a") < F.col("b"))).select("grp", "a", "b").distinct()
-            near = near.join(sets.select("grp", F.col("k").alias("a"), F.col("words").alias("u")), ["grp", "a"]).join(sets.select("grp", F.col("k").alias("b"), F.col("words").alias("v")), ["grp", "b"])
+            near = pairs.where((F.least("x", "y") > threshold * F.greatest("x", "y") - 1e-9) & (F.col("a") < F.col("b"))).select("grp", "a", "b")
+            # Written first, so few pairs go to the word sets and not the sets to them.
+            near = written(near.distinct())
+            near = near.join(filled.select("grp", F.col("k").alias("a"), F.col("words").alias("u")), ["grp", "a"]).join(filled.select("grp", F.col("k").alias("b"), F.col("words").alias("v")), ["grp", "b"])
             shared = F.size(F.array_intersect("u", "v"))
             return near.where(shared > F.lit(threshold) * (F.size("u") + F.size("v") - shared)).select("grp", "a", "b")
 
         kept = bare
         for _ in range(rounds):
             heads = blocks.groupBy("grp", "word").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("members"))
-            placed = blocks.join(heads, ["grp", "word"]).checkpoint()
-            sure = placed.groupBy("grp", "k").agg(F.min(F.col("k") == F.col("head")).alias("sure")).where("sure").select("grp", "k").checkpoint()
-            firsts = placed.where((F.col("k") == F.col("head")) & (F.col("members") > 1)).join(sure, ["grp", "k"], "left_semi").select("grp", "word", F.col("k").alias("a"), F.col("size").alias("x"))
-            gone = alike(firsts.join(blocks.select("grp", "word", F.col("k").alias("b"), F.col("size").alias("y")), ["grp", "word"])).select("grp", F.col("b").alias("k"))
-            blocks = blocks.join(sure.unionByName(gone).distinct(), ["grp", "k"], "left_anti").checkpoint()
+            placed = written(blocks.join(heads, ["grp", "word"]).withColumn("first", F.col("k") == F.col("head")).drop("head"))
+            sure = written(placed.groupBy("grp", "k").agg(F.min("first").alias("sure")).where("sure").select("grp", "k"))
+            firsts = placed.where("first AND members > 1").join(sure, ["grp", "k"], "left_semi").select("grp", "word", F.col("k").alias("a"), F.col("size").alias("x"))
+            others = placed.where("members > 1 AND NOT first").select("grp", "word", F.col("k").alias("b"), F.col("size").alias("y"))
+            gone = alike(firsts.join(others, ["grp", "word"])).select("grp", F.col("b").alias("k"))
+            blocks = written(blocks.join(written(sure.unionByName(gone).distinct()), ["grp", "k"], "left_anti"))
             kept = kept.unionByName(sure)
         left = blocks.select("grp", "k").distinct()
-        edges = alike(blocks.select("grp", "word", F.col("k").alias("a"), F.col("size").alias("x")).join(blocks.select("grp", "word", F.col("k").alias("b"), F.col("size").alias("y")), ["grp", "word"])).checkpoint()
+        edges = written(alike(blocks.select("grp", "word", F.col("k").alias("a"), F.col("size").alias("x")).join(blocks.select("grp", "word", F.col("k").alias("b"), F.col("size").alias("y")), ["grp", "word"])))
         while left.limit(1).count():
-            sure = left.join(edges.select("grp", F.col("b").alias("k")).distinct(), ["grp", "k"], "left_anti").checkpoint()
+            sure = written(left.join(edges.select("grp", F.col("b").alias("k")).distinct(), ["grp", "k"], "left_anti"))
             gone = edges.join(sure.withColumnRenamed("k", "a"), ["grp", "a"], "left_semi").select("grp", F.col("b").alias("k"))
-            done = sure.unionByName(gone).distinct().checkpoint()
-            left = left.join(done, ["grp", "k"], "left_anti").checkpoint()
-            edges = edges.join(done.withColumnRenamed("k", "a"), ["grp", "a"], "left_anti").join(done.withColumnRenamed("k", "b"), ["grp", "b"], "left_anti").checkpoint()
+            done = written(sure.unionByName(gone).distinct())
+            left = written(left.join(done, ["grp", "k"], "left_anti"))
+            edges = written(edges.join(done.withColumnRenamed("k", "a"), ["grp", "a"], "left_anti").join(done.withColumnRenamed("k", "b"), ["grp", "b"], "left_anti"))
             kept = kept.unionByName(sure)
         return kept.select(F.when(F.col("grp") != "-", F.col("grp").substr(F.lit(2), F.length("grp"))).alias("grp"), F.col("k.id").alias("id"))
 
