@@ -38,12 +38,21 @@ class Op:
     def __init__(self, doc: str, text: str, **defaults: Any):
         self.__doc__, self.text, self.defaults = doc, text.strip(), defaults
         self.tables = list(dict.fromkeys(_TABLE.findall(text)))
+        self.other: str | None = None
+
+    def against(self, text: str) -> Op:
+        """Sets a text of another shape that says the same; it is what results are held against."""
+        self.other = text.strip()
+        return self
 
     def sql(self, **params: Any) -> str:
+        return self._filled(self.text, params)
+
+    def _filled(self, text: str, params: dict[str, Any]) -> str:
         if unknown := params.keys() - self.defaults.keys():
             raise TypeError(f"unknown parameters: {sorted(unknown)}")
         values = self.defaults | params
-        return _PARAM.sub(lambda m: literal(values[m[1]]), self.text)
+        return _PARAM.sub(lambda m: literal(values[m[1]]), text)
 
     def __call__(self, **given: Any) -> DataFrame:
         frames = {k: given.pop(k) for k in self.tables}
@@ -51,5 +60,8 @@ class Op:
         return spark.sql(self.sql(**given), **frames)
 
     def oracle(self) -> str:
+        """What DuckDB runs to check the operator: the other text if there is one, else the operator's own."""
+        if self.other:
+            return _TABLE.sub(r"\1", self._filled(self.other, {}))
         # The one function that the dialects name differently; both sequences include their end.
         return _TABLE.sub(r"\1", self.sql()).replace("explode(sequence(", "unnest(generate_series(")
