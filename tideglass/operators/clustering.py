@@ -118,17 +118,26 @@ def communities(et: DataFrame, resolution: float = 1.0) -> DataFrame:
 
 
 def connected(edges: DataFrame, min_weight: float = 1.0) -> DataFrame:
-    """Components of size two or more of edges (a, b, weight) above a weight: node, component, by least-label rounds."""
-    kept = edges.where(F.col("weight") >= min_weight).select("a", "b")
-    both = kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    """Components of size two or more of edges (a, b, weight) above a weight: node, component (the least node).
+
+    Large-star and small-star rounds: every node's greater neighbours are linked to its least neighbour, then its lesser
+    ones too, until stars are left; a path of n nodes takes about log n rounds.
+    """
+    now = edges.where((F.col("weight") >= min_weight) & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    mark = None
     while True:
-        near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near, "a").select("a", F.least("label", "near").alias("next"), "label").checkpoint()
-        changed = new.where(F.col("next") != F.col("label")).limit(1).count()
-        labels = new.select("a", F.col("next").alias("label"))
-        if not changed:
-            return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
+        new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if new == mark or not new[0]:
+            break
+        mark = new
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        met = large.join(low, "u")
+        now = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).where("u != v").distinct().checkpoint()
+    members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return members.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def greedy_cover(edges: DataFrame, scope: str, most: int = 10) -> DataFrame:
@@ -187,12 +196,15 @@ def _components(et: DataFrame) -> DataFrame:
 
 
 def with_checkpoints(df: DataFrame, make):
-    """Run an iteration that checkpoints; a folder of our own only where the session names none."""
+    """Run an iteration that checkpoints, in the folder that the session names; one of our own only on one machine."""
     import tempfile
 
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tideglass-checkpoints-"))
+        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tideglass-checkpoints-"))
     return make()
 
 

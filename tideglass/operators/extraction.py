@@ -238,10 +238,10 @@ def jaccard_evidence(lines: DataFrame, threshold: float = 0.85, rounds: int = 3)
     return with_checkpoints(lines, run)
 
 
-def merge_names(entities: DataFrame, most: int = 500, threshold: float = 0.85) -> DataFrame:
+def merge_names(entities: DataFrame, most: int | None = None, threshold: float = 0.85) -> DataFrame:
     """Entities of a group (grp, name, confidence, family) merged when their names' edit similarity passes a threshold;
-    a technique never merges with one of its own family, nor names that differ by over 70 % in length; at most `most`
-    comparisons a group, as the reference semantics have it: grp, name, kept."""
+    a technique never merges with one of its own family, nor names that differ by over 70 % in length: grp, name, kept.
+    With `most` a group stops comparing after as many comparisons (SURVEY G15 has 500) and keeps the rest apart."""
     import pyarrow as pa
 
     def similar(a: str, b: str) -> float:
@@ -261,7 +261,7 @@ def merge_names(entities: DataFrame, most: int = 500, threshold: float = 0.85) -
                     home = None
                     for k in kept:
                         sizes = sorted((len(it["name"]), len(k["name"])))
-                        if n >= most or sizes[0] < 0.3 * sizes[1] or it["family"] == k["family"]:
+                        if most is not None and n >= most or sizes[0] < 0.3 * sizes[1] or it["family"] == k["family"]:
                             continue
                         n += 1
                         if similar(it["name"].lower(), k["name"].lower()) >= threshold:

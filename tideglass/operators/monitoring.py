@@ -19,7 +19,13 @@ OPS = {
         f"WITH s AS (SELECT avg(CASE WHEN ts >= {_SPLIT} - INTERVAL 10 DAY AND ts < {_SPLIT} THEN value END) AS recent, avg(CASE WHEN ts >= {_SPLIT} - INTERVAL 20 DAY AND ts < {_SPLIT} - INTERVAL 10 DAY THEN value END) AS before FROM {{events}}) SELECT round(before, 6) AS before, round(recent, 6) AS recent, CASE WHEN recent >= before THEN 'none' WHEN (before - recent) / before > 0.4 THEN 'critical' WHEN (before - recent) / before > 0.3 THEN 'high' WHEN (before - recent) / before > 0.2 THEN 'medium' ELSE 'none' END AS severity FROM s",
         as_of=_ASOF,
     ),
-    "k04_schema_drift": Op("Shapes of records by type, and how many differ from the most common one.", "WITH s AS (SELECT event_type, substr(props, 1, 5) AS shape, count(*) AS n FROM {events} GROUP BY event_type, substr(props, 1, 5)) SELECT event_type, CAST(count(*) AS BIGINT) AS shapes, CAST(sum(n) - max(n) AS BIGINT) AS deviating FROM s GROUP BY event_type"),
+    "k04_schema_drift": Op(
+        "Shapes of records by type (the ordered set of their JSON keys), the most common one, how many records differ from it, and how many keys that is on average.",
+        """WITH s AS (SELECT event_type, array_join(array_sort(coalesce(json_object_keys(props), array())), ',') AS shape, count(*) AS n FROM {events} GROUP BY event_type, array_join(array_sort(coalesce(json_object_keys(props), array())), ',')),
+        r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, shape) AS rn, sum(n) OVER (PARTITION BY event_type) AS total FROM s)
+        SELECT event_type, CAST(count(*) AS BIGINT) AS shapes, max(CASE WHEN rn = 1 THEN shape END) AS usual_shape, CAST(sum(CASE WHEN rn > 1 THEN n ELSE 0 END) AS BIGINT) AS deviating, round(sum(CASE WHEN shape = '' THEN 0 ELSE 1 + length(shape) - length(replace(shape, ',', '')) END * CAST(n AS DOUBLE)) / max(total), 6) AS avg_keys FROM r GROUP BY event_type""",
+    ).against("""WITH k AS (SELECT event_type, coalesce(list_sort(json_keys(props)), []) AS ks FROM {events}), m AS (SELECT event_type, ks, count(*) AS n FROM k GROUP BY ALL), u AS (SELECT event_type, arg_min(array_to_string(ks, ','), (-n, array_to_string(ks, ','))) AS usual_shape, count(*) AS shapes, sum(n) - max(n) AS deviating FROM m GROUP BY event_type)
+        SELECT event_type, shapes::BIGINT AS shapes, usual_shape, deviating::BIGINT AS deviating, round((SELECT avg(len(ks)) FROM k WHERE k.event_type = u.event_type), 6) AS avg_keys FROM u"""),
     "k05_status": Op("Overall drift status by source.", "WITH s AS (SELECT d.source, avg(CAST(quality AS DOUBLE)) AS q, avg(CAST(toxic AS DOUBLE)) AS t FROM {documents} AS d JOIN {labels} AS l ON d.doc_id = l.doc_id GROUP BY d.source) SELECT source, CASE WHEN q < 0.5 THEN 'critical' WHEN q < 0.8 THEN 'major' WHEN t > 0.1 THEN 'minor' ELSE 'stable' END AS status FROM s"),
     "k06_precision_recall": Op(
         "Macro precision, recall and their F1 by model; classes without predictions or without truth are left out of each.",
@@ -27,7 +33,9 @@ OPS = {
         g AS (SELECT model_type, class, sum(actual) AS actual, sum(predicted) AS predicted, sum(hit) AS hit FROM c GROUP BY model_type, class), m AS (SELECT model_type, avg(CAST(hit AS DOUBLE) / nullif(predicted, 0)) AS p, avg(CAST(hit AS DOUBLE) / nullif(actual, 0)) AS r FROM g GROUP BY model_type)
         SELECT model_type, round(p, 3) AS "precision", round(r, 3) AS recall, round(2 * p * r / nullif(p + r, 0), 3) AS f1 FROM m""".replace('"precision"', "macro_precision"),
     ),
-    "k07_calibration": Op("Accuracy and confidence in five bins, and each bin's part of the expected calibration error; confidence 1.0 is in no bin.", "WITH b AS (SELECT model_type, CAST(floor(confidence * 5) AS BIGINT) AS bin, confidence, CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END AS hit, count(*) OVER (PARTITION BY model_type) AS n_all FROM {predictions}) SELECT model_type, bin, CAST(count(*) AS BIGINT) AS n, round(avg(hit) + 0.0000001, 3) AS accuracy, round(avg(confidence) + 0.0000001, 3) AS confidence, round(abs(avg(hit) - avg(confidence)) * count(*) / max(n_all) + 0.0000001, 3) AS error_part FROM b WHERE confidence < 1 GROUP BY model_type, bin"),
+    "k07_calibration": Op("Accuracy and confidence in five bins, and each bin's part of the expected calibration error; confidence 1.0 is in no bin.", "WITH b AS (SELECT model_type, CAST(floor(confidence * 5) AS BIGINT) AS bin, confidence, CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END AS hit, count(*) OVER (PARTITION BY model_type) AS n_all FROM {predictions}) SELECT model_type, bin, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(hit AS DOUBLE)), 6) AS accuracy, round(avg(confidence), 6) AS confidence, round(abs(avg(CAST(hit AS DOUBLE)) - avg(confidence)) * count(*) / max(n_all), 6) AS error_part FROM b WHERE confidence < 1 GROUP BY model_type, bin").against(
+        "WITH n AS (SELECT model_type, count(*) AS n FROM {predictions} GROUP BY model_type) SELECT p.model_type, bin, count(*)::BIGINT AS n, round(count(*) FILTER (truth = predicted) / count(*)::DOUBLE, 6) AS accuracy, round(avg(confidence), 6) AS confidence, round(abs(sum(confidence) - count(*) FILTER (truth = predicted)) / any_value(n.n), 6) AS error_part FROM {predictions} AS p JOIN n USING (model_type), (VALUES (0::BIGINT), (1), (2), (3), (4)) AS bins(bin) WHERE confidence >= bin / 5.0::DOUBLE AND confidence < (bin + 1) / 5.0::DOUBLE GROUP BY p.model_type, bin"
+    ),
     "k08_approval": Op("Shares of accepted, edited and rejected items by type.", "SELECT type, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN status = 'approved' THEN 1.0 ELSE 0.0 END), 3) AS accepted, round(avg(CASE WHEN status = 'rejected' THEN 1.0 ELSE 0.0 END), 3) AS rejected FROM {candidates} GROUP BY type"),
     "k09_gap_metrics": Op("Gaps by severity.", "SELECT CASE WHEN s < 10 THEN 'high' WHEN s < 30 THEN 'medium' ELSE 'low' END AS severity, CAST(count(*) AS BIGINT) AS n, round(count(*) / 100.0, 2) AS gap_rate FROM (SELECT technique, count(*) AS s FROM {mitigates} GROUP BY technique) AS g GROUP BY CASE WHEN s < 10 THEN 'high' WHEN s < 30 THEN 'medium' ELSE 'low' END"),
     "k10_latency": Op(
@@ -39,6 +47,6 @@ OPS = {
     "k12_errors": Op("Validation errors by class, the first matching rule wins.", f"SELECT {_ERR} AS class, CAST(count(*) AS BIGINT) AS n FROM {{documents}} GROUP BY {_ERR}"),
     "k13_compliance": Op("Five points by source, and a verdict.", "WITH s AS (SELECT source, (CASE WHEN count(*) > 20 THEN 1 ELSE 0 END) + (CASE WHEN avg(n_chars) > 500 THEN 1 ELSE 0 END) + (CASE WHEN min(n_chars) > 10 THEN 1 ELSE 0 END) + (CASE WHEN count(DISTINCT lang) > 2 THEN 1 ELSE 0 END) + (CASE WHEN max(n_chars) < 50000 THEN 1 ELSE 0 END) AS points FROM {documents} GROUP BY source) SELECT source, CAST(points AS BIGINT) AS points, CASE WHEN points >= 4 THEN 'COMPLIANT' WHEN points >= 2 THEN 'NEEDS_ATTENTION' ELSE 'NON_COMPLIANT' END AS verdict FROM s"),
     "k14_rate_limit": Op("Requests of a user in the hour before each, not counting it, and whether a limit was passed.", "SELECT event_id, CAST(n AS BIGINT) AS before, n >= :limit AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) - 1 AS n FROM {events}) AS w", limit=2),
-    "k15_cost": Op("Cost by day and model at a price list.", "SELECT CAST(ts AS DATE) AS day, event_type AS model, CAST(count(*) AS BIGINT) AS calls, round(sum(value / 1000 * (CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.1 ELSE 0.2 END)) + 0.0000001, 4) AS cost FROM {events} GROUP BY CAST(ts AS DATE), event_type"),
+    "k15_cost": Op("Cost by day and model at a price list.", "SELECT CAST(ts AS DATE) AS day, event_type AS model, CAST(count(*) AS BIGINT) AS calls, round(sum(value / 1000 * CAST(CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.1 ELSE 0.2 END AS DOUBLE)), 7) AS cost FROM {events} GROUP BY CAST(ts AS DATE), event_type"),
     "p30_budget": Op("Running cost of each day and whether the next call would pass the budget.", "WITH c AS (SELECT event_id, CAST(ts AS DATE) AS day, ts, CAST(floor(value * 100) AS BIGINT) AS cents FROM {events}) SELECT event_id, CAST(total AS BIGINT) AS total_cents, total > :budget AS over_budget FROM (SELECT event_id, sum(cents) OVER (PARTITION BY day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM c) AS w", budget=200000),
 }

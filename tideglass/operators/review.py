@@ -10,13 +10,19 @@ OPS = {
     "l02_queue": Op("A page of the queue, newest first.", "SELECT candidate, type, confidence FROM {candidates} WHERE status = :status AND confidence >= :least ORDER BY created DESC, candidate LIMIT :top OFFSET :skip", status="pending", least=50, top=50, skip=20),
     "l03_decisions": Op("Candidates after a batch of decisions.", "SELECT c.candidate, coalesce(d.decision, c.status, 'pending') AS status FROM {candidates} AS c LEFT JOIN (SELECT candidate, CASE WHEN confidence >= 60 THEN 'approved' ELSE 'rejected' END AS decision FROM {candidates} WHERE candidate % 10 = 3) AS d ON c.candidate = d.candidate"),
     "l04_queue_statistics": Op("Count and confidence by status, and the last day's arrivals.", f"SELECT coalesce(status, 'pending') AS status, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 4) AS avg_confidence, min(confidence) AS least, max(confidence) AS most, CAST(sum(CASE WHEN created >= {_AT} - INTERVAL 24 HOUR THEN 1 ELSE 0 END) AS BIGINT) AS last_day FROM {{candidates}} GROUP BY coalesce(status, 'pending')", as_of=_ASOF),
-    "l05_similar_patterns": Op("Techniques like a candidate's first word, by where the word is.", "SELECT technique, round((CASE WHEN contains(lower(name), :word) THEN 1.0 ELSE 0.5 END) * (CASE WHEN contains(lower(tactic), :word) THEN 1.0 ELSE 0.8 END), 4) AS score FROM (SELECT * FROM {techniques} WHERE contains(lower(name), :word) OR contains(lower(tactic), :word) ORDER BY technique LIMIT 10) AS t WHERE (CASE WHEN contains(lower(name), :word) THEN 1.0 ELSE 0.5 END) * (CASE WHEN contains(lower(tactic), :word) THEN 1.0 ELSE 0.8 END) >= :threshold", word="part", threshold=0.8),
+    "l05_similar_patterns": Op(
+        "Techniques like a candidate's first word, by where the word is. The ten lowest ids are scored, as SURVEY L5 has it; with most NULL, all.",
+        "SELECT technique, score FROM (SELECT technique, round((CASE WHEN contains(lower(name), :word) THEN 1.0 ELSE 0.5 END) * (CASE WHEN contains(lower(tactic), :word) THEN 1.0 ELSE 0.8 END), 4) AS score, row_number() OVER (ORDER BY technique) AS rn FROM {techniques} WHERE contains(lower(name), :word) OR contains(lower(tactic), :word)) AS t WHERE (:most IS NULL OR rn <= :most) AND score >= :threshold",
+        word="part",
+        threshold=0.8,
+        most=10,
+    ),
     "l06_candidate_stats": Op("Candidates by status with rates; NULL status is pending.", f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN coalesce(status, 'pending') = 'pending' THEN 1 ELSE 0 END) AS BIGINT) AS pending, round(avg(CASE WHEN coalesce(status, 'pending') = 'pending' THEN confidence END), 4) AS pending_confidence, CAST(sum(CASE WHEN created >= {_AT} - INTERVAL 7 DAY THEN 1 ELSE 0 END) AS BIGINT) AS last_week, round(100.0 * sum(CASE WHEN status = 'approved' THEN 1 ELSE 0 END) / count(*), 2) AS promotion_rate, round(100.0 * sum(CASE WHEN status = 'rejected' THEN 1 ELSE 0 END) / count(*), 2) AS rejection_rate FROM {{candidates}}", as_of=_ASOF),
     "l07_archive": Op("Old candidates by status that an archive run takes.", f"SELECT candidate FROM {{candidates}} WHERE created < {_AT} - INTERVAL 20 DAY AND status = :status", as_of=_ASOF, status="rejected"),
     "l08_latest_decision": Op("Newest decision on each object.", "SELECT user_id AS object_id, event_type AS decision, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) AS r WHERE rn = 1"),
     "l09_review_counts": Op("Decisions by report and action.", "SELECT user_id AS report_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS approved, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS edited, CAST(count(*) AS BIGINT) AS total FROM {events} GROUP BY user_id"),
     "l10_entity_review": Op("Entities after review: rejected ones go, edited confidences replace.", "SELECT c.candidate, coalesce(e.adjusted, c.confidence) AS confidence FROM {candidates} AS c LEFT JOIN (SELECT candidate, CAST(50 AS DOUBLE) AS adjusted FROM {candidates} WHERE candidate % 7 = 0) AS e ON c.candidate = e.candidate WHERE coalesce(c.status, 'pending') <> 'rejected'"),
-    "l11_feedback": Op("Feedback rows by kind with their score.", "SELECT event_id AS feedback_id, user_id AS analyst, CASE WHEN value < 20 THEN 'correction' WHEN value < 60 THEN 'relevance' ELSE 'quality' END AS kind, round(value / 20 + 0.0000001, 2) AS score FROM {events}"),
+    "l11_feedback": Op("Feedback rows by kind with their score.", "SELECT event_id AS feedback_id, user_id AS analyst, CASE WHEN value < 20 THEN 'correction' WHEN value < 60 THEN 'relevance' ELSE 'quality' END AS kind, round(value / 20, 4) AS score FROM {events}"),
     "l12_feedback_days": Op("Feedback by day over the last week.", f"SELECT CAST(created AS DATE) AS day, CAST(count(*) AS BIGINT) AS n FROM {{candidates}} WHERE created >= {_AT} - INTERVAL 7 DAY GROUP BY CAST(created AS DATE)", as_of=_ASOF),
     "l12_contributors": Op("Ten busiest contributors.", "SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM {events} WHERE user_id <> 0 GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10"),
     "l13_aggregate_confidence": Op("Confidence of an object from its sources and relations.", "WITH s AS (SELECT technique, avg(confidence / 100) AS c FROM {actions} WHERE confidence IS NOT NULL GROUP BY technique), r AS (SELECT technique, avg(coalesce(nullif(mitigation % 10 / 10.0, 0), 0.5)) AS c FROM {brand_mitigates} GROUP BY technique) SELECT coalesce(s.technique, r.technique) AS technique, round(CASE WHEN s.c IS NULL THEN r.c WHEN r.c IS NULL THEN s.c ELSE 0.7 * s.c + 0.3 * r.c END, 6) AS confidence FROM s FULL OUTER JOIN r ON s.technique = r.technique"),
@@ -24,7 +30,7 @@ OPS = {
     "l15_warnings": Op("Objects whose evidence is thin or whose confidence is low.", "SELECT technique, CASE WHEN avg(coalesce(confidence, 50)) / 100 < 0.5 THEN 'low confidence' WHEN count(*) < 2 THEN 'sparse evidence' WHEN avg(coalesce(confidence, 50)) / 100 < 0.6 THEN 'moderate confidence' ELSE 'none' END AS warning FROM {actions} GROUP BY technique"),
     "l17_validation": Op("Validation status from the latest check and the votes.", "WITH v AS (SELECT user_id AS object_id, max_by(event_type, ts) AS latest, sum(CASE WHEN value >= 50 THEN 1 ELSE 0 END) AS approvals, sum(CASE WHEN value < 50 THEN 1 ELSE 0 END) AS rejections FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS rn FROM {events}) AS e WHERE rn = 1 GROUP BY user_id) SELECT object_id, CASE WHEN latest = 'error' THEN 'invalid' WHEN rejections > approvals THEN 'rejected' WHEN approvals > 0 THEN 'approved' ELSE 'unvalidated' END AS status FROM v"),
     "l18_timeline": Op("Objects of a trace in order.", "SELECT user_id AS trace, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS step FROM {events}"),
-    "l19_sources": Op("Registered sources by content hash: first id and number of copies.", "SELECT sha256(text) AS content_hash, CAST(min(doc_id) AS BIGINT) AS source_id, CAST(count(*) AS BIGINT) AS copies FROM {documents} GROUP BY sha256(text)".replace("sha256(text)", "md5(text)")),
+    "l19_sources": Op("Registered sources by content hash: first id and number of copies.", "SELECT md5(text) AS content_hash, CAST(min(doc_id) AS BIGINT) AS source_id, CAST(count(*) AS BIGINT) AS copies FROM {documents} GROUP BY md5(text)"),
     "l20_report_list": Op("A page of reports of a status, with or without campaign.", "SELECT report_id, source FROM {reports} WHERE status = :status AND campaign IS NOT NULL ORDER BY ingested DESC, report_id LIMIT :top OFFSET :skip", status="completed", top=20, skip=10),
     "l21_report_search": Op("Reports by the best of weighted fields.", "SELECT report_id, CAST(greatest(CASE WHEN contains(lower(source), :word) THEN 3 ELSE 0 END, CASE WHEN contains(lower(text), :word) THEN 2 ELSE 0 END, CASE WHEN contains(lang, :word) THEN 1 ELSE 0 END) AS BIGINT) AS score FROM {reports} WHERE contains(lower(source), :word) OR contains(lower(text), :word) OR contains(lang, :word) ORDER BY score DESC, report_id LIMIT :top", word="src1", top=25),
     "l22_report_statistics": Op("Reports by status, campaigns, last week and averages.", f"SELECT status, CAST(count(*) AS BIGINT) AS n, CAST(count(campaign) AS BIGINT) AS with_campaign, CAST(sum(CASE WHEN ingested >= {_AT} - INTERVAL 7 DAY THEN 1 ELSE 0 END) AS BIGINT) AS last_week, round(avg(coalesce(n_chars, 0)), 4) AS avg_chars FROM {{reports}} GROUP BY status", as_of="2024-02-20 00:00:00"),
@@ -36,13 +42,20 @@ OPS = {
     "l28_campaign_merge": Op("Edges of campaigns after several are merged into one.", "SELECT DISTINCT CASE WHEN actor IN ('NATION_1', 'NATION_2', 'NATION_3') THEN 'NATION_0' ELSE actor END AS campaign, technique FROM {uses}"),
     "l29_flow_nodes": Op("Nodes and edges of normalised flows.", "SELECT episode, CAST(count(*) AS BIGINT) AS nodes, CAST(count(*) - 1 AS BIGINT) AS edges FROM {actions} GROUP BY episode"),
     "l32_scenario_starts": Op("Start techniques by any of several routes.", "SELECT technique FROM {techniques} WHERE family = 'Brand#11' UNION SELECT technique FROM {uses} WHERE actor = 'NATION_5' UNION SELECT technique FROM {mitigates} WHERE mitigation = 7"),
-    "p01_attribution": Op("Actors by overlap with a flow's techniques.", "WITH r AS (SELECT DISTINCT l_partkey AS technique FROM {lineitem} WHERE l_orderkey < 40), o AS (SELECT actor, count(DISTINCT u.technique) AS overlap FROM {uses} AS u JOIN r ON u.technique = r.technique GROUP BY actor) SELECT actor, CAST(overlap AS BIGINT) AS overlap, CAST(least(95, 15 * overlap) AS BIGINT) AS confidence FROM o ORDER BY overlap DESC, actor LIMIT 10"),
+    "p01_attribution": Op(
+        "The ten actors of each flow that use most of its techniques, with a confidence of fifteen for each one, at most 95.",
+        """WITH o AS (SELECT f.episode AS flow, u.actor, count(*) AS overlap FROM {part_use} AS f JOIN {uses} AS u ON f.technique = u.technique GROUP BY f.episode, u.actor),
+        r AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY overlap DESC, actor) AS rn FROM o)
+        SELECT flow, actor, CAST(overlap AS BIGINT) AS overlap, CAST(least(95, 15 * overlap) AS BIGINT) AS confidence FROM r WHERE rn <= :top""",
+        top=10,
+    ).against("""WITH t AS (SELECT technique, list(DISTINCT actor) AS actors FROM {uses} GROUP BY technique), f AS (SELECT episode AS flow, unnest(actors) AS actor FROM {part_use} AS p JOIN t USING (technique)), o AS (SELECT flow, actor, count(*)::BIGINT AS overlap FROM f GROUP BY flow, actor)
+        SELECT flow, actor, overlap, least(95, 15 * overlap)::BIGINT AS confidence FROM o QUALIFY row_number() OVER (PARTITION BY flow ORDER BY overlap DESC, actor) <= :top"""),
     "p13_campaign_span": Op("First and last sight of merged campaigns.", "SELECT CASE WHEN actor IN ('NATION_1', 'NATION_2') THEN 'NATION_0' ELSE actor END AS campaign, min(f.created) AS first_seen, max(f.created) AS last_seen FROM {attribution} AS a JOIN {flow_reports} AS f ON a.episode = f.flow GROUP BY CASE WHEN actor IN ('NATION_1', 'NATION_2') THEN 'NATION_0' ELSE actor END"),
     "p14_campaign_list": Op("Campaigns that are not provisional, with techniques and actors.", "SELECT a.actor AS campaign, CAST(count(DISTINCT e.technique) AS BIGINT) AS techniques, CAST(count(DISTINCT a.episode) AS BIGINT) AS flows FROM {attribution} AS a LEFT JOIN {et} AS e ON a.episode = e.episode WHERE a.actor <> 'NATION_7' GROUP BY a.actor"),
     "p15_report_list": Op("Reports without a provisional campaign, with their number of entities.", "SELECT r.report_id, CAST(length(r.text) - length(replace(r.text, ' ', '')) AS BIGINT) AS entities FROM {reports} AS r WHERE NOT EXISTS (SELECT 1 FROM {reports} AS p WHERE p.report_id = r.report_id AND p.campaign = 'c3')"),
     "p16_report_objects": Op("What each report describes, by type.", "SELECT l_orderkey AS report, CAST(count(DISTINCT CASE WHEN t.is_sub THEN l_partkey END) AS BIGINT) AS subs, CAST(count(DISTINCT CASE WHEN NOT t.is_sub THEN l_partkey END) AS BIGINT) AS parents FROM {lineitem} JOIN {techniques} AS t ON l_partkey = t.technique GROUP BY l_orderkey"),
     "p24_evidence": Op("Best evidence of each technique.", "SELECT technique, episode, action_id FROM (SELECT *, row_number() OVER (PARTITION BY technique ORDER BY coalesce(confidence, 0) DESC, ts DESC, episode, action_id) AS rn FROM {actions}) AS r WHERE rn <= :top", top=5),
-    "p28_provenance_confidence": Op("Weighted confidence: sources ranked by strength count 1 / rank.", "WITH w AS (SELECT technique, coalesce(confidence, 0) * (CASE WHEN ord = 1 THEN 1.0 WHEN ord = 2 THEN 0.9 WHEN ord = 3 THEN 0.7 ELSE 0.5 END) AS c, episode, action_id FROM {actions} WHERE episode < 3000), r AS (SELECT technique, c, row_number() OVER (PARTITION BY technique ORDER BY c DESC, episode, action_id) AS rn FROM w) SELECT technique, round(least(100.0, sum(c / rn) / sum(1.0 / rn)), 4) AS confidence FROM r GROUP BY technique".replace(" WHERE episode < 3000", "")),
+    "p28_provenance_confidence": Op("Weighted confidence: sources ranked by strength count 1 / rank.", "WITH w AS (SELECT technique, coalesce(confidence, 0) * (CASE WHEN ord = 1 THEN 1.0 WHEN ord = 2 THEN 0.9 WHEN ord = 3 THEN 0.7 ELSE 0.5 END) AS c, episode, action_id FROM {actions}), r AS (SELECT technique, c, row_number() OVER (PARTITION BY technique ORDER BY c DESC, episode, action_id) AS rn FROM w) SELECT technique, round(least(100.0, sum(c / rn) / sum(1.0 / rn)), 4) AS confidence FROM r GROUP BY technique"),
     "p29_confidence_histogram": Op("Actions by quarter of confidence.", "SELECT CASE WHEN confidence <= 25 THEN '0-25' WHEN confidence <= 50 THEN '25-50' WHEN confidence <= 75 THEN '50-75' ELSE '75-100' END AS bin, CAST(count(*) AS BIGINT) AS n FROM {actions} GROUP BY CASE WHEN confidence <= 25 THEN '0-25' WHEN confidence <= 50 THEN '25-50' WHEN confidence <= 75 THEN '50-75' ELSE '75-100' END"),
     "p38_review_applied": Op("Items after review: status set, confidence replaced.", "SELECT a.episode, a.action_id, CASE WHEN a.action_id % 3 = 0 THEN 'rejected' WHEN d.c IS NOT NULL THEN 'edited' ELSE 'approved' END AS status, coalesce(d.c, a.confidence) AS confidence FROM {actions} AS a LEFT JOIN (SELECT episode, action_id, CAST(75 AS DOUBLE) AS c FROM {actions} WHERE ord = 4) AS d ON a.episode = d.episode AND a.action_id = d.action_id"),
     "p39_change_preview": Op("Nodes that a review would create or link.", "SELECT CAST(sum(CASE WHEN d.technique IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS to_create, CAST(sum(CASE WHEN d.technique IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS to_link, CAST(count(*) AS BIGINT) AS edges FROM (SELECT DISTINCT technique FROM {uses}) AS u LEFT JOIN (SELECT DISTINCT technique FROM {detects}) AS d ON u.technique = d.technique"),

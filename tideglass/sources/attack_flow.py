@@ -34,9 +34,10 @@ def holds(pattern: str | None, given: dict[str, str]) -> bool:
     return True
 
 
-def simulate(objects: DataFrame, flow: str, given: dict[str, str], most: int = 100) -> DataFrame:
+def simulate(objects: DataFrame, flow: str, given: dict[str, str], most: int | None = None) -> DataFrame:
     """Actions of each flow in the order they run: breadth first from the flow's start, each object once.
-    objects has a column that names the flow; a flow is one bounded group."""
+    objects has a column that names the flow; a flow is one bounded group. With `most` a flow stops after as many actions
+    (SURVEY P20 has 100); without, it ends by itself, as no object runs twice."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         by_id = {r.id: r for r in pdf.itertuples(index=False)}
@@ -47,7 +48,7 @@ def simulate(objects: DataFrame, flow: str, given: dict[str, str], most: int = 1
         todo = deque(x for r in by_id.values() if r.type == "attack-flow" for x in (r.start_refs if r.start_refs is not None else []))
         seen: set[str] = set()
         ran = []
-        while todo and len(ran) < most:
+        while todo and (most is None or len(ran) < most):
             at = todo.popleft()
             if at in seen or at not in by_id:
                 continue

@@ -34,9 +34,9 @@ def read_keyword_index(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.lower(F.trim(F.split_part("value", F.lit(":"), F.lit(1)))).alias("keyword"), F.explode(F.split(F.split_part("value", F.lit(":"), F.lit(2)), ",")).alias("t")).select("keyword", F.trim("t").alias("technique"))
 
 
-def match_keywords(docs: DataFrame, index: DataFrame, most: int = 50) -> DataFrame:
+def match_keywords(docs: DataFrame, index: DataFrame, most: int | None = None) -> DataFrame:
     """Keywords in texts: single words by token, phrases by position. Tokens meet keywords in a join; phrases meet the
-    texts that hold their first word. At most `most` of a document, longest first, as the limit is part of the match."""
+    texts that hold their first word. With `most` (SURVEY G13 has 50) that many of a document, longest first."""
     from pyspark.sql import Window
 
     token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9_.%$#@+\-]+"), F.lit(0))))
@@ -46,6 +46,8 @@ def match_keywords(docs: DataFrame, index: DataFrame, most: int = 50) -> DataFra
     near = tokens.join(phrases, F.col("token") == F.col("head")).select("doc_id", "keyword", "technique")
     multi = near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains(F.lower("text"), F.col("keyword"))).select("doc_id", "keyword", "technique")
     found = single.unionByName(multi).distinct()
+    if most is None:
+        return found
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length("keyword")), "keyword", "technique"))
     return found.withColumn("rn", rank).where(F.col("rn") <= most).drop("rn")
 
