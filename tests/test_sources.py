@@ -103,3 +103,48 @@ def test_exports(spark, tmp_path):
     with pytest.raises(ValueError):
         rules.export(df, str(tmp_path / "x"), "xml")
     assert "| 1 | a\\|b |" in rules.markdown(df, "R")
+
+
+def test_bundles_of_reports(spark):
+    import uuid
+
+    claims = spark.createDataFrame([("r1", "T1", "Phish", "attack-pattern", 90.0), ("r1", "T1", "Phishing", "attack-pattern", 60.0), ("r1", "T2", "Scan", "attack-pattern", 40.0), ("r1", None, "APT X", "intrusion-set", 70.0), ("r1", None, "apt x", "intrusion-set", 80.0)], "report string, external_id string, name string, kind string, confidence double")
+    reports = spark.createDataFrame([("r1", "One"), ("r2", "Empty")], "report string, title string")
+    got = {r["report"]: r for r in stix.assemble_bundles(claims, reports).collect()}
+    one, two = (json.loads(got[r]["bundle"]) for r in ("r1", "r2"))
+    by_type = {}
+    for o in one["objects"]:
+        by_type.setdefault(o["type"], []).append(o)
+    assert got["r1"]["n_objects"] == len(one["objects"]) == 6 and {k: len(v) for k, v in by_type.items()} == {"attack-pattern": 2, "intrusion-set": 1, "relationship": 2, "report": 1}
+    assert {o["confidence"] for o in by_type["attack-pattern"]} == {85.0, 40.0} and sorted(by_type["report"][0]["object_refs"]) == sorted(o["id"] for o in one["objects"] if o["type"] != "report")
+    space = uuid.UUID(stix.NAMESPACE)
+    assert by_type["intrusion-set"][0]["id"] == f"intrusion-set--{uuid.uuid5(space, 'intrusion-set:apt x')}"
+    assert all(uuid.UUID(o["id"].split("--")[1]).version == 5 for o in one["objects"])
+    assert {(o["source_ref"], o["target_ref"]) for o in by_type["relationship"]} == {(by_type["intrusion-set"][0]["id"], o["id"]) for o in by_type["attack-pattern"]}
+    assert [o["type"] for o in two["objects"]] == ["report"]
+
+
+def test_detection_bundle(spark, tmp_path):
+    from tideglass.sources import detections
+
+    ref = lambda x: [{"source_name": "mitre-attack", "external_id": x}]
+    objects = [
+        {"type": "x-mitre-detection-strategy", "id": "s1", "name": "S", "external_references": ref("DET1"), "x_mitre_analytics": ["a1", "gone"]},
+        {"type": "x-mitre-detection-strategy", "id": "s2", "name": "Old", "revoked": True},
+        {"type": "x-mitre-analytic", "id": "a1", "name": "A", "external_references": ref("AN1"), "x_mitre_log_sources": [{"ref": "l1", "keys": ["b", "a"]}, {"ref": "none"}]},
+        {"type": "x-mitre-log-source", "id": "l1", "name": "L"},
+        *[{"type": "relationship", "id": f"e{i}", "relationship_type": "detects", "source_ref": s, "target_ref": t} for i, (s, t) in enumerate([("s1", "t1"), ("s1", "t1"), ("s2", "t2"), ("x", "t1")])],
+    ]
+    (tmp_path / "b.json").write_text(json.dumps({"type": "bundle", "id": "b", "objects": objects}, indent=1))
+    bundle = detections.tables(detections.read_bundle(spark, str(tmp_path / "b.json")))
+    assert {(r["stix_id"], r["external_id"], r["active"]) for r in bundle["strategies"].collect()} == {("s1", "DET1", True), ("s2", None, False)}
+    assert [tuple(r) for r in bundle["has_analytic"].collect()] == [("s1", "a1")]
+    assert [(r["analytic"], r["log_source"], r["keys"]) for r in bundle["uses_log_source"].collect()] == [("a1", "l1", ["a", "b"])]
+    assert {tuple(r) for r in bundle["detects"].collect()} == {("s1", "t1"), ("s2", "t2")}
+    techniques = spark.createDataFrame([("t1",), ("t2",), ("t3",)], "stix_id string")
+    assert {tuple(r) for r in detections.coverage(bundle, techniques).collect()} == {("t1", 1, 1, 1), ("t2", 0, 0, 0), ("t3", 0, 0, 0)}
+
+
+def test_rules_are_unlinked(spark):
+    edges = spark.createDataFrame([("r1", "T1"), ("r2", "T1")], "rule string, external_id string")
+    assert [r["rule"] for r in rules.unlink_rules(edges, spark.createDataFrame([("r1",), ("r1",)], "id string")).collect()] == ["r2"]

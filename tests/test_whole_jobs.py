@@ -3,7 +3,9 @@
 import math
 import random
 
-from tideglass.operators import cooccurrence, extraction, graph, search
+from pyspark.sql import functions as F
+
+from tideglass.operators import cooccurrence, extraction, graph, search, simulation
 
 
 def test_profiles_read_every_episode(spark):
@@ -104,3 +106,39 @@ def test_paths_grow_until_none_goes_on(spark):
     got = {tuple(r["path"]): (r["steps"], r["confidence"]) for r in extraction.maximal_paths(edges).collect()}
     assert got == {tuple("abcd"): (3, 0.7), tuple("bcd"): (2, 0.8), tuple("bca"): (2, 0.4), tuple("cd"): (1, 0.9), tuple("cab"): (2, 0.3), tuple("xy"): (1, 1.0)}
     assert ["".join(r["path"]) for r in extraction.path_report(edges, top=2).collect()] == ["xy", "cd"]
+
+
+def test_techniques_and_their_parents_stay_apart(spark):
+    same, near = [1.0, 0.0], [0.97, 0.2431]
+    rows = [(1, 1, 1, same, "T1"), (1, 2, 1, same, "T1.001"), (1, 3, 1, same, "T1.002"), (1, 4, 1, near, "T2"), (1, 5, 1, same, "T3"), (2, 6, 1, near, "T1"), (2, 7, 1, same, "T1")]
+    items = spark.createDataFrame(rows, "grp long, id long, size long, v array<double>, kin string")
+    got = {r["id"]: r["keep_id"] for r in search.semantic_dedup(items, 0.9, family="kin").collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 1, 6: 6, 7: 6}
+    large = {r["id"]: r["keep_id"] for r in search.semantic_dedup(items, 0.9, most=1, family="kin").collect()}
+    assert large == {i: i for i in range(1, 8)}
+
+
+def test_chunked_extraction_reads_to_the_end(spark):
+    texts = [(1, "alpha. " * 900 + "omega"), (2, "nothing here"), (3, None), (4, "omega " + "beta gamma. " * 700)]
+    index = spark.createDataFrame([("omega", "T1"), ("beta gamma", "T2")], "keyword string, technique string")
+    got = {(r["doc_id"], r["technique"]): (r["n_chunks"] > 1, r["confidence"]) for r in search._by_keywords(spark.createDataFrame(texts, "doc_id long, text string"), index).collect()}
+    assert set(got) == {(1, "T1"), (4, "T1"), (4, "T2")} and got[1, "T1"] == (False, 65.0) and got[4, "T2"][0]
+
+
+def test_embedding_of_blank_texts_is_null(spark):
+    rows = [(1, "a b a"), (2, " "), (3, None), (4, "a b a")]
+    got = {r["doc_id"]: r["embedding"] for r in search.embed(spark.createDataFrame(rows, "doc_id long, text string").withColumn("embedding", F.lit("old")), search.hashed_encoder(16)).collect()}
+    assert got[2] is None and got[3] is None and got[1] == got[4] and abs(sum(x * x for x in got[1]) - 1) < 1e-6
+
+
+def test_paths_of_any_length(spark):
+    edges = spark.createDataFrame([("a", "b", 10, 0.5), ("b", "c", 1, 0.5), ("c", "d", 1, 1.0), ("d", "a", 1, 1.0), ("b", "d", 9, 0.1)], "src string, dst string, n long, p double")
+    found = {r["path"]: r["p"] for r in simulation.best_paths(edges, ["a"], 5, 0.0, 50).collect()}
+    assert found == {"a>b": 0.5, "a>b>c": 0.25, "a>b>c>d": 0.25, "a>b>d": 0.05}
+    for most in (1, 2, 3):
+        best = [(r["path"], r["p"]) for r in simulation.best_paths(edges, ["a"], 5, 0.0, most).collect()]
+        assert best == sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most]
+    sure = {r["path"]: r["confidence"] for r in simulation.path_confidence(edges, ["a"], 5).collect()}
+    assert sure["a>b>c>d"] == 0.2125 and sure["a>b>d"] == round(0.05 * 0.8, 9)
+    assert {r["state"]: r["pct"] for r in simulation.interdiction_impact(edges, ["a"], ["d"]).collect()} == {"b": 100.0, "c": 50.0}
+    assert {r["path"] for r in simulation.what_if(edges, ["a"], ["c"], ["d"]).collect()} == {"a>b", "a>b>d"}

@@ -32,5 +32,14 @@ OPS = {
         n AS (SELECT *, lead(technique) OVER w AS t2, lead(tactic_order) OVER w AS o2, lead(line) OVER w AS l2 FROM o WINDOW w AS (PARTITION BY episode ORDER BY pos))
         SELECT episode, technique AS src, t2 AS dst, CASE WHEN o2 > tactic_order AND l2 > line THEN 'high' WHEN o2 = tactic_order THEN 'medium' ELSE 'low' END AS tier, CAST(CASE WHEN o2 > tactic_order AND l2 > line THEN 0.8 WHEN o2 = tactic_order THEN 0.5 ELSE 0.25 END AS DOUBLE) AS p FROM n WHERE t2 IS NOT NULL""",
     ),
-    "p43_bulk_flows": Op("One flow for each actor: techniques, tactics and hub edges.", "SELECT u.actor, CAST(count(*) AS BIGINT) AS techniques, CAST(count(DISTINCT t.tactic) AS BIGINT) AS tactics, CAST(count(*) - count(DISTINCT t.tactic) AS BIGINT) AS hub_edges FROM {uses} AS u JOIN {techniques} AS t ON u.technique = t.technique GROUP BY u.actor"),
+    "p43_bulk_flows": Op(
+        "One flow for each actor's techniques, as edges: within a tactic (all pairs of few techniques, else from the first) and between the first techniques of neighbouring tactics.",
+        """WITH acts AS (SELECT u.actor, u.technique, r.tactic_order, row_number() OVER (PARTITION BY u.actor, t.tactic ORDER BY u.technique) AS rn, count(*) OVER (PARTITION BY u.actor, t.tactic) AS n FROM {uses} AS u JOIN {techniques} AS t ON u.technique = t.technique JOIN {tactic_rank} AS r ON t.tactic = r.tactic),
+        heads AS (SELECT * FROM acts WHERE rn = 1)
+        SELECT x.actor AS flow, x.technique AS src, y.technique AS dst, CAST(0.3 AS DOUBLE) AS p FROM acts AS x JOIN acts AS y ON x.actor = y.actor AND x.tactic_order = y.tactic_order AND x.rn < y.rn WHERE x.n <= 5
+        UNION ALL SELECT x.actor, x.technique, y.technique, CAST(0.25 AS DOUBLE) FROM heads AS x JOIN acts AS y ON x.actor = y.actor AND x.tactic_order = y.tactic_order AND y.rn > 1 WHERE x.n > 5
+        UNION ALL SELECT x.actor, x.technique, y.technique, CAST(0.4 AS DOUBLE) FROM heads AS x JOIN heads AS y ON x.actor = y.actor AND y.tactic_order = x.tactic_order + 1""",
+    ).against("""WITH g AS (SELECT actor, p_type AS tactic, list(technique ORDER BY technique) AS ts FROM {uses} JOIN part ON technique = p_partkey GROUP BY ALL), o AS (SELECT g.*, r.tactic_order AS o FROM g JOIN {tactic_rank} AS r USING (tactic))
+        SELECT actor AS flow, ts[i] AS src, ts[j] AS dst, 0.3::DOUBLE AS p FROM o, range(1, 6) AS a(i), range(1, 6) AS b(j) WHERE len(ts) <= 5 AND i < j AND j <= len(ts)
+        UNION ALL SELECT actor, ts[1], unnest(ts[2:]), 0.25::DOUBLE FROM o WHERE len(ts) > 5 UNION ALL SELECT x.actor, x.ts[1], y.ts[1], 0.4::DOUBLE FROM o AS x JOIN o AS y ON x.actor = y.actor AND y.o - x.o = 1"""),
 }

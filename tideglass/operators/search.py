@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.functions.sqlop import Op
+from tideglass.sources.rules import match_keywords
 
 # Keyword scores count a document's hits of a query's words; ranks feed the fusion.
 _KEYWORD = "kw AS (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), :word, ''))) / length(:word) AS hits FROM {documents} WHERE contains(lower(text), :word)), kr AS (SELECT doc_id, row_number() OVER (ORDER BY hits DESC, doc_id) AS rank FROM kw)"
@@ -28,7 +29,6 @@ OPS = {
     "g07_filtered_search": Op("Hits above a score in a phase; the two best of all if none is.", f"WITH {_KEYWORD}, s AS (SELECT kr.doc_id, d.lang, 1.0 / rank AS score, rank FROM kr JOIN {{documents}} AS d ON kr.doc_id = d.doc_id), hit AS (SELECT * FROM s WHERE score >= :least AND lang = :phase), n AS (SELECT count(*) AS n FROM hit) SELECT doc_id, round(score, 6) AS score FROM hit UNION ALL SELECT doc_id, round(score, 6) FROM s CROSS JOIN n WHERE n.n = 0 AND rank <= 2", word="tion", least=0.1, phase="en"),
     "g08_context_rerank": Op("Scores raised for sub-techniques of found parents and for usual companions.", "WITH s AS (SELECT technique, family, is_sub, 1.0 / (1 + technique % 50) AS score FROM {techniques}) SELECT technique, round(score * (CASE WHEN is_sub AND family IN :found THEN 1.3 ELSE 1.0 END) * (CASE WHEN family IN :related THEN 1.2 ELSE 1.0 END), 6) AS score FROM s", found=["Brand#11", "Brand#23"], related=["Brand#12", "Brand#34"]),
     "g09_missing_phases": Op("Documents that have enough of one phase and none of the next.", "SELECT doc_id, 'next phase' AS suggestion FROM {documents} WHERE (length(text) - length(replace(text, 'the', ''))) / 3 >= 2 AND NOT contains(text, 'that')"),
-    "g13_keyword_match": Op("Which keywords of an index each document contains.", "SELECT d.doc_id, k.technique FROM {documents} AS d JOIN (VALUES ('of the', 'T1'), ('und', 'T2'), ('que', 'T3'), ('ing that', 'T4')) AS k(keyword, technique) ON contains(lower(d.text), k.keyword)"),
     "m15_phrases": Op("Documents by technique phrase, exact before partial.", "SELECT doc_id, technique, CAST(max(score) AS BIGINT) AS score FROM (SELECT d.doc_id, p.technique, CASE WHEN contains(d.text, p.phrase) THEN 100 ELSE 75 END AS score FROM {documents} AS d JOIN (VALUES ('The ', 'T1'), ('Und ', 'T2'), ('Que ', 'T3')) AS p(phrase, technique) ON contains(lower(d.text), lower(p.phrase))) AS s GROUP BY doc_id, technique"),
     "p23_relevance_ladder": Op("First rung of the phrase ladder for each document.", "SELECT doc_id, CAST(CASE WHEN contains(text, ' the ') THEN 100 WHEN contains(lower(text), 'the ') THEN 80 WHEN contains(lower(text), 'the') THEN 75 WHEN contains(lower(text), 'und') THEN 60 ELSE 0 END AS BIGINT) AS relevance FROM {documents}"),
 }
@@ -125,11 +125,77 @@ def merge_chunks(chunks: DataFrame, most: int = 2000) -> DataFrame:
     return merged.select("doc_id", F.posexplode("texts").alias("chunk_no", "text")).select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "text")
 
 
-def semantic_dedup(items: DataFrame, threshold: float = 0.95, most: int = 50) -> DataFrame:
+def embed(rows: DataFrame, encode: Callable[[list[str]], np.ndarray], text: str = "text", batch: int = 256) -> DataFrame:
+    """rows with a column embedding: what a model makes of each text, in batches; null for blank or null texts. encode is
+    sent to the workers, which call it with up to `batch` texts."""
+    names = rows.columns
+    from pyspark.sql.types import ArrayType, FloatType, StructType
+
+    schema = StructType([f for f in rows.schema.fields if f.name != "embedding"]).add("embedding", ArrayType(FloatType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                live = [i for i, t in enumerate(texts) if t and t.strip()]
+                out: list = [None] * len(texts)
+                for i, v in zip(live, encode([texts[i] for i in live]) if live else [], strict=True):
+                    out[i] = np.asarray(v, np.float32).tolist()
+                yield pa.record_batch([*part.columns[:-1], pa.array(out, pa.list_(pa.float32()))], names=[f.name for f in schema])
+
+    return rows.select(*[rows[c] for c in names if c != "embedding"], rows[text].cast("string").alias("_body")).mapInArrow(run, schema)
+
+
+def hashed_encoder(dimensions: int = 64) -> Callable[[list[str]], np.ndarray]:
+    """An encoder without a model: counts of lower-cased words by hash, of unit length."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        import zlib
+
+        out = np.zeros((len(texts), dimensions), np.float32)
+        for i, t in enumerate(texts):
+            for w in t.lower().split():
+                out[i, zlib.crc32(w.encode()) % dimensions] += 1
+        return unit(out)
+
+    return encode
+
+
+def extract_chunked(docs: DataFrame, find: Callable[[DataFrame], DataFrame], target: int = 4000, overlap: int = 150) -> DataFrame:
+    """Techniques of whole texts by chunks: each text is cut into overlapping chunks of about `target` characters, as
+    many as it takes; find gives claims (chunk, technique, confidence) for a table (chunk, text); claims are put back on
+    their documents and merged: doc_id, technique, confidence (the highest, two more for each further chunk, at most
+    100), n_chunks, first_chunk. What asks a language model does so in find."""
+    pieces = chunk(docs, target, overlap).select("doc_id", "chunk_no", F.concat_ws(":", "doc_id", "chunk_no").alias("chunk"), "text")
+    claims = find(pieces.select("chunk", "text")).join(pieces.select("chunk", "doc_id", "chunk_no"), "chunk")
+    one = claims.groupBy("doc_id", "technique", "chunk_no").agg(F.max("confidence").alias("confidence"))
+    merged = one.groupBy("doc_id", "technique").agg(F.max("confidence").alias("best"), F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_no").alias("first_chunk"))
+    return merged.select("doc_id", "technique", F.least(F.lit(100).cast("double"), F.col("best") + 2 * (F.col("n_chunks") - 1)).alias("confidence"), "n_chunks", "first_chunk")
+
+
+def _by_keywords(docs: DataFrame, index: DataFrame) -> DataFrame:
+    def find(pieces: DataFrame) -> DataFrame:
+        return match_keywords(pieces.withColumnRenamed("chunk", "doc_id"), index).select(F.col("doc_id").alias("chunk"), "technique", F.least(F.lit(90.0), 60.0 + F.length("keyword")).alias("confidence"))
+
+    return extract_chunked(docs, find)
+
+
+def semantic_dedup(items: DataFrame, threshold: float = 0.95, most: int = 50, family: str | None = None, apart: float = 0.98) -> DataFrame:
     """Within each group of (grp, id, size, v): an item is a duplicate if its cosine with a kept one is above the
-    threshold; the larger replaces. In groups above `most` items only equal vectors are duplicates, of the least id; those
+    threshold; the larger replaces. With a column `family` (technique ids like T1059.001) a technique is never merged
+    with its own parent, and techniques of different families only above `apart`. In groups above `most` items only equal vectors are duplicates, of the least id; those
     groups are never collected."""
 
+    def least(a: str | None, b: str | None) -> float:
+        """The cosine that merges two techniques."""
+        if a is None or b is None or a == b:
+            return threshold
+        (top_a, dot_a, _), (top_b, dot_b, _) = a.partition("."), b.partition(".")
+        if top_a == top_b:
+            return threshold if dot_a and dot_b else 2.0  # a parent and its sub-technique stay apart
+        return max(threshold, apart)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -139,7 +205,7 @@ def semantic_dedup(items: DataFrame, threshold: float = 0.95, most: int = 50) ->
                 kept: list[int] = []
                 owner: dict[int, int] = {}
                 for i, m in enumerate(members):
-                    near = next((k for k in kept if float(vs[i] @ vs[k]) > threshold), None)
+                    near = next((k for k in kept if float(vs[i] @ vs[k]) > least(m["family"], members[k]["family"])), None)
                     if near is None:
                         kept.append(i)
                         owner[i] = i
@@ -152,13 +218,15 @@ def semantic_dedup(items: DataFrame, threshold: float = 0.95, most: int = 50) ->
             cols = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["grp", "id", "keep_id"])
 
-    items = items.select(F.col("grp").cast("long").alias("grp"), "id", "size", "v")
+    kin = F.col(family).cast("string") if family else F.lit(None).cast("string")
+    items = items.select(F.col("grp").cast("long").alias("grp"), "id", "size", "v", kin.alias("family"))
     sizes = items.groupBy("grp").agg((F.count(F.lit(1)) > most).alias("large")).withColumnRenamed("grp", "g")
     placed = items.join(sizes, F.col("grp").eqNullSafe(F.col("g")))
-    small = placed.where(~F.col("large")).groupBy("grp").agg(F.collect_list(F.struct("id", "size", "v")).alias("members"))
-    large = placed.where("large").select("grp", "id", "v")
-    first = large.groupBy(F.col("grp").alias("g"), F.col("v").alias("w")).agg(F.min("id").alias("keep_id"))
-    equal = large.join(first, F.col("grp").eqNullSafe(F.col("g")) & F.col("v").eqNullSafe(F.col("w")))
+    small = placed.where(~F.col("large")).groupBy("grp").agg(F.collect_list(F.struct("id", "size", "v", "family")).alias("members"))
+    # Equal vectors of different techniques of one family are not merged here, as one may be the other's parent.
+    large = placed.where("large").select("grp", "id", "v", F.coalesce("family", F.lit("")).alias("family"))
+    first = large.groupBy(F.col("grp").alias("g"), F.col("v").alias("w"), F.col("family").alias("k")).agg(F.min("id").alias("keep_id"))
+    equal = large.join(first, F.col("grp").eqNullSafe(F.col("g")) & F.col("v").eqNullSafe(F.col("w")) & (F.col("family") == F.col("k")))
     return small.mapInArrow(run, "grp long, id long, keep_id long").unionByName(equal.select("grp", F.col("id").cast("long").alias("id"), F.col("keep_id").cast("long").alias("keep_id")))
 
 
@@ -175,6 +243,18 @@ _KNN = "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS neighbour, round(list_c
 FUNCTIONS = {
     "g01_knn": (knn, ["embeddings"], _KNN.replace("{extra}", "") + "SELECT query, neighbour, rank, score FROM r WHERE rank <= 10"),
     "g02_knn_filtered": (lambda e: knn(e, label_filter=True), ["embeddings"], _KNN.replace("{extra}", ", q.label = e.label AS same") + ", f AS (SELECT query, neighbour, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS rank FROM r WHERE rank <= 30 AND same) SELECT * FROM f WHERE rank <= 10"),
+    "g10_embedding": (lambda d: embed(d.select("doc_id", "text"), hashed_encoder()).select("doc_id", F.round(F.col("embedding")[0], 6).alias("first"), F.size("embedding").cast("bigint").alias("n")), ["documents"], None),
+    "g13_keyword_match": (
+        match_keywords,
+        ["documents", "keyword_index"],
+        "SELECT doc_id, keyword, technique FROM documents AS d JOIN keyword_index AS k ON CASE WHEN contains(keyword, ' ') THEN contains(lower(text), keyword) AND list_contains(regexp_extract_all(lower(text), '[a-z0-9_.%$#@+\\-]+'), split_part(keyword, ' ', 1)) ELSE list_contains(regexp_extract_all(lower(text), '[a-z0-9_.%$#@+\\-]+'), keyword) END",
+    ),
+    "m17_chunked_extraction": (_by_keywords, ["documents", "keyword_index"], None),
+    "g16_technique_dedup": (
+        lambda e: semantic_dedup(e.select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), (F.col("vec_id") % 13).alias("size"), F.col("embedding").alias("v"), F.concat(F.lit("T"), (F.col("vec_id") % 9).cast("string"), F.when(F.col("vec_id") % 4 > 0, F.concat(F.lit("."), (F.col("vec_id") % 4).cast("string"))).otherwise("")).alias("kin")), 0.3, family="kin", apart=0.4),
+        ["embeddings"],
+        None,
+    ),
     "g11_chunks": (chunk, ["documents"], None),
     "g12_merged_chunks": (lambda d: merge_chunks(chunk(d)), ["documents"], None),
     "g14_semantic_dedup": (lambda e: semantic_dedup(e.select((F.col("label") * 10 + F.col("vec_id") % 10).alias("grp"), F.col("vec_id").alias("id"), (F.col("vec_id") % 13).alias("size"), F.col("embedding").alias("v")), 0.3), ["embeddings"], None),

@@ -23,6 +23,8 @@ score AS (SELECT a, b, n, cond, prior, seen, :alpha * {_LOGIT.replace('{x}', 'co
 soft AS (SELECT *, exp(score - max(score) OVER (PARTITION BY a)) AS e FROM score),
 edges AS (SELECT a, b, n, cond, prior, seen, score, e / sum(e) OVER (PARTITION BY a) AS p FROM soft),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(p, 10) DESC, b) AS rn FROM edges)"""
+#: A tactic, and the one that usually comes with it.
+IMPLIED = (("initial-access", "persistence"), ("credential-access", "lateral-movement"), ("collection", "exfiltration"), ("lateral-movement", "discovery"))
 _W = {"alpha": 1.0, "beta": 0.5, "delta": 0.7}
 _TRIAGE = _STATS + f""", {_TACTICS}, judged AS (SELECT s.a, s.b, s.n, abs(s.p - s.p_rev) AS asym, s.p, s.p_rev, ta.tactic_order AS oa, tb.tactic_order AS ob FROM stats AS s LEFT JOIN tac AS ta ON s.a = ta.technique LEFT JOIN tac AS tb ON s.b = tb.technique),
 prio AS (SELECT *, (1 - asym) + least(n / 10, 1.0) + CASE WHEN oa <> ob THEN 0.3 / greatest(abs(oa - ob), 1) ELSE 0.0 END + 0.2 * (1 - abs(p - p_rev)) AS priority FROM judged WHERE asym <= :most_asymmetry AND n >= :least)"""
@@ -53,7 +55,23 @@ OPS = {
     "l42_adjacency": Op("Which ordered technique pairs are ever neighbours.", f"WITH {_SEQ} SELECT DISTINCT technique AS a, nxt AS b FROM steps WHERE nxt IS NOT NULL"),
     "l42_alignment": Op("Tactics that two techniques share.", "SELECT x.technique AS a, y.technique AS b, CAST(count(*) AS BIGINT) AS shared FROM {technique_tactic} AS x JOIN {technique_tactic} AS y ON x.tactic = y.tactic AND x.technique < y.technique GROUP BY x.technique, y.technique"),
     "p21_order_check": Op("Steps that go back more than two tactics or jump more than four.", f"WITH {_SEQ}, {_TACTICS}, w AS (SELECT episode, pos, tactic_order, lag(tactic_order) OVER (PARTITION BY episode ORDER BY pos) AS prev FROM steps JOIN tac ON steps.technique = tac.technique) SELECT episode, CAST(pos AS BIGINT) AS position, CASE WHEN tactic_order < prev - 2 THEN 'backward' ELSE 'jump' END AS warning FROM w WHERE tactic_order < prev - 2 OR tactic_order > prev + 4"),
-    "p22_missing_tactics": Op("Tactics implied by others that an episode lacks.", "WITH have AS (SELECT episode, max(CASE WHEN tactic = 'ECONOMY' THEN 1 ELSE 0 END) AS a, max(CASE WHEN tactic = 'LARGE' THEN 1 ELSE 0 END) AS b, max(CASE WHEN tactic = 'SMALL' THEN 1 ELSE 0 END) AS c FROM {et} AS e JOIN {primary_tactic} AS p ON e.technique = p.technique GROUP BY episode) SELECT episode, CASE WHEN a = 1 AND b = 0 THEN 'LARGE' ELSE 'SMALL' END AS suggested FROM have WHERE (a = 1 AND b = 0) OR (b = 1 AND c = 0)"),
+    "p22_missing_tactics": Op(
+        "Tactics that those of an episode imply and it lacks: four rules.",
+        f"""WITH rules AS (SELECT * FROM (VALUES {', '.join(f"('{has}', '{lacks}')" for has, lacks in IMPLIED)}) AS r(has, lacks)), t AS (SELECT DISTINCT e.episode, k.tactic FROM {{et}} AS e JOIN {{kill_chain}} AS k ON e.technique = k.technique)
+        SELECT t.episode, r.lacks AS suggested FROM t JOIN rules AS r ON t.tactic = r.has LEFT JOIN t AS o ON o.episode = t.episode AND o.tactic = r.lacks WHERE o.tactic IS NULL""",
+    ).against(
+        f"WITH t AS (SELECT episode, list(DISTINCT tactic) AS ts FROM {{et}} JOIN {{kill_chain}} USING (technique) GROUP BY episode) SELECT episode, unnest(list_filter([{', '.join(f"CASE WHEN list_contains(ts, '{has}') AND NOT list_contains(ts, '{lacks}') THEN '{lacks}' END" for has, lacks in IMPLIED)}], lambda x: x IS NOT NULL)) AS suggested FROM t"
+    ),
+    "d05_persisted_statistics": Op(
+        "Transition counts of each scope (all episodes, and each actor's) as one row with a JSON object, keys in order.",
+        f"""WITH {_SEQ}, pairs AS (SELECT 'global' AS scope, technique, nxt FROM steps WHERE nxt IS NOT NULL UNION ALL SELECT a.actor, s.technique, s.nxt FROM steps AS s JOIN {{attribution}} AS a ON s.episode = a.episode WHERE s.nxt IS NOT NULL),
+        n AS (SELECT scope, concat(technique, '→', nxt) AS pair, count(*) AS n FROM pairs GROUP BY scope, concat(technique, '→', nxt))
+        SELECT scope, CAST(count(*) AS BIGINT) AS pairs, CAST(sum(n) AS BIGINT) AS transitions, to_json(map_from_entries(array_sort(collect_list(struct(pair, n))))) AS statistics FROM n GROUP BY scope""",
+    ).against(
+        f"""WITH {_SEQ}, n AS (SELECT scope, technique || '→' || nxt AS pair, count(*) AS n FROM (SELECT unnest(['global', actor]) AS scope, technique, nxt FROM steps JOIN {{attribution}} USING (episode) WHERE nxt IS NOT NULL) AS u GROUP BY ALL)
+        SELECT scope, count(*)::BIGINT AS pairs, sum(n)::BIGINT AS transitions, '{{' || string_agg('"' || pair || '":' || n, ',' ORDER BY pair) || '}}' AS statistics FROM n GROUP BY scope"""
+        .replace("'{'", "'{'")
+    ),
     "p25_pair_context": Op("Directional strength and how natural a transition is.", f"WITH {_STATS}, {_TACTICS} SELECT s.a, s.b, round(p - p_rev, 6) AS strength, CASE WHEN {_PRIOR} > 0.5 THEN 'natural' WHEN {_PRIOR} > 0.2 THEN 'possible' ELSE 'unlikely' END AS progression, CAST(coalesce(abs(ta.tactic_order - tb.tactic_order), -1) AS BIGINT) AS distance FROM stats AS s LEFT JOIN tac AS ta ON s.a = ta.technique LEFT JOIN tac AS tb ON s.b = tb.technique"),
     "p26_shared_actors": Op("Actors that use both techniques of a pair.", "WITH ua AS (SELECT DISTINCT actor, technique FROM {eta}) SELECT x.technique AS a, y.technique AS b, CAST(count(*) AS BIGINT) AS actors FROM ua AS x JOIN ua AS y ON x.actor = y.actor AND x.technique < y.technique GROUP BY x.technique, y.technique"),
     "p27_model_comparison": Op("Edges that two models share, gained or lost.", "WITH m AS (SELECT src, dst, p FROM {ptg_edges}), base AS (SELECT src, dst, p FROM m WHERE length(src) % 2 = 0 OR p > 0.2), other AS (SELECT src, dst, p * 0.9 AS p FROM m WHERE length(dst) % 2 = 1 OR p > 0.25) SELECT coalesce(base.src, other.src) AS src, coalesce(base.dst, other.dst) AS dst, CASE WHEN base.src IS NULL THEN 'new' WHEN other.src IS NULL THEN 'removed' ELSE 'modified' END AS change, round(coalesce(other.p, 0) - coalesce(base.p, 0), 6) AS delta FROM base FULL OUTER JOIN other ON base.src = other.src AND base.dst = other.dst"),

@@ -36,15 +36,21 @@ OPS = {
     "e10_technique_statistics": Op("Uses, actors and most frequent follower of each technique.", "WITH f AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rn FROM {transitions}), u AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM {events} GROUP BY event_type) SELECT event_type, CAST(u.n AS BIGINT) AS uses, CAST(users AS BIGINT) AS flows, f.dst AS top_next, round(least(1.0, u.n / 100.0), 4) AS frequency FROM u LEFT JOIN f ON u.event_type = f.src AND f.rn = 1"),
     "e11_group_patterns": Op("Most frequent first three actions of an actor's episodes.", "WITH s AS (SELECT episode, max(CASE WHEN action_id = 1 THEN technique END) AS a, max(CASE WHEN action_id = 2 THEN technique END) AS b, max(CASE WHEN action_id = 3 THEN technique END) AS c FROM {actions} GROUP BY episode) SELECT a, b, c, CAST(count(*) AS BIGINT) AS n FROM s JOIN {attribution} AS att ON s.episode = att.episode WHERE actor = :actor GROUP BY a, b, c ORDER BY n DESC, a, b, c LIMIT :top", actor="NATION_3", top=50),
     "e13_compare_paths": Op(
-        "Overlap of flows' sets of states. Flows with equal sets are one class, so what is compared and returned are pairs of classes, with the number of flows of each; membership is the class's name.",
-        """WITH f AS (SELECT user_id, array_sort(collect_set(event_type)) AS states FROM {events} GROUP BY user_id), c AS (SELECT states, array_join(states, '+') AS class, count(*) AS flows FROM f GROUP BY states)
+        "Overlap of the sets of states of flows (a user's day). Flows with equal sets are one class, so what is compared and returned are pairs of classes, with the number of flows of each; membership is the class's name.",
+        """WITH f AS (SELECT user_id, CAST(ts AS DATE) AS day, array_sort(collect_set(event_type)) AS states FROM {events} GROUP BY user_id, CAST(ts AS DATE)), c AS (SELECT states, array_join(states, '+') AS class, count(*) AS flows FROM f GROUP BY states)
         SELECT a.class AS class_a, b.class AS class_b, CAST(a.flows AS BIGINT) AS flows_a, CAST(b.flows AS BIGINT) AS flows_b, CAST(size(array_intersect(a.states, b.states)) AS BIGINT) AS shared, round(size(array_intersect(a.states, b.states)) / CAST(size(array_union(a.states, b.states)) AS DOUBLE), 6) AS jaccard
         FROM c AS a JOIN c AS b ON a.class < b.class AND arrays_overlap(a.states, b.states)""",
-    ).against("""WITH s AS (SELECT DISTINCT user_id, event_type FROM {events}), f AS (SELECT user_id, string_agg(event_type, '+' ORDER BY event_type) AS class FROM s GROUP BY user_id), n AS (SELECT class, count(*) AS flows FROM f GROUP BY class), m AS (SELECT DISTINCT class, event_type FROM s JOIN f USING (user_id)), k AS (SELECT class, count(*) AS k FROM m GROUP BY class),
+    ).against("""WITH s AS (SELECT DISTINCT concat(user_id, '/', ts::DATE) AS flow, event_type FROM {events}), f AS (SELECT flow, string_agg(event_type, '+' ORDER BY event_type) AS class FROM s GROUP BY flow), n AS (SELECT class, count(*) AS flows FROM f GROUP BY class), m AS (SELECT DISTINCT class, event_type FROM s JOIN f USING (flow)), k AS (SELECT class, count(*) AS k FROM m GROUP BY class),
         p AS (SELECT x.class AS a, y.class AS b, count(*) AS shared FROM m AS x JOIN m AS y ON x.event_type = y.event_type AND x.class < y.class GROUP BY x.class, y.class)
         SELECT a AS class_a, b AS class_b, x.flows::BIGINT AS flows_a, y.flows::BIGINT AS flows_b, shared::BIGINT AS shared, round(shared / (j.k + l.k - shared)::DOUBLE, 6) AS jaccard FROM p JOIN n AS x ON x.class = a JOIN n AS y ON y.class = b JOIN k AS j ON j.class = a JOIN k AS l ON l.class = b"""),
     "e15_compare_rollouts": Op("Change in how often states occur between two halves of the flows.", "WITH a AS (SELECT event_type, count(*) AS n FROM {events} WHERE user_id % 2 = 0 GROUP BY event_type), b AS (SELECT event_type, count(*) AS n FROM {events} WHERE user_id % 2 = 1 GROUP BY event_type) SELECT coalesce(a.event_type, b.event_type) AS event_type, CAST(coalesce(b.n, 0) - coalesce(a.n, 0) AS BIGINT) AS delta FROM a FULL OUTER JOIN b ON a.event_type = b.event_type"),
     "e17_mitigated_edges": Op("Edges after a state is removed and others are hampered, normalised by source.", "WITH m AS (SELECT src, dst, p * (CASE WHEN dst = :hampered THEN 1 - :penalty ELSE 1.0 END) AS p FROM {ptg_edges} WHERE src <> :removed AND dst <> :removed) SELECT src, dst, round(p / sum(p) OVER (PARTITION BY src), 6) AS p FROM m WHERE p > 0", removed="error", hampered="view", penalty=0.5),
+    "e22_graph_export": Op(
+        "A transition graph as nodes and edges in JSON, for display.",
+        """WITH d AS (SELECT id, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT src AS id, 0 AS i, 1 AS o FROM {ptg_edges} UNION ALL SELECT dst, 1, 0 FROM {ptg_edges}) AS u GROUP BY id)
+        SELECT 'node' AS kind, id, to_json(named_struct('id', id, 'in', CAST(n_in AS INT), 'out', CAST(n_out AS INT))) AS body FROM d UNION ALL SELECT 'edge', concat(src, '→', dst), to_json(named_struct('source', src, 'target', dst, 'n', n)) FROM {ptg_edges}""",
+    ).against("""WITH s AS (SELECT src AS id FROM {ptg_edges} UNION SELECT dst FROM {ptg_edges})
+        SELECT 'node' AS kind, id, json_object('id', id, 'in', (SELECT count(*) FROM {ptg_edges} AS e WHERE e.dst = s.id)::INT, 'out', (SELECT count(*) FROM {ptg_edges} AS e WHERE e.src = s.id)::INT)::VARCHAR AS body FROM s UNION ALL SELECT 'edge', src || '→' || dst, json_object('source', src, 'target', dst, 'n', n)::VARCHAR FROM {ptg_edges}"""),
     "e23_interdiction_candidates": Op("States by weighted degree with the cost of mitigating them.", "WITH d AS (SELECT t, sum(n) AS w FROM (SELECT src AS t, n FROM {ptg_edges} UNION ALL SELECT dst, n FROM {ptg_edges}) AS u GROUP BY t) SELECT t AS state, CAST(w AS BIGINT) AS weight, CAST(CASE WHEN length(t) <= 5 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS cost FROM d"),
 }
 

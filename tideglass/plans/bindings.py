@@ -34,6 +34,8 @@ VIEWS = {
     "reports": "SELECT doc_id AS report_id, source, lang, n_chars, text, TIMESTAMP '2024-01-01 00:00:00' + CAST(doc_id % 60 AS INT) * INTERVAL 1 DAY AS ingested, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE concat('c', CAST(doc_id % 11 AS VARCHAR(9))) END AS campaign, CASE doc_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'processing' ELSE 'failed' END AS status FROM {documents}",
     "candidates": "SELECT event_id AS candidate, event_type AS type, CASE event_id % 5 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN NULL ELSE 'pending' END AS status, value AS confidence, ts AS created FROM {events}",
     "predictions": "SELECT d.doc_id, d.source AS model_type, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS truth, CASE WHEN n_chars > 600 THEN 'good' WHEN n_chars > 200 THEN 'bad' ELSE 'tiny' END AS predicted, CAST(n_chars % 101 AS DOUBLE) / 100 AS confidence FROM {documents} AS d JOIN {labels} AS l ON d.doc_id = l.doc_id",
+    "keyword_index": "SELECT DISTINCT keyword, technique FROM (SELECT lower(split_part(text, ' ', 1)) AS keyword, concat('T', CAST(item_id AS VARCHAR(19))) AS technique FROM {benchmark} UNION ALL SELECT lower(concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3))), concat('T', CAST(item_id AS VARCHAR(19))) FROM {benchmark}) AS k WHERE length(trim(keyword)) > 1",
+    "kill_chain": "SELECT p_brand AS technique, CASE CAST(substr(p_brand, 7, 2) AS INT) % 7 WHEN 0 THEN 'initial-access' WHEN 1 THEN 'persistence' WHEN 2 THEN 'credential-access' WHEN 3 THEN 'lateral-movement' WHEN 4 THEN 'collection' WHEN 5 THEN 'exfiltration' ELSE 'discovery' END AS tactic FROM (SELECT DISTINCT p_brand FROM {part}) AS b",
     "flow_reports": "SELECT o_orderkey AS flow, o_custkey AS report_id, o_orderdate AS created, o_totalprice AS score, o_orderstatus AS status, o_orderpriority AS kind FROM {orders}",
     "embedded": "SELECT vec_id, embedding, label FROM {embeddings}",
     "words": "SELECT item_id, text FROM {benchmark}",

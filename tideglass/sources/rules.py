@@ -28,6 +28,11 @@ def link_rules(rules: DataFrame, techniques: DataFrame) -> DataFrame:
     return wanted.join(parts, "wanted").select("rule", "external_id", F.lit(85).alias("confidence")).distinct()
 
 
+def unlink_rules(edges: DataFrame, rules: DataFrame) -> DataFrame:
+    """Edges (rule, ...) without those of the given rules (id): what is left after they were withdrawn."""
+    return edges.join(rules.select(F.col("id").alias("rule")).distinct(), "rule", "left_anti")
+
+
 def read_keyword_index(spark: SparkSession, path: str) -> DataFrame:
     """Lines `keyword: T1,T2`, comments with #: keyword, technique."""
     lines = spark.read.text(path).where(~F.trim("value").startswith("#") & F.contains("value", F.lit(":")))

@@ -106,6 +106,47 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "stix_id") -> tuple[DataFr
     return merged, counts
 
 
+#: Fixed value: the namespace of names in URL form (RFC 9562).
+NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
+    """Name-based UUID, version 5, as text."""
+    hexed = F.sha1(F.concat(F.unhex(F.lit(namespace)), name.cast("binary")))
+    variant = F.lower(F.hex(F.lit(8).bitwiseOR(F.conv(F.substring(hexed, 17, 1), 16, 10).cast("int").bitwiseAND(3))))
+    return F.concat_ws("-", F.substring(hexed, 1, 8), F.substring(hexed, 9, 4), F.concat(F.lit("5"), F.substring(hexed, 14, 3)), F.concat(variant, F.substring(hexed, 18, 3)), F.substring(hexed, 21, 12))
+
+
+def ident(kind: str, *parts: Column) -> Column:
+    """Stable id of an object from what names it."""
+    return F.concat(F.lit(kind + "--"), uuid5(F.concat_ws(":", F.lit(kind), *parts)))
+
+
+def assemble_bundles(claims: DataFrame, reports: DataFrame, cap: float = 85.0) -> DataFrame:
+    """One STIX bundle for each report: report, n_objects, bundle (JSON). claims: report, external_id, name, kind
+    (attack-pattern, intrusion-set, malware or tool), confidence; reports: report, title.
+
+    Claims of one object are merged at their highest confidence, at most `cap`. Every other object of a report uses each
+    of its attack-patterns; the report refers to all. Ids are name-based, so the same input makes the same bundle. A
+    report without claims has a bundle of the report alone."""
+    who = F.coalesce("external_id", F.lower("name"))
+    merged = claims.groupBy("report", "kind", who.alias("who")).agg(F.max("confidence").alias("confidence"), F.min("name").alias("name"), F.min("external_id").alias("external_id"))
+    own = F.concat(F.col("kind"), F.lit("--"), uuid5(F.concat_ws(":", "kind", "who")))
+    objects = merged.select("report", "kind", own.alias("id"), "name", F.least("confidence", F.lit(cap)).alias("confidence"), "external_id")
+    reference = F.when(F.col("external_id").isNotNull(), F.array(F.struct(F.lit("mitre-attack").alias("source_name"), "external_id")))
+    made = objects.select("report", "id", F.to_json(F.struct(F.col("kind").alias("type"), "id", F.lit("2.1").alias("spec_version"), "name", "confidence", reference.alias("external_references"))).alias("object"))
+    actors = objects.where("kind <> 'attack-pattern'").select("report", F.col("id").alias("source"), F.col("confidence").alias("c"))
+    uses = actors.join(objects.where("kind = 'attack-pattern'").select("report", F.col("id").alias("target"), "confidence"), "report")
+    edge = ident("relationship", F.col("source"), F.lit("uses"), F.col("target"))
+    edges = uses.select("report", edge.alias("id"), F.to_json(F.struct(F.lit("relationship").alias("type"), edge.alias("id"), F.lit("2.1").alias("spec_version"), F.lit("uses").alias("relationship_type"), F.col("source").alias("source_ref"), F.col("target").alias("target_ref"), F.least("c", "confidence").alias("confidence"))).alias("object"))
+    grouped = made.unionByName(edges).groupBy("report").agg(F.array_sort(F.collect_list(F.struct("id", "object"))).alias("parts"))
+    all_ = reports.join(grouped, "report", "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<id:string,object:string>>")))
+    name = ident("report", F.col("report").cast("string"))
+    head = F.to_json(F.struct(F.lit("report").alias("type"), name.alias("id"), F.lit("2.1").alias("spec_version"), F.col("title").alias("name"), F.transform("parts", lambda p: p["id"]).alias("object_refs")))
+    body = F.concat_ws(",", F.transform("parts", lambda p: p["object"]), head)
+    return all_.select("report", (F.size("parts") + 1).cast("bigint").alias("n_objects"), F.concat(F.lit('{"type":"bundle","id":"'), ident("bundle", F.col("report").cast("string")), F.lit('","objects":['), body, F.lit("]}")).alias("bundle"))
+
+
 def assemble(claims: DataFrame, cap: float = 85.0) -> DataFrame:
     """Claims (external_id, name, confidence) as STIX objects in JSON with ids named by a hash; confidence is capped."""
     hexed = F.sha2(F.concat(F.lit("attack-pattern:"), "external_id"), 256)
