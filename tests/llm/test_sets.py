@@ -2,14 +2,14 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tideglass.llm import exact_dedup, fingerprint, jaccard_join
-from tideglass.llm.shingles import WordHashes, shingle_set
+from tideglass.llm.shingles import shingle_set, shingle_sets
 
 LONG = "word " * 30_000
 
@@ -75,38 +75,82 @@ def test_one_document_of_each_group_stays(docs):
     assert sorted(r["doc_id"] for r in jaccard_join.keep_first(docs).collect()) == sorted(set(want.values()))
 
 
-@pytest.mark.parametrize("levels", [1, 2, 50])
-def test_large_regions_recurse_and_stay_exact(spark, monkeypatch, levels):
-    """A family of drifting copies in which no leaf is small enough, so pivots are elected again and again."""
-    monkeypatch.setattr(jaccard_join, "LEAF", 4)
-    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+@pytest.mark.parametrize("leaf", [2, 8, 40])
+def test_large_regions_recurse_and_stay_exact(spark, monkeypatch, leaf):
+    """Drifting copies, copies of changing length, near misses, and unrelated texts with one passage: no region is small
+    enough, so shells, Voronoi regions, windows and blocks all have their part."""
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "HOT", 7)
+    monkeypatch.setattr(jaccard_join, "SPREAD", 20)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(80)]
-    rows = []
+    texts = []
     for i in range(60):
-        rows.append((i, " ".join(base)))
+        texts.append(" ".join(base))
         base[rng.randrange(80)] = f"n{i}"
         if i % 10 == 9:
             for k in range(12):
                 base[rng.randrange(80)] = f"m{i}-{k}"
+    long = [f"l{i}" for i in range(200)]
+    texts += [" ".join(long[: 60 + 5 * i]) for i in range(28)]
+    for i in range(40):
+        near = list(long[:90])
+        for k in rng.sample(range(90), 2 + i % 4):
+            near[k] = f"e{i}-{k}"
+        texts.append(" ".join(near))
+    passage = [f"p{i}" for i in range(12)]
+    texts += [" ".join(passage + [f"u{i}-{k}" for k in range(i)]) for i in range(30)]
+    rows = list(enumerate(texts))
     want, _ = components(dict(rows))
     got = jaccard_join.cluster(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
+def test_forest_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(4)
+    for m in (5, 8, 9, 30):
+        for _ in range(40):
+            base = rng.integers(0, 2**63, 60).astype(np.uint64)
+            sets = sorted((np.unique(np.concatenate([rng.choice(base, rng.integers(20, 60), replace=False), rng.integers(0, 2**63, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(m)), key=len)
+            n, bits = [len(s) for s in sets], [jaccard_join.parity(s).tobytes() for s in sets]
+            home = [bool(rng.integers(0, 3)) for _ in range(m)]
+            fits = [(i, j) for i in range(m) for j in range(i + 1, m) if (home[i] or home[j]) and 100 * n[i] >= 75 * n[j] and jaccard_join.room(n[i], n[j], jaccard_join.differ(n[i], bits[i], n[j], bits[j]), 75)]
+            failed = {p for p in fits if rng.random() < 0.3}
+            for spare in (0, 3, 10_000):
+                got = jaccard_join.forest(n, bits, home, list(range(m)), failed, spare, 75)
+                assert set(got) <= set(fits) - failed
+                parts = lambda pairs: {frozenset(k for k in range(m) if joined(pairs, m)[k] == r) for r in joined(pairs, m)}
+                assert parts(got) == parts(set(fits) - failed)
+
+
+def joined(pairs, m):
+    root = list(range(m))
+    for i, j in pairs:
+        old, new = root[j], root[i]
+        root = [new if r == old else r for r in root]
+    return root
+
+
 def test_bitmaps_never_exceed_the_distance():
     rng = np.random.default_rng(1)
     for _ in range(200):
         a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64))
         b = np.unique(np.concatenate([a[: rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64)]))
         common = len(np.intersect1d(a, b))
-        assert jaccard_join.least_distance(len(a), jaccard_join.parity(a), len(b), jaccard_join.parity(b)) <= 1 - common / (len(a) + len(b) - common) + 1e-12
+        assert jaccard_join.differ(len(a), jaccard_join.parity(a).tobytes(), len(b), jaccard_join.parity(b).tobytes()) <= len(a) + len(b) - 2 * common
 
 
-def test_star_rounds_join_a_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "x long, p long")
-    got = {r["node"]: r["label"] for r in jaccard_join.components(edges).collect()}
-    assert all(got[i] == 0 for i in range(1, 41)) and got[101] == 100
+@pytest.mark.parametrize("together", [0, 1_000_000])
+def test_components_of_paths_and_random_graphs(spark, together):
+    rng = random.Random(2)
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(25)]
+    root = {n: n for p in pairs for n in p}
+    for _ in range(100):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["node"]: r["node_label"] for r in jaccard_join.components(spark.createDataFrame(pairs, "x long, p long"), together).collect()}
+    assert {n: got.get(n, n) for n in root} == root
+    assert jaccard_join.components(spark.createDataFrame([], "x long, p long"), together).count() == 0
 
 
 def test_empty_tables(spark):
@@ -130,14 +174,16 @@ def test_fingerprints_of_edited_texts(docs):
         a, b = shingles(text), shingles(edited)
         assert g["near_edited"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0, abs=1e-12)
         assert (g["fingerprint"] == g["edited_fingerprint"]) == (a == b)
+        c = shingles(nxt)
+        assert g["near_next"] == pytest.approx(len(a & c) / len(a | c) if a | c else 1.0, abs=1e-12)
+        assert g["edited_containment"] == pytest.approx(len(a & b) / len(a) if a else 1.0, abs=1e-12)
 
 
 def test_sketches_merge_and_estimate():
-    cache = WordHashes()
     rng = random.Random(1)
     words = [f"v{i}" for i in range(5000)]
     x, y = (" ".join(rng.choices(words, k=4000)) for _ in range(2))
-    sx, sy = shingle_set(x, cache), shingle_set(y + " " + x, cache)
+    sx, sy = shingle_set(x), shingle_set(y + " " + x)
     a, b = fingerprint.sketch(sx), fingerprint.sketch(sy)
     both = fingerprint.sketch(np.union1d(sx, sy))
     assert (fingerprint.merge(a, b) == both).all()
@@ -147,6 +193,20 @@ def test_sketches_merge_and_estimate():
     assert (fingerprint.decode(fingerprint.encode(a)) == a).all()
 
 
+def test_fingerprints_of_groups_are_those_of_their_union(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", None]), " ".join(f"q{rng.randrange(3000)}" for _ in range(rng.choice([0, 3, 400])))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, part string, text string").withColumn("key", F.lit("x")).repartition(7)
+    marks = fingerprint.fingerprints(docs).join(docs.select("doc_id", "part"), "doc_id")
+    got = {r["part"]: r for r in fingerprint.merged(marks, "part").collect()}
+    assert set(got) == {"a", "b", None}
+    for part, r in got.items():
+        whole = np.unique(np.concatenate([shingle_set(t) for _, p, t in rows if p == part]))
+        assert r["fingerprint"] == fingerprint.encode(whole[: fingerprint.K])
+        assert r["n_shingles_estimate"] == pytest.approx(len(whole), rel=0.25)
+    assert fingerprint.merged(marks.limit(0), "part").count() == 0
+
+
 def test_fingerprints_with_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f"), (1, "x"), (1, "x"), (2, None)]
     got = fingerprint.with_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -161,9 +221,20 @@ def test_exact_dedup_with_ties_and_extra_columns(spark):
     got = exact_dedup.annotate(docs.select("doc_id", exact_dedup.text_digest(docs["text"]).alias("text_sha256"))).collect()
     assert len(got) == 7 and sum(r["kept"] for r in got) == 3
     assert {r["group_size"] for r in got if r["keep_id"] == 2} == {4}
-    plain = docs.drop("_tg_best")
-    kept = exact_dedup.deduplicate(plain)
-    assert kept.columns == plain.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5]
+    clash = docs.withColumns({c: F.lit(c) for c in ("digest", "best", "heavy", "rank", "c0", "c1", "_tg_digest")})
+    kept = exact_dedup.deduplicate(clash)
+    assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5]
+    assert {r["best"] for r in kept.collect()} == {"best"}
+
+
+@pytest.mark.parametrize("frequent", [1, 512])
+def test_exact_dedup_of_long_repeated_and_null_rows(spark, frequent):
+    rows = [(None, LONG)] * 30 + [(1, LONG + "x"), (1, LONG + "x"), (2, None), (None, ""), (3, "q")] + [(4, "tie")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    kept = exact_dedup.deduplicate(docs, frequent=frequent).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == {(None, LONG): 1, (1, LONG + "x"): 1, (2, None): 1, (3, "q"): 1, (4, "tie"): 1}
+    got = exact_dedup.annotate(docs.select("doc_id", exact_dedup.text_digest(docs["text"]).alias("text_sha256")), frequent=frequent).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == 5 and sorted({r["group_size"] for r in got}) == [1, 2, 20, 30]
 
 
 def test_frequent_digests_are_found(spark):
@@ -175,5 +246,17 @@ def test_frequent_digests_are_found(spark):
 def test_rows_with_repeated_and_null_ids_are_told_apart(spark):
     near = " ".join(f"a{i}" for i in range(80))
     rows = [(1, near), (2, near + " end"), (2, " ".join(f"b{i}" for i in range(80))), (None, " ".join(f"c{i}" for i in range(80))), (None, " ".join(f"c{i}" for i in range(80)) + " end"), (None, near + " more")]
-    kept = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("row", "key", "c0", "component_id", "_tg_gone", "sid", "label")})
+    kept = jaccard_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    kept = kept.collect()
+    assert {r["row"] for r in kept} == {"row"}
     assert sorted(((r["doc_id"] or 0, r["text"][:2]) for r in kept)) == [(0, "c0"), (1, "a0"), (2, "b0")]
+
+
+def test_join_of_repeated_and_null_ids_with_extra_columns(spark):
+    near = " ".join(f"a{i}" for i in range(80))
+    rows = [(None, near), (5, near + " end"), (5, near + " end"), (None, None), (7, ""), (7, "solo"), (8, near + " " + LONG)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("sid", "component_id", "n_shingles", "label")})
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.cluster(docs).collect())
+    assert got == {(None, 76, 5): 1, (5, 77, 5): 2, (None, 0, None): 1, (7, 0, 7): 1, (7, 1, 7): 1, (8, 81, 5): 1}

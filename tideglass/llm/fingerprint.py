@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.shingles import SIZE, WordHashes, shingle_set
+from tideglass.llm.shingles import SIZE, shingle_sets
 from tideglass.llm.store import width
 
 K = 256
@@ -77,41 +77,99 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     return both / max(1, int(in_a.sum()))
 
 
-FINGERPRINT_SCHEMA = "n_shingles_estimate double, fingerprint string"
-
-
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, k: int = K) -> DataFrame:
     """One fingerprint per row of docs: key, n_shingles_estimate, fingerprint."""
     pairs = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     schema = pa.schema([("key", _arrow_type(pairs)), ("n_shingles_estimate", pa.float64()), ("fingerprint", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                found = [sketch(shingle_set(t, cache, size), k) for t in part.column(1).to_pylist()]
+                found = [sketch(s, k) for s in shingle_sets(part.column(1), size)]
                 yield pa.record_batch([part.column(0), pa.array([distinct_count(v, k) for v in found]), pa.array(list(map(encode, found)))], schema=schema)
 
     kind = pairs.schema["key"].dataType.simpleString()
     return pairs.mapInArrow(run, f"key {kind}, n_shingles_estimate double, fingerprint string").withColumnRenamed("key", key)
 
 
+def merged(marks: DataFrame, by: str, fingerprint: str = "fingerprint", k: int = K) -> DataFrame:
+    """The fingerprint of the union of each group's texts: by, n_shingles_estimate, fingerprint. A null group is a group.
+
+    Fingerprints are merged where they are read, then once more by group; a group of any size meets as one fingerprint
+    from each task, and those are merged as they come.
+    """
+    pairs = marks.select(marks[by].alias("key"), marks[fingerprint].cast("string").alias("fingerprint"))
+    schema = pa.schema([("key", _arrow_type(pairs)), ("fingerprint", pa.string())])
+    kind = pairs.schema["key"].dataType.simpleString()
+
+    def out(held: dict) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(held), schema[0].type), pa.array([encode(v) for v in held.values()], pa.string())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for key, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key not in held and len(held) >= 10_000:
+                    yield out(held)
+                    held = {}
+                held[key] = merge(held[key], decode(mark), k) if key in held else decode(mark)
+        yield out(held)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups arrive one after another."""
+        held: dict = {}
+        for batch in batches:
+            done: dict = {}
+            for key, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key not in held:
+                    done |= held
+                    held = {key: decode(mark)}
+                else:
+                    held[key] = merge(held[key], decode(mark), k)
+            yield out(done)
+        yield out(held)
+
+    whole = pairs.mapInArrow(run, f"key {kind}, fingerprint string").repartition("key").sortWithinPartitions("key").mapInArrow(last, f"key {kind}, fingerprint string")
+    sized = pa.schema([schema[0], ("n_shingles_estimate", pa.float64()), schema[1]])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([distinct_count(decode(v), k) for v in batch.column(1).to_pylist()], pa.float64()), batch.column(1)], schema=sized)
+
+    return whole.mapInArrow(count, f"key {kind}, n_shingles_estimate double, fingerprint string").withColumnRenamed("key", by)
+
+
 def _arrow_type(df: DataFrame) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(df.schema[0].dataType)
 
 
-EDITED_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles_estimate double"
+def bisect(bounds: Column, n: int, value: Column) -> Column:
+    """How many of n sorted bounds are at most value; null for null."""
+    start = F.struct(F.lit(0).alias("low"), F.lit(n).alias("high"))
+    mid = lambda acc: F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+
+    def step(acc: Column, _: Column) -> Column:
+        right = (acc["low"] < acc["high"]) & (F.get(bounds, mid(acc)) <= value)
+        return F.when(acc["low"] >= acc["high"], acc).when(right, F.struct((mid(acc) + 1).alias("low"), acc["high"].alias("high"))).otherwise(F.struct(acc["low"].alias("low"), mid(acc).alias("high")))
+
+    return F.when(value.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length() + 1)), start, step, lambda acc: acc["low"]))
+
+
+EDITED_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles_estimate double, edited_containment double"
 
 
 def with_edited(docs: DataFrame, size: int = SIZE, k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edited text, which borrows the head of the next document.
 
-    Order is by doc_id (null first), then text; the last document is followed by the first. Ranges of doc_id are cut
-    at quantiles that are doc_ids of the table, so the document that follows a range is known before the shuffle and
-    travels to it as well: one exchange of the texts, no global window.
+    Order is by doc_id (null first), then text, so rows with one doc_id follow each other in a defined order; the last
+    document is followed by the first. Ranges of doc_id are cut at quantiles that are doc_ids of the table, so the
+    document that follows a range is known before the shuffle and travels to it as well: one exchange of the texts, a
+    task for each range, no global window. Rows of one doc_id stay in one range, where they are streamed.
+
+    An empty table gives an empty result. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
@@ -123,40 +181,44 @@ def with_edited(docs: DataFrame, size: int = SIZE, k: int = K) -> DataFrame:
         F.sum(F.col("doc_id").isNull().cast("bigint")).alias("nulls"),
     ).first()
     cuts = sorted({seen["low"], *(seen["cuts"] or [])} - {None})
-    bound = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    here = F.greatest(F.lit(0), F.coalesce(F.size(F.filter(bound, lambda c: c <= F.col("doc_id"))), F.lit(0)) - 1)
-    first = F.col("doc_id").isNull() if seen["nulls"] else F.col("doc_id") == F.lit(seen["low"])
-    starts = first | (F.array_contains(bound, F.col("doc_id")) & (F.col("doc_id") != F.lit(seen["low"]))) if cuts else first
+    bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    below = F.coalesce(bisect(bounds, len(cuts), F.col("doc_id")), F.lit(0))
+    at_cut = F.get(bounds, F.col("below") - 1) == F.col("doc_id")
+    first = F.col("doc_id").isNull() if seen["nulls"] else F.col("doc_id") == F.lit(seen["low"]).cast("bigint")
+    starts = F.coalesce(first | at_cut & (F.col("doc_id") != F.lit(seen["low"]).cast("bigint")), F.lit(False))
     before = F.when(first, F.lit(max(0, len(cuts) - 1))).otherwise(F.col("range") - 1)
+    own = F.struct("range", F.lit(0).alias("last"))
     dealt = (
-        rows.withColumn("range", here)
-        .withColumn("copies", F.when(F.coalesce(starts, F.lit(False)), F.array(F.struct("range", F.lit(0).alias("last")), F.struct(before.alias("range"), F.lit(1).alias("last")))).otherwise(F.array(F.struct("range", F.lit(0).alias("last")))))
+        rows.withColumn("below", below)
+        .withColumn("range", F.greatest(F.lit(0), F.col("below") - 1))
+        .withColumn("copies", F.when(starts, F.array(own, F.struct(before.alias("range"), F.lit(1).alias("last")))).otherwise(F.array(own)))
         .select("doc_id", "text", F.explode("copies").alias("copy"))
         .select("copy.range", "copy.last", "doc_id", "text")
-        .repartition(parts, "range")
+        .repartitionById(max(1, len(cuts)), F.col("range"))
         .sortWithinPartitions("range", "last", F.asc_nulls_first("doc_id"), "text")
     )
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_shingles_estimate", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), *((c, pa.float64()) for c in ("near_edited", "near_next", "n_shingles_estimate", "edited_containment"))])
+
+    def edit(text: str, following: str) -> str:
+        quarter = len(text) // 4
+        return text[: len(text) - quarter] + following[:quarter]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        held = None  # the row that waits for the one after it
-        out: list[tuple] = []
-        for batch in batches:
-            for where, last, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                own = None
-                if held and held[0] == where:
-                    own = sketch(shingle_set(text, cache, size), k)
-                    _, doc_id, old, mark = held
-                    quarter = len(old) // 4
-                    edited = old[: len(old) - quarter] + text[:quarter]
-                    other = sketch(shingle_set(edited, cache, size), k)
-                    out.append((doc_id, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encode(mark), encode(other), resemblance(mark, other, k), resemblance(mark, own, k), distinct_count(mark, k)))
-                    if len(out) >= 1024:
-                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                        out = []
-                held = None if last else (where, doc, text, own if own is not None else sketch(shingle_set(text, cache, size), k))
-        if out:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        held: list[tuple] = []  # the row that waits for the one after it: range, last, doc_id, text, fingerprint
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                marks = [sketch(s, k) for s in shingle_sets(batch.column(3), size)]
+                row = held + list(zip(*(batch.column(i).to_pylist() for i in range(4)), marks, strict=True))
+                pairs = [(a, b) for a, b in zip(row[:-1], row[1:], strict=True) if a[0] == b[0] and not a[1]]
+                held = row[-1:]
+                texts = [edit(a[3], b[3]) for a, b in pairs]
+                others = [sketch(s, k) for s in shingle_sets(pa.array(texts, pa.large_string()), size)]
+                out = [
+                    (a[2], len(a[3]), hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest(), encode(a[4]), encode(o), resemblance(a[4], o, k), resemblance(a[4], b[4], k), distinct_count(a[4], k), containment(a[4], o, k))
+                    for (a, b), t, o in zip(pairs, texts, others, strict=True)
+                ]
+                if out:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return dealt.mapInArrow(run, EDITED_SCHEMA)

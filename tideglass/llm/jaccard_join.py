@@ -1,24 +1,24 @@
 """Exact Jaccard join of word-shingle sets, as a join in a metric space.
 
-Jaccard distance is a metric, so pivots and the triangle inequality can settle pairs without comparing them:
-
-1. Neighbourhoods. Sets within the join's distance share a shingle among the first n - ceil(t n) + 1 of either, under
-   one order of all shingles (frequent ones, found beforehand, come last). Sets that share such a shingle form a
-   region of the space; regions with equal members count once.
-2. Pivots. A region elects pivots (the least set ids of as many hash classes). Every member's distance to them is
-   bounded from below by bitmaps and, where the bound leaves room for a link, computed exactly; once for each pair,
-   whatever the number of regions it is met in. That settles all pairs with a pivot. Each other member belongs to the
-   Voronoi region of its nearest pivot.
-3. Windows. A member so close to its pivot that everything within the join's distance of it must be linked to the
-   pivot too is settled. If the triangle inequality leaves room for a partner outside the pivot's ball, it is
-   replicated into the open region, where the members are that no pivot is near.
-4. Recursion. Open regions are joined in the same way, until none has an open pair: a region whose members are all
-   connected by the links so far has none. Small ones (LEAF members), and after LEVELS rounds all others in blocks of
-   that size, are settled at once: by sizes and bitmaps, then exactly. In the end links connect everything that is
-   connected.
-
-Equal sets are one point. No pair is emitted but with a pivot, or one that may be a link; hot pivots are dealt out over
-several tasks; nothing is capped. Sets are known by 64-bit hashes of their shingles and of themselves.
+Jaccard distance and the number of shingles in which two sets differ are metrics, so pivots and the triangle inequality
+can part a space into regions that are joined on their own:
+
+1. Neighbourhoods. Linked sets share a shingle among the first n - ceil(t n) + 1 of either, under one order of all
+   shingles (frequent ones, found beforehand, come last). Sets that share such a shingle form a region; regions with
+   equal members count once.
+2. Leaves. In a region of at most LEAF sets each member is a pivot in turn. Bitmaps bound its distances to the members
+   that it is not connected with; those that may be linked join it. So a region proposes a spanning forest of its
+   possible links, never all its pairs. Proposals are then decided exactly, once each. A region whose proposals all
+   hold is settled; the others propose again without the pairs that failed, and more at a time, until none has a
+   proposal left.
+3. Pivots. A larger region is first cut into shells, by distance from the empty set (the number of shingles), and each
+   shell into the Voronoi regions of elected pivots, which are settled on their own.
+4. Windows. Whatever is not connected with most of its region by then may have partners in other Voronoi regions: it is
+   replicated into each that the triangle inequality leaves room for. Regions that are still too large elect pivots
+   again; what pivots can't part (sets that are all equally far from each other) is settled block against block.
+
+Equal sets are one point. Nothing is capped. Sets are known by 64-bit hashes of their shingles and of themselves. The
+shingle that gives a region its name is dealt out over several tasks if it is frequent, large regions too.
 
 A text without words, or null, has an empty set, is linked with nothing and is its own component. Equal doc_ids and
 repeated rows each get their row; a null doc_id is never the name of a component that has another. An empty table
@@ -35,18 +35,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.bits import Members, members
-from tideglass.llm.shingles import SIZE, WordHashes, shingle_set
-from tideglass.llm.store import materialize, width
+from tideglass.llm.frequent import most_frequent
+from tideglass.llm.shingles import SIZE, shingle_sets
+from tideglass.llm.store import materialize, release, width
 
 PERCENT = 75
 FREQUENT = 200_000
-PIVOTS = 8
-LEAF = 512
-LEVELS = 2
+LEAF = 4096
 HOT = 2000
-EPS = 1e-9
+SPREAD = 50_000
+#: Edges that one task connects: 16 MB.
+TOGETHER = 1_000_000
 _KNOWN = 200_000
+_DOCS = 2000
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -60,33 +61,32 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def frequent_shingles(scanned: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of two thousand neighbouring documents have, at most `most`: sorted hashes and how often each was seen."""
+    """At most `most` shingles, those seen most often, among those that several of two thousand neighbouring documents
+    have: sorted hashes and how often each was seen."""
     counted = materialize(scanned.where("times IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("n")), "frequent")
-    least, held = 0, 0
-    for row in counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():  # at most 10,000 rows
-        held += row["count"]
-        if held > most:
-            least = row["n"] + 1
-            break
-    rows = counted.where(F.col("n") >= least).collect()
-    hashes = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    found = most_frequent(counted, "shingle", most).toArrow()
+    release(counted)
+    hashes, counts = (found.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
+    hashes = hashes.view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], np.array([r[1] for r in rows], np.int64)[order]
+    return hashes[order], counts[order]
 
 
-def prefix(shingles: np.ndarray, hashes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 shingles: infrequent ones by hash, then frequent ones by count and hash."""
+def prefix(shingles: np.ndarray, hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(t n) + 1 shingles: infrequent ones by hash, then frequent ones by count and hash; and how
+    often each was seen (0: infrequent)."""
     n = len(shingles)
     take = n - (percent * n + 99) // 100 + 1
     if not len(hashes):
-        return shingles[:take]
+        return shingles[:take], np.zeros(take, np.int64)
     at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
     often = hashes[at] == shingles
     rare = shingles[~often]
     if len(rare) >= take:
-        return rare[:take]
-    rest = shingles[often]
-    return np.concatenate([rare, rest[np.lexsort((rest, counts[at[often]]))][: take - len(rare)]])
+        return rare[:take], np.zeros(take, np.int64)
+    rest, seen = shingles[often], counts[at[often]]
+    order = np.lexsort((rest, seen))[: take - len(rare)]
+    return np.concatenate([rare, rest[order]]), np.concatenate([np.zeros(len(rare), np.int64), seen[order]])
 
 
 def scan(docs: DataFrame, size: int) -> DataFrame:
@@ -99,11 +99,10 @@ def scan(docs: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("bits", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                sets = [shingle_set(t, cache, size) for t in batch.column(1).to_pylist()]
+            for at in range(0, whole.num_rows, _DOCS):
+                batch = whole.slice(at, _DOCS)
+                sets = shingle_sets(batch.column(1), size)
                 own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s).tobytes() if len(s) else None for s in sets], pa.binary())]
                 yield pa.record_batch([batch.column(0), *own, *(pa.nulls(len(sets), pa.int64()) for _ in range(2))], schema=schema)
                 found, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -114,81 +113,108 @@ def scan(docs: DataFrame, size: int) -> DataFrame:
     return materialize(rows.mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles bigint, sid bigint, bits binary, shingle bigint, times bigint"), "points")
 
 
+def _region_names(starts: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A name for each run of x, the same for equal members."""
+    with np.errstate(over="ignore"):
+        mixed = (x.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        summed = np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), starts)
+        return _signed((summed ^ (summed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def neighbourhoods(docs: DataFrame, scanned: DataFrame, size: int, percent: int) -> DataFrame:
-    """Regions of sets that share a prefix shingle: g, x; written once, regions with equal members once."""
+    """Regions of sets that share a prefix shingle: g, x; written once, regions with equal members once.
+
+    Postings of a shingle that was seen more than SPREAD times are dealt out over several tasks and come together
+    under the shingle's own name; so are runs that are too long to be held.
+    """
     spark = docs.sparkSession
     often = spark.sparkContext.broadcast(frequent_shingles(scanned))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         seen: set[int] = set()
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                names, firsts = [], []
-                for t in whole.column(0).slice(at, 2000).to_pylist():
-                    s = shingle_set(t, cache, size)
+            for at in range(0, whole.num_rows, _DOCS):
+                names, firsts, spread = [], [], []
+                for s in shingle_sets(whole.column(0).slice(at, _DOCS), size):
                     if not len(s) or (sid := set_id(s)) in seen:
                         continue
                     if len(seen) < _KNOWN:
                         seen.add(sid)
-                    p = prefix(s, *often.value, percent)
+                    p, times = prefix(s, *often.value, percent)
                     firsts.append(p)
                     names.append(np.full(len(p), sid, np.int64))
+                    spread.append(np.where(times > SPREAD, 1 + sid % (times // SPREAD + 1), 0))
                 if names:
-                    yield pa.record_batch([pa.array(_signed(np.concatenate(firsts))), pa.array(np.concatenate(names))], names=["shingle", "x"])
+                    yield pa.record_batch([pa.array(_signed(np.concatenate(firsts))), pa.array(np.concatenate(spread).astype(np.int32)), pa.array(np.concatenate(names))], names=["shingle", "share", "x"])
 
-    posted = docs.select("text").mapInArrow(post, "shingle bigint, x bigint").repartition(width(spark), "shingle").sortWithinPartitions("shingle", "x")
+    posted = docs.select("text").mapInArrow(post, "shingle bigint, share int, x bigint").repartition(width(spark), "shingle", "share").sortWithinPartitions("shingle", "share", "x")
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3  # the run at hand, which may go on in the next batch
+        passed: tuple | None = None  # the key of a run that was too long to be held
         seen: set[int] = set()
-        held: list[np.ndarray] = []  # the sets of the shingle at hand, which may go on in the next batch
-        key, streaming = None, False
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held and not streaming:
-                x = np.unique(np.concatenate(held))
-                if len(x) > 1:
-                    g = set_id(x)
-                    if g not in seen:
-                        if len(seen) < _KNOWN:
-                            seen.add(g)
-                        yield pa.record_batch([pa.array(np.full(len(x), g, np.int64)), pa.array(x)], names=["g", "x"])
+
+        def rows(g: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(g), pa.array(x)], names=["g", "x"])
+
+        def regions(s: np.ndarray, share: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Whole runs."""
+            if not len(s):
+                return
+            step = (s[1:] != s[:-1]) | (share[1:] != share[:-1])
+            fresh = np.concatenate([[True], step | (x[1:] != x[:-1])])
+            s, share, x, step = s[fresh], share[fresh], x[fresh], np.concatenate([[True], step])[fresh]
+            starts = np.flatnonzero(step)
+            lengths = np.diff(starts, append=len(s))
+            own = (share[starts] > 0) | np.array([passed == (a, b) for a, b in zip(s[starts[:1]], share[starts[:1]], strict=True)] + [False] * (len(starts) - 1))
+            many = np.repeat((lengths > 1) | own, lengths)
+            if not many.any():
+                return
+            s, x, own, lengths = s[many], x[many], own[(lengths > 1) | own], lengths[(lengths > 1) | own]
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            names = np.where(own, s[starts], _region_names(starts, x))
+            fresh = np.zeros(len(names), bool)
+            fresh[np.unique(names, return_index=True)[1]] = True
+            fresh |= own
+            for i in np.flatnonzero(fresh & ~own):
+                if (g := int(names[i])) in seen:
+                    fresh[i] = False
+                elif len(seen) < _KNOWN:
+                    seen.add(g)
+            yield rows(np.repeat(names, lengths)[np.repeat(fresh, lengths)], x[np.repeat(fresh, lengths)])
 
         for batch in batches:
-            if not batch.num_rows:
+            s, share, x = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True))
+            if not len(s):
                 continue
-            shingle, x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            cuts = np.flatnonzero(np.diff(shingle)) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(x)]])
-            # Runs of one row in the middle of a batch are regions of one set, whatever the rest: most rows.
-            open_ = (ends - starts > 1) | (starts == 0) | (ends == len(x))
-            for a, b in zip(starts[open_], ends[open_], strict=True):
-                if shingle[a] != key:
-                    yield from close()
-                    held, key, streaming = [], shingle[a], False
-                part = x[a:b]
-                if not streaming and sum(map(len, held)) + len(part) > _KNOWN:
-                    # A very large region is passed on as it comes, under its shingle's name.
-                    streaming = True
-                    part = np.unique(np.concatenate([*held, part]))
-                    held = []
-                if streaming:
-                    yield pa.record_batch([pa.array(np.full(len(part), key, np.int64)), pa.array(part)], names=["g", "x"])
-                else:
-                    held.append(part)
-        yield from close()
-
+            before = np.flatnonzero((s != s[-1]) | (share != share[-1]))
+            cut = int(before[-1]) + 1 if len(before) else 0
+            yield from regions(s[:cut], share[:cut], x[:cut])
+            held = [s[cut:], share[cut:], x[cut:]]
+            if len(held[0]) > _KNOWN:
+                passed = (int(s[-1]), int(share[-1]))
+                part = np.unique(held[2])
+                yield rows(np.full(len(part), s[-1]), part)
+                held = [c[:0] for c in held]
+        yield from regions(*held)
+
+    # A run that was passed on in parts has its last part under the same name.
     return materialize(posted.mapInArrow(group, "g bigint, x bigint").distinct(), "regions")
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    """A bitmap of four to eight bits a shingle in which each shingle turns one bit. Two sets differ in at least as many
+    """A bitmap of two to four bits a shingle in which each shingle turns one bit. Two sets differ in at least as many
     shingles as their bitmaps differ in bits; halves laid over each other give the bitmap of half the size."""
-    size = 64 << max(0, int(4 * len(shingles) - 1).bit_length() - 6)
+    size = bitmap_bits(len(shingles))
     bits = np.bincount(((shingles >> np.uint64(7)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little")
 
 
+def bitmap_bits(n: int) -> int:
+    return 64 << max(0, int(2 * n - 1).bit_length() - 6)
+
+
 def fold(bitmap: np.ndarray, size: int) -> np.ndarray:
     while len(bitmap) > size:
         half = len(bitmap) // 2
@@ -196,219 +222,400 @@ def fold(bitmap: np.ndarray, size: int) -> np.ndarray:
     return bitmap
 
 
-def least_distance(n: int, a: np.ndarray, m: int, b: np.ndarray) -> float:
-    """A lower bound of the distance of two sets, from their sizes and bitmaps."""
+def differ(n: int, a: bytes, m: int, b: bytes) -> int:
+    """In how many shingles two sets differ at least, by their sizes and bitmaps."""
     size = min(len(a), len(b))
-    differ = max(abs(n - m), int(np.bitwise_count(fold(a, size) ^ fold(b, size)).sum()))
-    return 2 * differ / (n + m + differ)
-
-
-def sets_of(docs: DataFrame, places: Members, wanted: Members, size: int) -> DataFrame:
-    """sid, n, bits (all shingles) of the sets that may be wanted, one row each, from the documents that may be their first."""
-    shared = docs.sparkSession.sparkContext.broadcast((places, wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        places, wanted = shared.value
-        for whole in batches:
-            near = np.flatnonzero(places.holds(whole.column(0).to_numpy(zero_copy_only=False)))
-            for at in range(0, len(near), 1000):
-                texts = whole.column(1).take(pa.array(near[at : at + 1000])).to_pylist()
-                sets = [s for t in texts if len(s := shingle_set(t, cache, size))]
-                ids = np.array([set_id(s) for s in sets], np.int64)
-                out = np.flatnonzero(wanted.holds(ids)) if len(ids) else []
-                yield pa.record_batch([pa.array(ids[out]), pa.array([len(sets[i]) for i in out], pa.int64()), pa.array([sets[i].tobytes() for i in out], pa.binary())], names=["sid", "n", "bits"])
-
-    hashed = docs.select(F.xxhash64("doc_id").alias("place"), "text")
-    return hashed.mapInArrow(run, "sid bigint, n bigint, bits binary").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-
-
-def distances(pairs: DataFrame, sets: DataFrame, bitmaps: bool) -> DataFrame:
-    """x, p, d for distinct pairs (x, p): the distance, or from bitmaps a lower bound of it; written once.
-
-    A set goes to each of its pivots; a pivot with many partners is dealt out over several places.
-    """
-    spark = pairs.sparkSession
-    shares = materialize(pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("shares")), "pivots")
-    dealt = pairs.join(shares, "p").select("x", "p", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share"))
-    own = shares.select(F.col("p").alias("x"), "p", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    carried = dealt.unionByName(own).join(sets, F.col("x") == F.col("sid")).select("p", "share", (F.col("x") != F.col("p")).alias("partner"), "x", "n", "bits")
-    placed = carried.repartition(width(spark), "p", "share").sortWithinPartitions("p", "share", "partner")
+    x, y = (fold(np.frombuffer(v, np.uint8), size) for v in (a, b))
+    return max(abs(n - m), int(np.bitwise_count(x ^ y).sum()))
+
+
+def room(n: np.ndarray | int, m: np.ndarray | int, differ: np.ndarray | int, percent: int) -> np.ndarray | bool:
+    """Whether sets of n and m shingles that differ in at least `differ` may be linked."""
+    return 100 * (n + m - differ) >= percent * (n + m + differ)
+
+
+def forest(n: list[int], bits: list[bytes], home: list[bool], root: list[int], failed: set[tuple[int, int]], spare: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of positions that may be linked, in order of size: a spanning forest of all such pairs between different
+    roots, one of them at home, that have not failed; before that, `spare` pairs regardless of each other."""
+    m = len(n)
+    out: list[tuple[int, int]] = []
+    if m <= 8:
+        # Small regions are most of all: plain integers are faster here.
+        maps = [(int.from_bytes(b, "little"), 8 * len(b)) for b in bits]
+        root = list(root)
+        for i in range(m):
+            for j in range(i + 1, m):
+                if root[i] == root[j] or not (home[i] or home[j]) or 100 * n[i] < percent * n[j] or (i, j) in failed:
+                    continue
+                (a, size), (b, other) = maps[i], maps[j]
+                while other > size:
+                    other //= 2
+                    b = (b >> other) ^ (b & ((1 << other) - 1))
+                if room(n[i], n[j], max(n[j] - n[i], (a ^ b).bit_count()), percent):
+                    out.append((i, j))
+                    if spare > 0:
+                        spare -= 1
+                    else:
+                        old, new = root[j], root[i]
+                        root = [new if r == old else r for r in root]
+        return out
+    sizes, at_home, roots = np.array(n, np.int64), np.array(home, bool), np.array(root, np.int64)
+    lengths = np.array([len(b) for b in bits])
+    stops = np.searchsorted(sizes, 100 * sizes // percent, "right")
+    matrix, low, length = np.zeros((0, 0), np.uint64), 0, 0
+    for k in range(m - 1):
+        if lengths[k] != length:
+            # Partners are at most a third larger, so their bitmaps have this size or twice it.
+            low, length = k, int(lengths[k])
+            high = int(np.searchsorted(lengths, 2 * length, "right"))
+            matrix = np.stack([fold(np.frombuffer(bits[i], np.uint8), length) for i in range(low, high)]).view(np.uint64)
+        at = k + 1 + np.flatnonzero(roots[k + 1 : stops[k]] != roots[k])
+        if not at_home[k]:
+            at = at[at_home[at]]
+        if not len(at):
+            continue
+        differ = np.maximum(np.bitwise_count(matrix[at - low] ^ matrix[k - low]).sum(axis=1, dtype=np.int64), sizes[at] - sizes[k])
+        fits = room(sizes[at], sizes[k], differ, percent)
+        if failed:
+            fits &= np.array([(k, j) not in failed for j in at.tolist()], bool)
+        at, differ = at[fits], differ[fits]
+        if not len(at):
+            continue
+        order = np.argsort(differ, kind="stable")
+        at = at[order]
+        if len(at) <= spare:
+            out += [(k, int(j)) for j in at]
+            spare -= len(at)
+            continue
+        spare = 0
+        for j in at[np.sort(np.unique(roots[at], return_index=True)[1])]:
+            out.append((k, int(j)))
+            roots[roots == roots[j]] = roots[k]
+    return out
+
+
+CELL = "g bigint, x bigint, n bigint, bits binary, home boolean, label bigint"
+
+
+def propose(cells: DataFrame, decided: DataFrame | None, attempt: int, percent: int) -> DataFrame:
+    """g, x, p: pairs that may be linked, as few as connect each cell; of the two, p has fewer shingles or the lesser id.
+    decided: g, x, p, ok of earlier attempts."""
+    spark = cells.sparkSession
+    rows = cells.select("g", F.lit(1).alias("member"), "n", "x", F.lit(0).cast("bigint").alias("p"), "home", "label", "bits")
+    if decided is not None:
+        rows = rows.unionByName(decided.select("g", F.lit(0).alias("member"), F.lit(0).cast("bigint").alias("n"), "x", "p", F.col("ok").alias("home"), F.lit(0).cast("bigint").alias("label"), F.lit(b"").alias("bits")))
+    placed = rows.repartition(width(spark), "g").sortWithinPartitions("g", "member", "n", "x")
+
+    def close(known: list[tuple], held: list[tuple]) -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        n, x, home, root, bits = (list(c) for c in zip(*held, strict=True))
+        failed: set[tuple[int, int]] = set()
+        if known:
+            place = {v: i for i, v in enumerate(x)}
+            for a, b, ok in known:
+                i, j = sorted((place[a], place[b]))
+                if ok:
+                    old, new = root[j], root[i]
+                    root = [new if r == old else r for r in root]
+                else:
+                    failed.add((i, j))
+        spare = len(x) * 16**attempt if attempt else 0
+        return [(x[j], x[i]) for i, j in forest(n, bits, home, root, failed, spare, percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_own, bits_own = 0, np.zeros(0, np.uint64)
+        key: int | None = None
+        known: list[tuple] = []
+        held: list[tuple] = []
+        out: list[tuple[int, int, int]] = []
         for batch in batches:
-            rows: list[tuple[int, int, float]] = []
-            for p, partner, x, n, raw in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
-                bits = np.frombuffer(raw, np.uint8 if bitmaps else np.uint64)
-                if not partner:
-                    n_own, bits_own = n, bits
-                elif bitmaps:
-                    rows.append((x, p, least_distance(n, bits, n_own, bits_own)))
+            for g, member, n, x, p, home, label, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != key:
+                    out += [(key, *pair) for pair in close(known, held)]
+                    key, known, held = g, [], []
+                if member:
+                    held.append((n, x, home, label, bits))
                 else:
-                    at = np.minimum(np.searchsorted(bits_own, bits), n_own - 1)
-                    common = int((bits_own[at] == bits).sum())
-                    rows.append((x, p, 1 - common / (n + n_own - common)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["x", "p", "d"])
-
-    return materialize(placed.mapInArrow(run, "x bigint, p bigint, d double"), "distances")
-
-
-def exact(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """x, p, d: the distances of pairs whose lower bounds leave them room to be linked. Only the first document of each
-    set (firsts: sid, first) is read again."""
-    ids = materialize(pairs.select(F.col("x").alias("sid")).union(pairs.select("p")).distinct(), "wanted")
-    places = members(firsts.join(ids, "sid", "left_semi").select(F.xxhash64("first").alias("place")))
-    return distances(pairs, sets_of(docs, places, members(ids), size), bitmaps=False)
-
-
-def settle(regions: DataFrame, pivots: DataFrame, measured: DataFrame, radius: float) -> DataFrame:
-    """The next, smaller region of each: what its pivots leave open.
-
-    Distances within the radius are exact, others are lower bounds. A member belongs to the Voronoi region of its nearest
-    pivot. If it is within the radius there, and nothing outside the pivot's ball can be within the radius of it, all
-    its links are to members that are linked to that pivot too: it is settled. Other members of Voronoi regions are
-    replicated into the open region, with the members that no pivot is near.
-    """
-    seen = regions.join(pivots, "g").where("x != p").join(measured, ["x", "p"])
-    seen = seen.join(pivots.select("g", F.col("p").alias("x")), ["g", "x"], "left_anti").select("g", "x", "i", "d")
-    edge = seen.where(F.col("d") > radius + EPS).groupBy("g", F.col("i").alias("home")).agg(F.min("d").alias("edge"))
-    home = seen.groupBy("g", "x").agg(F.min(F.struct("d", "i")).alias("home")).select("g", "x", F.col("home.i").alias("home"), F.col("home.d").alias("least"))
-    home = home.join(edge, ["g", "home"], "left")
-    inside = (F.col("least") <= radius + EPS) & (F.col("edge").isNull() | (F.col("least") + radius < F.col("edge") - EPS))
-    return materialize(home.where(~inside).select("g", "x"), "open")
-
-
-def still_open(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Regions whose members are not all connected by now, each set of members once: g, x, label; written."""
-    named = materialize(regions.join(labels, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("label", "x").alias("label")), "labelled")
-    alike = F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x")), F.bit_xor(F.xxhash64("x", F.lit(1))))
-    live = named.groupBy("g").agg(alike.alias("same"), F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    one = live.groupBy("same").agg(F.min(F.struct("g", "members")).alias("one")).select("one.*")
-    return materialize(named.join(one, "g"), "regions")
-
-
-def elect(regions: DataFrame, level: int) -> DataFrame:
-    """Pivots of each region: g, i, p. One at first, which mostly settles it; then more, and more in larger regions."""
-    if level == 0:
-        return regions.groupBy("g").agg(F.min("x").alias("p")).select("g", F.lit(0).alias("i"), "p")
-    classes = F.greatest(F.lit(PIVOTS), F.ceil(F.sqrt("members"))).cast("int")
-    return regions.groupBy("g", F.pmod(F.xxhash64("x", F.lit(level)), classes).cast("int").alias("i")).agg(F.min("x").alias("p"))
-
-
-def open_pairs(n: np.ndarray, bits: list[np.ndarray], label: np.ndarray, block: np.ndarray, apart: bool, percent: int, radius: float) -> Iterator[tuple[int, int]]:
-    """Positions of pairs of sets, in order of size, that may be linked and are not connected; of two blocks if apart."""
-    sizes = np.array([len(b) for b in bits])
-    for size in np.unique(sizes):
-        # Partners are at most a third larger, so their bitmaps have this size or twice it.
-        at = np.flatnonzero((sizes == size) | (sizes == 2 * size))
-        folded = np.stack([fold(bits[i], size) for i in at])
-        m, labels, blocks = n[at], label[at], block[at]
-        for k in np.flatnonzero(sizes[at] == size):
-            stop = int(np.searchsorted(m, 100 * m[k] // percent, "right"))
-            if stop <= k + 1:
-                continue
-            other = slice(k + 1, stop)
-            differ = np.maximum(np.bitwise_count(folded[other] ^ folded[k]).sum(axis=1, dtype=np.int64), m[other] - m[k])
-            fits = (2 * differ <= (radius + EPS) * (m[other] + m[k] + differ)) & (labels[other] != labels[k])
-            if apart:
-                fits &= blocks[other] != blocks[k]
-            for j in np.flatnonzero(fits):
-                yield int(at[k]), int(at[k + 1 + j])
-
-
-def leaves(regions: DataFrame, bitmaps: DataFrame, percent: int, radius: float) -> DataFrame:
-    """Pairs of regions that may be linked and are not yet connected: x, p. No other pair leaves a region.
+                    known.append((x, p, home))
+            yield pa.record_batch([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["g", "x", "p"])
+            out = []
+        out = [(key, *pair) for pair in close(known, held)]
+        yield pa.record_batch([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["g", "x", "p"])
+
+    return placed.mapInArrow(run, "g bigint, x bigint, p bigint")
+
+
+class Sets:
+    """Whole sets of the documents that proposals name, read from the texts once and kept as a table."""
+
+    def __init__(self, docs: DataFrame, firsts: DataFrame, size: int):
+        self.docs, self.firsts, self.size = docs, firsts, size
+        self.held: DataFrame | None = None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """sid, bits (all shingles) of at least the sets in pairs."""
+        ids = pairs.select(F.col("x").alias("sid")).union(pairs.select("p")).distinct()
+        missing = materialize(ids if self.held is None else ids.join(self.held.select("sid"), "sid", "left_anti"), "wanted")
+        if self.held is None or missing.limit(1).count():
+            found = materialize(self._read(missing), "sets")
+            self.held = found if self.held is None else self.held.unionByName(found)
+        release(missing)
+        return self.held
+
+    def _read(self, wanted: DataFrame) -> DataFrame:
+        """The wanted sets, one row each, from the documents that are their first. Only those documents' texts are
+        looked at; Spark broadcasts the ids if they are few, and else shuffles texts by id, once."""
+        size = self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    sets = [s for s in shingle_sets(whole.column(0).slice(at, 1000), size) if len(s)]
+                    yield pa.record_batch([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "bits"])
+
+        places = self.firsts.join(wanted, "sid", "left_semi").select(F.xxhash64("first").alias("place"))
+        texts = self.docs.select(F.xxhash64("doc_id").alias("place"), "text").join(places, "place", "left_semi").select("text")
+        # Other documents of the same id may have come along.
+        return texts.mapInArrow(run, "sid bigint, bits binary").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("bits").alias("bits"))
+
+
+def decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """x, p, ok for distinct pairs (x, p): whether they are linked; written once."""
+    one = sets.select(F.col("sid").alias("x"), F.col("bits").alias("one"))
+    other = sets.select(F.col("sid").alias("p"), F.col("bits").alias("other"))
+    met = pairs.join(one, "x").join(other, "p").select("x", "p", "one", "other")
 
-    A region above LEAF members is cut into blocks by hash, and every two blocks meet in a place of their own.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for one, other in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, other))
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                common = int((b[at] == a).sum())
+                ok.append(100 * common >= percent * (len(a) + len(b) - common))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["x", "p", "ok"])
+
+    return materialize(met.mapInArrow(run, "x bigint, p bigint, ok boolean"), "decided")
+
+
+def settle(cells: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """Links (x, p) that connect all sets of each cell that are connected by links within it. cells may be read twice."""
+    spark = cells.sparkSession
+    first = cells
+    linked: DataFrame | None = None
+    decided: DataFrame | None = None
+    attempt = 0
+    while True:
+        proposed = materialize(propose(cells, decided, attempt, percent), "proposed")
+        pairs = materialize(proposed.select("x", "p").distinct(), "pairs")
+        if not pairs.limit(1).count():
+            break
+        fresh = decide(pairs, sets.of(pairs), percent)
+        good = fresh.where("ok").select("x", "p")
+        linked = good if linked is None else linked.unionByName(good)
+        verdicts = materialize(proposed.join(fresh, ["x", "p"]).select("g", "x", "p", "ok"), "verdicts")
+        again = materialize(verdicts.where("NOT ok").select("g").distinct(), "unsettled")
+        if not again.limit(1).count():
+            break
+        old, left = decided, cells
+        decided = materialize((verdicts if old is None else old.unionByName(verdicts)).join(again, "g", "left_semi"), "verdicts")
+        cells = materialize(left.join(again, "g", "left_semi"), "cells")
+        release(None if left is first else left, old, again, pairs, proposed, verdicts)
+        attempt += 1
+    release(None if cells is first else cells, decided, proposed, pairs)
+    return linked if linked is not None else spark.createDataFrame([], "x bigint, p bigint")
+
+
+def shells(regions: DataFrame, percent: int) -> DataFrame:
+    """Large regions cut by distance from the empty set, the number of shingles: a set is at home among those with
+    bitmaps of its size, and a guest among smaller ones if it is close enough to them to be linked with one."""
+    length = F.octet_length("bits")
+    most = 2 * length  # shingles that a bitmap of half the size stands for at most
+    own = F.struct(length.alias("length"), F.lit(True).alias("home"))
+    guest = F.when((length > 8) & (F.col("n") * percent <= most * 100), F.struct((length / 2).cast("int").alias("length"), F.lit(False).alias("home")))
+    cut = regions.withColumn("shell", F.explode(F.array_compact(F.array(own, guest))))
+    return cut.select(F.xxhash64("g", "shell.length").alias("g"), "shell.length", "x", "n", "bits", F.col("shell.home").alias("home"), "label")
+
+
+def sized(cells: DataFrame) -> DataFrame:
+    """cells with what is known of their cell: members, and main, the label that most of them have. Cells without two
+    labels or anything at home have no open pair and are left out."""
+    labels = cells.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home"))
+    known = labels.groupBy("g").agg(F.sum("n").alias("members"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.max("home").alias("any_home"))
+    return cells.join(known.where("labels > 1 AND any_home").select("g", "members", "main"), "g")
+
+
+def voronoi(cells: DataFrame, level: int, windows: bool, percent: int) -> DataFrame:
+    """Cells (sized) cut into the Voronoi regions of their pivots: g, length, x, n, bits, home, label, parent (members of
+    the cell that was cut).
+
+    A cell elects about two pivots for each LEAF members, by hash. Distances are those of bitmaps of the cell's length.
+    Linked sets differ in at most a part of n shingles, the radius. With windows, a member that is not connected with
+    most of its cell is also replicated, as a guest, into the regions of other pivots that are at most two radii
+    farther away than its own: any partner's region is among them. Large cells are dealt out over several tasks.
     """
-    spark = regions.sparkSession
-    blocks = F.ceil(F.col("members") / LEAF).cast("int")
-    cut = regions.select("g", "x", "label", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("x", F.lit(7)), F.col("blocks")).cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "x", "label")
-    placed = met.join(bitmaps, F.col("x") == F.col("sid")).select("g", "low", "high", "n", "x", "label", "block", "bits").repartition(width(spark), "g", "low", "high").sortWithinPartitions("g", "low", "high", "n", "x")
-
-    def close(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
-        if len(rows) < 2:
-            return []
-        n, x, label, block = (np.array([r[i] for r in rows], np.int64) for i in range(4))
-        found = open_pairs(n, [np.frombuffer(r[4], np.uint8) for r in rows], label, block, key[1] != key[2], percent, radius)
-        return [(int(max(x[i], x[j])), int(min(x[i], x[j]))) for i, j in found]
+    spark = cells.sparkSession
+    wanted = F.ceil(2 * F.col("members") / LEAF)
+    elected = cells.where("home").withColumn("spin", F.pmod(F.xxhash64("x", F.lit(level)), F.lit(1 << 30)))
+    pivots = elected.where(F.col("spin") < wanted * (1 << 30) / F.col("members")).select("g", F.ceil(F.col("members") / HOT).cast("int").alias("shares"), "x", "bits", "length")
+    pivots = pivots.select("g", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("member"), "length", "x", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("home"), F.lit(0).cast("bigint").alias("label"), F.lit(False).alias("stray"), F.lit(0).cast("bigint").alias("members"), "bits")
+    stray = F.lit(windows) & ((F.col("label") != F.col("main")) | ~F.col("home"))
+    rows = cells.select("g", F.pmod(F.xxhash64("x"), F.ceil(F.col("members") / HOT)).cast("int").alias("share"), F.lit(1).alias("member"), "length", "x", "n", "home", "label", stray.alias("stray"), "members", "bits")
+    placed = rows.unionByName(pivots).repartition(width(spark), "g", "share").sortWithinPartitions("g", "share", "member", "x")
+    names = ["g", "length", "x", "n", "bits", "home", "label", "parent"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, ids, maps = None, np.zeros(0, np.int64), np.zeros((0, 0), np.uint64)
+        found: list[tuple[int, np.ndarray]] = []
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for g, low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (g, low, high) != key:
-                    out += close(key, held)
-                    key, held = (g, low, high), []
-                held.append(tuple(row))
-            yield pa.record_batch([pa.array([r[j] for r in out], pa.int64()) for j in (0, 1)], names=["x", "p"])
-        out = close(key, held)
-        yield pa.record_batch([pa.array([r[j] for r in out], pa.int64()) for j in (0, 1)], names=["x", "p"])
+            out: list[tuple] = []
+            for g, share, member, length, x, n, home, label, stray, members, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, share) != key:
+                    key, found, ids = (g, share), [], np.zeros(0, np.int64)
+                bits = fold(np.frombuffer(raw, np.uint8), length)
+                if not member:
+                    found.append((x, bits))
+                    continue
+                if len(ids) != len(found):
+                    ids = np.array([i for i, _ in found], np.int64)
+                    maps = np.stack([b for _, b in found]).view(np.uint64)
+                if not len(ids):  # no pivot was elected: the cell stays as it is
+                    out.append((g, length, x, n, raw, home, label, members))
+                    continue
+                far = np.bitwise_count(maps ^ bits.view(np.uint64)).sum(axis=1, dtype=np.int64)
+                nearest = int(far.argmin())
+                near = np.flatnonzero(far <= far[nearest] + 2 * ((100 - percent) * n // percent)) if stray else [nearest]
+                for i in near:
+                    out.append((_mix(g, int(ids[i])), length, x, n, raw, home and int(i) == nearest, label, members))
+            yield pa.record_batch([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=names)
+
+    return placed.mapInArrow(run, "g bigint, length int, x bigint, n bigint, bits binary, home boolean, label bigint, parent bigint")
+
+
+def _mix(a: int, b: int) -> int:
+    """A signed 64-bit name of two."""
+    value = xxhash.xxh3_64_intdigest(a.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little", signed=True))
+    return value - (1 << 64) if value >> 63 else value
+
 
-    return placed.mapInArrow(run, "x bigint, p bigint")
+def blocks(cells: DataFrame) -> DataFrame:
+    """Cells (sized) block against block: members at home by strays, which are all that is guest or not of the main
+    label. Every open pair has a stray and a member at home."""
+    half = LEAF // 2
+    stray = (F.col("label") != F.col("main")) | ~F.col("home")
+    counts = cells.groupBy("g").agg(F.ceil(F.count_if("home") / half).cast("int").alias("rows"), F.greatest(F.lit(1), F.ceil(F.count_if(stray) / half).cast("int")).alias("cols"))
+    spin = lambda n, seed: F.pmod(F.xxhash64("x", F.lit(seed)), n).cast("int")
+    own = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: F.struct(spin(F.col("rows"), 5).alias("i"), j.alias("j"))))
+    across = F.when(stray, F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), spin(F.col("cols"), 6).alias("j"))))
+    empty = F.array().cast("array<struct<i:int,j:int>>")
+    placed = F.array_distinct(F.concat(F.coalesce(own, empty), F.coalesce(across, empty)))
+    cut = cells.join(counts, "g").withColumn("at", F.explode(placed))
+    return cut.select(F.xxhash64("g", "at.i", "at.j").alias("g"), "x", "n", "bits", "home", "label")
+
+
+def cells_of(large: DataFrame, windows: bool, percent: int) -> DataFrame:
+    """Large regions as cells of a bounded size; written. With windows they hold every open pair of their region."""
+    spark = large.sparkSession
+    columns = [c.split()[0] for c in CELL.split(", ")]
+    done = spark.createDataFrame([], CELL)
+    now = materialize(sized(shells(large, percent)), "shells")
+    level = 0
+    while now.limit(1).count():
+        done = done.unionByName(now.where(F.col("members") <= LEAF).select(*columns))
+        cut = voronoi(now.where(F.col("members") > LEAF), level, windows, percent)
+        if not windows:
+            # Whatever is large still is taken in parts: this is but a first round.
+            parts = sized(cut.drop("parent"))
+            part = F.pmod(F.xxhash64("x", F.lit(3)), F.ceil(F.col("members") / LEAF))
+            done = done.unionByName(parts.select(F.xxhash64("g", part).alias("g"), *columns[1:]))
+            break
+        parts = materialize(sized(cut), "voronoi")
+        parted = F.col("members") * 4 <= F.col("parent") * 3
+        done = done.unionByName(blocks(parts.where((F.col("members") > LEAF) & ~parted)).select(*columns))
+        now = parts.where((F.col("members") <= LEAF) | parted).drop("parent")
+        level += 1
+    return materialize(done, "cells")
 
 
 def links(docs: DataFrame, scanned: DataFrame, firsts: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Links (x, p) between sets that connect all sets within the distance, directly or through others; written."""
-    spark = docs.sparkSession
-    radius = 1 - percent / 100
+    """Links (x, p) between sets that connect all sets within the distance, directly or through others."""
     regions = neighbourhoods(docs, scanned, size, percent)
-    linked = materialize(spark.createDataFrame([], "x bigint, p bigint"), "links")
-    if not regions.limit(1).count():
-        return linked
     one = scanned.where("sid IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
-    bitmaps = materialize(one.join(regions.select(F.col("x").alias("sid")).distinct(), "sid", "left_semi"), "bitmaps")
-    done: DataFrame | None = None
-    level = 0
-    while regions.limit(1).count():
-        pivots = materialize(elect(regions, level), "elected")
-        # Of two pivots the one with the larger id is the partner, so the pair is met once.
-        pairs = regions.join(pivots, "g").where("x != p").select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("x", "p"), ["x", "p"], "left_anti")
-        bounds = distances(materialize(pairs, "pairs"), bitmaps, bitmaps=True)
-        near = exact(docs, firsts, bounds.where(F.col("d") <= radius + EPS).select("x", "p"), size)
-        fresh = bounds.where(F.col("d") > radius + EPS).unionByName(near)
-        done = materialize(fresh if done is None else done.unionByName(fresh), "measured")
-        linked = materialize(linked.unionByName(near.where(F.col("d") <= radius + EPS).select("x", "p")), "links")
-        both = done.unionByName(done.select(F.col("p").alias("x"), F.col("x").alias("p"), "d"))
-        regions = still_open(settle(regions, pivots, both, radius), materialize(components(linked), "labels"))
-        # Small regions are settled at once; large ones elect pivots again, and are then settled too.
-        last = level + 1 >= LEVELS
-        small = leaves(regions if last else regions.where(F.col("members") <= LEAF), bitmaps, percent, radius)
-        small = small.distinct().join(done.select("x", "p"), ["x", "p"], "left_anti")
-        near = exact(docs, firsts, materialize(small, "leaf-pairs"), size)
-        linked = materialize(linked.unionByName(near.where(F.col("d") <= radius + EPS).select("x", "p")), "links")
-        if last:
+    one = materialize(one.join(regions.select(F.col("x").alias("sid")).distinct(), "sid", "left_semi"), "bitmaps")
+    rows = regions.join(one, F.col("x") == F.col("sid")).select("g", "x", "n", "bits", F.lit(True).alias("home"), F.col("x").alias("label"))
+    large = materialize(regions.groupBy("g").count().where(F.col("count") > LEAF).select("g"), "large")
+    sets = Sets(docs, firsts, size)
+    some = bool(large.limit(1).count())
+    cells = rows
+    if some:
+        whole = materialize(rows.join(large, "g", "left_semi"), "large-regions")
+        parts = cells_of(whole, False, percent)
+        cells = rows.join(large, "g", "left_anti").unionByName(parts)
+    found = settle(cells, sets, percent)
+    if some:
+        # What is connected by now needs no comparison; the rest of each large region is looked at again, through windows.
+        labels = components(found)
+        named = whole.join(labels, F.col("x") == F.col("node"), "left").select("g", "x", "n", "bits", "home", F.coalesce("node_label", "x").alias("label"))
+        parts_again = cells_of(materialize(named, "labelled"), True, percent)
+        found = found.unionByName(settle(parts_again, sets, percent))
+        release(whole, parts, parts_again)
+    release(regions, large, one)
+    return found
+
+
+def _connect(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of edges (u, v) that are not the least of their component, and that least node."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        # Each end's own label moves too, so trees are hooked onto trees.
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
+        while not (new == new[new]).all():
+            new = new[new]
+        if (new == label).all():
             break
-        regions = regions.where(F.col("members") > LEAF)
-        level += 1
-    return linked
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
 
+def components(edges: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """node, node_label (the least node of its component) for all nodes of edges (x, p) but those least ones; written.
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) for all nodes of edges (x, p), by large-star and small-star rounds."""
+    Edges are contracted by large-star and small-star rounds; when not more than `together` are left, one task connects
+    them.
+    """
     edges = edges.select(F.greatest("x", "p").alias("u"), F.least("x", "p").alias("v")).where("u != v").distinct()
     state = None
     edges = materialize(edges, "edges")
-    while edges.limit(1).count():
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches]
+        if held:
+            u, v = (np.concatenate(c) for c in zip(*held, strict=True))
+            yield pa.record_batch([pa.array(c) for c in _connect(u, v)], names=["node", "node_label"])
+
+    while True:
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now[0] <= together:
+            return materialize(edges.coalesce(1).mapInArrow(connect, "node bigint, node_label bigint"), "connected")
+        if now == state:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("node_label"))
+        state = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = materialize(large, "large-star")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = materialize(small, "small-star")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        old, edges = edges, materialize(small, "small-star")
+        release(old, large)
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -418,9 +625,10 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     named = scanned.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "sid")
     first = materialize(named.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first")), "firsts")
     labels = components(links(rows, scanned, first, size, percent))
-    labelled = materialize(first.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("label", "sid").alias("label")), "labels")
-    names = materialize(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "components")
+    labelled = materialize(first.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("node_label", "sid").alias("label")), "labels")
+    names = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     by_set = materialize(labelled.join(names, "label").select("sid", "component_id"), "components")
+    release(first, labelled)
     known = named.where("sid IS NOT NULL").join(by_set, "sid").select("doc_id", "n_shingles", "component_id")
     empty = named.where("sid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionByName(empty).withColumnRenamed("doc_id", key)
@@ -428,15 +636,18 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that another row of their group stands for: the one with the least (key, row) stays, null
-    keys last.
+    keys last. Its columns may have any names.
 
     Rows are numbered and written once, so equal and null keys are told apart and a tie has one winner even after a
     task is retried. Only numbers of rows to go meet the documents.
     """
-    numbered = materialize(docs.withColumn("_tg_row", F.monotonically_increasing_id()), "numbered")
-    groups = cluster(numbered, "_tg_row", text).select("_tg_row", "component_id")
-    placed = materialize(groups.join(numbered.select("_tg_row", numbered[key].alias("_tg_key")), "_tg_row"), "placed")
-    least = F.min(F.struct(F.col("_tg_key").isNull().alias("none"), "_tg_key", "_tg_row")).alias("best")
-    stay = placed.groupBy("component_id").agg(least).select(F.col("best._tg_row").alias("_tg_row"))
-    gone = materialize(placed.select("_tg_row").join(stay, "_tg_row", "left_anti"), "gone")
-    return numbered.join(gone, "_tg_row", "left_anti").select(*[numbered[c] for c in docs.columns])
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    at, body = inner[docs.columns.index(key)], inner[docs.columns.index(text)]
+    numbered = materialize(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    groups = cluster(numbered, "row", body).select("row", "component_id")
+    placed = materialize(groups.join(numbered.select("row", F.col(at).alias("key")), "row"), "placed")
+    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("best")
+    stay = placed.groupBy("component_id").agg(least).select(F.col("best.row").alias("row"))
+    gone = materialize(placed.select("row").join(stay, "row", "left_anti"), "gone")
+    release(placed)
+    return numbered.join(gone, "row", "left_anti").select(*inner).toDF(*docs.columns)

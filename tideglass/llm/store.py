@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tideglass-")
@@ -43,7 +46,17 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(table)] = table, path  # held here, so the id stays its own
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Remove tables that materialize wrote, once nothing reads them any more; others are left alone."""
+    for table in tables:
+        if table is not None and id(table) in _PATHS:
+            held, path = _PATHS.pop(id(table))
+            remove(held.sparkSession, path)
 
 
 @atexit.register
