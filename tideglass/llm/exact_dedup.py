@@ -1,8 +1,9 @@
 """Exact dedup with a heavy-hitter split.
 
 A Misra-Gries summary finds digests that may be frequent, an exact count verifies them, and their winners (at most
-`tracked` rows, so the size is bounded) are broadcast: all but the winner of such a group leave before any shuffle.
-The other digests, each rarer than rows / tracked, take an ordinary shuffle. Only DataFrame functions are used.
+`frequent` rows, so the size is bounded) are broadcast: all but the winner of such a group leave before any shuffle.
+The other digests take an ordinary shuffle; each is rarer than rows / frequent, but for what the summary's error
+(rows / tracked) may hide. Only DataFrame functions are used.
 
 Rows with null text count as empty text. Of equal texts the row with the largest doc_id stays (null is smallest); of
 equal texts with equal doc_id exactly one row stays. An empty table gives an empty result. Columns other than the key
@@ -18,8 +19,6 @@ from tideglass.llm.store import materialize
 
 TRACKED = 4096
 FREQUENT = 512
-NFC_NONE = "none"
-_NAMES = ("_tg_digest", "_tg_row", "_tg_best", "_tg_size", "_tg_rank")
 
 
 def text_digest(text: Column) -> Column:
@@ -65,12 +64,15 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", tracke
     Losers of frequent groups are dropped where they are read; what is left is ranked within its digest after one
     shuffle. A frequent group meets again only as its winner (and rows that tie with it on the key).
     """
-    digest, _, best, _, rank = _NAMES
-    hashed = docs.select("*", text_digest(docs[text]).alias(digest))
-    only = docs.select(docs[key].alias(best), text_digest(docs[text]).alias(digest))
-    candidates = frequent_digests(only, digest, tracked, frequent)
-    verified = only.join(F.broadcast(candidates), digest, "left_semi").groupBy(digest).agg(F.max(best).alias(best))
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    at, body = inner[names.index(key)], inner[names.index(text)]
+    hashed = docs.toDF(*inner).withColumn("digest", text_digest(F.col(body)))
+    only = hashed.select(F.col(at).alias("best"), "digest")
+    candidates = frequent_digests(only, "digest", tracked, frequent)
+    verified = only.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(F.max("best").alias("best"), F.lit(True).alias("heavy"))
     winners = materialize(verified.coalesce(1), "winners")
-    left = hashed.join(F.broadcast(winners), digest, "left").where(F.col(best).isNull() | (docs[key] == F.col(best)))
-    ranked = left.withColumn(rank, F.row_number().over(Window.partitionBy(digest).orderBy(docs[key].desc_nulls_last())))
-    return ranked.where(F.col(rank) == 1).select(*[docs[c] for c in docs.columns])
+    left = hashed.join(F.broadcast(winners), "digest", "left").where(F.col("heavy").isNull() | F.col(at).eqNullSafe(F.col("best")))
+    # Of rows that tie on text and key each task keeps one before the shuffle.
+    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("digest").orderBy(F.col(at).desc_nulls_last())))
+    return ranked.where(F.col("rank") == 1).select(*inner).toDF(*names)
