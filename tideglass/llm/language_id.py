@@ -1,20 +1,20 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are hashed n-grams of 1 to 3 lower-cased letters (runs of anything else count as one break), weighted by
-their share in the text times an inverse document frequency that is counted over every learnable document. Weights
-come from follow-the-regularised-leader with elastic-net penalties, one pass per epoch over a bounded sample
+Features are hashed n-grams of 1 to 3 lower-cased letters (each character that is no letter counts as a break),
+weighted by their share in the text times an inverse document frequency that is counted over every learnable document.
+Weights come from follow-the-regularised-leader with elastic-net penalties, one pass per epoch over a bounded sample
 (SAMPLE rows, spread evenly over the languages), and a temperature is then fitted on a part of the sample that the
 weights have not seen.
 
-Null text, or text without letters, is `und` with score 0; so is every text when nothing can be learned (no labelled
-row). A null doc_id counts as the empty string. Input columns other than those named are neither read nor returned by
-predict; label keeps them all.
+Null text, or text without letters (Unicode's; digits and symbols like ² or ① are none), is `und` with score 0; so is
+every text when nothing can be learned (no labelled row). A null doc_id counts as the empty string. Repeated rows each
+get their row, with equal predictions; equal texts always have equal predictions. An empty table gives an empty result.
+Columns other than those named are not read by train and identify; predict and reject keep them all.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +30,6 @@ SAMPLE = 6000
 CHUNK = 1 << 20
 UNKNOWN = "und"
 SCALE = 64.0
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -53,22 +52,36 @@ class Model:
     temperature: float
 
 
+def _low(point: int) -> int:
+    """The lower-case letter of a code point; a space for anything that is no letter."""
+    c = chr(point)
+    low = c.lower()
+    return (ord(low) if len(low) == 1 else point) if c.isalpha() else 32
+
+
 def _letters() -> np.ndarray:
-    """Lower-case letter for each code point of the first plane, a space for anything that is no letter."""
-    table = np.full(0x10000, 32, np.uint32)
-    for i in range(0x10000):
-        low = chr(i).lower()
-        if chr(i).isalpha():
-            table[i] = ord(low) if len(low) == 1 else i
-    return table
+    """Letters of the first plane by code point."""
+    return np.array([_low(i) for i in range(0x10000)], np.uint32)
+
+
+def letters(points: np.ndarray) -> np.ndarray:
+    """Lower-case letters and spaces for code points."""
+    out = kept("letters", _letters)[np.minimum(points, 0xFFFF)]
+    beyond = np.flatnonzero(points > 0xFFFF)
+    if len(beyond):
+        found, which = np.unique(points[beyond], return_inverse=True)
+        out[beyond] = np.array([_low(int(p)) for p in found], np.uint32)[which]
+    return out
 
 
 def grams(texts: list[str], bits: int = BITS) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For n-gram lengths 1 to 3: features and whether a letter starts the n-gram, over all texts laid end to end; then where texts start."""
-    table = kept("letters", _letters)
-    gap = "   "
-    points = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = np.where(points < 0x10000, table[np.minimum(points, 0xFFFF)], np.uint32(0x1F600))
+    """For n-gram lengths 1 to 3: features and whether the n-gram counts (it starts or ends with a letter), over all
+    texts laid end to end; then where the n-grams of each text start. Two spaces stand before each text and after the
+    last, so no n-gram has letters of two texts: one that starts in a text or in the spaces before it ends there or in
+    the spaces behind."""
+    gap = "  "
+    points = np.frombuffer((gap + gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = letters(points)
     starts = np.cumsum([0, *(len(t) + len(gap) for t in texts[:-1])])
     shift = np.uint32(32 - bits)
     found, live = [], []
@@ -222,7 +235,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", bits: int = BITS) -> DataFrame:
-    """docs with the columns lang_pred and score appended; its own columns are kept as they are."""
+    """docs with the columns lang_pred and score at the end, in place of any that are called so; its other columns are
+    kept as they are. What is predicted for a text depends on that text alone."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 2**bits weights for each language, whatever the input's size
 
@@ -231,16 +245,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text", bits: int = BITS)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for whole in batches:
-            texts = whole.column("_tg_text").to_pylist()
+            texts = whole.columns[-1].to_pylist()
             for at, part in chunks(texts):
                 scores = np.zeros((len(part), len(m.langs)))
                 count = np.zeros(len(part))
                 found, live, starts = grams(part, bits)
+                known = np.logical_or.reduceat(live[0], starts) & bool(m.langs)
                 for f, ok in zip(found, live, strict=True):
                     for c in range(len(m.langs)):
-                        scores[:, c] += np.add.reduceat(m.weights[:, c][f] * ok, starts)
+                        # In single steps from each text's start, so sums don't depend on the texts around it.
+                        scores[:, c] += np.add.reduceat((m.weights[:, c][f] * ok).astype(np.float64), starts)
                     count += np.add.reduceat(ok.astype(np.float64), starts)
-                known = [bool(m.langs) and bool(_LETTER.search(t)) for t in part]
                 if m.langs:
                     chances = softmax(scores / np.maximum(count, 1)[:, None] / m.temperature)
                     best = chances.argmax(axis=1)
@@ -249,8 +264,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", bits: int = BITS)
                 cut = whole.slice(at, len(part))
                 yield pa.record_batch([*cut.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*cut.schema.names[:-1], "lang_pred", "score"])
 
-    schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double")
-    return docs.select(*[docs[c] for c in docs.columns], docs[text].cast("string").alias("_tg_text")).mapInArrow(run, schema)
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    renamed = docs.toDF(*inner)
+    stay = [i for i, n in enumerate(names) if n not in ("lang_pred", "score")]
+    schema = StructType([renamed.schema[i] for i in stay]).add("lang_pred", "string").add("score", "double")
+    body = F.col(inner[names.index(text)]).cast("string").alias("text")
+    return renamed.select(*[inner[i] for i in stay], body).mapInArrow(run, schema).toDF(*[names[i] for i in stay], "lang_pred", "score")
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -264,8 +284,5 @@ def reject(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without the rows whose text has no identifiable language: `und`, or a score under `least`."""
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
-    renamed = docs.toDF(*inner)
-    model = train(docs)
-    text = inner[names.index("text")]
-    kept_rows = predict(renamed, model, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept_rows.select(*inner).toDF(*names)
+    found = predict(docs.toDF(*inner), train(docs), inner[names.index("text")])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*inner).toDF(*names)
