@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.llm.store import materialize
@@ -230,13 +230,15 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, key: str = "doc_i
         histogram[row["tail"]] = row["n"]
         windows += row["windows"]
     shared = spark.sparkContext.broadcast(plan(histogram, window))
-    # What earlier tasks hold, by length; then, by task, as one array of `window` counters.
-    counts.createOrReplaceTempView("_tg_packing_counts")
-    before = spark.sql("SELECT task, tail, sum(n) OVER (PARTITION BY tail ORDER BY task ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ranks FROM _tg_packing_counts")
-    by_task = spark.sql("SELECT task, sum(sum(windows)) OVER (ORDER BY task ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS windows FROM _tg_packing_counts GROUP BY task")
-    spark.catalog.dropTempView("_tg_packing_counts")
-    based = held.join(before.join(by_task, "task"), ["task", "tail"]).select(
-        "key", "doc_tokens", "full", (F.col("first") + F.coalesce("windows", F.lit(0))).alias("first"), "tail", (F.col("rank") + F.coalesce("ranks", F.lit(0))).alias("rank"), "ids"
+    # What earlier tasks hold: by task, the full windows and one array of `window` counters.
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.select("task", "tail", F.sum("n").over(before.partitionBy("tail")).alias("n"))
+    ranks = ranks.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("tail", "n"))).alias("ranks"))
+    by_task = counts.groupBy("task").agg(F.sum("windows").alias("windows"))
+    by_task = by_task.select("task", F.coalesce(F.sum("windows").over(before), F.lit(0)).alias("windows")).join(ranks, "task")
+    by_task = materialize(by_task, "packing-tasks")
+    based = held.join(by_task, "task").select(
+        "key", "doc_tokens", "full", (F.col("first") + F.col("windows")).alias("first"), "tail", (F.col("rank") + F.coalesce(F.col("ranks")[F.col("tail")], F.lit(0))).alias("rank"), "ids"
     )
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = pa.schema([("key", to_arrow_type(kind)), *((n, pa.int64()) for n in names[1:])])

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.store import materialize, width
+from tideglass.llm.frequent import most_frequent
+from tideglass.llm.store import materialize, release, width
 from tideglass.llm.worker import kept
 
 MARK = "▁"
@@ -84,19 +85,13 @@ def frequent(docs: DataFrame, model: str, head: int = HEAD) -> dict[str, int]:
         yield out()
 
     seen = materialize(docs.select("text").mapInArrow(local, "pretoken string, n bigint").groupBy("pretoken").agg(F.sum("n").alias("n")), "pretokens")
-    least, held = 2, 0
-    for row in seen.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).limit(100_000).collect():
-        held += row["count"]
-        if held > head:
-            least = row["n"] + 1
-            break
-
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array(pieces(model).count(batch.column(0).to_pylist()), pa.int32())], names=["pretoken", "pieces"])
 
-    best = seen.where(F.col("n") >= least).select("pretoken").mapInArrow(counted, "pretoken string, pieces int")
-    return dict(map(tuple, best.collect()))
+    best = most_frequent(seen, "pretoken", head).select("pretoken").mapInArrow(counted, "pretoken string, pieces int").toArrow()
+    release(seen)
+    return dict(zip(best.column(0).to_pylist(), best.column(1).to_pylist(), strict=True))
 
 
 def count_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", limit: int = 4096, head: int = HEAD) -> DataFrame:
