@@ -41,16 +41,16 @@ OPS = {
     "j02_aggregated_coverage": Op("Coverage of parent techniques by tactic.", f"SELECT tactic, CAST(count(DISTINCT t.technique) AS BIGINT) AS total, CAST(count(DISTINCT d.technique) AS BIGINT) AS covered, CAST(0 AS BIGINT) AS partial FROM {{techniques}} AS t LEFT JOIN {_D} AS d ON t.technique = d.technique WHERE NOT is_sub AND NOT coalesce(revoked, FALSE) GROUP BY tactic"),
     "j03_log_source_gaps": Op(
         "Required keys of analytics against what log sources supply: a missing source is critical, missing more than half is high.",
-        """WITH required AS (SELECT DISTINCT l_suppkey AS analytic, l_orderkey % 40 AS source, l_linenumber AS k FROM {lineitem} WHERE l_quantity > 40), supplied AS (SELECT DISTINCT l_orderkey % 40 AS source, l_linenumber AS k FROM {lineitem} WHERE l_orderkey % 40 < 30 AND l_linenumber < 5),
+        """WITH required AS (SELECT * FROM {required_keys}), supplied AS (SELECT * FROM {supplied_keys}),
         known AS (SELECT DISTINCT source FROM supplied), j AS (SELECT analytic, r.source, count(*) AS required, count(s.k) AS present, max(CASE WHEN known.source IS NULL THEN 1 ELSE 0 END) AS no_source FROM required AS r LEFT JOIN supplied AS s ON r.source = s.source AND r.k = s.k LEFT JOIN known ON r.source = known.source GROUP BY analytic, r.source)
         SELECT analytic, source, CAST(required AS BIGINT) AS required, CAST(required - present AS BIGINT) AS missing, CASE WHEN no_source = 1 THEN 'critical' WHEN (required - present) * 2 > required THEN 'high' ELSE 'medium' END AS severity FROM j WHERE required > present""",
     ),
     "j04_strategies": Op("Detection strategies with what they detect.", "SELECT strategy, CAST(count(*) AS BIGINT) AS n_techniques, min(d.technique) AS first_technique, CAST(count(DISTINCT tactic) AS BIGINT) AS n_tactics FROM {detects} AS d JOIN {techniques} AS t ON d.technique = t.technique WHERE NOT coalesce(revoked, FALSE) GROUP BY strategy"),
-    "j05_overrides": Op("Analytics' settings with an environment's overrides applied.", "SELECT s.s_suppkey AS analytic, 'threshold' AS field, coalesce(o.v, s.s_acctbal) AS setting, o.v IS NOT NULL AS overridden FROM {supplier} AS s LEFT JOIN (SELECT l_suppkey, max(l_extendedprice) AS v FROM {lineitem} WHERE l_discount > 0.095 GROUP BY l_suppkey) AS o ON s.s_suppkey = o.l_suppkey"),
-    "j08_rule_search": Op("Rules by status, level and text, best match first.", "SELECT p_partkey AS rule, p_name AS title, CAST((CASE WHEN contains(lower(p_name), :word) THEN 2 ELSE 0 END) + (CASE WHEN contains(lower(p_type), :word) THEN 1 ELSE 0 END) AS BIGINT) AS score FROM {part} WHERE p_size >= :least AND (contains(lower(p_name), :word) OR contains(lower(p_type), :word)) ORDER BY score DESC, rule LIMIT :top", word="standard", least=10, top=50),
+    "j05_overrides": Op("Analytics' settings with an environment's overrides applied.", "SELECT s.analytic, 'threshold' AS field, coalesce(o.setting, s.setting) AS setting, o.setting IS NOT NULL AS overridden FROM {analytics} AS s LEFT JOIN {environment} AS o ON s.analytic = o.analytic"),
+    "j08_rule_search": Op("Rules by status, level and text, best match first.", "SELECT rule, title, CAST((CASE WHEN contains(lower(title), :word) THEN 2 ELSE 0 END) + (CASE WHEN contains(lower(body), :word) THEN 1 ELSE 0 END) AS BIGINT) AS score FROM {rules} WHERE level >= :least AND (contains(lower(title), :word) OR contains(lower(body), :word)) ORDER BY score DESC, rule LIMIT :top", word="standard", least=10, top=50),
     "j09_counters": Op("Techniques that each defence counters, through the mitigations it implements.", f"WITH {_COUNTERS} SELECT defence, technique, round(max(confidence), 6) AS confidence FROM counters GROUP BY defence, technique"),
     "j10_defences": Op("Defences of each technique, most confident first.", f"WITH {_COUNTERS} SELECT technique, defence, confidence, CAST(position AS BIGINT) AS position FROM (SELECT technique, defence, max(confidence) AS confidence, row_number() OVER (PARTITION BY technique ORDER BY max(confidence) DESC, defence) AS position FROM counters GROUP BY technique, defence) AS r"),
-    "j12_flow_overlay": Op("Defended actions of each flow.", "SELECT l_orderkey AS flow, CAST(count(*) AS BIGINT) AS actions, CAST(count(m.technique) AS BIGINT) AS defended, round(100.0 * count(m.technique) / count(*), 2) AS defended_pct FROM {lineitem} LEFT JOIN (SELECT DISTINCT technique FROM {mitigates}) AS m ON l_partkey = m.technique GROUP BY l_orderkey"),
+    "j12_flow_overlay": Op("Defended actions of each flow.", "SELECT s.episode AS flow, CAST(count(*) AS BIGINT) AS actions, CAST(count(m.technique) AS BIGINT) AS defended, round(100.0 * count(m.technique) / count(*), 2) AS defended_pct FROM {path_steps} AS s LEFT JOIN (SELECT DISTINCT technique FROM {mitigates}) AS m ON s.technique = m.technique GROUP BY s.episode"),
     "j13_defence_list": Op("Defences with the number and strength of their counters.", f"WITH {_COUNTERS} SELECT defence, CAST(count(DISTINCT technique) AS BIGINT) AS n, CASE WHEN count(DISTINCT technique) >= 3 THEN 'high' WHEN count(DISTINCT technique) >= 1 THEN 'medium' ELSE 'low' END AS strength FROM counters GROUP BY defence"),
     "j14_verify": Op("Overall defence coverage, and how many techniques have enough counters.", f"WITH {_COUNTERS}, n AS (SELECT t.technique, count(c.defence) AS n FROM {{techniques}} AS t LEFT JOIN counters AS c ON t.technique = c.technique GROUP BY t.technique) SELECT CAST(count(*) AS BIGINT) AS techniques, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS covered, round(100.0 * sum(CASE WHEN n >= :least THEN 1 ELSE 0 END) / count(*), 2) AS adequate_pct FROM n", least=2),
     "p17_overlay_quality": Op("Counters per live technique.", f"WITH {_COUNTERS}, n AS (SELECT t.technique, count(c.defence) AS n FROM {{techniques}} AS t LEFT JOIN counters AS c ON t.technique = c.technique WHERE NOT coalesce(revoked, FALSE) GROUP BY t.technique) SELECT round(avg(n), 4) AS avg_counters, CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS most, round(100.0 * sum(CASE WHEN n >= :least THEN 1 ELSE 0 END) / count(*), 2) AS adequacy_pct, avg(n) >= :least AS passed FROM n", least=2),

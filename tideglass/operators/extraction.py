@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.functions.sqlop import Op
+from tideglass.sources import stix
 
 # A line is scored by its cues; claims are mentions of cue words with a confidence from the line.
-_CLAIMS = "claims AS (SELECT l_orderkey AS chunk, p_brand AS technique, CAST(l_quantity * 2 AS BIGINT) AS confidence, l_linenumber AS span, l_orderkey % 500 AS doc FROM {lineitem} JOIN {part} ON l_partkey = p_partkey)"
-_CHUNKS = "chunks AS (SELECT doc_id, CAST(floor(c_start / 500) AS BIGINT) AS chunk_no, c_start, least(c_start + 600, n_chars) AS c_end FROM (SELECT doc_id, n_chars, explode(sequence(CAST(0 AS BIGINT), n_chars - 1, CAST(500 AS BIGINT))) AS c_start FROM {documents} WHERE n_chars > 0) AS k)"
-_SPANS = "spans AS (SELECT doc_id, CAST(floor(s_start / 137) AS BIGINT) AS span_no, s_start, s_start + 90 AS s_end FROM (SELECT doc_id, explode(sequence(CAST(0 AS BIGINT), n_chars - 90, CAST(137 AS BIGINT))) AS s_start FROM {documents} WHERE n_chars >= 90) AS s)"
-_ENTITIES = "ents AS (SELECT lower(trim(e.event_type)) AS name, CASE WHEN e.user_id % 2 = 0 THEN 'tool' ELSE 'actor' END AS type, CAST(floor(e.value) AS BIGINT) AS confidence, e.user_id AS chunk, e.props AS quote FROM {events} AS e)"
+_CLAIMS = "claims AS (SELECT * FROM {claim_rows})"
+_CHUNKS = "chunks AS (SELECT * FROM {chunk_ranges})"
+_SPANS = "spans AS (SELECT * FROM {span_ranges})"
+_ENTITIES = "ents AS (SELECT * FROM {entity_mentions})"
 
 OPS = {
     "m01_page_text": Op("Length of pages and of their title.", "SELECT page_id, CAST(length(html) AS BIGINT) AS n_html, CAST(strpos_ AS BIGINT) AS title_at FROM (SELECT page_id, html, instr(lower(html), '<title') AS strpos_ FROM {pages}) AS p"),
@@ -28,8 +29,6 @@ OPS = {
     "m14_candidate_scores": Op("Weighted candidate scores with a tactic bonus, above a threshold.", "SELECT technique, CAST(score AS BIGINT) AS score FROM (SELECT technique, round(60.0 * ((technique * 37) % 100) / 100 + 15 * (CASE WHEN contains(name, '1') THEN 1 ELSE 0 END) + 10 * (CASE WHEN is_sub THEN 1 ELSE 0 END)) + (CASE WHEN tactic = 'LARGE' THEN 6 ELSE 0 END) AS score FROM {techniques}) AS s WHERE score >= :least", least=50),
     "m16_accumulator": Op("Highest confidence seen so far for each technique as chunks arrive.", f"WITH {_CLAIMS} SELECT doc, technique, chunk, CAST(max(confidence) AS BIGINT) AS best_so_far FROM (SELECT doc, technique, chunk, max(confidence) OVER (PARTITION BY doc, technique ORDER BY chunk RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS confidence FROM claims) AS r GROUP BY doc, technique, chunk"),
     "m18_entity_groups": Op("Entities by name and type, boosted by mentions and chunks.", f"WITH {_ENTITIES} SELECT name, type, CAST(least(100, max(confidence) + least(20, 5 * count(*))) AS BIGINT) AS confidence, CAST(count(DISTINCT chunk) AS BIGINT) AS chunks FROM ents GROUP BY name, type"),
-    "m19_ignore_list": Op("Names that no ignore rule takes: empty, listed, file extensions.", "SELECT p_partkey, p_name FROM {part} WHERE trim(p_name) <> '' AND lower(p_name) NOT IN ('part_1', 'part_2') AND NOT p_name LIKE '%.exe' AND NOT p_name LIKE '%99'"),
-    "m22_bundle_checks": Op("Objects that break a rule of their kind.", "SELECT 'flow without steps' AS rule, CAST(count(*) AS BIGINT) AS n FROM {orders} LEFT JOIN (SELECT DISTINCT l_orderkey FROM {lineitem}) AS l ON o_orderkey = l_orderkey WHERE l_orderkey IS NULL UNION ALL SELECT 'negative confidence', CAST(count(*) AS BIGINT) FROM {lineitem} WHERE l_quantity < 0 UNION ALL SELECT 'no name', CAST(count(*) AS BIGINT) FROM {part} WHERE p_name IS NULL OR p_name = ''"),
     "p02_span_chunks": Op("Every chunk that a span overlaps: a range join within the document, of a span and the chunks at, before and after its start.", f"WITH {_CHUNKS}, {_SPANS}, near AS (SELECT s.*, CAST(floor(s_start / 500) AS BIGINT) + d.i AS chunk_no FROM spans AS s CROSS JOIN (VALUES (-1), (0), (1)) AS d(i)) SELECT s.doc_id, s.span_no, c.chunk_no FROM near AS s JOIN chunks AS c ON s.doc_id = c.doc_id AND s.chunk_no = c.chunk_no AND s.s_start < c.c_end AND s.s_end > c.c_start"),
     "p03_redistribution": Op("Spans in contiguous blocks over chunks.", f"WITH {_SPANS} SELECT doc_id, span_no, CAST(floor((rn - 1) / ceil(n / 3.0)) AS BIGINT) AS chunk FROM (SELECT doc_id, span_no, row_number() OVER (PARTITION BY doc_id ORDER BY span_no) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM spans) AS r"),
     "p04_windows": Op("Sliding character windows over the whole text that hold enough text.", "SELECT doc_id, start, CAST(length(trim(substr(text, CAST(start + 1 AS INT), 500))) AS BIGINT) AS n FROM (SELECT doc_id, text, explode(sequence(CAST(0 AS BIGINT), n_chars - 1, CAST(400 AS BIGINT))) AS start FROM {documents} WHERE n_chars > 0) AS w WHERE length(trim(substr(text, CAST(start + 1 AS INT), 500))) >= 100"),
@@ -186,6 +185,31 @@ def _prefixes(sets: DataFrame, threshold: float, ordered: int = 20_000) -> DataF
     return sets.select("grp", "k", "words").mapInArrow(run, f"grp string, k {key}, word string, size long")
 
 
+def not_ignored(entities: DataFrame, rules: DataFrame, most: int = 10_000) -> DataFrame:
+    """entities (name, ...) that no rule (kind, value) takes: blank names, names that a list has (user, vendor, generic,
+    code, extension; without case), names that end with an extension, and names that a pattern matches from their start.
+    Rules are configuration: more than `most` patterns are refused."""
+    lists = rules.where("kind <> 'pattern'").select(F.lower("value").alias("listed")).distinct()
+    ends = rules.where("kind = 'extension'").select(F.lower("value").alias("end")).distinct()
+    patterns = [r[0] for r in rules.where("kind = 'pattern'").select("value").limit(most + 1).collect()]
+    if len(patterns) > most:
+        raise ValueError(f"more than {most} patterns")
+    known = entities.withColumn("_name", F.lower(F.trim("name"))).where(F.coalesce(F.col("_name") != "", F.lit(False)))
+    if patterns:
+        known = known.where(~F.col("name").rlike("^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"))
+    left = known.join(lists, F.col("_name") == F.col("listed"), "left_anti")
+    # Suffixes meet extensions by equality, whatever the number of extensions.
+    tails = left.select("_name").distinct().select("_name", F.explode(F.transform(F.sequence(F.lit(1), F.length("_name")), lambda i: F.substr("_name", i))).alias("end"))
+    taken = tails.join(ends, "end", "left_semi").select(F.col("_name").alias("taken")).distinct()
+    return left.join(taken, F.col("_name") == F.col("taken"), "left_anti").drop("_name")
+
+
+def bundle_checks(objects: DataFrame) -> DataFrame:
+    """Objects that break a rule of their kind, by kind and rule: type, error, n, first_id."""
+    found = stix.validate(objects).select("type", "id", F.explode("errors").alias("error"))
+    return found.groupBy("type", "error").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
 def jaccard_evidence(lines: DataFrame, threshold: float = 0.85, rounds: int = 3) -> DataFrame:
     """Within each group, evidence whose word set is like that of a longer kept one goes: grp, id. Longest first, then
     by id; rows without words stay.
@@ -286,6 +310,17 @@ _NEAR = "WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT
 _PATHS = "WITH RECURSIVE w AS (SELECT DISTINCT [src] AS path, CAST(0 AS DOUBLE) AS total FROM ptg_edges UNION ALL SELECT list_append(path, dst), total + p FROM w JOIN ptg_edges ON src = path[len(path)] AND NOT list_contains(path, dst)) SELECT path, CAST(len(path) - 1 AS BIGINT) AS steps, round(total / (len(path) - 1), 6) AS confidence FROM w WHERE len(path) >= 2 AND NOT EXISTS (SELECT 1 FROM ptg_edges AS e WHERE e.src = path[len(path)] AND NOT list_contains(path, e.dst))"
 _ALIAS = "WITH RECURSIVE w AS (SELECT p_partkey AS alias, p_partkey // 3 AS root FROM part WHERE p_partkey // 3 > 0 UNION ALL SELECT alias, root // 3 FROM w WHERE root // 3 > 0) SELECT alias, min(root) AS root FROM w GROUP BY alias"
 FUNCTIONS = {
+    "m19_ignore_list": (
+        not_ignored,
+        ["entity_names", "ignore_rules"],
+        "SELECT name FROM entity_names AS e WHERE trim(name) <> '' AND NOT EXISTS (SELECT 1 FROM ignore_rules WHERE CASE kind WHEN 'pattern' THEN regexp_matches(name, concat('^(', value, ')')) WHEN 'extension' THEN ends_with(lower(trim(name)), lower(value)) ELSE lower(trim(name)) = lower(value) END)",
+    ),
+    "m22_bundle_checks": (
+        bundle_checks,
+        ["stix_objects"],
+        """SELECT type, error, count(*)::BIGINT AS n, min(id) AS first_id FROM (SELECT type, id, unnest([CASE WHEN length(split_part(id, '--', 2)) <> 36 THEN 'bad id' END, CASE WHEN split_part(id, '--', 1) <> type THEN 'id of another type' END, CASE WHEN spec_version <> '2.1' THEN 'spec version' END, CASE WHEN type = 'relationship' AND target_ref IS NULL THEN 'incomplete relationship' END,
+        CASE WHEN type = 'relationship' AND relationship_type = 'likes' THEN 'unknown relationship' END, CASE WHEN type = 'attack-pattern' AND name IS NULL THEN 'no name' END, CASE WHEN confidence > 100 THEN 'confidence out of range' END]) AS error FROM stix_objects) AS u WHERE error IS NOT NULL GROUP BY type, error""",
+    ),
     "p12_line_refs": (line_refs, ["documents"], _LINES),
     "k12_running_confidence": (running_confidence, ["events"], _EMA),
     "m02_sentences": (split_sentences, ["documents"], None),

@@ -15,7 +15,7 @@ OPS = {
     "i01_subgraph": Op("Up to ten strategies and mitigations of each live technique of a family.", f"WITH {_EDGES} SELECT technique, type, src FROM (SELECT t.technique, type, src, row_number() OVER (PARTITION BY t.technique, type ORDER BY src) AS rn FROM {{techniques}} AS t JOIN edges ON t.technique = edges.dst WHERE family = :family AND NOT revoked) AS r WHERE rn <= :top", family="Brand#11", top=10),
     "i02_neighbours": Op("Neighbours of a node in both directions by type.", f"WITH {_EDGES} SELECT type, dst AS neighbour, 'outgoing' AS direction FROM edges WHERE src = :node UNION ALL SELECT type, src, 'incoming' FROM edges WHERE dst = :node", node=17),
     "i05_induced": Op("Edges between given nodes, one for each pair and type.", f"WITH {_EDGES} SELECT DISTINCT type, src, dst FROM edges WHERE src IN :nodes AND dst IN :nodes", nodes=list(range(1, 80))),
-    "i06_actor_search": Op("Actors by part of a name.", "SELECT n_nationkey AS actor, n_name AS name FROM {nation} WHERE contains(lower(n_name), :part) ORDER BY n_nationkey LIMIT :top", part="n_1", top=20),
+    "i06_actor_search": Op("Actors by part of a name.", "SELECT actor, name FROM {actors} WHERE contains(lower(name), :part) ORDER BY actor LIMIT :top", part="n_1", top=20),
     "i07_technique_lookup": Op("Techniques with their primary tactic.", "SELECT n.technique, n.name, p.tactic FROM {technique_names} AS n LEFT JOIN {primary_tactic} AS p ON n.technique = p.technique"),
     "i08_by_tactic": Op("Techniques of each tactic by flag.", "SELECT tactic, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN is_sub THEN 1 ELSE 0 END) AS BIGINT) AS subs, min(technique) AS first_technique FROM {techniques} WHERE NOT coalesce(revoked, FALSE) GROUP BY tactic"),
     "i09_autocomplete": Op("Names that contain what was typed, shortest first.", "SELECT technique, name FROM {techniques} WHERE contains(lower(name), :part) ORDER BY length(name), technique LIMIT :top", part="part_1", top=10),

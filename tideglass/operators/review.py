@@ -38,7 +38,7 @@ OPS = {
     "l24_flow_filters": Op("Flows of a kind that have a technique of a family.", "SELECT DISTINCT f.flow FROM {flow_reports} AS f JOIN {et} AS e ON f.flow = e.episode WHERE f.status = :status AND e.technique LIKE :suffix", status="O", suffix="%#23"),
     "l25_flow_list": Op("A page of flows, newest first.", "SELECT flow, status FROM {flow_reports} ORDER BY created DESC, flow LIMIT :top OFFSET :skip", top=20, skip=40),
     "l26_flow_overlap": Op("Flows by the share of wanted techniques that they have.", "WITH wanted AS (SELECT * FROM (VALUES ('Brand#11'), ('Brand#22'), ('Brand#33')) AS v(technique)) SELECT episode, round(CAST(count(*) AS DOUBLE) / 3, 6) AS overlap FROM {et} AS e JOIN wanted ON e.technique = wanted.technique GROUP BY episode"),
-    "l27_describes": Op("Edges from reports to what they describe, without repeats.", "SELECT DISTINCT l_orderkey AS report, l_partkey AS object FROM {lineitem}"),
+    "l27_describes": Op("Edges from reports to what they describe, without repeats.", "SELECT DISTINCT report, object FROM {described}"),
     "l28_campaign_merge": Op("Edges of campaigns after several are merged into one.", "SELECT DISTINCT CASE WHEN actor IN ('NATION_1', 'NATION_2', 'NATION_3') THEN 'NATION_0' ELSE actor END AS campaign, technique FROM {uses}"),
     "l29_flow_nodes": Op("Nodes and edges of normalised flows.", "SELECT episode, CAST(count(*) AS BIGINT) AS nodes, CAST(count(*) - 1 AS BIGINT) AS edges FROM {actions} GROUP BY episode"),
     "l32_scenario_starts": Op("Start techniques by any of several routes.", "SELECT technique FROM {techniques} WHERE family = 'Brand#11' UNION SELECT technique FROM {uses} WHERE actor = 'NATION_5' UNION SELECT technique FROM {mitigates} WHERE mitigation = 7"),
@@ -53,7 +53,7 @@ OPS = {
     "p13_campaign_span": Op("First and last sight of merged campaigns.", "SELECT CASE WHEN actor IN ('NATION_1', 'NATION_2') THEN 'NATION_0' ELSE actor END AS campaign, min(f.created) AS first_seen, max(f.created) AS last_seen FROM {attribution} AS a JOIN {flow_reports} AS f ON a.episode = f.flow GROUP BY CASE WHEN actor IN ('NATION_1', 'NATION_2') THEN 'NATION_0' ELSE actor END"),
     "p14_campaign_list": Op("Campaigns that are not provisional, with techniques and actors.", "SELECT a.actor AS campaign, CAST(count(DISTINCT e.technique) AS BIGINT) AS techniques, CAST(count(DISTINCT a.episode) AS BIGINT) AS flows FROM {attribution} AS a LEFT JOIN {et} AS e ON a.episode = e.episode WHERE a.actor <> 'NATION_7' GROUP BY a.actor"),
     "p15_report_list": Op("Reports without a provisional campaign, with their number of entities.", "SELECT r.report_id, CAST(length(r.text) - length(replace(r.text, ' ', '')) AS BIGINT) AS entities FROM {reports} AS r WHERE NOT EXISTS (SELECT 1 FROM {reports} AS p WHERE p.report_id = r.report_id AND p.campaign = 'c3')"),
-    "p16_report_objects": Op("What each report describes, by type.", "SELECT l_orderkey AS report, CAST(count(DISTINCT CASE WHEN t.is_sub THEN l_partkey END) AS BIGINT) AS subs, CAST(count(DISTINCT CASE WHEN NOT t.is_sub THEN l_partkey END) AS BIGINT) AS parents FROM {lineitem} JOIN {techniques} AS t ON l_partkey = t.technique GROUP BY l_orderkey"),
+    "p16_report_objects": Op("What each report describes, by type.", "SELECT d.report, CAST(count(DISTINCT CASE WHEN t.is_sub THEN d.object END) AS BIGINT) AS subs, CAST(count(DISTINCT CASE WHEN NOT t.is_sub THEN d.object END) AS BIGINT) AS parents FROM {described} AS d JOIN {techniques} AS t ON d.object = t.technique GROUP BY d.report"),
     "p24_evidence": Op("Best evidence of each technique.", "SELECT technique, episode, action_id FROM (SELECT *, row_number() OVER (PARTITION BY technique ORDER BY coalesce(confidence, 0) DESC, ts DESC, episode, action_id) AS rn FROM {actions}) AS r WHERE rn <= :top", top=5),
     "p28_provenance_confidence": Op("Weighted confidence: sources ranked by strength count 1 / rank.", "WITH w AS (SELECT technique, coalesce(confidence, 0) * (CASE WHEN ord = 1 THEN 1.0 WHEN ord = 2 THEN 0.9 WHEN ord = 3 THEN 0.7 ELSE 0.5 END) AS c, episode, action_id FROM {actions}), r AS (SELECT technique, c, row_number() OVER (PARTITION BY technique ORDER BY c DESC, episode, action_id) AS rn FROM w) SELECT technique, round(least(100.0, sum(c / rn) / sum(1.0 / rn)), 4) AS confidence FROM r GROUP BY technique"),
     "p29_confidence_histogram": Op("Actions by quarter of confidence.", "SELECT CASE WHEN confidence <= 25 THEN '0-25' WHEN confidence <= 50 THEN '25-50' WHEN confidence <= 75 THEN '50-75' ELSE '75-100' END AS bin, CAST(count(*) AS BIGINT) AS n FROM {actions} GROUP BY CASE WHEN confidence <= 25 THEN '0-25' WHEN confidence <= 50 THEN '25-50' WHEN confidence <= 75 THEN '50-75' ELSE '75-100' END"),

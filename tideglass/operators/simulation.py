@@ -20,7 +20,7 @@ OPS = {
     "e01_start_techniques": Op("Start techniques of an actor in a fixed pseudo-random order.", "SELECT technique FROM {uses} WHERE actor = :actor ORDER BY (technique * 7919 + 104729) % 10007, technique LIMIT :top", actor="NATION_3", top=5),
     "e02_next_techniques": Op("Ten most likely next states of each, from observed transitions and how often they were seen.", "SELECT src, dst, round(p, 6) AS p FROM (SELECT src, dst, p, row_number() OVER (PARTITION BY src ORDER BY round(p, 9) DESC, dst) AS rn FROM (SELECT src, dst, CASE WHEN p IS NULL THEN 0.3 ELSE least(p + least(n / 10.0, 0.2), 0.95) END AS p FROM {transitions}) AS t WHERE p > :least) AS r WHERE rn <= :top", least=0.05, top=10),
     "e03_defence_reduction": Op("How much counters lower a technique's chance.", f"SELECT t.technique, round(least(0.15 * coalesce(c.n, 0), 0.75), 6) AS reduction FROM {{primary_tactic}} AS t LEFT JOIN {_COUNTERS} AS c ON t.technique = c.technique"),
-    "e06_path_cost": Op("Length of each episode's path plus a half for each sub-technique.", "SELECT l_orderkey AS episode, round(count(*) + 0.5 * sum(CASE WHEN is_sub THEN 1 ELSE 0 END), 4) AS cost FROM {lineitem} JOIN {techniques} AS t ON l_partkey = t.technique GROUP BY l_orderkey"),
+    "e06_path_cost": Op("Length of each episode's path plus a half for each sub-technique.", "SELECT s.episode, round(count(*) + 0.5 * sum(CASE WHEN is_sub THEN 1 ELSE 0 END), 4) AS cost FROM {path_steps} AS s JOIN {techniques} AS t ON s.technique = t.technique GROUP BY s.episode"),
     "e07_transition_matrix": Op("Mean transition probability between the most frequent states.", "WITH top AS (SELECT src AS s FROM {next_edges} GROUP BY src ORDER BY count(*) DESC, src LIMIT :top) SELECT e.src, e.dst, round(avg(coalesce(p, 0)), 3) AS p FROM {next_edges} AS e JOIN top AS a ON e.src = a.s JOIN top AS b ON e.dst = b.s GROUP BY e.src, e.dst", top=50),
     "e09_predict_next": Op(
         "Next states of the current ones by mean probability, half as much again where a group that uses a current state uses the next one; with frequency, and a confidence that is the share of wanted predictions found.",

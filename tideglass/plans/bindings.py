@@ -34,6 +34,22 @@ VIEWS = {
     "reports": "SELECT doc_id AS report_id, source, lang, n_chars, text, TIMESTAMP '2024-01-01 00:00:00' + CAST(doc_id % 60 AS INT) * INTERVAL 1 DAY AS ingested, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE concat('c', CAST(doc_id % 11 AS VARCHAR(9))) END AS campaign, CASE doc_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'processing' ELSE 'failed' END AS status FROM {documents}",
     "candidates": "SELECT event_id AS candidate, event_type AS type, CASE event_id % 5 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN NULL ELSE 'pending' END AS status, value AS confidence, ts AS created FROM {events}",
     "predictions": "SELECT d.doc_id, d.source AS model_type, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS truth, CASE WHEN n_chars > 600 THEN 'good' WHEN n_chars > 200 THEN 'bad' ELSE 'tiny' END AS predicted, CAST(n_chars % 101 AS DOUBLE) / 100 AS confidence FROM {documents} AS d JOIN {labels} AS l ON d.doc_id = l.doc_id",
+    "claim_rows": "SELECT l_orderkey AS chunk, p_brand AS technique, CAST(l_quantity * 2 AS BIGINT) AS confidence, l_linenumber AS span, l_orderkey % 500 AS doc FROM {lineitem} JOIN {part} ON l_partkey = p_partkey",
+    "chunk_ranges": "SELECT doc_id, CAST(floor(c_start / 500) AS BIGINT) AS chunk_no, c_start, least(c_start + 600, n_chars) AS c_end FROM (SELECT doc_id, n_chars, explode(sequence(CAST(0 AS BIGINT), n_chars - 1, CAST(500 AS BIGINT))) AS c_start FROM {documents} WHERE n_chars > 0) AS k",
+    "span_ranges": "SELECT doc_id, CAST(floor(s_start / 137) AS BIGINT) AS span_no, s_start, s_start + 90 AS s_end FROM (SELECT doc_id, explode(sequence(CAST(0 AS BIGINT), n_chars - 90, CAST(137 AS BIGINT))) AS s_start FROM {documents} WHERE n_chars >= 90) AS s",
+    "entity_mentions": "SELECT lower(trim(e.event_type)) AS name, CASE WHEN e.user_id % 2 = 0 THEN 'tool' ELSE 'actor' END AS type, CAST(floor(e.value) AS BIGINT) AS confidence, e.user_id AS chunk, e.props AS quote FROM {events} AS e",
+    "entity_names": "SELECT DISTINCT p_name AS name FROM {part} UNION SELECT DISTINCT event_type FROM {events} UNION SELECT DISTINCT p_type FROM {part}",
+    "ignore_rules": "SELECT * FROM (VALUES ('user', 'part_1'), ('vendor', 'Part_2'), ('extension', '.exe'), ('extension', 'ick'), ('generic', 'view'), ('code', 'signup'), ('pattern', 'part_[0-9]*99$'), ('pattern', 'STANDARD$|ECON')) AS v(kind, value)",
+    "path_steps": "SELECT l_orderkey AS episode, l_partkey AS technique FROM {lineitem}",
+    "described": "SELECT DISTINCT l_orderkey AS report, l_partkey AS object FROM {lineitem}",
+    "actors": "SELECT n_nationkey AS actor, n_name AS name FROM {nation}",
+    "analytics": "SELECT s_suppkey AS analytic, s_acctbal AS setting FROM {supplier}",
+    "environment": "SELECT l_suppkey AS analytic, max(l_extendedprice) AS setting FROM {lineitem} WHERE l_discount > 0.095 GROUP BY l_suppkey",
+    "required_keys": "SELECT DISTINCT l_suppkey AS analytic, l_orderkey % 40 AS source, l_linenumber AS k FROM {lineitem} WHERE l_quantity > 40",
+    "supplied_keys": "SELECT DISTINCT l_orderkey % 40 AS source, l_linenumber AS k FROM {lineitem} WHERE l_orderkey % 40 < 30 AND l_linenumber < 5",
+    "rules": "SELECT p_partkey AS rule, p_name AS title, p_type AS body, p_size AS level FROM {part}",
+    "stix_objects": """SELECT 'attack-pattern' AS type, concat(CASE WHEN p_size = 7 THEN 'tool' ELSE 'attack-pattern' END, '--', concat(substr(md5(CAST(p_partkey AS VARCHAR(20))), 1, 8), '-', substr(md5(CAST(p_partkey AS VARCHAR(20))), 9, 4), '-4', substr(md5(CAST(p_partkey AS VARCHAR(20))), 14, 3), '-a', substr(md5(CAST(p_partkey AS VARCHAR(20))), 18, 3), '-', substr(md5(CAST(p_partkey AS VARCHAR(20))), 21, 12))) AS id, CASE WHEN p_size = 9 THEN '2.0' END AS spec_version, CASE WHEN p_size > 45 THEN NULL ELSE p_name END AS name, CAST(NULL AS VARCHAR(9)) AS source_ref, CAST(NULL AS VARCHAR(9)) AS target_ref, CAST(NULL AS VARCHAR(9)) AS relationship_type, CAST(NULL AS VARCHAR(9)) AS pattern, CAST(NULL AS DOUBLE) AS confidence FROM {part}
+      UNION ALL SELECT 'relationship', concat('relationship--', CASE WHEN l_linenumber = 6 THEN 'bad' ELSE concat(substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 1, 8), '-', substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 9, 4), '-4', substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 14, 3), '-a', substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 18, 3), '-', substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 21, 12)) END), NULL, NULL, concat('s', CAST(l_suppkey AS VARCHAR(20))), CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('t', CAST(l_partkey AS VARCHAR(20))) END, CASE WHEN l_returnflag = 'N' THEN 'uses' WHEN l_returnflag = 'A' THEN 'likes' ELSE 'mitigates' END, NULL, CAST(l_quantity * 2.5 AS DOUBLE) FROM {lineitem}""",
     "keyword_index": "SELECT DISTINCT keyword, technique FROM (SELECT lower(split_part(text, ' ', 1)) AS keyword, concat('T', CAST(item_id AS VARCHAR(19))) AS technique FROM {benchmark} UNION ALL SELECT lower(concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3))), concat('T', CAST(item_id AS VARCHAR(19))) FROM {benchmark}) AS k WHERE length(trim(keyword)) > 1",
     "kill_chain": "SELECT p_brand AS technique, CASE CAST(substr(p_brand, 7, 2) AS INT) % 7 WHEN 0 THEN 'initial-access' WHEN 1 THEN 'persistence' WHEN 2 THEN 'credential-access' WHEN 3 THEN 'lateral-movement' WHEN 4 THEN 'collection' WHEN 5 THEN 'exfiltration' ELSE 'discovery' END AS tactic FROM (SELECT DISTINCT p_brand FROM {part}) AS b",
     "flow_reports": "SELECT o_orderkey AS flow, o_custkey AS report_id, o_orderdate AS created, o_totalprice AS score, o_orderstatus AS status, o_orderpriority AS kind FROM {orders}",
@@ -65,7 +81,7 @@ def prelude(names: list[str]) -> str:
 
     for n in names:
         visit(n)
-    return ", ".join(f"{n} AS ({_TABLE.sub(r'\1', VIEWS[n])})" for n in order)
+    return ", ".join(f"{n} AS ({_TABLE.sub(r'\1', VIEWS[n])})" for n in order).replace("explode(sequence(", "unnest(generate_series(")
 
 
 def oracle(names: list[str], text: str) -> str:

@@ -83,7 +83,7 @@ def embedding_text(objects: DataFrame) -> DataFrame:
 
 
 def validate(objects: DataFrame) -> DataFrame:
-    """Objects that break a rule: id, errors."""
+    """Objects that break a rule: id, type, errors."""
     rules = [
         F.when(F.col("type").isNull(), "no type"),
         F.when(F.col("id").isNull() | ~F.col("id").rlike(r"^[a-z0-9-]+--[0-9a-fA-F-]{36}$"), "bad id"),
@@ -96,7 +96,7 @@ def validate(objects: DataFrame) -> DataFrame:
         F.when(F.col("confidence").isNotNull() & ~F.col("confidence").between(0, 100), "confidence out of range"),
     ]
     errors = F.filter(F.array(*rules), lambda e: e.isNotNull())
-    return objects.select("id", errors.alias("errors")).where(F.size("errors") > 0)
+    return objects.select("id", "type", errors.alias("errors")).where(F.size("errors") > 0)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "stix_id") -> tuple[DataFrame, DataFrame]:
