@@ -16,9 +16,19 @@ _ENTITIES = "ents AS (SELECT * FROM {entity_mentions})"
 
 OPS = {
     "m01_page_text": Op("Length of pages and of their title.", "SELECT page_id, CAST(length(html) AS BIGINT) AS n_html, CAST(strpos_ AS BIGINT) AS title_at FROM (SELECT page_id, html, instr(lower(html), '<title') AS strpos_ FROM {pages}) AS p"),
-    "m03_span_scores": Op("Documents' cue scores, capped at 1, above a threshold.", "SELECT doc_id, round(score, 4) AS score FROM (SELECT doc_id, least(1.0, (CASE WHEN contains(lower(text), 'ing the') THEN 0.5 ELSE 0.0 END) + (CASE WHEN contains(lower(text), 'und') THEN 0.4 ELSE 0.0 END) + (CASE WHEN contains(lower(text), 'que') THEN 0.3 ELSE 0.0 END) + (CASE WHEN contains(lower(text), 'tion') THEN 0.3 ELSE 0.0 END)) AS score FROM {documents}) AS s WHERE score >= :least", least=0.6),
+    "m03_span_scores": Op(
+        "Lines by the weights of the cues that they hold, and 0.1 for each further cue up to 0.3, capped at one; those above a threshold.",
+        """WITH lines AS (SELECT doc_id, pos, line FROM {documents} LATERAL VIEW posexplode(split(text, chr(10))) AS pos, line),
+        s AS (SELECT l.doc_id, l.pos, least(1.0, max(c.weight) + least(0.3, 0.1 * (count(*) - 1))) AS score FROM lines AS l JOIN {cues} AS c ON contains(lower(l.line), c.cue) GROUP BY l.doc_id, l.pos)
+        SELECT doc_id, CAST(pos AS BIGINT) AS line, round(CAST(score AS DOUBLE), 4) AS score FROM s WHERE score >= :least""",
+        least=0.6,
+    ).against("""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {documents}), l AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS line FROM t), h AS (SELECT doc_id, i, list_max(list(weight)) AS top, len(list(cue)) AS n FROM l JOIN {cues} ON strpos(lower(line), cue) > 0 GROUP BY doc_id, i)
+        SELECT doc_id, i - 1 AS line, round(least(1, top::DOUBLE + least(0.3::DOUBLE, (n - 1) / 10.0::DOUBLE)), 4) AS score FROM h WHERE least(1, top + least(0.3, (n - 1) * 0.1)) >= :least"""),
     "m04_stage_windows": Op("Five-line windows of an episode that hold two different tactics.", "SELECT episode, action_id FROM (SELECT a.episode, a.action_id, min(p.tactic) OVER w AS low, max(p.tactic) OVER w AS high FROM {actions} AS a JOIN {primary_tactic} AS p ON a.technique = p.technique WINDOW w AS (PARTITION BY a.episode ORDER BY a.action_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS s WHERE low <> high"),
-    "m05_entity_spans": Op("Documents that name an entity by pattern.", "SELECT doc_id, CAST(CASE WHEN contains(text, 'APT') OR contains(text, 'AKIA') THEN 0.8 ELSE 0.6 END AS DOUBLE) AS score FROM {documents} WHERE contains(text, 'APT') OR contains(text, 'AKIA') OR contains(text, 'token =')"),
+    "m05_entity_spans": Op(
+        "Names of groups by pattern (APT, TA, FIN, UNC and a number) in each text, with how often; texts over fifty characters count as a quote.",
+        "SELECT doc_id, entity, CAST(count(*) AS BIGINT) AS mentions, CAST(max(CASE WHEN length(text) > 50 THEN 0.8 ELSE 0.6 END) AS DOUBLE) AS score FROM {documents} LATERAL VIEW explode(regexp_extract_all(text, '(?:APT|TA|FIN|UNC)[ -]?[0-9]+', 0)) AS entity GROUP BY doc_id, entity",
+    ).against("SELECT doc_id, entity, count(*)::BIGINT AS mentions, max(CASE WHEN length(text) > 50 THEN 0.8::DOUBLE ELSE 0.6 END) AS score FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '(APT|TA|FIN|UNC)( |-)?[0-9]+')) AS entity FROM {documents}) AS u GROUP BY doc_id, entity"),
     "m06_distinct_texts": Op("Texts to look up once, with how often each is asked for.", "SELECT md5(text) AS text_hash, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_doc FROM {documents} GROUP BY md5(text)"),
     "m07_span_limit": Op("At most three spans of each technique in a document, best first.", f"WITH {_CLAIMS} SELECT doc, technique, chunk, span, confidence FROM (SELECT DISTINCT * FROM (SELECT doc, technique, chunk, span, confidence, row_number() OVER (PARTITION BY doc, technique ORDER BY confidence DESC, chunk, span) AS rn FROM claims) AS r WHERE rn <= :most) AS d", most=3),
     "m07_span_dedup": Op("Spans merged by their first characters.", "SELECT lower(substr(text, 1, 200)) AS head, CAST(count(*) AS BIGINT) AS n, max(n_chars) AS longest FROM {documents} GROUP BY lower(substr(text, 1, 200))"),

@@ -37,7 +37,15 @@ OPS = {
     "l23_flow_dump": Op("Flows of reports in a time range, newest first.", "SELECT flow, report_id, created FROM {flow_reports} WHERE created >= TIMESTAMP '1995-01-01 00:00:00' AND created < TIMESTAMP '1996-01-01 00:00:00'"),
     "l24_flow_filters": Op("Flows of a kind that have a technique of a family.", "SELECT DISTINCT f.flow FROM {flow_reports} AS f JOIN {et} AS e ON f.flow = e.episode WHERE f.status = :status AND e.technique LIKE :suffix", status="O", suffix="%#23"),
     "l25_flow_list": Op("A page of flows, newest first.", "SELECT flow, status FROM {flow_reports} ORDER BY created DESC, flow LIMIT :top OFFSET :skip", top=20, skip=40),
-    "l26_flow_overlap": Op("Flows by the share of wanted techniques that they have.", "WITH wanted AS (SELECT * FROM (VALUES ('Brand#11'), ('Brand#22'), ('Brand#33')) AS v(technique)) SELECT episode, round(CAST(count(*) AS DOUBLE) / 3, 6) AS overlap FROM {et} AS e JOIN wanted ON e.technique = wanted.technique GROUP BY episode"),
+    "l26_flow_overlap": Op(
+        "Flows like a given one, itself left out: the share of its techniques that they have, and the cosine of the technique sets, above a threshold.",
+        """WITH q AS (SELECT DISTINCT technique FROM {et} WHERE episode = :flow), n AS (SELECT CAST(count(*) AS DOUBLE) AS k FROM q), z AS (SELECT episode, count(*) AS size FROM {et} GROUP BY episode),
+        s AS (SELECT e.episode, count(*) AS shared FROM {et} AS e JOIN q ON e.technique = q.technique WHERE e.episode <> :flow GROUP BY e.episode)
+        SELECT s.episode, round(shared / k, 6) AS overlap, round(shared / sqrt(k * size), 6) AS cosine FROM s JOIN z ON s.episode = z.episode CROSS JOIN n WHERE shared / sqrt(k * size) >= :least""",
+        flow=1,
+        least=0.3,
+    ).against("""WITH f AS (SELECT episode, list(technique) AS ts FROM {et} GROUP BY episode), q AS (SELECT ts AS wanted FROM f WHERE episode = :flow), c AS (SELECT episode, len(list_intersect(ts, wanted)) AS s, len(ts) AS n, len(wanted) AS k FROM f, q WHERE episode <> :flow)
+        SELECT episode, round(s / k::DOUBLE, 6) AS overlap, round(s / (sqrt(k) * sqrt(n)), 6) AS cosine FROM c WHERE s > 0 AND s / (sqrt(k) * sqrt(n)) >= :least"""),
     "l27_describes": Op("Edges from reports to what they describe, without repeats.", "SELECT DISTINCT report, object FROM {described}"),
     "l28_campaign_merge": Op("Edges of campaigns after several are merged into one.", "SELECT DISTINCT CASE WHEN actor IN ('NATION_1', 'NATION_2', 'NATION_3') THEN 'NATION_0' ELSE actor END AS campaign, technique FROM {uses}"),
     "l29_flow_nodes": Op("Nodes and edges of normalised flows.", "SELECT episode, CAST(count(*) AS BIGINT) AS nodes, CAST(count(*) - 1 AS BIGINT) AS edges FROM {actions} GROUP BY episode"),

@@ -28,9 +28,29 @@ OPS = {
     "g06_context": Op("Up to five neighbours of each technique over two kinds of edge, revoked ones left out.", "SELECT technique, kind, other FROM (SELECT u.technique, kind, other, row_number() OVER (PARTITION BY u.technique ORDER BY kind, other) AS rn FROM (SELECT technique, 'detects' AS kind, strategy AS other FROM {detects} UNION ALL SELECT technique, 'mitigates', mitigation FROM {mitigates}) AS u JOIN {techniques} AS t ON u.technique = t.technique WHERE NOT coalesce(t.revoked, FALSE)) AS r WHERE rn <= :top", top=5),
     "g07_filtered_search": Op("Hits above a score in a phase; the two best of all if none is.", f"WITH {_KEYWORD}, s AS (SELECT kr.doc_id, d.lang, 1.0 / rank AS score, rank FROM kr JOIN {{documents}} AS d ON kr.doc_id = d.doc_id), hit AS (SELECT * FROM s WHERE score >= :least AND lang = :phase), n AS (SELECT count(*) AS n FROM hit) SELECT doc_id, round(score, 6) AS score FROM hit UNION ALL SELECT doc_id, round(score, 6) FROM s CROSS JOIN n WHERE n.n = 0 AND rank <= 2", word="tion", least=0.1, phase="en"),
     "g08_context_rerank": Op("Scores raised for sub-techniques of found parents and for usual companions.", "WITH s AS (SELECT technique, family, is_sub, 1.0 / (1 + technique % 50) AS score FROM {techniques}) SELECT technique, round(score * (CASE WHEN is_sub AND family IN :found THEN 1.3 ELSE 1.0 END) * (CASE WHEN family IN :related THEN 1.2 ELSE 1.0 END), 6) AS score FROM s", found=["Brand#11", "Brand#23"], related=["Brand#12", "Brand#34"]),
-    "g09_missing_phases": Op("Documents that have enough of one phase and none of the next.", "SELECT doc_id, 'next phase' AS suggestion FROM {documents} WHERE (length(text) - length(replace(text, 'the', ''))) / 3 >= 2 AND NOT contains(text, 'that')"),
-    "m15_phrases": Op("Documents by technique phrase, exact before partial.", "SELECT doc_id, technique, CAST(max(score) AS BIGINT) AS score FROM (SELECT d.doc_id, p.technique, CASE WHEN contains(d.text, p.phrase) THEN 100 ELSE 75 END AS score FROM {documents} AS d JOIN (VALUES ('The ', 'T1'), ('Und ', 'T2'), ('Que ', 'T3')) AS p(phrase, technique) ON contains(lower(d.text), lower(p.phrase))) AS s GROUP BY doc_id, technique"),
-    "p23_relevance_ladder": Op("First rung of the phrase ladder for each document.", "SELECT doc_id, CAST(CASE WHEN contains(text, ' the ') THEN 100 WHEN contains(lower(text), 'the ') THEN 80 WHEN contains(lower(text), 'the') THEN 75 WHEN contains(lower(text), 'und') THEN 60 ELSE 0 END AS BIGINT) AS relevance FROM {documents}"),
+    "g09_missing_phases": Op(
+        "Phases that an episode of two phases or more lacks: initial access always, persistence after execution, exfiltration after collection, command and control from four phases; with the lowest techniques of each.",
+        """WITH c AS (SELECT episode, collect_set(k.tactic) AS phases FROM {et} AS e JOIN {kill_chain} AS k ON e.technique = k.technique GROUP BY episode),
+        g AS (SELECT episode, explode(filter(array(CASE WHEN NOT array_contains(phases, 'initial-access') THEN 'initial-access' END, CASE WHEN array_contains(phases, 'execution') AND NOT array_contains(phases, 'persistence') THEN 'persistence' END, CASE WHEN array_contains(phases, 'collection') AND NOT array_contains(phases, 'exfiltration') THEN 'exfiltration' END, CASE WHEN size(phases) > 3 AND NOT array_contains(phases, 'command-and-control') THEN 'command-and-control' END), p -> p IS NOT NULL)) AS phase FROM c WHERE size(phases) >= 2),
+        best AS (SELECT technique, tactic, row_number() OVER (PARTITION BY tactic ORDER BY technique) AS rn FROM {kill_chain})
+        SELECT g.episode, g.phase, b.technique AS suggestion FROM g LEFT JOIN best AS b ON g.phase = b.tactic AND b.rn <= :top""",
+        top=3,
+    ).against("""WITH p AS (SELECT DISTINCT episode, tactic FROM {et} JOIN {kill_chain} USING (technique)), n AS (SELECT episode, count(*) AS k FROM p GROUP BY episode HAVING count(*) > 1),
+        rules(has, least, lacks) AS (VALUES (NULL, 2, 'initial-access'), ('execution', 2, 'persistence'), ('collection', 2, 'exfiltration'), (NULL, 4, 'command-and-control')),
+        g AS (SELECT n.episode, lacks AS phase FROM n, rules AS r WHERE k >= least AND (has IS NULL OR (n.episode, has) IN (SELECT (episode, tactic) FROM p)) AND (n.episode, lacks) NOT IN (SELECT (episode, tactic) FROM p))
+        SELECT episode, phase, b.technique AS suggestion FROM g LEFT JOIN (SELECT * FROM {kill_chain} QUALIFY row_number() OVER (PARTITION BY tactic ORDER BY technique) <= :top) AS b ON b.tactic = phase"""),
+    "m15_phrases": Op(
+        "Phrases, patterns and tools of a dictionary in each text, and the techniques that they hint at.",
+        "SELECT d.doc_id, h.kind, h.phrase, h.technique FROM {documents} AS d JOIN {phrase_hints} AS h ON contains(lower(d.text), h.phrase)",
+    ).against("SELECT doc_id, kind, phrase, technique FROM {documents}, {phrase_hints} WHERE strpos(lower(text), phrase) > 0"),
+    "p23_relevance_ladder": Op(
+        "How relevant each wanted technique is for each text: the first match by phrases (100, or 75 if only its parent is hinted at), patterns (80), then tools (60 or 40), in the dictionary's order.",
+        """WITH m AS (SELECT d.doc_id, w.technique, h.ord, CASE h.kind WHEN 'phrase' THEN 1 WHEN 'pattern' THEN 2 ELSE 3 END AS rung, CASE WHEN h.kind = 'pattern' THEN 80 WHEN h.kind = 'phrase' AND h.technique = w.technique THEN 100 WHEN h.kind = 'phrase' THEN 75 WHEN h.technique = w.technique THEN 60 ELSE 40 END AS relevance, h.phrase
+          FROM {phrase_hints} AS h JOIN {wanted_techniques} AS w ON h.technique = w.technique OR h.technique = split_part(w.technique, '.', 1) JOIN {documents} AS d ON contains(lower(d.text), h.phrase)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, technique ORDER BY rung, ord) AS rn FROM m)
+        SELECT doc_id, technique, CAST(relevance AS BIGINT) AS relevance, phrase FROM r WHERE rn = 1""",
+    ).against("""WITH w AS (SELECT technique AS t, string_split(technique, '.')[1] AS base FROM {wanted_techniques}), l AS (SELECT t, phrase, ord + CASE kind WHEN 'phrase' THEN 0 WHEN 'pattern' THEN 100 ELSE 200 END AS place, CASE kind WHEN 'phrase' THEN 75 WHEN 'pattern' THEN 80 ELSE 40 END + CASE WHEN technique = t AND kind = 'phrase' THEN 25 WHEN technique = t AND kind = 'tool' THEN 20 ELSE 0 END AS v FROM w, {phrase_hints} WHERE technique IN (t, base))
+        SELECT doc_id, t AS technique, arg_min(v, place)::BIGINT AS relevance, arg_min(phrase, place) AS phrase FROM {documents}, l WHERE strpos(lower(text), phrase) > 0 GROUP BY doc_id, t"""),
 }
 
 

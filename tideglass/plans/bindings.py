@@ -50,8 +50,11 @@ VIEWS = {
     "rules": "SELECT p_partkey AS rule, p_name AS title, p_type AS body, p_size AS level FROM {part}",
     "stix_objects": """SELECT 'attack-pattern' AS type, concat(CASE WHEN p_size = 7 THEN 'tool' ELSE 'attack-pattern' END, '--', concat(substr(md5(CAST(p_partkey AS VARCHAR(20))), 1, 8), '-', substr(md5(CAST(p_partkey AS VARCHAR(20))), 9, 4), '-4', substr(md5(CAST(p_partkey AS VARCHAR(20))), 14, 3), '-a', substr(md5(CAST(p_partkey AS VARCHAR(20))), 18, 3), '-', substr(md5(CAST(p_partkey AS VARCHAR(20))), 21, 12))) AS id, CASE WHEN p_size = 9 THEN '2.0' END AS spec_version, CASE WHEN p_size > 45 THEN NULL ELSE p_name END AS name, CAST(NULL AS VARCHAR(9)) AS source_ref, CAST(NULL AS VARCHAR(9)) AS target_ref, CAST(NULL AS VARCHAR(9)) AS relationship_type, CAST(NULL AS VARCHAR(9)) AS pattern, CAST(NULL AS DOUBLE) AS confidence FROM {part}
       UNION ALL SELECT 'relationship', concat('relationship--', CASE WHEN l_linenumber = 6 THEN 'bad' ELSE concat(substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 1, 8), '-', substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 9, 4), '-4', substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 14, 3), '-a', substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 18, 3), '-', substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 21, 12)) END), NULL, NULL, concat('s', CAST(l_suppkey AS VARCHAR(20))), CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('t', CAST(l_partkey AS VARCHAR(20))) END, CASE WHEN l_returnflag = 'N' THEN 'uses' WHEN l_returnflag = 'A' THEN 'likes' ELSE 'mitigates' END, NULL, CAST(l_quantity * 2.5 AS DOUBLE) FROM {lineitem}""",
+    "cues": "SELECT * FROM (VALUES ('ing the', 0.5), ('und ', 0.4), ('que ', 0.3), ('tion', 0.25), ('akia', 2.0), ('password', 0.9)) AS v(cue, weight)",
+    "phrase_hints": "SELECT * FROM (VALUES (1, 'phrase', 'the ', 'T1'), (2, 'phrase', 'und ', 'T2.1'), (3, 'phrase', 'thing', 'T1.1'), (4, 'pattern', 'tion', 'T3'), (5, 'pattern', 'que ', 'T2'), (6, 'tool', 'token', 'T4'), (7, 'tool', 'pass', 'T4.2')) AS v(ord, kind, phrase, technique)",
+    "wanted_techniques": "SELECT * FROM (VALUES ('T1'), ('T1.1'), ('T2.1'), ('T3'), ('T4.2'), ('T9')) AS v(technique)",
     "keyword_index": "SELECT DISTINCT keyword, technique FROM (SELECT lower(split_part(text, ' ', 1)) AS keyword, concat('T', CAST(item_id AS VARCHAR(19))) AS technique FROM {benchmark} UNION ALL SELECT lower(concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3))), concat('T', CAST(item_id AS VARCHAR(19))) FROM {benchmark}) AS k WHERE length(trim(keyword)) > 1",
-    "kill_chain": "SELECT p_brand AS technique, CASE CAST(substr(p_brand, 7, 2) AS INT) % 7 WHEN 0 THEN 'initial-access' WHEN 1 THEN 'persistence' WHEN 2 THEN 'credential-access' WHEN 3 THEN 'lateral-movement' WHEN 4 THEN 'collection' WHEN 5 THEN 'exfiltration' ELSE 'discovery' END AS tactic FROM (SELECT DISTINCT p_brand FROM {part}) AS b",
+    "kill_chain": "SELECT p_brand AS technique, CASE CAST(substr(p_brand, 7, 2) AS INT) % 9 WHEN 0 THEN 'initial-access' WHEN 1 THEN 'persistence' WHEN 2 THEN 'credential-access' WHEN 3 THEN 'lateral-movement' WHEN 4 THEN 'collection' WHEN 5 THEN 'exfiltration' WHEN 6 THEN 'execution' WHEN 7 THEN 'command-and-control' ELSE 'discovery' END AS tactic FROM (SELECT DISTINCT p_brand FROM {part}) AS b",
     "flow_reports": "SELECT o_orderkey AS flow, o_custkey AS report_id, o_orderdate AS created, o_totalprice AS score, o_orderstatus AS status, o_orderpriority AS kind FROM {orders}",
     "embedded": "SELECT vec_id, embedding, label FROM {embeddings}",
     "words": "SELECT item_id, text FROM {benchmark}",
