@@ -324,6 +324,29 @@ def test_url_verdicts(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_rules_as_a_table_and_long_urls(spark):
+    rng = random.Random(1)
+    rules = [("block" if i % 2 else "allow", ".".join(rng.choices("ab", k=rng.randint(1, 4))) + rng.choice(["/", "/x/", "/x/y/"])) for i in range(40)]
+    rules = list({k: (v, k) for v, k in rules}.values())
+    urls = ["http://" + ".".join(rng.choices("abc", k=rng.randint(1, 6))) + rng.choice(["", "/", "/x/", "/x/y/z", "/xx"]) for _ in range(300)]
+    urls += ["http://" + "a." * 5000 + "b/x/" + "y" * 50_000, "http://" + "q" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit(c) for c in ("host", "key", "verdict")})
+    listed = spark.createDataFrame([*rules, (None, None)], "verdict string, key string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, listed=listed).collect()}
+    assert got == {i: judge_plainly(u, rules) for i, u in enumerate(urls)}
+
+
+def test_url_refusals(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i}.net/") for i in range(50)], "page_id long, url string")
+    with pytest.raises(ValueError, match="two verdicts"):
+        url_filter.judge(pages, (("block", "net/"), ("allow", "net/")))
+    monkeypatch.setattr(url_filter, "MAX_LEVELS", 1)
+    monkeypatch.setattr(url_filter, "MAX_EXACT", 0)
+    listed = spark.createDataFrame([(f"k{i}",) for i in range(200)], "key string")
+    with pytest.raises(ValueError, match="undecided"):
+        url_filter.build(listed, spark.createDataFrame([(f"o{i}",) for i in range(3000)], "key string"), bits_per_key=0.5)
+
+
 def test_cascade_is_exact_with_few_bits(spark):
     listed = spark.range(0, 400).select(F.concat(F.lit("k"), "id").alias("key"))
     universe = spark.range(0, 3000).select(F.concat(F.lit("k"), "id").alias("key"))

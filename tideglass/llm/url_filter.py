@@ -8,14 +8,14 @@ whatever the list's size; a list too large for that leaves more false positives
 still undecided after MAX_LEVELS are kept as an exact set, or refused if that is not small.
 
 A url without "://", or null, has an empty host and path and meets no rule: verdict allow. Repeated rows each get
-their verdict.
+their verdict, very long urls too; a host has no more candidate keys than the deepest rule has labels, whatever its
+dots. An empty table gives an empty result. Columns other than page_id and url are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +30,6 @@ BITS_PER_KEY = 12
 MAX_BITS = 1 << 27
 MAX_LEVELS = 24
 MAX_EXACT = 100_000
-_LABEL = re.compile(r"\.")
 
 
 def host_of(url: Column) -> Column:
@@ -43,9 +42,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def keys_of(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Every key that the url can match, given the lengths of the rules' paths; longest first."""
-    parts = _LABEL.split(host) if host else []
+def keys_of(host: str, path: str, lengths: list[int], labels: int) -> list[str]:
+    """Every key that the url can match, given the lengths of the rules' paths and the labels of their longest host;
+    longest first."""
+    parts = host.rsplit(".", labels) if host else []
+    if len(parts) > labels:
+        parts = parts[1:]
     found = {".".join(parts[i:]) + path[:n] for i in range(len(parts)) for n in lengths if n <= len(path)}
     return sorted(found, key=lambda k: (-len(k), k))
 
@@ -168,13 +170,13 @@ def build(listed: DataFrame, universe: DataFrame, bits_per_key: float = BITS_PER
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
-def candidates(pages: DataFrame, lengths: list[int]) -> DataFrame:
+def candidates(pages: DataFrame, lengths: list[int], labels: int) -> DataFrame:
     """The complete key universe of the urls of pages, a key a row, with repeats removed in each task."""
     parts = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = {k for h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in keys_of(h, p, lengths)}
+            seen = {k for h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in keys_of(h, p, lengths, labels)}
             yield pa.record_batch([pa.array(sorted(seen), pa.string())], names=["key"])
 
     return parts.mapInArrow(run, "key string")
@@ -194,7 +196,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, default:
         raise ValueError("a key has two verdicts")
     lengths = sorted(r[0] for r in listed.select(F.length(F.regexp_extract("key", r"(?s)^[^/]*(.*)$", 1))).distinct().collect())
     verdicts = sorted(r[0] for r in listed.select("verdict").distinct().collect())
-    universe = candidates(pages, lengths)
+    labels = listed.select(F.max(F.size(F.split(F.regexp_extract("key", r"^[^/]*", 0), r"\."))).alias("n")).first()["n"] or 0
+    universe = candidates(pages, lengths, labels)
     cascades = {v: build(listed.where(F.col("verdict") == v), universe) for v in verdicts}
     shared = spark.sparkContext.broadcast(cascades)  # at most MAX_BITS a level
     from pyspark.sql.pandas.types import to_arrow_type
@@ -207,7 +210,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, default:
         for batch in batches:
             out: list[tuple[str | None, str]] = []
             for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                hit = next(((k, v) for k in keys_of(host, path, lengths) for v in verdicts if k in shared.value[v]), (None, default))
+                hit = next(((k, v) for k in keys_of(host, path, lengths, labels) for v in verdicts if k in shared.value[v]), (None, default))
                 out.append(hit)
             yield pa.record_batch([*batch.columns, pa.array([k for k, _ in out], pa.string()), pa.array([v for _, v in out], pa.string())], schema=schema)
 
