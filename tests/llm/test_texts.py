@@ -44,6 +44,41 @@ def test_fast_ids_equal_the_tokenizer():
         assert list(fast(t)) == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_fast_ids_of_every_document():
+    """The switch to the faster library is held against the tokenizer on every text of a table."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    whole, fast = Tokenizer.from_file(BPE), packing.Ids(BPE, RANKS)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    assert len(texts) > 900
+    for t, e in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert list(fast(t)) == e.ids
+
+
+def test_token_counts_of_long_repeated_and_no_rows(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = [(1, "unusual wordings " * 5000), (1, "unusual wordings " * 5000), (None, "x " * 4000), (None, "x " * 4097), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("key", "row", "n", "n_bytes", "rare", "times", "pretoken")})
+    got = Counter((r["doc_id"], r["n_tokens"], r["over_limit"]) for r in token_counts.count_tokens(docs, MODEL).collect())
+    n = [len(model.encode(t or "")) for _, t in rows]
+    assert got == Counter((d, k, k > 4096) for (d, _), k in zip(rows, n)) and {k > 4096 for k in n} == {True, False}
+    assert token_counts.count_tokens(docs.limit(0), MODEL).count() == 0
+
+
+def test_most_frequent_keys_are_never_too_many(spark):
+    from tideglass.llm import frequent, store
+
+    rows = [(f"k{i}", 5) for i in range(3000)] + [(f"h{i}", 100 + i) for i in range(50)]
+    counted = store.materialize(spark.createDataFrame(rows, "key string, n long"), "test")
+    for most in (0, 1, 49, 50, 500, 3049, 3050, 9999):
+        got = {r["key"] for r in frequent.most_frequent(counted, "key", most).collect()}
+        assert len(got) <= most and (most < 100 or {f"h{i}" for i in range(50)} <= got) and (most < 3050 or len(got) == 3050)
+    assert len(frequent.most_frequent(counted, "key", 1500).collect()) > 1400
+
+
 def check_packing(rows, texts, window):
     from tokenizers import Tokenizer
 
@@ -104,6 +139,16 @@ def test_packing_repeated_rows_and_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), BPE, RANKS).count() == 0
 
 
+def test_packing_without_ids_and_with_other_columns(spark):
+    rows = [(None, "one two"), (None, "three"), (4, "x " * 3000), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("key", "task", "tail", "rank", "offset", "start")}).repartition(3)
+    got = packing.pack(docs, BPE, RANKS, window=128).collect()
+    assert Counter(r["doc_id"] for r in got if r["start"] == 0) == {None: 2, 4: 2}
+    assert sum(r["length"] for r in got) == sum(r["doc_tokens"] for r in got if r["start"] == 0)
+    two = [packing.pack(docs, BPE, RANKS, window=w) for w in (64, 128)]  # two packings of one session
+    assert [len(p.collect()) > 4 for p in two] == [True, True]
+
+
 def test_language_on_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").collect()
