@@ -319,6 +319,21 @@ _LINES = "WITH l AS (SELECT doc_id, length(text) AS n, unnest(string_split(text,
 _NEAR = "WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL) SELECT a.name, b.name AS near_name, CAST(levenshtein(a.name, b.name) AS BIGINT) AS edits, CAST(NULL AS BIGINT) AS p_partkey FROM n AS a JOIN n AS b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= 2 UNION ALL SELECT p_name, NULL, NULL, p_partkey FROM part WHERE p_name IS NOT NULL"
 _PATHS = "WITH RECURSIVE w AS (SELECT DISTINCT [src] AS path, CAST(0 AS DOUBLE) AS total FROM ptg_edges UNION ALL SELECT list_append(path, dst), total + p FROM w JOIN ptg_edges ON src = path[len(path)] AND NOT list_contains(path, dst)) SELECT path, CAST(len(path) - 1 AS BIGINT) AS steps, round(total / (len(path) - 1), 6) AS confidence FROM w WHERE len(path) >= 2 AND NOT EXISTS (SELECT 1 FROM ptg_edges AS e WHERE e.src = path[len(path)] AND NOT list_contains(path, e.dst))"
 _ALIAS = "WITH RECURSIVE w AS (SELECT p_partkey AS alias, p_partkey // 3 AS root FROM part WHERE p_partkey // 3 > 0 UNION ALL SELECT alias, root // 3 FROM w WHERE root // 3 > 0) SELECT alias, min(root) AS root FROM w GROUP BY alias"
+# For the check: the same rules in another shape.
+CHECKS = {
+    "m09_verification": "SELECT doc, technique, len(cs)::BIGINT AS quotes, CASE WHEN e >= 50 THEN TRUE WHEN e >= 40 AND len(cs) > 1 THEN TRUE WHEN e >= 30 THEN list_max(cs) >= 80 ELSE FALSE END AS accepted FROM (SELECT doc, technique, list(confidence) AS cs, least(100, 15 * count(*) + max(confidence) / 4) AS e FROM {claim_rows} GROUP BY doc, technique) AS g",
+    "m10_calibration": "WITH g AS (SELECT doc, technique, list(confidence) AS cs, list(DISTINCT chunk) AS ks FROM {claim_rows} GROUP BY doc, technique) SELECT doc, technique, greatest(10, least(100, list_max(cs) + [5, 10, 15][least(len(cs), 3)] + 5 * (least(len(ks), 4) - 1)))::BIGINT AS confidence FROM g",
+    "m11_consolidation": "WITH g AS (SELECT doc, technique, list(confidence) AS cs, list(DISTINCT chunk) AS ks FROM {claim_rows} GROUP BY doc, technique) SELECT doc, technique, least(100, greatest(list_max(cs), 50) + list_max([least(20, 5 * len(ks)) * (len(ks) > 1)::INT, least(10, 3 * len(cs)) * (len(ks) = 1 AND len(cs) > 1)::INT]))::BIGINT AS confidence FROM g",
+    "m16_accumulator": "SELECT a.doc, a.technique, a.chunk, max(b.confidence)::BIGINT AS best_so_far FROM (SELECT DISTINCT doc, technique, chunk FROM {claim_rows}) AS a JOIN {claim_rows} AS b ON a.doc = b.doc AND a.technique = b.technique AND b.chunk <= a.chunk GROUP BY a.doc, a.technique, a.chunk",
+    "p05_chunk_merge": "WITH g AS (SELECT doc, technique, list(confidence ORDER BY chunk, span, confidence) AS cs FROM {claim_rows} GROUP BY doc, technique) SELECT doc, technique, list_max(cs)::BIGINT AS confidence, least(5, len(list_filter(cs, lambda c: c >= cs[1] - 10)))::BIGINT AS quotes FROM g",
+    "m18_entity_groups": "WITH g AS (SELECT name, type, list(confidence) AS cs, list(DISTINCT chunk) AS ks FROM {entity_mentions} GROUP BY name, type) SELECT name, type, list_min([100, list_max(cs) + list_min([20, 5 * len(cs)])])::BIGINT AS confidence, len(ks)::BIGINT AS chunks FROM g",
+    "p09_entity_claims": "WITH g AS (SELECT name, type, max(confidence) AS c, len(list(DISTINCT chunk)) AS k, len(list(DISTINCT quote)) AS q FROM {entity_mentions} GROUP BY name, type) SELECT name, type, (c + CASE WHEN k = 1 THEN 0 WHEN k < 4 THEN 5 * k ELSE 20 END + CASE WHEN q < 5 THEN 2 * q ELSE 10 END)::BIGINT AS confidence FROM g",
+    "p02_span_chunks": "SELECT s.doc_id, s.span_no, c.chunk_no FROM {span_ranges} AS s JOIN {chunk_ranges} AS c ON s.doc_id = c.doc_id AND NOT (s.s_end <= c.c_start OR s.s_start >= c.c_end)",
+    "p11_merged_evidence": "WITH a AS (SELECT doc_id, s_start AS a, s_end AS b FROM {span_ranges} UNION ALL SELECT doc_id, c_start + 40, c_start + 120 FROM {chunk_ranges}), heads AS (SELECT DISTINCT doc_id, a FROM a AS x WHERE NOT EXISTS (SELECT 1 FROM a AS y WHERE y.doc_id = x.doc_id AND y.a < x.a AND y.b >= x.a)), r AS (SELECT doc_id, a AS lo, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS hi FROM heads) SELECT r.doc_id, lo::BIGINT AS a, max(x.b)::BIGINT AS b, count(*)::BIGINT AS n FROM r JOIN a AS x ON x.doc_id = r.doc_id AND x.a >= lo AND (hi IS NULL OR x.a < hi) GROUP BY r.doc_id, lo",
+}
+for _name, _text in CHECKS.items():
+    OPS[_name].against(_text)
+
 FUNCTIONS = {
     "m19_ignore_list": (
         not_ignored,

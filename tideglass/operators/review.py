@@ -69,3 +69,12 @@ OPS = {
     "p39_change_preview": Op("Nodes that a review would create or link.", "SELECT CAST(sum(CASE WHEN d.technique IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS to_create, CAST(sum(CASE WHEN d.technique IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS to_link, CAST(count(*) AS BIGINT) AS edges FROM (SELECT DISTINCT technique FROM {uses}) AS u LEFT JOIN (SELECT DISTINCT technique FROM {detects}) AS d ON u.technique = d.technique"),
     "p40_duplicate_results": Op("Of duplicate job results the one with most techniques, the earliest of equals.", "SELECT job, result, techniques FROM (SELECT report_id AS job, flow AS result, n AS techniques, row_number() OVER (PARTITION BY report_id ORDER BY n DESC, created, flow) AS rn FROM {flow_reports} AS f JOIN (SELECT episode, CAST(count(*) AS BIGINT) AS n FROM {et} GROUP BY episode) AS c ON f.flow = c.episode) AS r WHERE rn = 1"),
 }
+
+# For the check: the same rules in another shape.
+CHECKS = {
+    "l13_aggregate_confidence": "WITH t AS (SELECT DISTINCT technique FROM {actions} UNION SELECT technique FROM {brand_mitigates}), v AS (SELECT technique, (SELECT avg(confidence) / 100 FROM {actions} AS a WHERE a.technique = t.technique) AS s, (SELECT avg(CASE WHEN mitigation % 10 = 0 THEN 0.5::DOUBLE ELSE (mitigation % 10) / 10.0::DOUBLE END) FROM {brand_mitigates} AS m WHERE m.technique = t.technique) AS r FROM t) SELECT technique, round(CASE WHEN s IS NOT NULL AND r IS NOT NULL THEN (7 * s + 3 * r) / 10 ELSE coalesce(s, r) END, 6) AS confidence FROM v WHERE s IS NOT NULL OR r IS NOT NULL",
+    "p28_provenance_confidence": "WITH g AS (SELECT technique, list_reverse_sort(list(coalesce(confidence, 0)::DOUBLE * CASE ord WHEN 1 THEN 1 WHEN 2 THEN 0.9::DOUBLE WHEN 3 THEN 0.7::DOUBLE ELSE 0.5 END)) AS cs FROM {actions} GROUP BY technique) SELECT technique, round(least(100, list_sum(list_transform(cs, lambda c, i: c / i)) / list_sum(list_transform(cs, lambda c, i: 1 / i))), 4) AS confidence FROM g",
+    "l07_archive": "SELECT candidate FROM {candidates} WHERE date_diff('microsecond', created, CAST(:as_of AS TIMESTAMP)) > 20 * 86400000000 AND status = :status",
+}
+for _name, _text in CHECKS.items():
+    OPS[_name].against(_text)

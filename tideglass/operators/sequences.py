@@ -80,3 +80,13 @@ OPS = {
     "p36_transition_provenance": Op("Newest flow of each transition and how many flows have it.", "SELECT src, dst, CAST(count(DISTINCT flow) AS BIGINT) AS flows, CAST(max(flow) AS BIGINT) AS newest FROM {next_edges} GROUP BY src, dst"),
     "p37_episode_sequences": Op("Length, first and last technique of each episode's sequence.", f"WITH {_SEQ} SELECT episode, CAST(max(len) AS BIGINT) AS length, max(CASE WHEN pos = 1 THEN technique END) AS first_technique, max(CASE WHEN nxt IS NULL THEN technique END) AS last_technique FROM steps GROUP BY episode"),
 }
+
+# For the check: the same rules in another shape.
+CHECKS = {
+    "d02_pair_statistics": """WITH f AS (SELECT episode, technique, min((coalesce(ord, 999), action_id)) AS place FROM {actions} WHERE technique IS NOT NULL GROUP BY episode, technique), l AS (SELECT episode, list(technique ORDER BY place) AS ts FROM f GROUP BY episode HAVING count(*) > 1),
+        c AS (SELECT t, count(*) AS c FROM (SELECT unnest(ts) AS t FROM l) AS u GROUP BY t), d AS (SELECT ts[i] AS a, ts[i + 1] AS b, count(*) AS n FROM l, range(1, 100) AS r(i) WHERE i < len(ts) GROUP BY a, b), v AS (SELECT count(*) AS v FROM c)
+        SELECT d.a, d.b, d.n::BIGINT AS n, round((d.n + 1) / (x.c + v)::DOUBLE, 6) AS probability, round(abs((d.n + 1) / (x.c + v)::DOUBLE - (coalesce(e.n, 0) + 1) / (y.c + v)::DOUBLE), 6) AS asymmetry FROM d JOIN c AS x ON x.t = d.a JOIN c AS y ON y.t = d.b LEFT JOIN d AS e ON e.a = d.b AND e.b = d.a, v""",
+    "d09_observed_edges": "WITH g AS (SELECT src, dst, list(p) AS ps FROM {next_edges} GROUP BY src, dst) SELECT src, dst, len(ps)::BIGINT AS n, round(coalesce(nullif(list_avg(ps), 0), 0.5), 6) AS p FROM g",
+}
+for _name, _text in CHECKS.items():
+    OPS[_name].against(_text)

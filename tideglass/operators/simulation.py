@@ -358,6 +358,17 @@ UNION ALL SELECT i + 1, (SELECT map_from_entries(list((s.state, CASE WHEN s.stat
 last AS (SELECT v FROM r ORDER BY i DESC LIMIT 1), q AS (SELECT src, dst, CASE WHEN dst = 'purchase' THEN 10::DOUBLE ELSE -0.1 END + 0.95 * p * v[dst] AS q FROM ptg_edges, last),
 best AS (SELECT src, dst FROM q WHERE src <> 'purchase' QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(q, 9) DESC, dst) = 1)"""
 
+# For the check: the same rules in another shape.
+CHECKS = {
+    "e02_next_techniques": "WITH s AS (SELECT src, dst, coalesce(least(p + least(n, 2) / 10.0::DOUBLE, 0.95), 0.3)::DOUBLE AS p FROM {transitions}) SELECT src, t.dst AS dst, round(t.p, 6) AS p FROM (SELECT src, unnest(list({'dst': dst, 'p': p} ORDER BY round(p, 9) DESC, dst)[:10]) AS t FROM (SELECT src, dst, p FROM s WHERE p > :least) AS f GROUP BY src) AS u",
+    "e07_transition_matrix": "WITH t AS (SELECT mode AS s FROM (SELECT src AS mode, count(*) AS n FROM {next_edges} GROUP BY src) AS c QUALIFY row_number() OVER (ORDER BY n DESC, mode) <= :top) SELECT src, dst, round(sum(CASE WHEN p IS NULL THEN 0 ELSE p END) / count(*), 3) AS p FROM {next_edges} WHERE src IN (SELECT s FROM t) AND dst IN (SELECT s FROM t) GROUP BY src, dst",
+    "e17_mitigated_edges": "WITH k AS (SELECT src, dst, CASE dst WHEN :hampered THEN p * (1 - :penalty) ELSE p END AS p FROM {ptg_edges} WHERE :removed NOT IN (src, dst)) SELECT k.src, k.dst, round(k.p / (SELECT sum(o.p) FROM k AS o WHERE o.src = k.src), 6) AS p FROM k WHERE k.p <> 0",
+    "e23_interdiction_candidates": "WITH s AS (SELECT unnest([src, dst]) AS state, n FROM {ptg_edges}) SELECT state, sum(n)::BIGINT AS weight, (1 + (length(state) < 6)::INT)::DOUBLE AS cost FROM s GROUP BY state",
+    "e15_compare_rollouts": "SELECT event_type, (count(*) FILTER (user_id & 1 = 1) - count(*) FILTER (user_id & 1 = 0))::BIGINT AS delta FROM {events} GROUP BY event_type",
+}
+for _name, _text in CHECKS.items():
+    OPS[_name].against(_text)
+
 FUNCTIONS = {
     "e04_best_paths": (lambda e: best_paths(e, ["click"], 4), ["ptg_edges"], _BEST.format(starts="('click')", depth=4, extra=" AND walk.p * e.p >= 0.01", most=50)),
     "e08_what_if": (lambda e: what_if(e, ["click"], ["error"], ["purchase"]), ["ptg_edges"], _WALK.format(starts="('click')", depth=5, extra=" AND dst <> 'error'") + " SELECT name AS path, round(p, 9) AS p, list_contains(path, 'purchase')::BIGINT AS critical FROM found"),
