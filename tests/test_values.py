@@ -126,3 +126,17 @@ def test_ignore_rules(spark):
     assert sorted(r["name"] for r in got.collect()) == ["emotet", "loader"]
     none = spark.createDataFrame([], "kind string, value string")
     assert extraction.not_ignored(spark.createDataFrame([("a",)], "name string").withColumn("end", F.lit(1)), none).count() == 1
+
+
+def test_indexed_neighbours_are_found(spark, monkeypatch):
+    """Recall against brute force on the given vectors; with all cells probed, in many shares and blocks, all of them."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = {(r["query"], r["neighbour"]) for r in search.knn(vectors).collect()}
+    got = {(r["query"], r["neighbour"]) for r in search.knn_indexed(vectors).collect()}
+    assert len(want) >= 100 and len(want & got) / len(want) >= 0.9
+    monkeypatch.setattr(search, "SHARE", 7)
+    monkeypatch.setattr(search, "BLOCK", 3)
+    small = vectors.where("vec_id < 400")
+    exact = sorted(map(tuple, search.knn(small).collect()))
+    assert sorted(map(tuple, search.knn_indexed(small, cells=5, probes=5).collect())) == exact
+    assert search.knn_indexed(vectors.limit(0)).count() == 0
