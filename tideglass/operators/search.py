@@ -116,9 +116,9 @@ def fit_cells(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int
     total = vectors.count()
     spin = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30))
     rows = vectors.where(spin < F.lit(int(min(1.0, 0.9 * sample / max(1, total)) * (1 << 30)) + 1)).select("id", "v").limit(sample).collect()
-    points = unit(np.array([r["v"] for r in sorted(rows, key=lambda r: r["id"])], float).reshape(len(rows), -1))
-    if not len(points):
-        return points
+    if not rows:
+        return np.zeros((0, 0))
+    points = unit(np.array([r["v"] for r in sorted(rows, key=lambda r: r["id"])], float))
     centres = points[np.linspace(0, len(points) - 1, min(cells, len(points))).astype(int)]
     for _ in range(rounds):
         own = (points @ centres.T).argmax(axis=1)
@@ -148,9 +148,9 @@ def knn_indexed(vectors: DataFrame, every: int = 50, top: int = 10, cells: int |
     def placed(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centres = shared.value
-            for batch in batches:
-                v = unit(np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1))
-                near = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :n] if len(v) and len(centres) else np.zeros((len(v), 0), int)
+            for batch in (b for b in batches if b.num_rows):
+                v = unit(np.array(batch.column(1).to_pylist(), float))
+                near = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :n]
                 at = np.repeat(np.arange(len(v)), near.shape[1])
                 yield pa.record_batch([pa.array(near.ravel().astype(np.int64)), batch.column(0).take(pa.array(at)), pa.array(v[at].tolist(), pa.list_(pa.float64()))], names=["cell", "id", "v"])
 
