@@ -1,6 +1,7 @@
 """Hand-computed values on a small fixture: six episodes over four techniques."""
 
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -40,9 +41,28 @@ def test_actor_metrics(et):
 
 
 def test_bundles(et):
-    got = {(r["t1"], r["t2"], r["t3"]): r for r in cooccurrence.OPS["a03_bundles"](et=et, min_support=1).collect()}
-    assert (got["A", "B", "C"]["lift"], got["A", "B", "C"]["lift_reference"]) == (0.28125, 0.09375)
-    assert got["A", "C", "D"]["confidence"] == 0.666667 and got["B", "C", "D"]["support"] == 1
+    got = {tuple(r["techniques"]): r for r in cooccurrence.bundles(et, min_support=1).collect()}
+    one = got["A", "B", "C"]
+    assert (one["lift"], one["lift_reference"]) == (pytest.approx(0.28125), pytest.approx(0.09375))
+    assert got["A", "C", "D"]["confidence"] == pytest.approx(2 / 3) and got["B", "C", "D"]["support"] == 1
+
+
+def test_bundles_of_three_to_five(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    rng = random.Random(6)
+    episodes = {e: rng.sample("ABCDEFGH", rng.randint(1, 7)) for e in range(30)}
+    rows = [(e, t) for e, ts in episodes.items() for t in ts]
+    et = spark.createDataFrame(rows + rows[:20], "episode long, technique string")
+    want = Counter(c for ts in episodes.values() if len(ts) >= 3 for k in (3, 4, 5) for c in combinations(sorted(ts), k))
+    single, n = Counter(t for _, t in rows), sum(len(ts) >= 3 for ts in episodes.values())
+    got = {tuple(r["techniques"]): r for r in cooccurrence.bundles(et, min_support=3).collect()}
+    assert {c: r["support"] for c, r in got.items()} == {c: k for c, k in want.items() if k >= 3} and {len(c) for c in got} == {3, 4, 5}
+    for c, r in got.items():
+        assert r["confidence"] == pytest.approx(r["support"] / min(single[t] for t in c))
+        assert r["lift"] == pytest.approx(r["support"] / (n * math.prod(single[t] / n for t in c)))
+    assert cooccurrence.bundles(et.limit(0)).count() == 0 and cooccurrence.bundles(et, min_support=1000).count() == 0
 
 
 def test_directed_statistics(spark):
