@@ -103,12 +103,18 @@ def louvain(edges: pd.DataFrame, resolution: float = 1.0) -> dict[str, int]:
     return {t: i for i, s in enumerate(ranked) for t in s}
 
 
+MOST_EDGES = 2_000_000
+
+
 def communities(et: DataFrame, resolution: float = 1.0) -> DataFrame:
     """Louvain communities of the co-occurrence graph, singletons dropped: technique, cluster. The graph has at most
-    one edge for each pair of techniques, so one group holds it whatever the number of episodes."""
-    graph = OPS["b01_weighted_graph"](et=et).where("npmi > 0").select("technique_a", "technique_b", "npmi")
+    one edge for each pair of techniques, so one group holds it whatever the number of episodes; more than MOST_EDGES
+    are refused."""
+    graph = OPS["b01_weighted_graph"](et=et).where("npmi > 0").select("technique_a", "technique_b", "npmi").limit(MOST_EDGES + 1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_EDGES:
+            raise ValueError(f"more than {MOST_EDGES} edges: not a graph of techniques")
         found = louvain(pdf[["technique_a", "technique_b", "npmi"]].sort_values(["technique_a", "technique_b"]), resolution)
         sizes = pd.Series(found).value_counts()
         rows = [(t, c) for t, c in sorted(found.items()) if sizes[c] > 1]

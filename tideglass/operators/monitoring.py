@@ -1,10 +1,13 @@
 """Drift, model quality, latency, cost and compliance metrics. Times are judged as of a given moment, never now."""
 
 from tideglass.functions.sqlop import Op
+from tideglass.sources.stix import RELATIONSHIPS
 
 _ASOF = "2024-01-31 00:00:00"
 _SPLIT = "CAST(:as_of AS TIMESTAMP)"
 _ERR = "CASE WHEN contains(lower(text), 'the') THEN 'schema' WHEN contains(lower(text), 'und') THEN 'reference' ELSE 'other' END"
+_SPEC = "CASE WHEN coalesce(spec_version, '2.1') <> '2.1' THEN 1 ELSE 0 END"
+_REL = f"CASE WHEN type = 'relationship' AND relationship_type NOT IN ({', '.join(repr(r) for r in RELATIONSHIPS)}) THEN 1 ELSE 0 END"
 
 OPS = {
     "k01_version_drift": Op("Objects by version; drift is the share outside the most common one.", "WITH v AS (SELECT source, lang, count(*) AS n FROM {documents} GROUP BY source, lang) SELECT source, CAST(count(*) AS BIGINT) AS versions, CAST(sum(n) AS BIGINT) AS total, round(1 - CAST(max(n) AS DOUBLE) / sum(n), 6) AS drift, CASE WHEN count(*) > 2 THEN 'high' WHEN count(*) > 1 THEN 'medium' ELSE 'none' END AS severity FROM v GROUP BY source"),
@@ -45,7 +48,14 @@ OPS = {
     ),
     "k11_counters": Op("Calls, errors and mean size by endpoint.", "SELECT event_type, CAST(count(*) AS BIGINT) AS calls, round(avg(CASE WHEN value < 5 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS error_rate, round(avg(value), 6) AS avg_value FROM {events} GROUP BY event_type"),
     "k12_errors": Op("Validation errors by class, the first matching rule wins.", f"SELECT {_ERR} AS class, CAST(count(*) AS BIGINT) AS n FROM {{documents}} GROUP BY {_ERR}"),
-    "k13_compliance": Op("Five points by source, and a verdict.", "WITH s AS (SELECT source, (CASE WHEN count(*) > 20 THEN 1 ELSE 0 END) + (CASE WHEN avg(n_chars) > 500 THEN 1 ELSE 0 END) + (CASE WHEN min(n_chars) > 10 THEN 1 ELSE 0 END) + (CASE WHEN count(DISTINCT lang) > 2 THEN 1 ELSE 0 END) + (CASE WHEN max(n_chars) < 50000 THEN 1 ELSE 0 END) AS points FROM {documents} GROUP BY source) SELECT source, CAST(points AS BIGINT) AS points, CASE WHEN points >= 4 THEN 'COMPLIANT' WHEN points >= 2 THEN 'NEEDS_ATTENTION' ELSE 'NON_COMPLIANT' END AS verdict FROM s"),
+    "k13_compliance": Op(
+        "Compliance report: a point each for a compliance rate of 95 %, no wrong spec version, no unknown relationship, 70 % of techniques detected, and at most 20 % of decisions that reject.",
+        f"""WITH v AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum({_SPEC}) AS spec, sum({_REL}) AS rel, sum(greatest({_SPEC}, {_REL})) AS bad FROM {{stix_objects}}),
+        c AS (SELECT 100.0 * count(DISTINCT d.technique) / nullif(count(DISTINCT t.technique), 0) AS pct FROM {{techniques}} AS t LEFT JOIN {{detects}} AS d ON t.technique = d.technique),
+        r AS (SELECT CAST(sum(CASE WHEN status = 'rejected' THEN 1 ELSE 0 END) AS DOUBLE) / nullif(sum(CASE WHEN status IN ('approved', 'rejected') THEN 1 ELSE 0 END), 0) AS rate FROM {{candidates}}),
+        s AS (SELECT 1 - bad / n AS rate, spec, rel, pct, r.rate AS rejects, (CASE WHEN 1 - bad / n >= 0.95 THEN 1 ELSE 0 END) + (CASE WHEN spec = 0 THEN 1 ELSE 0 END) + (CASE WHEN rel = 0 THEN 1 ELSE 0 END) + (CASE WHEN pct >= 70 THEN 1 ELSE 0 END) + (CASE WHEN coalesce(r.rate, 0) <= 0.2 THEN 1 ELSE 0 END) AS points FROM v CROSS JOIN c CROSS JOIN r)
+        SELECT round(rate, 6) AS compliance_rate, CAST(spec AS BIGINT) AS spec_violations, CAST(rel AS BIGINT) AS relationship_violations, round(CAST(pct AS DOUBLE), 4) AS coverage_pct, round(rejects, 6) AS reject_rate, CAST(points AS BIGINT) AS points, CASE WHEN points >= 4 THEN 'COMPLIANT' WHEN points >= 2 THEN 'NEEDS_ATTENTION' ELSE 'NON_COMPLIANT' END AS status FROM s""",
+    ),
     "k14_rate_limit": Op("Requests of a user in the hour before each, not counting it, and whether a limit was passed.", "SELECT event_id, CAST(n AS BIGINT) AS before, n >= :limit AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) - 1 AS n FROM {events}) AS w", limit=2),
     "k15_cost": Op("Cost by day and model at a price list.", "SELECT CAST(ts AS DATE) AS day, event_type AS model, CAST(count(*) AS BIGINT) AS calls, round(sum(value / 1000 * CAST(CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.1 ELSE 0.2 END AS DOUBLE)), 7) AS cost FROM {events} GROUP BY CAST(ts AS DATE), event_type"),
     "p30_budget": Op("Running cost of each day and whether the next call would pass the budget.", "WITH c AS (SELECT event_id, CAST(ts AS DATE) AS day, ts, CAST(floor(value * 100) AS BIGINT) AS cents FROM {events}) SELECT event_id, CAST(total AS BIGINT) AS total_cents, total > :budget AS over_budget FROM (SELECT event_id, sum(cents) OVER (PARTITION BY day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM c) AS w", budget=200000),
@@ -53,6 +63,9 @@ OPS = {
 
 # For the check: the same rules in another shape.
 CHECKS = {
+    "k13_compliance": """WITH o AS (SELECT spec_version IS NOT NULL AND spec_version <> '2.1' AS s, coalesce(relationship_type, 'uses') NOT IN ('uses', 'mitigates') AS r FROM {stix_objects}), m AS (SELECT count(*) FILTER (NOT s AND NOT r) / count(*)::DOUBLE AS rate, count(*) FILTER (s) AS spec, count(*) FILTER (r) AS rel FROM o),
+        k AS (SELECT rate, spec, rel, 100 * (SELECT count(*) FROM {techniques} WHERE technique IN (SELECT technique FROM {detects})) / (SELECT count(*) FROM {techniques})::DOUBLE AS pct, (SELECT avg((status = 'rejected')::INT) FROM {candidates} WHERE status IN ('approved', 'rejected')) AS rejects FROM m), p AS (SELECT *, (rate >= 0.95)::INT + (spec = 0)::INT + (rel = 0)::INT + (pct >= 70)::INT + (rejects <= 0.2)::INT AS points FROM k)
+        SELECT round(rate, 6) AS compliance_rate, spec AS spec_violations, rel AS relationship_violations, round(pct, 4) AS coverage_pct, round(rejects, 6) AS reject_rate, points::BIGINT AS points, ['NON_COMPLIANT', 'NON_COMPLIANT', 'NEEDS_ATTENTION', 'NEEDS_ATTENTION', 'COMPLIANT', 'COMPLIANT'][points + 1] AS status FROM p""",
     "k06_precision_recall": """WITH c AS (SELECT DISTINCT model_type, unnest([truth, predicted]) AS class FROM {predictions}), m AS (SELECT c.model_type, c.class, count(*) FILTER (truth = class AND predicted = class) AS tp, count(*) FILTER (predicted = class) AS pp, count(*) FILTER (truth = class) AS ap FROM c JOIN {predictions} AS p ON p.model_type = c.model_type GROUP BY c.model_type, c.class),
         a AS (SELECT model_type, avg(tp / pp::DOUBLE) FILTER (pp > 0) AS p, avg(tp / ap::DOUBLE) FILTER (ap > 0) AS r FROM m GROUP BY model_type) SELECT model_type, round(p, 3) AS macro_precision, round(r, 3) AS recall, CASE WHEN p + r > 0 THEN round(2 / (1 / nullif(p, 0) + 1 / nullif(r, 0)), 3) END AS f1 FROM a""",
     "k10_latency": "WITH l AS (SELECT event_type, list(value ORDER BY ts DESC, event_id DESC)[:1000] AS vs FROM {events} GROUP BY event_type), s AS (SELECT event_type, list_sort(vs) AS vs, len(vs) AS n FROM l) SELECT event_type, vs[1 + least(n - 1, n * 50 // 100)] AS p50, vs[1 + least(n - 1, n * 95 // 100)] AS p95, vs[1 + least(n - 1, n * 99 // 100)] AS p99 FROM s",
