@@ -38,21 +38,30 @@ class Ids:
     """ids of texts as tokenizers gives them. Texts of plain Latin, Greek or Cyrillic take a faster library with the same ranks."""
 
     def __init__(self, path: str, ranks: str | None):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
+        self.loaded = None
         self.fast = None
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         if ranks:
             import base64
+            import json
 
             import public_tokenizers
             import tiktoken
 
+            with open(path, encoding="utf-8") as f:
+                self.special = [t["content"] for t in json.load(f)["added_tokens"]]
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
+    @property
+    def whole(self):  # noqa: ANN201 - a tokenizers.Tokenizer, loaded when a text first needs it
+        if self.loaded is None:
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.path)
+        return self.loaded
+
     def __call__(self, text: str) -> list[int]:
         if self.fast and (text.isascii() or max(text) < PLAIN_TOP) and not any(s in text for s in self.special):
             return self.fast(text)
