@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import exact_dedup, fingerprint, jaccard_join, language_id, mixing, packing, pii, token_counts, url_filter, warc
+from tideglass.llm import exact_dedup, fingerprint, importance, jaccard_join, language_id, mixing, packing, pii, spelling, token_counts, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(spark, warc.write(table(spark, sf_dir, "pages")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP2_SQL = """
 WITH s AS (SELECT source, sum(length(coalesce(text, '')))::BIGINT AS size FROM documents GROUP BY source),
 r AS (SELECT source, CASE WHEN size = 0 THEN 1.0::DOUBLE ELSE sqrt(size::DOUBLE) / sum(sqrt(size::DOUBLE)) OVER () * (sum(size) OVER ())::DOUBLE / size END AS rate FROM s),
@@ -107,6 +115,44 @@ FROM d JOIN g USING (k)
 """
 
 
+#: The crc32 of texts, byte by byte: a table of 256 remainders, and a macro-like text over a column of hex digits.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab)"
+_CRC = "xor(list_reduce(list_transform(range(length({h}) // 2), lambda i: ('0x' || substr({h}, 2 * i + 1, 2))::BIGINT), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY doc_id, run),
+x AS (SELECT run, k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM r WHERE length(run) >= 5),
+y AS (SELECT run, k, {_CRC.format(h="h")} AS c FROM x, crc),
+v AS (SELECT CASE WHEN c % 97 = 0 THEN substr(run, 1, (c % length(run))::INT) || substr(run, (c % length(run))::INT + 2) ELSE run END AS word, k FROM y),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+d AS (SELECT DISTINCT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n AS m FROM d AS a JOIN d AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM d AS a JOIN w AS b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM d AS a JOIN w AS b ON a.rest = b.word),
+g AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, encode(near))) AS near, max(m) AS m FROM p GROUP BY word),
+f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN near END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN g USING (word)),
+s(word, here) AS (SELECT word, word FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.here WHERE f.form IS NOT NULL),
+e AS (SELECT s.word, s.here AS root FROM s JOIN f ON f.word = s.here WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e USING (word)
+"""
+
+OP13_SQL = f"""
+WITH {_CRC_TABLE},
+f AS (SELECT doc_id, rid, unnest(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM (SELECT doc_id, text, row_number() OVER () AS rid FROM documents)),
+q AS (SELECT unnest(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+h AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM (SELECT w FROM f UNION SELECT w FROM q)),
+b AS (SELECT w, {_CRC.format(h="h")} % 10000 AS bucket FROM h, crc),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN b USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM q JOIN b USING (w) GROUP BY bucket),
+g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM q) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+n AS (SELECT rid, count(*) AS n, sum(gain)::BIGINT AS gain FROM f JOIN b USING (w) JOIN g USING (bucket) GROUP BY rid),
+d AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce((gain - ((gain % n) + n) % n) // n, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM (SELECT doc_id, row_number() OVER () AS rid FROM documents) LEFT JOIN n USING (rid)),
+e AS (SELECT doc_id, n, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d),
+k AS (SELECT *, CASE WHEN n >= 20 THEN row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) END AS place, (count(*) FILTER (n >= 20) OVER ()) * 10 // 100 AS draw FROM e)
+SELECT doc_id, n AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN place <= draw THEN place END AS rank FROM k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -119,8 +165,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
         "op10_warc": op10_warc,
+        "op11_spelling": op11_spelling,
+        "op13_importance": op13_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op2_mixing": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL, "op11_spelling": OP11_SQL, "op13_importance": OP13_SQL}
