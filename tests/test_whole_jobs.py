@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tideglass.operators import cooccurrence, extraction, graph, search, simulation
+from tideglass.plans import bindings
 
 
 def test_profiles_read_every_episode(spark):
@@ -86,11 +87,13 @@ def test_spans_and_chunks_reach_the_end(spark):
     docs = _documents(spark, lengths)
     spans = [(d, i, i * 137, i * 137 + 90) for d, n in enumerate(lengths) for i in range(n) if i * 137 + 90 <= n]
     chunks = [(d, i, i * 500, min(i * 500 + 600, n)) for d, n in enumerate(lengths) for i in range(n) if i * 500 < n]
-    got = sorted(tuple(r) for r in extraction.OPS["p02_span_chunks"](documents=docs).select("doc_id", "span_no", "chunk_no").collect())
+    tables = {t: spark.sql(bindings.VIEWS[t], documents=docs) for t in ("chunk_ranges", "span_ranges")}
+    run = lambda name: extraction.OPS[name](**{t: tables[t] for t in extraction.OPS[name].tables})
+    got = sorted(tuple(r) for r in run("p02_span_chunks").select("doc_id", "span_no", "chunk_no").collect())
     assert got == sorted((d, i, j) for d, i, a, b in spans for e, j, x, y in chunks if d == e and a < y and b > x)
-    dealt = {(r["doc_id"], r["span_no"]): r["chunk"] for r in extraction.OPS["p03_redistribution"](documents=docs).collect()}
+    dealt = {(r["doc_id"], r["span_no"]): r["chunk"] for r in run("p03_redistribution").collect()}
     assert dealt.keys() == {(d, i) for d, i, _, _ in spans} and dealt[4, 50] == 2
-    merged = extraction.OPS["p11_merged_evidence"](documents=docs).where("doc_id = 4").collect()
+    merged = run("p11_merged_evidence").where("doc_id = 4").collect()
     assert sum(r["n"] for r in merged) == 51 + 14 and max(r["b"] for r in merged) == 50 * 137 + 90
 
 
