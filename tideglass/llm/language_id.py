@@ -3,11 +3,13 @@
 Features are hashed n-grams of 1 to 3 lower-cased letters (each character that is no letter counts as a break),
 weighted by their share in the text times an inverse document frequency that is counted over every learnable document.
 Weights come from follow-the-regularised-leader with elastic-net penalties, one pass per epoch over a bounded sample
-(SAMPLE rows, spread evenly over the languages), and a temperature is then fitted on a part of the sample that the
+(at most SAMPLE rows, drawn by hash of key and text, spread evenly over the at most MOST_LANGS languages with the most
+rows; rarer labels are not learned), and a temperature is then fitted on a part of the sample that the
 weights have not seen.
 
 Null text, or text without letters (Unicode's; digits and symbols like ² or ① are none), is `und` with score 0; so is
-every text when nothing can be learned (no labelled row). A null doc_id counts as the empty string. Repeated rows each
+every text when nothing can be learned (no labelled row). A null doc_id counts as the empty string; rows
+without an id are still drawn by their texts. Repeated rows each
 get their row, with equal predictions; equal texts always have equal predictions. An empty table gives an empty result.
 Columns other than those named are not read by train and identify; predict and reject keep them all.
 """
@@ -20,13 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.llm.worker import kept
 
 BITS = 18
 SAMPLE = 6000
+#: Languages that are learned, the most frequent ones; of others nothing is known. Bounds the weights.
+MOST_LANGS = 256
 CHUNK = 1 << 20
 UNKNOWN = "und"
 SCALE = 64.0
@@ -197,16 +201,20 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE, bits: int = BITS, penalties: Penalties = Penalties()) -> Model:
     """Learn from the labelled documents that are not held out. Only the weights come from a bounded sample."""
     learn = docs.where(~held_out(docs[key]) & docs[label].isNotNull() & docs[text].isNotNull()).select(docs[key].cast("string").alias("key"), docs[text].cast("string").alias("text"), docs[label].cast("string").alias("label"))
-    sizes = {row[0]: row[1] for row in learn.groupBy("label").count().collect()}
+    sizes = {row[0]: row[1] for row in learn.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGS).collect()}
     langs = tuple(sorted(sizes))
-    total = sum(sizes.values())
     if not langs:
         return Model((), np.zeros((1 << bits, 0), np.float32), 1.0)
+    learn = learn.where(F.col("label").isin(*langs))
+    total = sum(sizes.values())
     df = document_frequencies(learn.select("text"), bits)
     idf = np.log((1 + total) / (1 + df)) + 1
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample / len(langs) / sizes[lang]))])
-    spin = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = learn.where(spin < share[F.col("label")]).withColumn("spin", spin)
+    # A quarter more is drawn by hash of key and text than is kept, so the sort by label is of a bounded sample.
+    each = max(1, sample // len(langs))
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, 1.25 * each / sizes[lang] + 64 / sizes[lang]))])
+    spin = F.pmod(F.xxhash64("key", "text", F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
+    drawn = learn.withColumn("spin", spin).where(F.col("spin") < share[F.col("label")])
+    chosen = drawn.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("spin", "key"))).where(F.col("place") <= each).drop("place")
     index = {lang: i for i, lang in enumerate(langs)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,12 +246,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", bits: int = BITS)
     """docs with the columns lang_pred and score at the end, in place of any that are called so; its other columns are
     kept as they are. What is predicted for a text depends on that text alone."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # 2**bits weights for each language, whatever the input's size
+    # 2**bits weights for each of at most MOST_LANGS languages, whatever the input's size; as plain values.
+    shared = spark.sparkContext.broadcast((model.langs, model.weights, model.temperature))
 
     from pyspark.sql.types import StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
+        m = Model(*shared.value)
         for whole in batches:
             texts = whole.columns[-1].to_pylist()
             for at, part in chunks(texts):

@@ -77,8 +77,9 @@ def replicate(docs: DataFrame, key: str = "doc_id", source: str = "source", text
         tail = table.join(F.broadcast(head.select("of")), table["of"].eqNullSafe(head["of"]), "left_anti")
         drawn = renamed.join(F.broadcast(head.drop("size")), on).unionByName(renamed.join(F.broadcast(head.select("of")), on, "left_anti").join(tail.drop("size"), on))
     ident = F.coalesce(F.col(at).cast("string"), F.lit(""))
-    one = lambda j: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(str(seed)), F.col("ident"), j.cast("string"))))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, j: acc + one(j))
+    # The draws stand in an array of their own: each is hashed once, and not again for every element of the distribution.
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: uniform(F.lit(str(seed)), F.col("ident"), j.cast("string")))
+    copies = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda c: c <= u)))
     counted = drawn.withColumn("ident", ident).select(*inner, "rate", "ident", copies.alias("copies")).where("copies > 0")
     many = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     mixed = many.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), "ident", F.col("copy_no").cast("string"))))

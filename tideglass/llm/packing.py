@@ -238,7 +238,7 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, key: str = "doc_i
     for row in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows")).collect():  # at most `window` rows
         histogram[row["tail"]] = row["n"]
         windows += row["windows"]
-    shared = spark.sparkContext.broadcast(plan(histogram, window))
+    shared = spark.sparkContext.broadcast(tuple(vars(plan(histogram, window)).values()))  # plain values
     # What earlier tasks hold: by task, the full windows and one array of `window` counters.
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select("task", "tail", F.sum("n").over(before.partitionBy("tail")).alias("n"))
@@ -253,7 +253,7 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, key: str = "doc_i
     schema = pa.schema([("key", to_arrow_type(kind)), *((n, pa.int64()) for n in names[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p: Plan = shared.value
+        p = Plan(*shared.value)
         for batch in batches:
             out: list[tuple] = []
             for doc, total, full, first, tail, rank, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -125,11 +125,12 @@ def encode(keys: DataFrame, n: int, salt: int, bits_per_key: float = BITS_PER_KE
 
 def only_in(keys: DataFrame, level: Bloom) -> DataFrame:
     """The keys that the level takes for its own."""
-    shared = keys.sparkSession.sparkContext.broadcast(level)
+    shared = keys.sparkSession.sparkContext.broadcast((level.bits, level.hashes, level.salt))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Bloom(*shared.value)
         for batch in batches:
-            found = [k for k in batch.column(0).to_pylist() if k in shared.value]
+            found = [k for k in batch.column(0).to_pylist() if k in own]
             yield pa.record_batch([pa.array(found, pa.string())], names=["key"])
 
     return keys.mapInArrow(run, "key string")
@@ -199,7 +200,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, default:
     labels = listed.select(F.max(F.size(F.split(F.regexp_extract("key", r"^[^/]*", 0), r"\."))).alias("n")).first()["n"] or 0
     universe = candidates(pages, lengths, labels)
     cascades = {v: build(listed.where(F.col("verdict") == v), universe) for v in verdicts}
-    shared = spark.sparkContext.broadcast(cascades)  # at most MAX_BITS a level
+    # Plain values, at most MAX_BITS a level.
+    shared = spark.sparkContext.broadcast({v: ([(x.bits, x.hashes, x.salt) for x in c.levels], sorted(c.exact)) for v, c in cascades.items()})
     from pyspark.sql.pandas.types import to_arrow_type
 
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -207,10 +209,11 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, default:
     schema = pa.schema([("page_id", to_arrow_type(kind)), *((n, pa.string()) for n in ("host", "path", "rule", "verdict"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {v: Cascade(tuple(Bloom(*x) for x in levels), frozenset(exact)) for v, (levels, exact) in shared.value.items()}
         for batch in batches:
             out: list[tuple[str | None, str]] = []
             for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                hit = next(((k, v) for k in keys_of(host, path, lengths, labels) for v in verdicts if k in shared.value[v]), (None, default))
+                hit = next(((k, v) for k in keys_of(host, path, lengths, labels) for v in verdicts if k in known[v]), (None, default))
                 out.append(hit)
             yield pa.record_batch([*batch.columns, pa.array([k for k, _ in out], pa.string()), pa.array([v for _, v in out], pa.string())], schema=schema)
 
