@@ -16,14 +16,6 @@ _ENTITIES = "ents AS (SELECT * FROM {entity_mentions})"
 
 OPS = {
     "m01_page_text": Op("Length of pages and of their title.", "SELECT page_id, CAST(length(html) AS BIGINT) AS n_html, CAST(strpos_ AS BIGINT) AS title_at FROM (SELECT page_id, html, instr(lower(html), '<title') AS strpos_ FROM {pages}) AS p"),
-    "m03_span_scores": Op(
-        "Lines by the weights of the cues that they hold, and 0.1 for each further cue up to 0.3, capped at one; those above a threshold.",
-        """WITH lines AS (SELECT doc_id, pos, line FROM {documents} LATERAL VIEW posexplode(split(text, chr(10))) AS pos, line),
-        s AS (SELECT l.doc_id, l.pos, least(1.0, max(c.weight) + least(0.3, 0.1 * (count(*) - 1))) AS score FROM lines AS l JOIN {cues} AS c ON contains(lower(l.line), c.cue) GROUP BY l.doc_id, l.pos)
-        SELECT doc_id, CAST(pos AS BIGINT) AS line, round(CAST(score AS DOUBLE), 4) AS score FROM s WHERE score >= :least""",
-        least=0.6,
-    ).against("""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {documents}), l AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS line FROM t), h AS (SELECT doc_id, i, list_max(list(weight)) AS top, len(list(cue)) AS n FROM l JOIN {cues} ON strpos(lower(line), cue) > 0 GROUP BY doc_id, i)
-        SELECT doc_id, i - 1 AS line, round(least(1, top::DOUBLE + least(0.3::DOUBLE, (n - 1) / 10.0::DOUBLE)), 4) AS score FROM h WHERE least(1, top + least(0.3, (n - 1) * 0.1)) >= :least"""),
     "m04_stage_windows": Op("Five-line windows of an episode that hold two different tactics.", "SELECT episode, action_id FROM (SELECT a.episode, a.action_id, min(p.tactic) OVER w AS low, max(p.tactic) OVER w AS high FROM {actions} AS a JOIN {primary_tactic} AS p ON a.technique = p.technique WINDOW w AS (PARTITION BY a.episode ORDER BY a.action_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS s WHERE low <> high"),
     "m05_entity_spans": Op(
         "Names of groups by pattern (APT, TA, FIN, UNC and a number) in each text, with how often; texts over fifty characters count as a quote.",
@@ -50,7 +42,6 @@ OPS = {
         "Overlapping spans merged: gaps and islands by running maximum of ends.",
         f"WITH {_SPANS}, {_CHUNKS}, all_ AS (SELECT doc_id, s_start AS a, s_end AS b FROM spans UNION ALL SELECT doc_id, c_start + 40, c_start + 120 FROM chunks), m AS (SELECT doc_id, a, b, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM all_), i AS (SELECT doc_id, a, b, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT doc_id, CAST(min(a) AS BIGINT) AS a, CAST(max(b) AS BIGINT) AS b, CAST(count(*) AS BIGINT) AS n FROM i GROUP BY doc_id, island",
     ),
-    "l41_pair_suggestions": Op("Techniques that usually follow found ones and are missing.", "SELECT DISTINCT e.episode, r.wanted FROM {et} AS e JOIN (VALUES ('Brand#11', 'Brand#12'), ('Brand#22', 'Brand#23'), ('Brand#33', 'Brand#34')) AS r(found, wanted) ON e.technique = r.found LEFT JOIN {et} AS h ON h.episode = e.episode AND h.technique = r.wanted WHERE h.technique IS NULL"),
     "l38_evidence_pack": Op("Pair statistics of neighbours with a hash of what they rest on.", "SELECT src, dst, n, md5(concat(src, '>', dst, ':', CAST(n AS VARCHAR(20)))) AS evidence_hash FROM {transitions}"),
 }
 
@@ -113,19 +104,6 @@ def near_names(parts: DataFrame) -> DataFrame:
     return pairs.withColumn("p_partkey", F.lit(None).cast("bigint")).unionByName(members)
 
 
-def resolve_aliases(aliases: DataFrame, rounds: int = 6) -> DataFrame:
-    """Roots of alias chains (alias, target) by pointer jumping; a cycle ends at its least name: alias, root."""
-    links = aliases.select("alias", F.col("target").alias("root"))
-    for _ in range(rounds):
-        onward = links.select(F.col("alias").alias("root"), F.col("root").alias("next"))
-        links = links.join(onward, "root", "left").select("alias", F.coalesce("next", "root").alias("root"))
-    return links
-
-
-def _aliases(part: DataFrame) -> DataFrame:
-    return resolve_aliases(part.where("p_partkey > 1").select(F.col("p_partkey").alias("alias"), F.floor(F.col("p_partkey") / 3).cast("bigint").alias("target")).where("target > 0"))
-
-
 def running_confidence(events: DataFrame, keep: float = 0.9) -> DataFrame:
     """Exponential moving average of confidence by type, seeded by the first value above zero: event_type, n, ema.
 
@@ -272,53 +250,10 @@ def jaccard_evidence(lines: DataFrame, threshold: float = 0.85, rounds: int = 3)
     return with_checkpoints(lines, run)
 
 
-def merge_names(entities: DataFrame, most: int | None = None, threshold: float = 0.85) -> DataFrame:
-    """Entities of a group (grp, name, confidence, family) merged when their names' edit similarity passes a threshold;
-    a technique never merges with one of its own family, nor names that differ by over 70 % in length: grp, name, kept.
-    With `most` a group stops comparing after as many comparisons (SURVEY G15 has 500) and keeps the rest apart."""
-    import pyarrow as pa
-
-    def similar(a: str, b: str) -> float:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return 1 - row[-1] / max(1, len(a), len(b))
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for grp, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kept, n = [], 0
-                for it in sorted(items, key=lambda x: (-x["confidence"], x["name"])):
-                    home = None
-                    for k in kept:
-                        sizes = sorted((len(it["name"]), len(k["name"])))
-                        if most is not None and n >= most or sizes[0] < 0.3 * sizes[1] or it["family"] == k["family"]:
-                            continue
-                        n += 1
-                        if similar(it["name"].lower(), k["name"].lower()) >= threshold:
-                            home = k
-                            break
-                    if home is None:
-                        kept.append(it)
-                    out.append((grp, it["name"], (home or it)["name"]))
-            yield pa.record_batch([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=["grp", "name", "kept"])
-
-    grouped = entities.groupBy(F.col("grp").cast("string").alias("grp")).agg(F.collect_list(F.struct("name", "confidence", "family")).alias("items"))
-    return grouped.mapInArrow(run, "grp string, name string, kept string")
-
-
-def _parts(part: DataFrame) -> DataFrame:
-    return merge_names(part.select(F.concat_ws("|", "p_brand", "p_type").alias("grp"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("confidence"), F.col("p_size").cast("string").alias("family")))
-
-
 _EMA = "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events WHERE value > 0), l AS (SELECT event_type, list(value ORDER BY rn) AS v FROM o GROUP BY event_type) SELECT event_type, len(v)::BIGINT AS n, round(list_reduce(v, lambda a, x: 0.9::DOUBLE * a + (1 - 0.9::DOUBLE) * x), 6) AS ema FROM l"
 _LINES = "WITH l AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), p AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS stop FROM l) SELECT doc_id, min(line)::BIGINT AS first_line, max(line)::BIGINT AS last_line FROM p WHERE stop - length(t) - 1 < floor(n * 3 / 4) AND stop > floor(n / 4) GROUP BY doc_id"
 _NEAR = "WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL) SELECT a.name, b.name AS near_name, CAST(levenshtein(a.name, b.name) AS BIGINT) AS edits, CAST(NULL AS BIGINT) AS p_partkey FROM n AS a JOIN n AS b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= 2 UNION ALL SELECT p_name, NULL, NULL, p_partkey FROM part WHERE p_name IS NOT NULL"
 _PATHS = "WITH RECURSIVE w AS (SELECT DISTINCT [src] AS path, CAST(0 AS DOUBLE) AS total FROM ptg_edges UNION ALL SELECT list_append(path, dst), total + p FROM w JOIN ptg_edges ON src = path[len(path)] AND NOT list_contains(path, dst)) SELECT path, CAST(len(path) - 1 AS BIGINT) AS steps, round(total / (len(path) - 1), 6) AS confidence FROM w WHERE len(path) >= 2 AND NOT EXISTS (SELECT 1 FROM ptg_edges AS e WHERE e.src = path[len(path)] AND NOT list_contains(path, e.dst))"
-_ALIAS = "WITH RECURSIVE w AS (SELECT p_partkey AS alias, p_partkey // 3 AS root FROM part WHERE p_partkey // 3 > 0 UNION ALL SELECT alias, root // 3 FROM w WHERE root // 3 > 0) SELECT alias, min(root) AS root FROM w GROUP BY alias"
 # For the check: the same rules in another shape.
 CHECKS = {
     "m09_verification": "SELECT doc, technique, len(cs)::BIGINT AS quotes, CASE WHEN e >= 50 THEN TRUE WHEN e >= 40 AND len(cs) > 1 THEN TRUE WHEN e >= 30 THEN list_max(cs) >= 80 ELSE FALSE END AS accepted FROM (SELECT doc, technique, list(confidence) AS cs, least(100, 15 * count(*) + max(confidence) / 4) AS e FROM {claim_rows} GROUP BY doc, technique) AS g",
@@ -350,8 +285,6 @@ FUNCTIONS = {
     "k12_running_confidence": (running_confidence, ["events"], _EMA),
     "m02_sentences": (split_sentences, ["documents"], None),
     "m12_jaccard_evidence": (lambda d: jaccard_evidence(d.select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "text")), ["documents"], None),
-    "g15_merged_names": (_parts, ["part"], None),
     "l36_maximal_paths": (maximal_paths, ["ptg_edges"], _PATHS),
     "m20_entity_resolution": (near_names, ["part"], _NEAR),
-    "p08_alias_roots": (_aliases, ["part"], _ALIAS),
 }

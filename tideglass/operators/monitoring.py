@@ -56,7 +56,6 @@ OPS = {
         s AS (SELECT 1 - bad / n AS rate, spec, rel, pct, r.rate AS rejects, (CASE WHEN 1 - bad / n >= 0.95 THEN 1 ELSE 0 END) + (CASE WHEN spec = 0 THEN 1 ELSE 0 END) + (CASE WHEN rel = 0 THEN 1 ELSE 0 END) + (CASE WHEN pct >= 70 THEN 1 ELSE 0 END) + (CASE WHEN coalesce(r.rate, 0) <= 0.2 THEN 1 ELSE 0 END) AS points FROM v CROSS JOIN c CROSS JOIN r)
         SELECT round(rate, 6) AS compliance_rate, CAST(spec AS BIGINT) AS spec_violations, CAST(rel AS BIGINT) AS relationship_violations, round(CAST(pct AS DOUBLE), 4) AS coverage_pct, round(rejects, 6) AS reject_rate, CAST(points AS BIGINT) AS points, CASE WHEN points >= 4 THEN 'COMPLIANT' WHEN points >= 2 THEN 'NEEDS_ATTENTION' ELSE 'NON_COMPLIANT' END AS status FROM s""",
     ),
-    "k14_rate_limit": Op("Requests of a user in the hour before each, not counting it, and whether a limit was passed.", "SELECT event_id, CAST(n AS BIGINT) AS before, n >= :limit AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) - 1 AS n FROM {events}) AS w", limit=2),
     "k15_cost": Op("Cost by day and model at a price list.", "SELECT CAST(ts AS DATE) AS day, event_type AS model, CAST(count(*) AS BIGINT) AS calls, round(sum(value / 1000 * CAST(CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.1 ELSE 0.2 END AS DOUBLE)), 7) AS cost FROM {events} GROUP BY CAST(ts AS DATE), event_type"),
     "p30_budget": Op("Running cost of each day and whether the next call would pass the budget.", "WITH c AS (SELECT event_id, CAST(ts AS DATE) AS day, ts, CAST(floor(value * 100) AS BIGINT) AS cents FROM {events}) SELECT event_id, CAST(total AS BIGINT) AS total_cents, total > :budget AS over_budget FROM (SELECT event_id, sum(cents) OVER (PARTITION BY day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM c) AS w", budget=200000),
 }
@@ -69,7 +68,6 @@ CHECKS = {
     "k06_precision_recall": """WITH c AS (SELECT DISTINCT model_type, unnest([truth, predicted]) AS class FROM {predictions}), m AS (SELECT c.model_type, c.class, count(*) FILTER (truth = class AND predicted = class) AS tp, count(*) FILTER (predicted = class) AS pp, count(*) FILTER (truth = class) AS ap FROM c JOIN {predictions} AS p ON p.model_type = c.model_type GROUP BY c.model_type, c.class),
         a AS (SELECT model_type, avg(tp / pp::DOUBLE) FILTER (pp > 0) AS p, avg(tp / ap::DOUBLE) FILTER (ap > 0) AS r FROM m GROUP BY model_type) SELECT model_type, round(p, 3) AS macro_precision, round(r, 3) AS recall, CASE WHEN p + r > 0 THEN round(2 / (1 / nullif(p, 0) + 1 / nullif(r, 0)), 3) END AS f1 FROM a""",
     "k10_latency": "WITH l AS (SELECT event_type, list(value ORDER BY ts DESC, event_id DESC)[:1000] AS vs FROM {events} GROUP BY event_type), s AS (SELECT event_type, list_sort(vs) AS vs, len(vs) AS n FROM l) SELECT event_type, vs[1 + least(n - 1, n * 50 // 100)] AS p50, vs[1 + least(n - 1, n * 95 // 100)] AS p95, vs[1 + least(n - 1, n * 99 // 100)] AS p99 FROM s",
-    "k14_rate_limit": "SELECT e.event_id, (count(*) - 1)::BIGINT AS before, count(*) > :limit AS limited FROM {events} AS e JOIN {events} AS o ON o.user_id = e.user_id AND o.ts <= e.ts AND o.ts >= e.ts - INTERVAL 1 HOUR GROUP BY e.event_id",
     "p30_budget": "SELECT e.event_id, sum(floor(o.value * 100))::BIGINT AS total_cents, sum(floor(o.value * 100)) > :budget AS over_budget FROM {events} AS e JOIN {events} AS o ON o.ts::DATE = e.ts::DATE AND (o.ts, o.event_id) <= (e.ts, e.event_id) GROUP BY e.event_id",
 }
 for _name, _text in CHECKS.items():

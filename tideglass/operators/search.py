@@ -39,18 +39,6 @@ OPS = {
         rules(has, least, lacks) AS (VALUES (NULL, 2, 'initial-access'), ('execution', 2, 'persistence'), ('collection', 2, 'exfiltration'), (NULL, 4, 'command-and-control')),
         g AS (SELECT n.episode, lacks AS phase FROM n, rules AS r WHERE k >= least AND (has IS NULL OR (n.episode, has) IN (SELECT (episode, tactic) FROM p)) AND (n.episode, lacks) NOT IN (SELECT (episode, tactic) FROM p))
         SELECT episode, phase, b.technique AS suggestion FROM g LEFT JOIN (SELECT * FROM {kill_chain} QUALIFY row_number() OVER (PARTITION BY tactic ORDER BY technique) <= :top) AS b ON b.tactic = phase"""),
-    "m15_phrases": Op(
-        "Phrases, patterns and tools of a dictionary in each text, and the techniques that they hint at.",
-        "SELECT d.doc_id, h.kind, h.phrase, h.technique FROM {documents} AS d JOIN {phrase_hints} AS h ON contains(lower(d.text), h.phrase)",
-    ).against("SELECT doc_id, kind, phrase, technique FROM {documents}, {phrase_hints} WHERE strpos(lower(text), phrase) > 0"),
-    "p23_relevance_ladder": Op(
-        "How relevant each wanted technique is for each text: the first match by phrases (100, or 75 if only its parent is hinted at), patterns (80), then tools (60 or 40), in the dictionary's order.",
-        """WITH m AS (SELECT d.doc_id, w.technique, h.ord, CASE h.kind WHEN 'phrase' THEN 1 WHEN 'pattern' THEN 2 ELSE 3 END AS rung, CASE WHEN h.kind = 'pattern' THEN 80 WHEN h.kind = 'phrase' AND h.technique = w.technique THEN 100 WHEN h.kind = 'phrase' THEN 75 WHEN h.technique = w.technique THEN 60 ELSE 40 END AS relevance, h.phrase
-          FROM {phrase_hints} AS h JOIN {wanted_techniques} AS w ON h.technique = w.technique OR h.technique = split_part(w.technique, '.', 1) JOIN {documents} AS d ON contains(lower(d.text), h.phrase)),
-        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, technique ORDER BY rung, ord) AS rn FROM m)
-        SELECT doc_id, technique, CAST(relevance AS BIGINT) AS relevance, phrase FROM r WHERE rn = 1""",
-    ).against("""WITH w AS (SELECT technique AS t, string_split(technique, '.')[1] AS base FROM {wanted_techniques}), l AS (SELECT t, phrase, ord + CASE kind WHEN 'phrase' THEN 0 WHEN 'pattern' THEN 100 ELSE 200 END AS place, CASE kind WHEN 'phrase' THEN 75 WHEN 'pattern' THEN 80 ELSE 40 END + CASE WHEN technique = t AND kind = 'phrase' THEN 25 WHEN technique = t AND kind = 'tool' THEN 20 ELSE 0 END AS v FROM w, {phrase_hints} WHERE technique IN (t, base))
-        SELECT doc_id, t AS technique, arg_min(v, place)::BIGINT AS relevance, arg_min(phrase, place) AS phrase FROM {documents}, l WHERE strpos(lower(text), phrase) > 0 GROUP BY doc_id, t"""),
 }
 
 

@@ -51,11 +51,35 @@ VIEWS = {
     "stix_objects": """SELECT 'attack-pattern' AS type, concat(CASE WHEN p_size = 7 THEN 'tool' ELSE 'attack-pattern' END, '--', concat(substr(md5(CAST(p_partkey AS VARCHAR(20))), 1, 8), '-', substr(md5(CAST(p_partkey AS VARCHAR(20))), 9, 4), '-4', substr(md5(CAST(p_partkey AS VARCHAR(20))), 14, 3), '-a', substr(md5(CAST(p_partkey AS VARCHAR(20))), 18, 3), '-', substr(md5(CAST(p_partkey AS VARCHAR(20))), 21, 12))) AS id, CASE WHEN p_size = 9 THEN '2.0' END AS spec_version, CASE WHEN p_size > 45 THEN NULL ELSE p_name END AS name, CAST(NULL AS VARCHAR(9)) AS source_ref, CAST(NULL AS VARCHAR(9)) AS target_ref, CAST(NULL AS VARCHAR(9)) AS relationship_type, CAST(NULL AS VARCHAR(9)) AS pattern, CAST(NULL AS DOUBLE) AS confidence FROM {part}
       UNION ALL SELECT 'relationship', concat('relationship--', CASE WHEN l_linenumber = 6 THEN 'bad' ELSE concat(substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 1, 8), '-', substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 9, 4), '-4', substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 14, 3), '-a', substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 18, 3), '-', substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))), 21, 12)) END), NULL, NULL, concat('s', CAST(l_suppkey AS VARCHAR(20))), CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('t', CAST(l_partkey AS VARCHAR(20))) END, CASE WHEN l_returnflag = 'N' THEN 'uses' WHEN l_returnflag = 'A' THEN 'likes' ELSE 'mitigates' END, NULL, CAST(l_quantity * 2.5 AS DOUBLE) FROM {lineitem}""",
     "cues": "SELECT * FROM (VALUES ('ing the', 0.5), ('und ', 0.4), ('que ', 0.3), ('tion', 0.25), ('akia', 2.0), ('password', 0.9)) AS v(cue, weight)",
-    "phrase_hints": "SELECT * FROM (VALUES (1, 'phrase', 'the ', 'T1'), (2, 'phrase', 'und ', 'T2.1'), (3, 'phrase', 'thing', 'T1.1'), (4, 'pattern', 'tion', 'T3'), (5, 'pattern', 'que ', 'T2'), (6, 'tool', 'token', 'T4'), (7, 'tool', 'pass', 'T4.2')) AS v(ord, kind, phrase, technique)",
+    "phrase_hints": """SELECT * FROM (VALUES (1, 'phrase', 'the ', 'T1'), (2, 'phrase', 'und ', 'T2.1'), (3, 'phrase', 'thing', 'T1.1'), (4, 'pattern', 'tion', 'T3'), (5, 'pattern', 'que ', 'T2'), (6, 'tool', 'token', 'T4'), (7, 'tool', 'pass', 'T4.2'), (8, 'phrase', 'of-the', 'T9')) AS v(ord, kind, phrase, technique)
+      UNION ALL SELECT CAST(100 + row_number() OVER (ORDER BY l, r, i) AS INT), CASE i % 3 WHEN 0 THEN 'phrase' WHEN 1 THEN 'pattern' ELSE 'tool' END, concat(l, CASE WHEN i % 2 = 0 THEN ' ' ELSE '-' END, r), concat('T', CAST(i % 12 AS VARCHAR(9)), CASE WHEN i % 5 = 0 THEN '.1' ELSE '' END) FROM (SELECT lower(split_part(text, ' ', 2)) AS l, lower(split_part(text, ' ', 3)) AS r, min(item_id) AS i FROM {benchmark} GROUP BY lower(split_part(text, ' ', 2)), lower(split_part(text, ' ', 3))) AS p WHERE l <> '' AND r <> ''""",
+    "phrase_flags": "SELECT * FROM (VALUES ('the', TRUE, FALSE), ('The', FALSE, TRUE), ('und', TRUE, TRUE), ('ing the', FALSE, FALSE), ('aa', FALSE, FALSE), ('que ', FALSE, TRUE), ('ß', FALSE, FALSE)) AS v(phrase, whole, cased)",
+    "tactic_patterns": "SELECT pattern, tactic, CAST(weight AS DOUBLE) AS weight FROM (VALUES ('(ing|tion)s? the', 'execution', 0.85), ('und ?(die|der|das)', 'discovery', 0.6), ('que |qui ', 'impact', 0.95), ('pass(word|wd)', 'credential-access', 0.85), ('[0-9]+[.][0-9]+[.][0-9]+', 'command-and-control', 0.9)) AS v(pattern, tactic, weight)",
+    "section_weights": "SELECT phrase, CAST(weight AS DOUBLE) AS weight FROM (VALUES ('the', 1.1), ('und', 1.2), ('licen', 0.5)) AS v(phrase, weight)",
+    "red_flags": "SELECT * FROM (VALUES ('Password', 'T1', 'secrets'), ('akia', 'T2.1', 'keys'), ('licensed', 'T3', 'terms'), ('tion of', 'T4', 'prose')) AS v(phrase, technique, reason)",
+    "dotted_et": "SELECT episode, concat('T', substr(technique, 7, 1), CASE WHEN substr(technique, 8, 1) IN ('', '5') THEN '' ELSE concat('.', substr(technique, 8, 1)) END) AS technique FROM {et}",
+    "technique_pairs": "SELECT * FROM (VALUES (1, 'T1', 'T2'), (2, 'T1.2', 'T2'), (3, 'T2.3', 'T3.1'), (4, 'T3', 'T4'), (5, 'T4.4', 'T5.5'), (6, 'T5', 'T1')) AS v(ord, if_found, check_for)",
     "wanted_techniques": "SELECT * FROM (VALUES ('T1'), ('T1.1'), ('T2.1'), ('T3'), ('T4.2'), ('T9')) AS v(technique)",
     "keyword_index": "SELECT DISTINCT keyword, technique FROM (SELECT lower(split_part(text, ' ', 1)) AS keyword, concat('T', CAST(item_id AS VARCHAR(19))) AS technique FROM {benchmark} UNION ALL SELECT lower(concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3))), concat('T', CAST(item_id AS VARCHAR(19))) FROM {benchmark}) AS k WHERE length(trim(keyword)) > 1",
     "kill_chain": "SELECT p_brand AS technique, CASE CAST(substr(p_brand, 7, 2) AS INT) % 9 WHEN 0 THEN 'initial-access' WHEN 1 THEN 'persistence' WHEN 2 THEN 'credential-access' WHEN 3 THEN 'lateral-movement' WHEN 4 THEN 'collection' WHEN 5 THEN 'exfiltration' WHEN 6 THEN 'execution' WHEN 7 THEN 'command-and-control' ELSE 'discovery' END AS tactic FROM (SELECT DISTINCT p_brand FROM {part}) AS b",
     "flow_reports": "SELECT o_orderkey AS flow, o_custkey AS report_id, o_orderdate AS created, o_totalprice AS score, o_orderstatus AS status, o_orderpriority AS kind FROM {orders}",
+    "report_fields": "SELECT doc_id AS report_id, substr(text, 1, 60) AS name, text AS description, concat(lang, ' ', source) AS techniques FROM {documents}",
+    "search_queries": "SELECT item_id AS query_id, concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 4), ' ', split_part(text, ' ', 6)) AS text FROM {benchmark}",
+    "named_techniques": "SELECT p_partkey AS id, p_name AS name, concat(p_type, ' ', p_brand, ' ', p_name) AS description FROM {part}",
+    "named_entities": "SELECT s_suppkey AS id, concat(s_name, ' of ', n_name) AS name, CAST(floor(s_acctbal) AS BIGINT) AS n FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey",
+    "name_queries": "SELECT CAST(row_number() OVER (ORDER BY t) AS BIGINT) AS query_id, t AS text FROM (SELECT DISTINCT p_name AS t FROM {part} UNION SELECT n_name FROM {nation} UNION SELECT concat(' ', p_type, ' ') FROM {part}) AS q",
+    "requests": "SELECT event_id AS request_id, ts, user_id AS client, concat('/v1/', event_type, '/', CAST(event_id % 7 AS VARCHAR(9))) AS path FROM {events}",
+    "endpoint_limits": "SELECT prefix, CAST(allowance AS BIGINT) AS allowance FROM (VALUES ('/v1/click', 4), ('/v1/click/3', 2), ('/v1/view', 3), ('/v1/view/', 5), ('/', 6)) AS v(prefix, allowance)",
+    "job_events": "SELECT event_id, ts, user_id % 60 AS job, concat('w', CAST(user_id % 4 AS VARCHAR(9))) AS worker, CASE WHEN value > 99 THEN 'complete' WHEN value > 98.5 THEN 'fail' WHEN event_type IN ('click', 'error') THEN 'claim' ELSE 'heartbeat' END AS kind FROM {events}",
+    "known_names": """SELECT id, name, CASE id % 3 WHEN 0 THEN 'tool' ELSE 'malware' END AS type FROM (SELECT CAST(row_number() OVER (ORDER BY name) AS BIGINT) AS id, name FROM (SELECT DISTINCT translate(concat(split_part(text, ' ', i), ' ', split_part(text, ' ', i + 1)), 'ÄÇÈÉÊÑÖÜßäçèéêíñóöü', 'ACEEENOUsaceeeinoou') AS name FROM {benchmark} CROSS JOIN (SELECT explode(sequence(1, 30)) AS i) AS s WHERE split_part(text, ' ', i + 1) <> '') AS d) AS n
+      UNION ALL SELECT * FROM (VALUES (CAST(100001 AS BIGINT), 'APT 28', 'group'), (100002, 'Fin7', 'group'), (100003, 'UNC-2452', 'group'), (100004, 'Lazarus Group', 'group'), (100005, ' ', 'tool')) AS v(id, name, type)""",
+    "known_aliases": "SELECT * FROM (VALUES ('Fancy Bear', CAST(100001 AS BIGINT)), ('sofacy group', 100001), ('Hidden Cobra', 100004), ('Dark Halo', 100003), (NULL, 100002)) AS v(alias, id) UNION ALL SELECT concat('the ', name), id FROM {known_names} WHERE id % 7 = 0",
+    "mentioned_names": """SELECT name, CASE WHEN id % 4 = 0 THEN NULL ELSE type END AS type FROM {known_names} WHERE id % 5 = 0 UNION ALL SELECT concat(substr(name, 1, 2), substr(name, 4)), NULL FROM {known_names} WHERE id % 3 = 0 UNION ALL SELECT concat(' The ', upper(name)), type FROM {known_names} WHERE id % 11 = 0 UNION ALL SELECT concat(split_part(name, ' ', 2), ' ', split_part(name, ' ', 1)), type FROM {known_names} WHERE id % 2 = 0
+      UNION ALL SELECT * FROM (VALUES ('apt28', 'group'), ('APT-28', NULL), ('FIN 7', 'group'), ('fin-8', 'group'), ('fancy bear', NULL), ('fancy baer', NULL), ('Lazarus', 'group'), ('lazarus groop', 'group'), ('', NULL), (NULL, 'tool'), ('unc2452', 'tool')) AS v(name, type)""",
+    "alias_links": "SELECT concat('n', CAST(p_partkey AS VARCHAR(20))) AS alias, concat('n', CAST(CASE WHEN p_partkey % 250 = 0 THEN p_partkey + 249 WHEN p_partkey < 1000 THEN p_partkey - 1 ELSE CAST(floor(p_partkey / 3) AS BIGINT) END AS VARCHAR(20))) AS target FROM {part} WHERE p_partkey NOT IN (500, 77)",
+    "quoted_mentions": """SELECT name, 'actor' AS type, CAST(60 + id % 30 AS BIGINT) AS confidence, CASE id % 6 WHEN 0 THEN concat('The ', name, ', also known as Name', CAST(id AS VARCHAR(9)), '. It') WHEN 1 THEN concat(name, ' (aka Name', CAST(id - 1 AS VARCHAR(9)), ')') WHEN 2 THEN '' ELSE concat('quote ', CAST(id % 40 AS VARCHAR(9)), ' on ', name) END AS quote FROM {known_names} WHERE id < 100000
+      UNION ALL SELECT concat('name', CAST(id AS VARCHAR(9))), 'actor', CAST(50 AS BIGINT), concat('NAME', CAST(id AS VARCHAR(9)), ' was seen') FROM {known_names} WHERE id < 2000 UNION ALL SELECT * FROM (VALUES ('A1x', 'actor', CAST(70 AS BIGINT), 'A1x, also known as B1x.'), ('B1x', 'actor', 95, 'B1x, also known as A1x.'), (' ', 'actor', 1, 'x')) AS v(name, type, confidence, quote)""",
+    "grouped_names": "SELECT CAST(label AS VARCHAR(9)) AS grp, name, CAST(c AS DOUBLE) AS confidence, CAST(k AS VARCHAR(9)) AS family FROM (SELECT id % 5 AS label, name, id % 90 AS c, id % 4 AS k FROM {known_names} UNION ALL SELECT id % 5, concat(name, 's'), id % 70, 9 FROM {known_names} UNION ALL SELECT id % 5, concat(substr(name, 1, 3), substr(name, 5)), id % 50, id % 3 FROM {known_names}) AS t",
     "embedded": "SELECT vec_id, embedding, label FROM {embeddings}",
     "words": "SELECT item_id, text FROM {benchmark}",
 }

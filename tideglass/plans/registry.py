@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideglass.functions.sqlop import Op
-from tideglass.operators import clustering, cooccurrence, coverage, extraction, flows, graph, monitoring, review, search, sequences, simulation
+from tideglass.operators import clustering, cooccurrence, coverage, extraction, flows, graph, matching, monitoring, names, review, search, sequences, simulation, state, textindex
 from tideglass.plans import bindings
 from tideglass.streaming import windows
 
-MODULES = (cooccurrence, clustering, coverage, sequences, simulation, flows, search, graph, monitoring, review, extraction, windows)
+MODULES = (cooccurrence, clustering, coverage, sequences, simulation, flows, search, graph, monitoring, review, extraction, matching, names, state, textindex, windows)
 
 
 def _run(op: Op) -> Callable[[SparkSession, str], DataFrame]:
