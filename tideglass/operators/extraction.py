@@ -28,7 +28,16 @@ OPS = {
     "m10_calibration": Op("Calibrated confidence from quotes, consensus and evidence.", f"WITH {_CLAIMS}, v AS (SELECT doc, technique, count(*) AS quotes, count(DISTINCT chunk) AS consensus, max(confidence) AS base FROM claims GROUP BY doc, technique) SELECT doc, technique, CAST(greatest(10, least(100, base + (CASE WHEN quotes >= 3 THEN 15 WHEN quotes = 2 THEN 10 ELSE 5 END) + least(consensus - 1, 3) * 5)) AS BIGINT) AS confidence FROM v"),
     "m11_consolidation": Op("Claims by technique: base of at least 50, boosted by chunks or repeats.", f"WITH {_CLAIMS}, g AS (SELECT doc, technique, max(confidence) AS base, count(DISTINCT chunk) AS chunks, count(*) AS n FROM claims GROUP BY doc, technique) SELECT doc, technique, CAST(least(100, greatest(base, 50) + CASE WHEN chunks > 1 THEN least(20, 5 * chunks) WHEN n > 1 THEN least(10, 3 * n) ELSE 0 END) AS BIGINT) AS confidence FROM g"),
     "m12_exact_evidence": Op("Evidence that is equal but for case and space.", "SELECT replace(lower(trim(text)), ' ', '') AS norm, min(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS n FROM {documents} GROUP BY replace(lower(trim(text)), ' ', '')"),
-    "m14_candidate_scores": Op("Weighted candidate scores with a tactic bonus, above a threshold.", "SELECT technique, CAST(score AS BIGINT) AS score FROM (SELECT technique, round(60.0 * ((technique * 37) % 100) / 100 + 15 * (CASE WHEN contains(name, '1') THEN 1 ELSE 0 END) + 10 * (CASE WHEN is_sub THEN 1 ELSE 0 END)) + (CASE WHEN tactic = 'LARGE' THEN 6 ELSE 0 END) AS score FROM {techniques}) AS s WHERE score >= :least", least=50),
+    "m14_candidate_scores": Op(
+        "Candidates (technique, similarity, keyword_match, is_sub, tactic) by weights, with a bonus for a wanted tactic; those of at least a score.",
+        "SELECT technique, CAST(score AS BIGINT) AS score FROM (SELECT technique, round(:by_similarity * similarity + CASE WHEN keyword_match THEN :by_keyword ELSE 0 END + CASE WHEN is_sub THEN :by_sub ELSE 0 END) + CASE WHEN tactic = :tactic THEN :bonus ELSE 0 END AS score FROM {scored_candidates}) AS s WHERE score >= :least",
+        by_similarity=60.0,
+        by_keyword=15,
+        by_sub=10,
+        bonus=6,
+        tactic="LARGE",
+        least=50,
+    ).against("SELECT technique, s::BIGINT AS score FROM (SELECT technique, round(list_sum([:by_similarity * similarity, :by_keyword * ifnull(keyword_match, FALSE)::INT, :by_sub * ifnull(is_sub, FALSE)::INT])) + :bonus * (tactic IS NOT DISTINCT FROM :tactic)::INT AS s FROM {scored_candidates}) WHERE s >= :least"),
     "m16_accumulator": Op("Highest confidence seen so far for each technique as chunks arrive.", f"WITH {_CLAIMS} SELECT doc, technique, chunk, CAST(max(confidence) AS BIGINT) AS best_so_far FROM (SELECT doc, technique, chunk, max(confidence) OVER (PARTITION BY doc, technique ORDER BY chunk RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS confidence FROM claims) AS r GROUP BY doc, technique, chunk"),
     "m18_entity_groups": Op("Entities by name and type, boosted by mentions and chunks.", f"WITH {_ENTITIES} SELECT name, type, CAST(least(100, max(confidence) + least(20, 5 * count(*))) AS BIGINT) AS confidence, CAST(count(DISTINCT chunk) AS BIGINT) AS chunks FROM ents GROUP BY name, type"),
     "p02_span_chunks": Op("Every chunk that a span overlaps: a range join within the document, of a span and the chunks at, before and after its start.", f"WITH {_CHUNKS}, {_SPANS}, near AS (SELECT s.*, CAST(floor(s_start / 500) AS BIGINT) + d.i AS chunk_no FROM spans AS s CROSS JOIN (VALUES (-1), (0), (1)) AS d(i)) SELECT s.doc_id, s.span_no, c.chunk_no FROM near AS s JOIN chunks AS c ON s.doc_id = c.doc_id AND s.chunk_no = c.chunk_no AND s.s_start < c.c_end AND s.s_end > c.c_start"),

@@ -204,9 +204,32 @@ def suggest_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return best.join(there, ["episode", "wanted"], "left_anti").select("episode", F.col("wanted").alias("technique"), "triggered_by")
 
 
+def expand(queries: DataFrame, groups: DataFrame) -> DataFrame:
+    """Queries (item_id, text) with the synonyms of the groups (word, synonym) whose words they mention: item_id, synonym."""
+    hits = match_phrases(queries, groups.select(F.lower("word").alias("phrase")), "item_id").select("item_id", F.col("phrase").alias("low"))
+    return hits.join(groups.select(F.lower("word").alias("low"), "synonym").distinct(), "low").select("item_id", "synonym").distinct()
+
+
+def error_classes(messages: DataFrame, rules: DataFrame, other: str = "other") -> DataFrame:
+    """Validation messages (message_id, text) by class: the first rule (ord, phrase, class) that a message holds decides,
+    without case: class, n."""
+    hits = match_phrases(messages, rules.select(F.lower("phrase").alias("phrase")), "message_id").select("message_id", F.col("phrase").alias("low"))
+    best = hits.join(rules.select(F.lower("phrase").alias("low"), "class", "ord"), "low").groupBy("message_id").agg(F.min_by("class", F.struct("ord", "class")).alias("class"))
+    total = messages.agg(F.count(F.lit(1)).alias("n"))
+    known = best.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    rest = total.join(known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("k"))).select(F.lit(other).alias("class"), (F.col("n") - F.col("k")).alias("n"))
+    return known.unionByName(rest).groupBy("class").agg(F.sum("n").cast("bigint").alias("n")).where("n > 0")
+
+
 _PLAIN = r"regexp_replace(trim(regexp_replace(replace(regexp_replace(lower(phrase), '[-_/\\]+', ' ', 'g'), chr(39), ''), '\s+', ' ', 'g')), '^$', phrase)"
 _HINTS = f"h AS (SELECT *, {_PLAIN} AS plain FROM phrase_hints), m AS (SELECT doc_id, ord, kind, phrase, technique FROM documents, h WHERE strpos(lower(text), lower(phrase)) > 0 OR kind = 'phrase' AND strpos(lower(text), plain) > 0)"
 FUNCTIONS = {
+    "g03_query_expansion": (expand, ["benchmark", "synonym_groups"], "SELECT DISTINCT item_id, synonym FROM benchmark JOIN synonym_groups ON strpos(lower(text), lower(word)) > 0"),
+    "k12_errors": (
+        error_classes,
+        ["validation_messages", "error_rules"],
+        "SELECT class, count(*) AS n FROM (SELECT message_id, coalesce((SELECT arg_min(class, (ord, class)) FROM error_rules WHERE strpos(lower(text), lower(phrase)) > 0), 'other') AS class FROM validation_messages) GROUP BY class",
+    ),
     "m15_phrases": (lambda d, h: hints(d, h).select("doc_id", "kind", "phrase", "technique"), ["documents", "phrase_hints"], f"WITH {_HINTS} SELECT DISTINCT doc_id, kind, phrase, technique FROM m"),
     "m15_phrase_hits": (
         lambda d, h: match_phrases(d, h).select("doc_id", "phrase", "whole", "cased", "n", "at"),

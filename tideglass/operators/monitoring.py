@@ -5,7 +5,6 @@ from tideglass.sources.stix import RELATIONSHIPS
 
 _ASOF = "2024-01-31 00:00:00"
 _SPLIT = "CAST(:as_of AS TIMESTAMP)"
-_ERR = "CASE WHEN contains(lower(text), 'the') THEN 'schema' WHEN contains(lower(text), 'und') THEN 'reference' ELSE 'other' END"
 _SPEC = "CASE WHEN coalesce(spec_version, '2.1') <> '2.1' THEN 1 ELSE 0 END"
 _REL = f"CASE WHEN type = 'relationship' AND relationship_type NOT IN ({', '.join(repr(r) for r in RELATIONSHIPS)}) THEN 1 ELSE 0 END"
 
@@ -47,7 +46,6 @@ OPS = {
         most=1000,
     ),
     "k11_counters": Op("Calls, errors and mean size by endpoint.", "SELECT event_type, CAST(count(*) AS BIGINT) AS calls, round(avg(CASE WHEN value < 5 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS error_rate, round(avg(value), 6) AS avg_value FROM {events} GROUP BY event_type"),
-    "k12_errors": Op("Validation errors by class, the first matching rule wins.", f"SELECT {_ERR} AS class, CAST(count(*) AS BIGINT) AS n FROM {{documents}} GROUP BY {_ERR}"),
     "k13_compliance": Op(
         "Compliance report: a point each for a compliance rate of 95 %, no wrong spec version, no unknown relationship, 70 % of techniques detected, and at most 20 % of decisions that reject.",
         f"""WITH v AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum({_SPEC}) AS spec, sum({_REL}) AS rel, sum(greatest({_SPEC}, {_REL})) AS bad FROM {{stix_objects}}),

@@ -8,7 +8,9 @@ _AT = "CAST(:as_of AS TIMESTAMP)"
 OPS = {
     "l01_auto_approval": Op("Status that a new candidate gets from its confidence.", "SELECT candidate, CASE WHEN confidence >= :threshold THEN 'auto_approved' ELSE 'pending' END AS status FROM {candidates}", threshold=95),
     "l02_queue": Op("A page of the queue, newest first.", "SELECT candidate, type, confidence FROM {candidates} WHERE status = :status AND confidence >= :least ORDER BY created DESC, candidate LIMIT :top OFFSET :skip", status="pending", least=50, top=50, skip=20),
-    "l03_decisions": Op("Candidates after a batch of decisions.", "SELECT c.candidate, coalesce(d.decision, c.status, 'pending') AS status FROM {candidates} AS c LEFT JOIN (SELECT candidate, CASE WHEN confidence >= 60 THEN 'approved' ELSE 'rejected' END AS decision FROM {candidates} WHERE candidate % 10 = 3) AS d ON c.candidate = d.candidate"),
+    "l03_decisions": Op("Candidates after a batch of decisions (candidate, decision).", "SELECT c.candidate, coalesce(d.decision, c.status, 'pending') AS status FROM {candidates} AS c LEFT JOIN {decisions} AS d ON c.candidate = d.candidate").against(
+        "SELECT candidate, decision AS status FROM {decisions} SEMI JOIN {candidates} USING (candidate) UNION ALL SELECT candidate, ifnull(status, 'pending') FROM {candidates} ANTI JOIN {decisions} USING (candidate)"
+    ),
     "l04_queue_statistics": Op("Count and confidence by status, and the last day's arrivals.", f"SELECT coalesce(status, 'pending') AS status, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 4) AS avg_confidence, min(confidence) AS least, max(confidence) AS most, CAST(sum(CASE WHEN created >= {_AT} - INTERVAL 24 HOUR THEN 1 ELSE 0 END) AS BIGINT) AS last_day FROM {{candidates}} GROUP BY coalesce(status, 'pending')", as_of=_ASOF),
     "l05_similar_patterns": Op(
         "Techniques like a candidate's first word, by where the word is. The ten lowest ids are scored, as SURVEY L5 has it; with most NULL, all.",
@@ -21,7 +23,9 @@ OPS = {
     "l07_archive": Op("Old candidates by status that an archive run takes.", f"SELECT candidate FROM {{candidates}} WHERE created < {_AT} - INTERVAL 20 DAY AND status = :status", as_of=_ASOF, status="rejected"),
     "l08_latest_decision": Op("Newest decision on each object.", "SELECT user_id AS object_id, event_type AS decision, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) AS r WHERE rn = 1"),
     "l09_review_counts": Op("Decisions by report and action.", "SELECT user_id AS report_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS approved, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS edited, CAST(count(*) AS BIGINT) AS total FROM {events} GROUP BY user_id"),
-    "l10_entity_review": Op("Entities after review: rejected ones go, edited confidences replace.", "SELECT c.candidate, coalesce(e.adjusted, c.confidence) AS confidence FROM {candidates} AS c LEFT JOIN (SELECT candidate, CAST(50 AS DOUBLE) AS adjusted FROM {candidates} WHERE candidate % 7 = 0) AS e ON c.candidate = e.candidate WHERE coalesce(c.status, 'pending') <> 'rejected'"),
+    "l10_entity_review": Op("Entities after review: rejected ones go, edited confidences (candidate, adjusted) replace.", "SELECT c.candidate, coalesce(e.adjusted, c.confidence) AS confidence FROM {candidates} AS c LEFT JOIN {entity_edits} AS e ON c.candidate = e.candidate WHERE coalesce(c.status, 'pending') <> 'rejected'").against(
+        "SELECT candidate, coalesce((SELECT adjusted FROM {entity_edits} AS e WHERE e.candidate = c.candidate), confidence) AS confidence FROM {candidates} AS c WHERE status IS DISTINCT FROM 'rejected'"
+    ),
     "l11_feedback": Op("Feedback rows by kind with their score.", "SELECT event_id AS feedback_id, user_id AS analyst, CASE WHEN value < 20 THEN 'correction' WHEN value < 60 THEN 'relevance' ELSE 'quality' END AS kind, round(value / 20, 4) AS score FROM {events}"),
     "l12_feedback_days": Op("Feedback by day over the last week.", f"SELECT CAST(created AS DATE) AS day, CAST(count(*) AS BIGINT) AS n FROM {{candidates}} WHERE created >= {_AT} - INTERVAL 7 DAY GROUP BY CAST(created AS DATE)", as_of=_ASOF),
     "l12_contributors": Op("Ten busiest contributors.", "SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM {events} WHERE user_id <> 0 GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10"),
@@ -32,9 +36,10 @@ OPS = {
     "l18_timeline": Op("Objects of a trace in order.", "SELECT user_id AS trace, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS step FROM {events}"),
     "l19_sources": Op("Registered sources by content hash: first id and number of copies.", "SELECT md5(text) AS content_hash, CAST(min(doc_id) AS BIGINT) AS source_id, CAST(count(*) AS BIGINT) AS copies FROM {documents} GROUP BY md5(text)"),
     "l20_report_list": Op("A page of reports of a status, with or without campaign.", "SELECT report_id, source FROM {reports} WHERE status = :status AND campaign IS NOT NULL ORDER BY ingested DESC, report_id LIMIT :top OFFSET :skip", status="completed", top=20, skip=10),
-    "l21_report_search": Op("Reports by the best of weighted fields.", "SELECT report_id, CAST(greatest(CASE WHEN contains(lower(source), :word) THEN 3 ELSE 0 END, CASE WHEN contains(lower(text), :word) THEN 2 ELSE 0 END, CASE WHEN contains(lang, :word) THEN 1 ELSE 0 END) AS BIGINT) AS score FROM {reports} WHERE contains(lower(source), :word) OR contains(lower(text), :word) OR contains(lang, :word) ORDER BY score DESC, report_id LIMIT :top", word="src1", top=25),
     "l22_report_statistics": Op("Reports by status, campaigns, last week and averages.", f"SELECT status, CAST(count(*) AS BIGINT) AS n, CAST(count(campaign) AS BIGINT) AS with_campaign, CAST(sum(CASE WHEN ingested >= {_AT} - INTERVAL 7 DAY THEN 1 ELSE 0 END) AS BIGINT) AS last_week, round(avg(coalesce(n_chars, 0)), 4) AS avg_chars FROM {{reports}} GROUP BY status", as_of="2024-02-20 00:00:00"),
-    "l23_flow_dump": Op("Flows of reports in a time range, newest first.", "SELECT flow, report_id, created FROM {flow_reports} WHERE created >= TIMESTAMP '1995-01-01 00:00:00' AND created < TIMESTAMP '1996-01-01 00:00:00'"),
+    "l23_flow_dump": Op("Flows of reports in a time range, its end left out.", "SELECT flow, report_id, created FROM {flow_reports} WHERE created >= CAST(:since AS TIMESTAMP) AND created < CAST(:until AS TIMESTAMP)", since="1995-01-01 00:00:00", until="1996-01-01 00:00:00").against(
+        "SELECT flow, report_id, created FROM {flow_reports} WHERE NOT (created < CAST(:since AS TIMESTAMP) OR created >= CAST(:until AS TIMESTAMP))"
+    ),
     "l24_flow_filters": Op("Flows of a kind that have a technique of a family.", "SELECT DISTINCT f.flow FROM {flow_reports} AS f JOIN {et} AS e ON f.flow = e.episode WHERE f.status = :status AND e.technique LIKE :suffix", status="O", suffix="%#23"),
     "l25_flow_list": Op("A page of flows, newest first.", "SELECT flow, status FROM {flow_reports} ORDER BY created DESC, flow LIMIT :top OFFSET :skip", top=20, skip=40),
     "l26_flow_overlap": Op(
@@ -47,9 +52,13 @@ OPS = {
     ).against("""WITH f AS (SELECT episode, list(technique) AS ts FROM {et} GROUP BY episode), q AS (SELECT ts AS wanted FROM f WHERE episode = :flow), c AS (SELECT episode, len(list_intersect(ts, wanted)) AS s, len(ts) AS n, len(wanted) AS k FROM f, q WHERE episode <> :flow)
         SELECT episode, round(s / k::DOUBLE, 6) AS overlap, round(s / (sqrt(k) * sqrt(n)), 6) AS cosine FROM c WHERE s > 0 AND s / (sqrt(k) * sqrt(n)) >= :least"""),
     "l27_describes": Op("Edges from reports to what they describe, without repeats.", "SELECT DISTINCT report, object FROM {described}"),
-    "l28_campaign_merge": Op("Edges of campaigns after several are merged into one.", "SELECT DISTINCT CASE WHEN actor IN ('NATION_1', 'NATION_2', 'NATION_3') THEN 'NATION_0' ELSE actor END AS campaign, technique FROM {uses}"),
+    "l28_campaign_merge": Op("Edges of campaigns after several are merged (campaign, merged).", "SELECT DISTINCT coalesce(m.merged, u.actor) AS campaign, u.technique FROM {uses} AS u LEFT JOIN {campaign_merges} AS m ON u.actor = m.campaign").against(
+        "SELECT m.merged AS campaign, technique FROM {uses} JOIN {campaign_merges} AS m ON actor = campaign UNION SELECT actor, technique FROM {uses} WHERE actor NOT IN (SELECT campaign FROM {campaign_merges})"
+    ),
     "l29_flow_nodes": Op("Nodes and edges of normalised flows.", "SELECT episode, CAST(count(*) AS BIGINT) AS nodes, CAST(count(*) - 1 AS BIGINT) AS edges FROM {actions} GROUP BY episode"),
-    "l32_scenario_starts": Op("Start techniques by any of several routes.", "SELECT technique FROM {techniques} WHERE family = 'Brand#11' UNION SELECT technique FROM {uses} WHERE actor = 'NATION_5' UNION SELECT technique FROM {mitigates} WHERE mitigation = 7"),
+    "l32_scenario_starts": Op("Start techniques by any of several routes: a family, what an actor uses, what a mitigation is for.", "SELECT technique FROM {techniques} WHERE family = :family UNION SELECT technique FROM {uses} WHERE actor = :actor UNION SELECT technique FROM {mitigates} WHERE mitigation = :mitigation", family="Brand#11", actor="NATION_5", mitigation=7).against(
+        "SELECT technique FROM {techniques} WHERE family = :family OR technique IN (SELECT technique FROM {uses} WHERE actor = :actor) OR technique IN (SELECT technique FROM {mitigates} WHERE mitigation = :mitigation)"
+    ),
     "p01_attribution": Op(
         "The ten actors of each flow that use most of its techniques, with a confidence of fifteen for each one, at most 95.",
         """WITH o AS (SELECT f.episode AS flow, u.actor, count(*) AS overlap FROM {part_use} AS f JOIN {uses} AS u ON f.technique = u.technique GROUP BY f.episode, u.actor),
@@ -58,14 +67,22 @@ OPS = {
         top=10,
     ).against("""WITH t AS (SELECT technique, list(DISTINCT actor) AS actors FROM {uses} GROUP BY technique), f AS (SELECT episode AS flow, unnest(actors) AS actor FROM {part_use} AS p JOIN t USING (technique)), o AS (SELECT flow, actor, count(*)::BIGINT AS overlap FROM f GROUP BY flow, actor)
         SELECT flow, actor, overlap, least(95, 15 * overlap)::BIGINT AS confidence FROM o QUALIFY row_number() OVER (PARTITION BY flow ORDER BY overlap DESC, actor) <= :top"""),
-    "p13_campaign_span": Op("First and last sight of merged campaigns.", "SELECT CASE WHEN actor IN ('NATION_1', 'NATION_2') THEN 'NATION_0' ELSE actor END AS campaign, min(f.created) AS first_seen, max(f.created) AS last_seen FROM {attribution} AS a JOIN {flow_reports} AS f ON a.episode = f.flow GROUP BY CASE WHEN actor IN ('NATION_1', 'NATION_2') THEN 'NATION_0' ELSE actor END"),
-    "p14_campaign_list": Op("Campaigns that are not provisional, with techniques and actors.", "SELECT a.actor AS campaign, CAST(count(DISTINCT e.technique) AS BIGINT) AS techniques, CAST(count(DISTINCT a.episode) AS BIGINT) AS flows FROM {attribution} AS a LEFT JOIN {et} AS e ON a.episode = e.episode WHERE a.actor <> 'NATION_7' GROUP BY a.actor"),
-    "p15_report_list": Op("Reports without a provisional campaign, with their number of entities.", "SELECT r.report_id, CAST(length(r.text) - length(replace(r.text, ' ', '')) AS BIGINT) AS entities FROM {reports} AS r WHERE NOT EXISTS (SELECT 1 FROM {reports} AS p WHERE p.report_id = r.report_id AND p.campaign = 'c3')"),
+    "p13_campaign_span": Op("First and last sight of campaigns, merged ones (campaign, merged) as one.", "SELECT coalesce(m.merged, a.actor) AS campaign, min(f.created) AS first_seen, max(f.created) AS last_seen FROM {attribution} AS a JOIN {flow_reports} AS f ON a.episode = f.flow LEFT JOIN {campaign_merges} AS m ON a.actor = m.campaign GROUP BY coalesce(m.merged, a.actor)").against(
+        "WITH s AS (SELECT actor, min(created) AS a, max(created) AS b FROM {attribution} JOIN {flow_reports} ON episode = flow GROUP BY actor), n AS (SELECT ifnull((SELECT m.merged FROM {campaign_merges} AS m WHERE m.campaign = actor), actor) AS campaign, a, b FROM s) SELECT campaign, min(a) AS first_seen, max(b) AS last_seen FROM n GROUP BY campaign"
+    ),
+    "p14_campaign_list": Op("Campaigns that are not provisional (campaign), with techniques and flows.", "SELECT a.actor AS campaign, CAST(count(DISTINCT e.technique) AS BIGINT) AS techniques, CAST(count(DISTINCT a.episode) AS BIGINT) AS flows FROM {attribution} AS a LEFT ANTI JOIN {provisional} AS p ON a.actor = p.campaign LEFT JOIN {et} AS e ON a.episode = e.episode GROUP BY a.actor").against(
+        "WITH k AS (SELECT actor, episode FROM {attribution} WHERE actor NOT IN (SELECT campaign FROM {provisional})) SELECT actor AS campaign, len(list(DISTINCT technique) FILTER (technique IS NOT NULL)) AS techniques, len(list(DISTINCT k.episode)) AS flows FROM k LEFT JOIN {et} AS e ON e.episode = k.episode GROUP BY actor"
+    ),
+    "p15_report_list": Op("Reports without a provisional campaign (campaign), with how many entities (report_id, entity) each has.", "SELECT r.report_id, CAST(count(DISTINCT e.entity) AS BIGINT) AS entities FROM {reports} AS r LEFT ANTI JOIN {provisional} AS p ON r.campaign = p.campaign LEFT JOIN {report_entities} AS e ON r.report_id = e.report_id GROUP BY r.report_id").against(
+        "SELECT report_id, (SELECT count(DISTINCT entity) FROM {report_entities} AS e WHERE e.report_id = r.report_id) AS entities FROM {reports} AS r WHERE campaign IS NULL OR campaign NOT IN (SELECT campaign FROM {provisional})"
+    ),
     "p16_report_objects": Op("What each report describes, by type.", "SELECT d.report, CAST(count(DISTINCT CASE WHEN t.is_sub THEN d.object END) AS BIGINT) AS subs, CAST(count(DISTINCT CASE WHEN NOT t.is_sub THEN d.object END) AS BIGINT) AS parents FROM {described} AS d JOIN {techniques} AS t ON d.object = t.technique GROUP BY d.report"),
     "p24_evidence": Op("Best evidence of each technique.", "SELECT technique, episode, action_id FROM (SELECT *, row_number() OVER (PARTITION BY technique ORDER BY coalesce(confidence, 0) DESC, ts DESC, episode, action_id) AS rn FROM {actions}) AS r WHERE rn <= :top", top=5),
     "p28_provenance_confidence": Op("Weighted confidence: sources ranked by strength count 1 / rank.", "WITH w AS (SELECT technique, coalesce(confidence, 0) * (CASE WHEN ord = 1 THEN 1.0 WHEN ord = 2 THEN 0.9 WHEN ord = 3 THEN 0.7 ELSE 0.5 END) AS c, episode, action_id FROM {actions}), r AS (SELECT technique, c, row_number() OVER (PARTITION BY technique ORDER BY c DESC, episode, action_id) AS rn FROM w) SELECT technique, round(least(100.0, sum(c / rn) / sum(1.0 / rn)), 4) AS confidence FROM r GROUP BY technique"),
     "p29_confidence_histogram": Op("Actions by quarter of confidence.", "SELECT CASE WHEN confidence <= 25 THEN '0-25' WHEN confidence <= 50 THEN '25-50' WHEN confidence <= 75 THEN '50-75' ELSE '75-100' END AS bin, CAST(count(*) AS BIGINT) AS n FROM {actions} GROUP BY CASE WHEN confidence <= 25 THEN '0-25' WHEN confidence <= 50 THEN '25-50' WHEN confidence <= 75 THEN '50-75' ELSE '75-100' END"),
-    "p38_review_applied": Op("Items after review: status set, confidence replaced.", "SELECT a.episode, a.action_id, CASE WHEN a.action_id % 3 = 0 THEN 'rejected' WHEN d.c IS NOT NULL THEN 'edited' ELSE 'approved' END AS status, coalesce(d.c, a.confidence) AS confidence FROM {actions} AS a LEFT JOIN (SELECT episode, action_id, CAST(75 AS DOUBLE) AS c FROM {actions} WHERE ord = 4) AS d ON a.episode = d.episode AND a.action_id = d.action_id"),
+    "p38_review_applied": Op("Items after review: status of their decision (episode, action_id, status, confidence), edited confidences replace; without a decision they are approved.", "SELECT a.episode, a.action_id, coalesce(d.status, 'approved') AS status, coalesce(d.confidence, a.confidence) AS confidence FROM {actions} AS a LEFT JOIN {action_reviews} AS d ON a.episode = d.episode AND a.action_id = d.action_id").against(
+        "SELECT episode, action_id, ifnull(d.status, 'approved') AS status, CASE WHEN d.confidence IS NULL THEN a.confidence ELSE d.confidence END AS confidence FROM {action_reviews} AS d RIGHT JOIN {actions} AS a USING (episode, action_id)"
+    ),
     "p39_change_preview": Op("Nodes that a review would create or link.", "SELECT CAST(sum(CASE WHEN d.technique IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS to_create, CAST(sum(CASE WHEN d.technique IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS to_link, CAST(count(*) AS BIGINT) AS edges FROM (SELECT DISTINCT technique FROM {uses}) AS u LEFT JOIN (SELECT DISTINCT technique FROM {detects}) AS d ON u.technique = d.technique"),
     "p40_duplicate_results": Op("Of duplicate job results the one with most techniques, the earliest of equals.", "SELECT job, result, techniques FROM (SELECT report_id AS job, flow AS result, n AS techniques, row_number() OVER (PARTITION BY report_id ORDER BY n DESC, created, flow) AS rn FROM {flow_reports} AS f JOIN (SELECT episode, CAST(count(*) AS BIGINT) AS n FROM {et} GROUP BY episode) AS c ON f.flow = c.episode) AS r WHERE rn = 1"),
 }

@@ -17,7 +17,6 @@ from tideglass.sources.rules import match_keywords
 _KEYWORD = "kw AS (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), :word, ''))) / length(:word) AS hits FROM {documents} WHERE contains(lower(text), :word)), kr AS (SELECT doc_id, row_number() OVER (ORDER BY hits DESC, doc_id) AS rank FROM kw)"
 
 OPS = {
-    "g03_query_expansion": Op("Queries with the synonyms of the groups that they mention.", "SELECT item_id, g.synonym FROM {benchmark} AS b JOIN (VALUES ('the', 'article'), ('and', 'conjunction'), ('tion', 'suffix'), ('that', 'pronoun')) AS g(word, synonym) ON contains(lower(b.text), g.word)"),
     "g04_keyword_search": Op("Documents by a word with reciprocal-rank scores.", f"WITH {_KEYWORD} SELECT doc_id, round(1.0 / rank, 6) AS score FROM kr WHERE rank <= :top", word="tion", top=50),
     "g05_rank_fusion": Op(
         "Weighted reciprocal-rank fusion of a keyword list and a length list, best rank of each id in each list.",
@@ -27,7 +26,9 @@ OPS = {
     ),
     "g06_context": Op("Up to five neighbours of each technique over two kinds of edge, revoked ones left out.", "SELECT technique, kind, other FROM (SELECT u.technique, kind, other, row_number() OVER (PARTITION BY u.technique ORDER BY kind, other) AS rn FROM (SELECT technique, 'detects' AS kind, strategy AS other FROM {detects} UNION ALL SELECT technique, 'mitigates', mitigation FROM {mitigates}) AS u JOIN {techniques} AS t ON u.technique = t.technique WHERE NOT coalesce(t.revoked, FALSE)) AS r WHERE rn <= :top", top=5),
     "g07_filtered_search": Op("Hits above a score in a phase; the two best of all if none is.", f"WITH {_KEYWORD}, s AS (SELECT kr.doc_id, d.lang, 1.0 / rank AS score, rank FROM kr JOIN {{documents}} AS d ON kr.doc_id = d.doc_id), hit AS (SELECT * FROM s WHERE score >= :least AND lang = :phase), n AS (SELECT count(*) AS n FROM hit) SELECT doc_id, round(score, 6) AS score FROM hit UNION ALL SELECT doc_id, round(score, 6) FROM s CROSS JOIN n WHERE n.n = 0 AND rank <= 2", word="tion", least=0.1, phase="en"),
-    "g08_context_rerank": Op("Scores raised for sub-techniques of found parents and for usual companions.", "WITH s AS (SELECT technique, family, is_sub, 1.0 / (1 + technique % 50) AS score FROM {techniques}) SELECT technique, round(score * (CASE WHEN is_sub AND family IN :found THEN 1.3 ELSE 1.0 END) * (CASE WHEN family IN :related THEN 1.2 ELSE 1.0 END), 6) AS score FROM s", found=["Brand#11", "Brand#23"], related=["Brand#12", "Brand#34"]),
+    "g08_context_rerank": Op("Scores (technique, family, is_sub, score) raised for sub-techniques of found parents and for usual companions.", "SELECT technique, round(score * (CASE WHEN is_sub AND family IN :found THEN 1.3 ELSE 1.0 END) * (CASE WHEN family IN :related THEN 1.2 ELSE 1.0 END), 6) AS score FROM {scored_hits}", found=["Brand#11", "Brand#13"], related=["Brand#12", "Brand#4"]).against(
+        "SELECT technique, round(score * list_product([1.0::DOUBLE, CASE WHEN is_sub AND list_contains(['Brand#11', 'Brand#13'], family) THEN 1.3 END, CASE WHEN list_contains(['Brand#12', 'Brand#4'], family) THEN 1.2 END]), 6) AS score FROM {scored_hits}"
+    ),
     "g09_missing_phases": Op(
         "Phases that an episode of two phases or more lacks: initial access always, persistence after execution, exfiltration after collection, command and control from four phases; with the lowest techniques of each.",
         """WITH c AS (SELECT episode, collect_set(k.tactic) AS phases FROM {et} AS e JOIN {kill_chain} AS k ON e.technique = k.technique GROUP BY episode),
@@ -343,7 +344,7 @@ FUNCTIONS = {
     "g01_knn": (knn, ["embeddings"], _KNN.replace("{extra}", "") + "SELECT query, neighbour, rank, score FROM r WHERE rank <= 10"),
     "g01_knn_indexed": (knn_indexed, ["embeddings"], None),
     "g02_knn_filtered": (lambda e: knn(e, label_filter=True), ["embeddings"], _KNN.replace("{extra}", ", q.label = e.label AS same") + ", f AS (SELECT query, neighbour, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS rank FROM r WHERE rank <= 30 AND same) SELECT * FROM f WHERE rank <= 10"),
-    "g10_embedding": (lambda d: embed(d.select("doc_id", "text"), hashed_encoder()).select("doc_id", F.round(F.col("embedding")[0], 6).alias("first"), F.size("embedding").cast("bigint").alias("n")), ["documents"], None),
+    "g10_embedding": (lambda d: embed(d.select("doc_id", "text"), hashed_encoder()).select("doc_id", "embedding"), ["documents"], None),
     "g13_keyword_match": (
         match_keywords,
         ["documents", "keyword_index"],

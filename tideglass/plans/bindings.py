@@ -80,6 +80,22 @@ VIEWS = {
     "quoted_mentions": """SELECT name, 'actor' AS type, CAST(60 + id % 30 AS BIGINT) AS confidence, CASE id % 6 WHEN 0 THEN concat('The ', name, ', also known as Name', CAST(id AS VARCHAR(9)), '. It') WHEN 1 THEN concat(name, ' (aka Name', CAST(id - 1 AS VARCHAR(9)), ')') WHEN 2 THEN '' ELSE concat('quote ', CAST(id % 40 AS VARCHAR(9)), ' on ', name) END AS quote FROM {known_names} WHERE id < 100000
       UNION ALL SELECT concat('name', CAST(id AS VARCHAR(9))), 'actor', CAST(50 AS BIGINT), concat('NAME', CAST(id AS VARCHAR(9)), ' was seen') FROM {known_names} WHERE id < 2000 UNION ALL SELECT * FROM (VALUES ('A1x', 'actor', CAST(70 AS BIGINT), 'A1x, also known as B1x.'), ('B1x', 'actor', 95, 'B1x, also known as A1x.'), (' ', 'actor', 1, 'x')) AS v(name, type, confidence, quote)""",
     "grouped_names": "SELECT CAST(label AS VARCHAR(9)) AS grp, name, CAST(c AS DOUBLE) AS confidence, CAST(k AS VARCHAR(9)) AS family FROM (SELECT id % 5 AS label, name, id % 90 AS c, id % 4 AS k FROM {known_names} UNION ALL SELECT id % 5, concat(name, 's'), id % 70, 9 FROM {known_names} UNION ALL SELECT id % 5, concat(substr(name, 1, 3), substr(name, 5)), id % 50, id % 3 FROM {known_names}) AS t",
+    "pair_verdicts": "SELECT src, dst, CASE WHEN n % 4 = 0 THEN 'unknown' WHEN n % 4 = 1 THEN 'forward' WHEN n % 4 = 2 THEN 'reverse' ELSE 'bidirectional' END AS verdict, CAST(n % 100 AS DOUBLE) / 100 AS confidence, n % 4 AS cited, 5 AS available FROM {transitions}",
+    "judge_cache": "SELECT flow AS entry, status, created, report_id % 5 AS accesses FROM {flow_reports}",
+    "stored_models": "SELECT flow AS model, report_id % 50 AS scope, created FROM {flow_reports}",
+    "base_model": "SELECT src, dst, p FROM {ptg_edges} WHERE length(src) % 2 = 0 OR p > 0.2",
+    "other_model": "SELECT src, dst, p * 0.9 AS p FROM {ptg_edges} WHERE length(dst) % 2 = 1 OR p > 0.25",
+    "decisions": "SELECT event_id AS candidate, CASE WHEN value >= 60 THEN 'approved' ELSE 'rejected' END AS decision FROM {events} WHERE event_type = 'signup'",
+    "entity_edits": "SELECT event_id AS candidate, CAST(50 AS DOUBLE) AS adjusted FROM {events} WHERE event_type = 'error'",
+    "action_reviews": "SELECT episode, action_id, CASE WHEN action_id = 3 THEN 'rejected' ELSE 'edited' END AS status, CASE WHEN action_id = 4 THEN CAST(75 AS DOUBLE) END AS confidence FROM {actions} WHERE action_id IN (3, 4)",
+    "campaign_merges": "SELECT * FROM (VALUES ('NATION_1', 'NATION_0'), ('NATION_2', 'NATION_0'), ('NATION_9', 'NATION_8')) AS v(campaign, merged)",
+    "provisional": "SELECT * FROM (VALUES ('NATION_7'), ('c3')) AS v(campaign)",
+    "report_entities": "SELECT l_orderkey % 500 AS report_id, l_partkey AS entity FROM {lineitem}",
+    "scored_candidates": "SELECT p_partkey AS technique, CAST(p_partkey * 37 % 100 AS DOUBLE) / 100 AS similarity, p_size % 3 = 1 AS keyword_match, p_size > 25 AS is_sub, CASE WHEN p_size = 8 THEN NULL ELSE p_type END AS tactic FROM {part}",
+    "scored_hits": "SELECT p_partkey AS technique, p_brand AS family, p_size > 25 AS is_sub, CAST(1 AS DOUBLE) / (1 + p_partkey % 50) AS score FROM {part}",
+    "synonym_groups": "SELECT * FROM (VALUES ('the', 'article'), ('And', 'conjunction'), ('tion', 'suffix'), ('that', 'pronoun'), ('that', 'article')) AS v(word, synonym)",
+    "validation_messages": "SELECT doc_id AS message_id, text FROM {documents}",
+    "error_rules": "SELECT * FROM (VALUES (1, 'the', 'schema'), (2, 'und', 'reference'), (3, 'que', 'value'), (3, 'qui', 'range')) AS v(ord, phrase, class)",
     "embedded": "SELECT vec_id, embedding, label FROM {embeddings}",
     "words": "SELECT item_id, text FROM {benchmark}",
 }
