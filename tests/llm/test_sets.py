@@ -80,6 +80,7 @@ def test_large_regions_recurse_and_stay_exact(spark, monkeypatch, leaf):
     """Drifting copies, copies of changing length, near misses, and unrelated texts with one passage: no region is small
     enough, so shells, Voronoi regions, windows and blocks all have their part."""
     monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "BLOCK", leaf)
     monkeypatch.setattr(jaccard_join, "HOT", 7)
     monkeypatch.setattr(jaccard_join, "SPREAD", 20)
     rng = random.Random(5)
@@ -115,12 +116,42 @@ def test_forest_connects_what_all_pairs_connect():
             n, bits = [len(s) for s in sets], [jaccard_join.parity(s).tobytes() for s in sets]
             home = [bool(rng.integers(0, 3)) for _ in range(m)]
             fits = [(i, j) for i in range(m) for j in range(i + 1, m) if (home[i] or home[j]) and 100 * n[i] >= 75 * n[j] and jaccard_join.room(n[i], n[j], jaccard_join.differ(n[i], bits[i], n[j], bits[j]), 75)]
-            failed = {p for p in fits if rng.random() < 0.3}
+            common = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, j in fits}
+            apart = {(i, j): n[i] + n[j] - 2 * c for (i, j), c in common.items()}
+            linked = {(i, j) for (i, j), c in common.items() if 100 * c >= 75 * (n[i] + n[j] - c)}
+            failed = {p: apart[p] for p in fits if p not in linked and rng.random() < 0.5}
             for spare in (0, 3, 10_000):
                 got = jaccard_join.forest(n, bits, home, list(range(m)), failed, spare, 75)
-                assert set(got) <= set(fits) - failed
-                parts = lambda pairs: {frozenset(k for k in range(m) if joined(pairs, m)[k] == r) for r in joined(pairs, m)}
-                assert parts(got) == parts(set(fits) - failed)
+                assert set(got) <= set(fits) - set(failed)
+                root = joined(got, m)
+                assert all(root[i] == root[j] for i, j in linked)
+                if not failed:
+                    assert all(root[i] == root[j] for i, j in fits)
+
+
+def test_pivots_prune_by_the_triangle_inequality():
+    """Two groups at exact distances 0 and 30 from a pivot that bitmaps can't tell apart are never proposed to each other."""
+    n, bits = [20] * 12, [b"\0" * 8] * 12
+    failed = {(0, j): 12 if j < 6 else 34 for j in range(1, 12)}
+    got = jaccard_join.forest(n, bits, [True] * 12, list(range(12)), failed, 10_000, 75)
+    assert got and all((i < 6) == (j < 6) for i, j in got)
+
+
+def test_pivots_decide_on_ordinary_tables(spark):
+    """No limit is changed: on a whole table, regions above LEAF exist and go through Voronoi regions."""
+    calls = []
+    cut = jaccard_join.voronoi
+
+    def counted(cells, level, windows, percent):
+        calls.append((level, windows, cells.count()))
+        return cut(cells, level, windows, percent)
+
+    jaccard_join.voronoi = counted
+    try:
+        rows = jaccard_join.cluster(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).count()
+    finally:
+        jaccard_join.voronoi = cut
+    assert rows == 10_000 and any(windows and n for _, windows, n in calls) and any(not windows and n for _, windows, n in calls)
 
 
 def joined(pairs, m):

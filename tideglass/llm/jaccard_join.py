@@ -41,7 +41,12 @@ from tideglass.llm.store import materialize, release, width
 
 PERCENT = 75
 FREQUENT = 200_000
-LEAF = 4096
+#: Sets of a region that elect no pivots any more.
+LEAF = 8
+#: Pivots that a cell elects at a time, at most.
+PIVOTS = 64
+#: Sets that are compared in one task, where pivots can't part them.
+BLOCK = 4096
 HOT = 2000
 SPREAD = 50_000
 #: Edges that one task connects: 16 MB.
@@ -234,11 +239,15 @@ def room(n: np.ndarray | int, m: np.ndarray | int, differ: np.ndarray | int, per
     return 100 * (n + m - differ) >= percent * (n + m + differ)
 
 
-def forest(n: list[int], bits: list[bytes], home: list[bool], root: list[int], failed: set[tuple[int, int]], spare: int, percent: int) -> list[tuple[int, int]]:
+def forest(n: list[int], bits: list[bytes], home: list[bool], root: list[int], failed: dict[tuple[int, int], int], spare: int, percent: int) -> list[tuple[int, int]]:
     """Pairs of positions that may be linked, in order of size: a spanning forest of all such pairs between different
-    roots, one of them at home, that have not failed; before that, `spare` pairs regardless of each other."""
+    roots, one of them at home, that have not failed; before that, `spare` pairs regardless of each other.
+
+    failed has the exact distances of pairs that were compared. A member that several were compared with is a pivot:
+    two members are at least as far apart as their distances from it differ (triangle inequality)."""
     m = len(n)
     out: list[tuple[int, int]] = []
+    pivots = _pivots(failed, m)
     if m <= 8:
         # Small regions are most of all: plain integers are faster here.
         maps = [(int.from_bytes(b, "little"), 8 * len(b)) for b in bits]
@@ -251,7 +260,8 @@ def forest(n: list[int], bits: list[bytes], home: list[bool], root: list[int], f
                 while other > size:
                     other //= 2
                     b = (b >> other) ^ (b & ((1 << other) - 1))
-                if room(n[i], n[j], max(n[j] - n[i], (a ^ b).bit_count()), percent):
+                least = max(n[j] - n[i], (a ^ b).bit_count(), *(abs(d[i] - d[j]) for d in pivots if d[i] >= 0 and d[j] >= 0))
+                if room(n[i], n[j], least, percent):
                     out.append((i, j))
                     if spare > 0:
                         spare -= 1
@@ -275,6 +285,9 @@ def forest(n: list[int], bits: list[bytes], home: list[bool], root: list[int], f
         if not len(at):
             continue
         differ = np.maximum(np.bitwise_count(matrix[at - low] ^ matrix[k - low]).sum(axis=1, dtype=np.int64), sizes[at] - sizes[k])
+        for d in pivots:
+            if d[k] >= 0:
+                differ = np.maximum(differ, np.where(d[at] >= 0, np.abs(d[at] - d[k]), 0))
         fits = room(sizes[at], sizes[k], differ, percent)
         if failed:
             fits &= np.array([(k, j) not in failed for j in at.tolist()], bool)
@@ -294,34 +307,61 @@ def forest(n: list[int], bits: list[bytes], home: list[bool], root: list[int], f
     return out
 
 
+def _pivots(failed: dict[tuple[int, int], int], m: int, most: int = 16) -> list[np.ndarray]:
+    """Known distances from the members that most others were compared with: -1 where none is known."""
+    met: dict[int, list[tuple[int, int]]] = {}
+    for (i, j), apart in failed.items():
+        met.setdefault(i, []).append((j, apart))
+        met.setdefault(j, []).append((i, apart))
+    out = []
+    for i in sorted((i for i in met if len(met[i]) > 1), key=lambda i: (-len(met[i]), i))[:most]:
+        known = np.full(m, -1, np.int64)
+        known[[j for j, _ in met[i]]] = [apart for _, apart in met[i]]
+        known[i] = 0
+        out.append(known)
+    return out
+
+
 CELL = "g bigint, x bigint, n bigint, bits binary, home boolean, label bigint"
 
 
-def propose(cells: DataFrame, decided: DataFrame | None, attempt: int, percent: int) -> DataFrame:
+def propose(cells: DataFrame, decided: DataFrame | None, percent: int) -> DataFrame:
     """g, x, p: pairs that may be linked, as few as connect each cell; of the two, p has fewer shingles or the lesser id.
-    decided: g, x, p, ok of earlier attempts."""
+    decided: g, x, p, ok, apart of earlier attempts."""
     spark = cells.sparkSession
     rows = cells.select("g", F.lit(1).alias("member"), "n", "x", F.lit(0).cast("bigint").alias("p"), "home", "label", "bits")
     if decided is not None:
-        rows = rows.unionByName(decided.select("g", F.lit(0).alias("member"), F.lit(0).cast("bigint").alias("n"), "x", "p", F.col("ok").alias("home"), F.lit(0).cast("bigint").alias("label"), F.lit(b"").alias("bits")))
+        rows = rows.unionByName(decided.select("g", F.lit(0).alias("member"), F.col("apart").alias("n"), "x", "p", F.col("ok").alias("home"), F.lit(0).cast("bigint").alias("label"), F.lit(b"").alias("bits")))
     placed = rows.repartition(width(spark), "g").sortWithinPartitions("g", "member", "n", "x")
 
     def close(known: list[tuple], held: list[tuple]) -> list[tuple[int, int]]:
         if len(held) < 2:
             return []
         n, x, home, root, bits = (list(c) for c in zip(*held, strict=True))
-        failed: set[tuple[int, int]] = set()
+        failed: dict[tuple[int, int], int] = {}
         if known:
             place = {v: i for i, v in enumerate(x)}
-            for a, b, ok in known:
+            up = list(range(len(x)))
+
+            def top(i: int) -> int:
+                while up[i] != i:
+                    up[i] = up[up[i]]
+                    i = up[i]
+                return i
+
+            first: dict[int, int] = {}
+            for i, r in enumerate(root):
+                up[i] = first.setdefault(r, i)
+            for a, b, ok, apart in known:
                 i, j = sorted((place[a], place[b]))
                 if ok:
-                    old, new = root[j], root[i]
-                    root = [new if r == old else r for r in root]
+                    i, j = sorted((top(i), top(j)))
+                    up[j] = i
                 else:
-                    failed.add((i, j))
-        spare = len(x) * 16**attempt if attempt else 0
-        return [(x[j], x[i]) for i, j in forest(n, bits, home, root, failed, spare, percent)]
+                    failed[i, j] = apart
+            root = [root[top(i)] for i in range(len(x))]
+        # As many pairs at once as failed before, so that the work grows with what is near.
+        return [(x[j], x[i]) for i, j in forest(n, bits, home, root, failed, 4 * len(failed), percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: int | None = None
@@ -336,7 +376,7 @@ def propose(cells: DataFrame, decided: DataFrame | None, attempt: int, percent:
                 if member:
                     held.append((n, x, home, label, bits))
                 else:
-                    known.append((x, p, home))
+                    known.append((x, p, home, n))
             yield pa.record_batch([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["g", "x", "p"])
             out = []
         out = [(key, *pair) for pair in close(known, held)]
@@ -380,22 +420,24 @@ class Sets:
 
 
 def decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """x, p, ok for distinct pairs (x, p): whether they are linked; written once."""
+    """x, p, ok, apart for distinct pairs (x, p): whether they are linked, and in how many shingles they differ; written
+    once."""
     one = sets.select(F.col("sid").alias("x"), F.col("bits").alias("one"))
     other = sets.select(F.col("sid").alias("p"), F.col("bits").alias("other"))
     met = pairs.join(one, "x").join(other, "p").select("x", "p", "one", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            ok, apart = [], []
             for one, other in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, other))
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 common = int((b[at] == a).sum())
                 ok.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["x", "p", "ok"])
+                apart.append(len(a) + len(b) - 2 * common)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ok, pa.bool_()), pa.array(apart, pa.int64())], names=["x", "p", "ok", "apart"])
 
-    return materialize(met.mapInArrow(run, "x bigint, p bigint, ok boolean"), "decided")
+    return materialize(met.mapInArrow(run, "x bigint, p bigint, ok boolean, apart bigint"), "decided")
 
 
 def settle(cells: DataFrame, sets: Sets, percent: int) -> DataFrame:
@@ -404,16 +446,15 @@ def settle(cells: DataFrame, sets: Sets, percent: int) -> DataFrame:
     first = cells
     linked: DataFrame | None = None
     decided: DataFrame | None = None
-    attempt = 0
     while True:
-        proposed = materialize(propose(cells, decided, attempt, percent), "proposed")
+        proposed = materialize(propose(cells, decided, percent), "proposed")
         pairs = materialize(proposed.select("x", "p").distinct(), "pairs")
         if not pairs.limit(1).count():
             break
         fresh = decide(pairs, sets.of(pairs), percent)
         good = fresh.where("ok").select("x", "p")
         linked = good if linked is None else linked.unionByName(good)
-        verdicts = materialize(proposed.join(fresh, ["x", "p"]).select("g", "x", "p", "ok"), "verdicts")
+        verdicts = materialize(proposed.join(fresh, ["x", "p"]).select("g", "x", "p", "ok", "apart"), "verdicts")
         again = materialize(verdicts.where("NOT ok").select("g").distinct(), "unsettled")
         if not again.limit(1).count():
             break
@@ -421,7 +462,6 @@ def settle(cells: DataFrame, sets: Sets, percent: int) -> DataFrame:
         decided = materialize((verdicts if old is None else old.unionByName(verdicts)).join(again, "g", "left_semi"), "verdicts")
         cells = materialize(left.join(again, "g", "left_semi"), "cells")
         release(None if left is first else left, old, again, pairs, proposed, verdicts)
-        attempt += 1
     release(None if cells is first else cells, decided, proposed, pairs)
     return linked if linked is not None else spark.createDataFrame([], "x bigint, p bigint")
 
@@ -449,13 +489,13 @@ def voronoi(cells: DataFrame, level: int, windows: bool, percent: int) -> DataFr
     """Cells (sized) cut into the Voronoi regions of their pivots: g, length, x, n, bits, home, label, parent (members of
     the cell that was cut).
 
-    A cell elects about two pivots for each LEAF members, by hash. Distances are those of bitmaps of the cell's length.
+    A cell elects about two pivots for each LEAF members and at most about PIVOTS, by hash. Distances are those of bitmaps of the cell's length.
     Linked sets differ in at most a part of n shingles, the radius. With windows, a member that is not connected with
     most of its cell is also replicated, as a guest, into the regions of other pivots that are at most two radii
     farther away than its own: any partner's region is among them. Large cells are dealt out over several tasks.
     """
     spark = cells.sparkSession
-    wanted = F.ceil(2 * F.col("members") / LEAF)
+    wanted = F.least(F.lit(PIVOTS), F.ceil(2 * F.col("members") / LEAF))
     elected = cells.where("home").withColumn("spin", F.pmod(F.xxhash64("x", F.lit(level)), F.lit(1 << 30)))
     pivots = elected.where(F.col("spin") < wanted * (1 << 30) / F.col("members")).select("g", F.ceil(F.col("members") / HOT).cast("int").alias("shares"), "x", "bits", "length")
     pivots = pivots.select("g", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("member"), "length", "x", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("home"), F.lit(0).cast("bigint").alias("label"), F.lit(False).alias("stray"), F.lit(0).cast("bigint").alias("members"), "bits")
@@ -502,7 +542,7 @@ def _mix(a: int, b: int) -> int:
 def blocks(cells: DataFrame) -> DataFrame:
     """Cells (sized) block against block: members at home by strays, which are all that is guest or not of the main
     label. Every open pair has a stray and a member at home."""
-    half = LEAF // 2
+    half = max(1, BLOCK // 2)
     stray = (F.col("label") != F.col("main")) | ~F.col("home")
     counts = cells.groupBy("g").agg(F.ceil(F.count_if("home") / half).cast("int").alias("rows"), F.greatest(F.lit(1), F.ceil(F.count_if(stray) / half).cast("int")).alias("cols"))
     spin = lambda n, seed: F.pmod(F.xxhash64("x", F.lit(seed)), n).cast("int")
@@ -527,7 +567,7 @@ def cells_of(large: DataFrame, windows: bool, percent: int) -> DataFrame:
         if not windows:
             # Whatever is large still is taken in parts: this is but a first round.
             parts = sized(cut.drop("parent"))
-            part = F.pmod(F.xxhash64("x", F.lit(3)), F.ceil(F.col("members") / LEAF))
+            part = F.pmod(F.xxhash64("x", F.lit(3)), F.ceil(F.col("members") / BLOCK))
             done = done.unionByName(parts.select(F.xxhash64("g", part).alias("g"), *columns[1:]))
             break
         parts = materialize(sized(cut), "voronoi")
