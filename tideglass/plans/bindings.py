@@ -96,6 +96,10 @@ VIEWS = {
     "synonym_groups": "SELECT * FROM (VALUES ('the', 'article'), ('And', 'conjunction'), ('tion', 'suffix'), ('that', 'pronoun'), ('that', 'article')) AS v(word, synonym)",
     "validation_messages": "SELECT doc_id AS message_id, text FROM {documents}",
     "error_rules": "SELECT * FROM (VALUES (1, 'the', 'schema'), (2, 'und', 'reference'), (3, 'que', 'value'), (3, 'qui', 'range')) AS v(ord, phrase, class)",
+    "rule_files": """SELECT CAST(p_partkey AS VARCHAR(20)) AS path, concat('# rule', chr(10), CASE WHEN p_size % 17 = 0 THEN '' ELSE concat('title: ', p_name, chr(10)) END, 'id: r-', CAST(p_partkey AS VARCHAR(20)), '   # own', chr(10), 'status: ', CASE p_size % 4 WHEN 0 THEN 'stable' WHEN 1 THEN 'test' WHEN 2 THEN 'broken' ELSE 'experimental' END, chr(10),
+      'tags:', chr(10), CASE WHEN p_size % 2 = 0 THEN '  - attack.execution' ELSE '- attack.execution' END, chr(10), CASE WHEN p_size % 2 = 0 THEN '  - ' ELSE '- ' END, 'attack.t1', lpad(CAST(p_size AS VARCHAR(9)), 3, '0'), chr(10), 'logsource: ', chr(123), 'product: ', CASE p_size % 3 WHEN 0 THEN 'windows, service: sysmon' WHEN 1 THEN 'nginx' ELSE 'Linux' END, chr(125), chr(10),
+      'detection:', chr(10), '  sel_a:', chr(10), '    Image|endswith: "cmd.exe"', chr(10), '    Brand:', chr(10), '      - ', chr(39), p_brand, chr(39), chr(10), '  filter_b:', chr(10), '    - Type: "', p_type, '"', chr(10), '    - Size: ', CAST(p_size AS VARCHAR(9)), chr(10), '  condition: ', CASE WHEN p_size % 5 = 0 THEN 'sel_a and not sel_z' ELSE 'sel_a and not (1 of filter_*)' END, chr(10),
+      'description: >', chr(10), '  two lines: one', chr(10), '  and another', chr(10), 'level: ', CASE WHEN p_size > 40 THEN 'urgent' ELSE 'high' END, chr(10), 'license: ', CASE WHEN p_size % 7 = 0 THEN 'Own' ELSE 'mit license' END, chr(10)) AS text FROM {part}""",
     "embedded": "SELECT vec_id, embedding, label FROM {embeddings}",
     "words": "SELECT item_id, text FROM {benchmark}",
 }

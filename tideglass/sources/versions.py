@@ -150,7 +150,7 @@ FUNCTIONS = {
     "d10_model_store": (
         _model_of_two_days,
         ["base_model", "other_model"],
-        """WITH j AS (SELECT coalesce(o.src, b.src) AS src, coalesce(o.dst, b.dst) AS dst, coalesce(o.p, b.p) AS p, b.src IS NULL AS fresh, o.src IS NOT NULL AND b.src IS NOT NULL AS both, o.p = b.p AS same FROM base_model AS b FULL JOIN other_model AS o ON b.src = o.src AND b.dst = o.dst)
-        SELECT src, dst, round(p, 9) AS p, count(*) FILTER (fresh) OVER () AS n_created, count(*) FILTER (both AND NOT same) OVER () AS n_updated, count(*) FILTER (both AND same) OVER () AS n_unchanged FROM j""",
+        """WITH j AS (SELECT coalesce(o.src, b.src) AS src, coalesce(o.dst, b.dst) AS dst, coalesce(o.p, b.p) AS p, b.src IS NULL AS fresh, o.src IS NOT NULL AND b.src IS NOT NULL AS shared, o.p = b.p AS same FROM base_model AS b FULL JOIN other_model AS o ON b.src = o.src AND b.dst = o.dst)
+        SELECT src, dst, round(p, 9) AS p, count(*) FILTER (fresh) OVER () AS n_created, count(*) FILTER (shared AND NOT same) OVER () AS n_updated, count(*) FILTER (shared AND same) OVER () AS n_unchanged FROM j""",
     ),
 }
