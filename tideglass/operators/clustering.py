@@ -12,11 +12,21 @@ from pyspark.sql import functions as F
 
 from tideglass.functions.sqlop import Op
 
-_GRAPH = """
-pairs AS (SELECT a.technique AS a, b.technique AS b, CAST(count(*) AS DOUBLE) AS n FROM {et} AS a JOIN {et} AS b ON a.episode = b.episode AND a.technique < b.technique GROUP BY a.technique, b.technique HAVING count(*) >= 2),
-marg AS (SELECT technique, CAST(count(*) AS DOUBLE) AS c FROM {et} GROUP BY technique),
-tot AS (SELECT CAST(count(DISTINCT episode) AS DOUBLE) AS total FROM {et}),
-graph AS (SELECT a, b, n, n * total / (x.c * y.c) AS lift, ln(n * total / (x.c * y.c)) AS pmi, CASE WHEN n * total <= x.c * y.c THEN 0.0 ELSE ln(n * total / (x.c * y.c)) / nullif(-ln(n / total), 0) END AS npmi FROM pairs JOIN marg AS x ON a = x.technique JOIN marg AS y ON b = y.technique CROSS JOIN tot)"""
+# Pairs come from each episode's ordered array, equal arrays counted once with a weight, and not from joining episodes.
+_EDGES = "graph AS (SELECT a, b, n, n * total / (x.c * y.c) AS lift, ln(n * total / (x.c * y.c)) AS pmi, CASE WHEN n * total <= x.c * y.c THEN 0.0 ELSE ln(n * total / (x.c * y.c)) / nullif(-ln(n / total), 0) END AS npmi FROM pairs JOIN marg AS x ON a = x.technique JOIN marg AS y ON b = y.technique CROSS JOIN tot)"
+_GRAPH = f"""
+sets AS (SELECT ts, count(*) AS w FROM (SELECT array_sort(collect_set(technique)) AS ts FROM {{et}} GROUP BY episode) AS e GROUP BY ts),
+firsts AS (SELECT ts, w, i, a FROM sets LATERAL VIEW posexplode(ts) AS i, a),
+pairs AS (SELECT a, b, CAST(sum(w) AS DOUBLE) AS n FROM firsts LATERAL VIEW explode(slice(ts, i + 2, size(ts))) AS b GROUP BY a, b HAVING sum(w) >= 2),
+marg AS (SELECT technique, CAST(sum(w) AS DOUBLE) AS c FROM sets LATERAL VIEW explode(ts) AS technique GROUP BY technique),
+tot AS (SELECT CAST(sum(w) AS DOUBLE) AS total FROM sets),
+{_EDGES}"""
+# For the check: episodes joined with themselves.
+_CHECK_GRAPH = f"""
+pairs AS (SELECT a.technique AS a, b.technique AS b, CAST(count(*) AS DOUBLE) AS n FROM {{et}} AS a JOIN {{et}} AS b ON a.episode = b.episode AND a.technique < b.technique GROUP BY a.technique, b.technique HAVING count(*) >= 2),
+marg AS (SELECT technique, CAST(count(*) AS DOUBLE) AS c FROM {{et}} GROUP BY technique),
+tot AS (SELECT CAST(count(DISTINCT episode) AS DOUBLE) AS total FROM {{et}}),
+{_EDGES}"""
 _MEMBERS = "members AS (SELECT DISTINCT technique, tactic AS cluster FROM {primary_tactic})"
 
 OPS = {
@@ -59,6 +69,9 @@ OPS = {
         FROM {techniques} AS t LEFT JOIN (SELECT DISTINCT technique FROM {detects}) AS d ON t.technique = d.technique LEFT JOIN (SELECT DISTINCT technique FROM {mitigates}) AS m ON t.technique = m.technique WHERE NOT is_sub GROUP BY tactic""",
     ),
 }
+for _op in OPS.values():
+    if _GRAPH in _op.text:
+        _op.against(_op.text.replace(_GRAPH, _CHECK_GRAPH))
 
 
 def louvain(edges: pd.DataFrame, resolution: float = 1.0) -> dict[str, int]:

@@ -5,17 +5,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.functions.scratch import written
 from tideglass.functions.sqlop import Op
 
 # One exchange brings the techniques of an episode together as an ordered array, which is no longer than there are
 # techniques; pairs come from the array, so no rows are joined, and their counts are combined before they are shuffled.
 # Supports come from the same arrays. NPMI of a pair that is in every episode is NULL.
-_SETS = "sets AS (SELECT episode, array_sort(collect_set(technique)) AS ts FROM {et} GROUP BY episode HAVING count(DISTINCT technique) >= :min_episode_size)"
+# Equal arrays count once, with a weight.
+_SETS = "sets AS (SELECT ts, count(*) AS w FROM (SELECT array_sort(collect_set(technique)) AS ts FROM {et} GROUP BY episode) AS e WHERE size(ts) >= :min_episode_size GROUP BY ts)"
 _PAIRS = """
-firsts AS (SELECT ts, i, a FROM sets LATERAL VIEW posexplode(ts) AS i, a),
-pairs AS (SELECT a, b, count(*) AS n FROM firsts LATERAL VIEW explode(slice(ts, i + 2, size(ts))) AS b GROUP BY a, b),
-support AS (SELECT technique, count(*) AS s FROM sets LATERAL VIEW explode(ts) AS technique GROUP BY technique),
-total AS (SELECT CAST(count(*) AS DOUBLE) AS n_all FROM sets)"""
+firsts AS (SELECT ts, w, i, a FROM sets LATERAL VIEW posexplode(ts) AS i, a),
+pairs AS (SELECT a, b, sum(w) AS n FROM firsts LATERAL VIEW explode(slice(ts, i + 2, size(ts))) AS b GROUP BY a, b),
+support AS (SELECT technique, sum(w) AS s FROM sets LATERAL VIEW explode(ts) AS technique GROUP BY technique),
+total AS (SELECT CAST(coalesce(sum(w), 0) AS DOUBLE) AS n_all FROM sets)"""
 _COUNTED = "counted AS (SELECT pairs.a, pairs.b, n, sa.s AS s_a, sb.s AS s_b, n_all FROM pairs JOIN support AS sa ON pairs.a = sa.technique JOIN support AS sb ON pairs.b = sb.technique CROSS JOIN total)"
 _METRICS = """SELECT a AS technique_a, b AS technique_b, CAST(n AS BIGINT) AS n_both, CAST(s_a AS BIGINT) AS support_a, CAST(s_b AS BIGINT) AS support_b,
   round(CAST(n AS DOUBLE) / s_a, 6) AS confidence_a_b, round(CAST(n AS DOUBLE) / s_b, 6) AS confidence_b_a,
@@ -66,20 +68,22 @@ def bundles(et: DataFrame, min_size: int = 3, max_size: int = 5, min_support: in
     rarest member), lift, and lift_reference, which divides by the episode count twice. Episodes of fewer than min_size
     techniques don't count, but for the supports of single techniques.
 
-    Sets grow from each episode's ordered array, one member at a time. All parts of a frequent set are frequent, so only
-    sets whose part without the last member is frequent grow, and only by frequent techniques; counts are combined
-    before they are shuffled.
+    Equal arrays of episodes count once, with a weight, and are written: every level starts from them. Sets grow from
+    an ordered array one member at a time. All parts of a frequent set are frequent, so only sets whose part without the
+    last member is frequent grow; counts are combined before they are shuffled.
     """
     support = et.select("episode", "technique").distinct().groupBy("technique").agg(F.count(F.lit(1)).cast("double").alias("s"))
     arrays = et.groupBy("episode").agg(F.array_sort(F.collect_set("technique")).alias("ts")).where(F.size("ts") >= min_size)
-    total = arrays.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    rows = arrays.select("ts", F.posexplode("ts").alias("at", "t")).select("ts", "at", F.array("t").alias("members"))
+    arrays = written(arrays.groupBy("ts").agg(F.count(F.lit(1)).alias("w")), "episode-arrays")
+    total = arrays.agg(F.coalesce(F.sum("w"), F.lit(0)).cast("double").alias("n"))
+    rows = arrays.select("ts", "w", F.posexplode("ts").alias("at", "t")).select("ts", "w", "at", F.array("t").alias("members"))
     levels: list[DataFrame] = []
     for size in range(1, max_size + 1):
         if size > 1:
-            rows = rows.select("members", "ts", F.posexplode(F.slice("ts", F.col("at") + 2, F.size("ts"))).alias("step", "t"), F.col("at").alias("from"))
-            rows = rows.select("ts", (F.col("from") + F.col("step") + 1).alias("at"), F.concat("members", F.array("t")).alias("members"))
-        counted = rows.groupBy("members").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
+            rows = rows.select("members", "ts", "w", F.posexplode(F.slice("ts", F.col("at") + 2, F.size("ts"))).alias("step", "t"), F.col("at").alias("from"))
+            rows = rows.select("ts", "w", (F.col("from") + F.col("step") + 1).alias("at"), F.concat("members", F.array("t")).alias("members"))
+        counted = rows.groupBy("members").agg(F.sum("w").alias("support"))
+        counted = written(counted.where(F.col("support") >= min_support), "bundles")
         if size >= min_size:
             levels.append(counted)
         if size < max_size:
@@ -87,16 +91,16 @@ def bundles(et: DataFrame, min_size: int = 3, max_size: int = 5, min_support: in
     if not levels:
         levels = [rows.limit(0).select("members", F.lit(0).cast("bigint").alias("support"))]
     found = reduce(DataFrame.unionByName, levels)
-    supports = support.agg(F.map_from_entries(F.collect_list(F.struct("technique", "s"))).alias("known"))  # one entry for each technique
-    each = found.crossJoin(F.broadcast(supports)).crossJoin(F.broadcast(total)).withColumn("s", F.transform("members", lambda t: F.col("known")[t]))
-    chance = F.aggregate("s", F.lit(1.0), lambda acc, x: acc * x / F.col("n"))
-    return each.select(
+    # Supports of members come by a join, whatever the number of techniques.
+    each = found.select("members", "support", F.explode("members").alias("technique")).join(support, "technique").crossJoin(F.broadcast(total))  # one row
+    known = each.groupBy("members", "support").agg(F.min("s").alias("rarest"), F.product(F.col("s") / F.col("n")).alias("chance"), F.first("n").alias("n"))
+    return known.select(
         F.size("members").cast("bigint").alias("size"),
         F.col("members").alias("techniques"),
         "support",
-        (F.col("support") / F.array_min("s")).alias("confidence"),
-        (F.col("support") / (F.col("n") * chance)).alias("lift"),
-        (F.col("support") / (F.col("n") * F.col("n") * chance)).alias("lift_reference"),
+        (F.col("support") / F.col("rarest")).alias("confidence"),
+        (F.col("support") / (F.col("n") * F.col("chance"))).alias("lift"),
+        (F.col("support") / (F.col("n") * F.col("n") * F.col("chance"))).alias("lift_reference"),
     )
 
 
