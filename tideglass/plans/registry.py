@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideglass.functions.sqlop import Op
-from tideglass.operators import clustering, cooccurrence, coverage, extraction, flows, graph, matching, monitoring, names, review, search, sequences, simulation, state, textindex
+from tideglass.operators import clustering, cooccurrence, coverage, extraction, flows, graph, matching, monitoring, names, quantised, review, search, sequences, simulation, state, textindex
 from tideglass.plans import bindings
 from tideglass.sources import markup, versions, yaml_rules
 from tideglass.streaming import windows
 
-MODULES = (cooccurrence, clustering, coverage, sequences, simulation, flows, search, graph, monitoring, review, extraction, matching, names, state, textindex, versions, windows, yaml_rules, markup)
+MODULES = (cooccurrence, clustering, coverage, sequences, simulation, flows, search, graph, monitoring, review, extraction, matching, names, quantised, state, textindex, versions, windows, yaml_rules, markup)
 
 
 def _run(op: Op) -> Callable[[SparkSession, str], DataFrame]:
