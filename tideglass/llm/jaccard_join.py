@@ -6,11 +6,12 @@ can part a space into regions that are joined on their own:
 1. Neighbourhoods. Linked sets share a shingle among the first n - ceil(t n) + 1 of either, under one order of all
    shingles (frequent ones, found beforehand, come last). Sets that share such a shingle form a region; regions with
    equal members count once.
-2. Leaves. In a region of at most LEAF sets each member is a pivot in turn. Bitmaps bound its distances to the members
-   that it is not connected with; those that may be linked join it. So a region proposes a spanning forest of its
-   possible links, never all its pairs. Proposals are then decided exactly, once each. A region whose proposals all
-   hold is settled; the others propose again without the pairs that failed, and more at a time, until none has a
-   proposal left.
+2. Leaves. A region of at most LEAF sets proposes a spanning forest of its possible links, never all its pairs: bitmaps
+   bound the distances of each member to those that it is not connected with. Proposals are then decided exactly, once
+   each. A region whose proposals all hold is settled. In the others, members that several were compared with are
+   pivots: by the triangle inequality two sets are at least as far apart as their exact distances from a pivot differ.
+   These regions propose again without what that rules out, in proportion to what failed, until none has a proposal
+   left.
 3. Pivots. A larger region is first cut into shells, by distance from the empty set (the number of shingles), and each
    shell into the Voronoi regions of elected pivots, which are settled on their own.
 4. Windows. Whatever is not connected with most of its region by then may have partners in other Voronoi regions: it is
@@ -41,8 +42,8 @@ from tideglass.llm.store import materialize, release, width
 
 PERCENT = 75
 FREQUENT = 200_000
-#: Sets of a region that elect no pivots any more.
-LEAF = 8
+#: Sets of a region that elect no pivots any more. Fewer would part more regions than disks hold (README has figures).
+LEAF = 4096
 #: Pivots that a cell elects at a time, at most.
 PIVOTS = 64
 #: Sets that are compared in one task, where pivots can't part them.

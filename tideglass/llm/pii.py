@@ -9,9 +9,10 @@ Entities are made of units: a mail address of mailbox and host, a name of its pa
 has a canonical form (digits of a number, lower case of a name, mailbox or host), so mentions that are written
 differently are one unit and get one surrogate, written the way each mention is. Surrogates are drawn from an
 HMAC-SHA256 of type, canonical form and attempt under a secret key, and keep type, length, separators, case, script,
-leading country or issuer digits and check digits (cards, IBANs); given names end as their gender does. A draw that
+country codes, issuer digits, private networks and check digits (cards, IBANs, however they are spaced); hyphens and
+apostrophes of names stay, and given names end as their gender does. A draw that
 another unit also drew, or that is itself a unit of the corpus, is drawn again, until all units of a type have distinct
-surrogates; names grow by a syllable every two attempts, and what still collides after WIDEN attempts grows by a
+surrogates; names grow by a letter every two attempts, and what still collides after WIDEN attempts grows by a
 character, so there is always room. As units are distinct, entities made of them are, and what two entities share
 (a host, a surname) their surrogates share too.
 
@@ -41,17 +42,21 @@ SUFFIXES = "さん 様 先生 女士 氏 님 씨".split()
 GIVEN_MALE = "John James Robert Michael William David Richard Thomas Charles Daniel Paul Mark George Peter Hans Karl Klaus Jürgen Wolfgang Stefan Andreas Heinrich Jean Pierre Michel Jacques Philippe François Juan José Carlos Luis Miguel Antonio Pedro Javier Иван Сергей Дмитрий Александр Николай Γιώργος Νίκος".split()
 GIVEN_FEMALE = "Mary Jane Alice Anna Elizabeth Susan Linda Sarah Emma Laura Maria Julia Claudia Sabine Petra Monika Ursula Marie Sophie Camille Claire Isabelle Hélène Carmen Lucía Elena Ana Isabel Ольга Анна Мария Елена Наталья Ελένη Μαρία".split()
 SETTING = r"(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?"
+#: No number begins with a date, of whatever order.
+DATED = r"(?!(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:[0-2]\d|3[01])(?!\d)|(?:[0-2]\d|3[01])-(?:0[1-9]|1[0-2])-(?:19|20)\d\d(?!\d))"
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
     ("secret", SETTING + r"[A-Za-z0-9+/_\-]{8,}"),
     ("access_key", r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
-    ("iban", r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])"),
+    ("iban", r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![0-9A-Za-z])"),
     ("ssn", r"\d{3}-\d{2}-\d{4}(?!\d)"),
     ("ip", r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)"),
     ("ip6", r"(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"),
-    ("phone", r"\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,4}(?!\d)|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?!\d)"),
-    ("number", r"\d(?:[ \-]?\d){8,18}(?!\d)"),
+    ("phone", r"\+(?=(?:[ .\-()]{0,2}\d){7})\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,5}(?!\d)|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?!\d)"),
+    ("number", DATED + r"(?<!\d-)\d(?:[ \-]?\d){8,18}(?!\d)"),
 )
+#: Country codes of one and two digits; others have three.
+COUNTRIES = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: Scripts without case, by class of characters: first letter and how many follow each other.
 RANGES = (
     ("IsHan", 0x4E00, 20000),
@@ -66,7 +71,6 @@ RANGES = (
 #: Scripts that are written in Latin syllables and then letter by letter.
 LETTERS = "abdefgiklmnoprstuvz"
 LETTERED = (("IsCyrillic", "абдефгиклмнопрстувз"), ("IsGreek", "αβδεφγικλμνοπρστυχζ"))
-SYLLABLES = tuple(a + b for a in "b d f g k l m n p r s t v z".split() for b in "a e i o u".split())
 
 _CASELESS = "[" + "".join(rf"\p{{{name}}}" for name, _, _ in RANGES) + "]"
 _CASED = r"\p{Lu}\p{L}*(?:['’]\p{Lu}\p{L}+)?(?:-\p{Lu}\p{L}+)*"
@@ -85,6 +89,8 @@ HINT = r"[0-9@]|::|[=:]\s{0,2}[\"']?[A-Za-z0-9+/_\-]{8}"
 # An entity starts where no word does already; the first pattern that fits there wins.
 ENTITY = r"(?<![\p{L}\p{N}._%+@])(?:" + "|".join(p for _, p in PATTERNS) + ")"
 DIGIT_TYPES = ("ssn", "phone", "number")
+#: Types that are written with separators: what stands between their digits (an IBAN's digits and letters) is kept.
+SPREAD_TYPES = (*DIGIT_TYPES, "iban")
 NAME_TYPES = ("given_m", "given_f", "given", "surname")
 LOWER_TYPES = ("mailbox", "host", "ip6", *NAME_TYPES)
 
@@ -138,7 +144,8 @@ def units_of(kind: Column, mention: Column) -> Column:
 
 
 def canonical(kind: Column, text: Column) -> Column:
-    return F.when(kind.isin(*DIGIT_TYPES), digits_of(text)).when(kind.isin(*LOWER_TYPES), F.lower(text)).otherwise(text)
+    plus = F.when((kind == "phone") & F.startswith(text, F.lit("+")), "+").otherwise("")
+    return F.when(kind.isin(*DIGIT_TYPES), F.concat(plus, digits_of(text))).when(kind == "iban", F.regexp_replace(text, " ", "")).when(kind.isin(*LOWER_TYPES), F.lower(text)).otherwise(text)
 
 
 def keyed(key: bytes, *parts: Column) -> Column:
@@ -199,20 +206,23 @@ def iban_rest(iban: Column) -> Column:
 
 
 def name_surrogate(kind: Column, value: Column, numbers: Column, attempt: int) -> Column:
-    """A name in the script of the value: syllables, one more every two attempts, or letters of its range, as many as
-    the value has and one more every two attempts."""
+    """A name in the script of the value, as long as the value and one letter longer every two attempts: its letters
+    are drawn anew (consonants and vowels by turns, or letters of its range); hyphens, apostrophes and length stay."""
     more = attempt // 2
+    consonants, vowels = "bdfgklmnprstvz", "aeiou"
     ending = F.when(kind == "given_f", "a").when(kind == "given_m", "n").when(kind == "given", "e").otherwise("o")
-    syllables = F.array(*[F.lit(s) for s in SYLLABLES])
-    latin = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2 + more)), lambda i: F.element_at(syllables, _at(numbers, i) % len(SYLLABLES) + 1)), ""), ending)
+    letters = F.split(F.concat(value, F.lit("x" * more)), "")
+    last = F.size(letters) - 1
+    drawn = lambda i: F.when(i % 2 == 0, _pick(consonants, _at(numbers, i))).otherwise(_pick(vowels, _at(numbers, i)))
+    latin = F.array_join(F.transform(letters, lambda c, i: F.when(c.rlike("[0-9]"), _pick("0123456789", _at(numbers, i))).when(~c.rlike(r"\p{L}"), c).when((i == last) & (last > 2), ending).otherwise(drawn(i))), "")
     out = latin
-    for name, letters in reversed(LETTERED):
-        out = F.when(value.rlike(rf"\p{{{name}}}"), F.translate(latin, LETTERS, letters)).otherwise(out)
+    for name, own in reversed(LETTERED):
+        out = F.when(value.rlike(rf"\p{{{name}}}"), F.translate(latin, LETTERS, own)).otherwise(out)
     places = F.sequence(F.lit(0), F.length(value) - 1 + more)
     for name, first, count in reversed(RANGES):
         point = lambda i: F.lit(first) + (_at(numbers, 2 * i) * 256 + _at(numbers, 2 * i + 1)) % count  # noqa: B023, E731
-        drawn = F.array_join(F.transform(places, lambda i: F.decode(F.unhex(F.lpad(F.hex(point(i)), 4, "0")), "UTF-16BE")), "")  # noqa: B023
-        out = F.when(value.rlike(rf"\p{{{name}}}"), drawn).otherwise(out)
+        other = F.array_join(F.transform(places, lambda i: F.decode(F.unhex(F.lpad(F.hex(point(i)), 4, "0")), "UTF-16BE")), "")  # noqa: B023
+        out = F.when(value.rlike(rf"\p{{{name}}}"), other).otherwise(out)
     return out
 
 
@@ -220,7 +230,9 @@ def surrogate(kind: Column, value: Column, numbers: Column, attempt: int) -> Col
     """Surrogate of a canonical form; numbers is a column that holds a stream."""
     wide = F.concat(value, F.lit("0" * (attempt // WIDEN)))
     hexadecimal = (kind == "ip6") | kind.isin("secret", "mailbox") & value.rlike("^(?=.*[a-f])[0-9a-f]{8,}$")
-    plain = charwise(wide, numbers, F.when(kind.isin("phone", "number"), 1).when(kind.isin("access_key", "iban"), 4).otherwise(0), hexadecimal)
+    # A number with a plus keeps its country, another one its first digit.
+    country_code = F.when(~F.startswith(value, F.lit("+")), 1).when(value.rlike(r"^\+[17]"), 2).when(value.rlike(COUNTRIES), 3).otherwise(4)
+    plain = charwise(wide, numbers, F.when(kind == "phone", country_code).when(kind == "number", 1).when(kind.isin("access_key", "iban"), 4).otherwise(0), hexadecimal)
     # Cards: the last digit makes the sum a multiple of ten where the original's was.
     body = F.substr(plain, F.lit(1), F.length(plain) - 1)
     checked = F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
@@ -230,7 +242,11 @@ def surrogate(kind: Column, value: Column, numbers: Column, attempt: int) -> Col
     right = F.lpad((98 - iban_rest(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")
     drawn = F.concat(_pick("0123456789", _at(numbers, F.lit(126))), _pick("0123456789", _at(numbers, F.lit(127))))
     iban = F.concat(country, F.when(iban_rest(F.when(kind == "iban", value)) == 1, right).otherwise(drawn), account)
-    octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_at(numbers, i) % 254 + 1).cast("string")), ".")
+    # Private and local addresses stay in their network, and no other address becomes one.
+    kept = F.when(value.rlike(r"^(?:10|127)\."), 1).when(value.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2\d|3[01])|169\.254)\."), 2).otherwise(0)
+    old = F.split(value, r"\.")
+    first = F.lit(11) + _at(numbers, F.lit(0)) % 110
+    octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i < kept, F.get(old, i)).when(i == 0, first.cast("string")).otherwise((_at(numbers, i) % 254 + 1).cast("string"))), ".")
     # When the addresses of one length no longer suffice, those of the longer kind for documentation do.
     ip = F.concat(F.lit("2001:db8::" if attempt >= WIDEN else ""), octets)
     # Hosts: the last label stays.
@@ -242,17 +258,23 @@ def surrogate(kind: Column, value: Column, numbers: Column, attempt: int) -> Col
 
 def written(kind: Column, text: Column, new: Column) -> Column:
     """The surrogate of a canonical form, written like the unit's text."""
-    order = lambda i: F.length(digits_of(F.substr(text, F.lit(1), i + 1)))
-    spread = F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(new, order(i), F.lit(1))).otherwise(c)), "")
+    bare = F.when(kind == "iban", new).otherwise(digits_of(new))
+    own = F.when(kind == "iban", r"[^0-9A-Z]").otherwise(r"[^0-9]")
+    order = lambda i: F.length(F.regexp_replace(F.substr(text, F.lit(1), i + 1), own, F.lit("")))
+    stands = lambda c: F.length(F.regexp_replace(c, own, F.lit(""))) > 0
+    spread = F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(stands(c), F.substr(bare, order(i), F.lit(1))).otherwise(c)), "")
     # Digits beyond the text's own are there if the surrogate had to grow.
-    spread = F.concat(spread, F.substr(new, F.length(digits_of(text)) + 1))
-    cased = F.when((text == F.upper(text)) & (text != F.lower(text)), F.upper(new)).when(kind.isin(*NAME_TYPES), F.initcap(new)).otherwise(new)
-    return F.when(kind.isin(*DIGIT_TYPES), spread).when(kind.isin(*LOWER_TYPES), cased).otherwise(new)
+    spread = F.concat(spread, F.substr(bare, F.length(F.regexp_replace(text, own, F.lit(""))) + 1))
+    upper = lambda c: (c == F.upper(c)) & (c != F.lower(c))
+    # Names are capital where the text is.
+    named = F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(upper(F.substr(text, i + 1, F.lit(1))), F.upper(c)).otherwise(c)), "")
+    cased = F.when(upper(text), F.upper(new)).when(kind.isin(*NAME_TYPES), named).otherwise(new)
+    return F.when(kind.isin(*SPREAD_TYPES), spread).when(kind.isin(*LOWER_TYPES), cased).otherwise(new)
 
 
 def mapping(units: DataFrame, key: bytes) -> DataFrame:
-    """One surrogate for each distinct (kind, value): kind, value, surrogate; no two alike within a kind, none a unit of
-    that kind. Which of two units that draw alike keeps the draw (the lesser value) depends on the units, so a surrogate
+    """One surrogate for each distinct (kind, value): kind, value, surrogate; no two alike within a kind (all parts of
+    names are one kind here), none a unit of that kind. Which of two units that draw alike keeps the draw (the lesser value) depends on the units, so a surrogate
     is the same in two corpora unless it collided in one of them."""
     left = units.select("kind", "value")
     everything = left
@@ -262,11 +284,12 @@ def mapping(units: DataFrame, key: bytes) -> DataFrame:
         # Streams are written before they are used, or every character would compute its own.
         seeded = materialize(left.withColumn("numbers", stream(key, F.col("kind"), F.col("value"), F.lit(str(attempt)))), "streams")
         drawn = materialize(seeded.select("kind", "value", surrogate(F.col("kind"), F.col("value"), F.col("numbers"), attempt).alias("surrogate")), "surrogates")
-        clash = everything.select("kind", F.col("value").alias("surrogate"))
+        space = F.when(F.col("kind").isin(*NAME_TYPES), "name").otherwise(F.col("kind")).alias("space")
+        clash = everything.select(space, F.col("value").alias("surrogate"))
         if taken is not None:
-            clash = clash.unionByName(taken.select("kind", "surrogate"))
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).join(clash, ["kind", "surrogate"], "left_anti")
-        won = materialize(first.select("kind", "value", "surrogate"), "surrogates-won")
+            clash = clash.unionByName(taken.select(space, "surrogate"))
+        first = drawn.groupBy(space, "surrogate").agg(F.min(F.struct("value", "kind")).alias("one")).join(clash, ["space", "surrogate"], "left_anti")
+        won = materialize(first.select("one.kind", "one.value", "surrogate"), "surrogates-won")
         old, left = left, materialize(left.join(won, ["kind", "value"], "left_anti"), "surrogates-left")
         taken = won if taken is None else taken.unionByName(won)
         release(seeded, drawn, old if attempt else None)
