@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from tideglass.functions.sqlop import literal
-from tideglass.operators import clustering, cooccurrence, extraction, graph, search, sequences, simulation
+from tideglass.operators import clustering, cooccurrence, extraction, graph, names, search, sequences, simulation
 
 EPISODES = {"e1": "ABC", "e2": "AB", "e3": "ACD", "e4": "BC", "e5": "ABCD", "e6": "D"}
 
@@ -117,7 +117,7 @@ def test_knapsack_beats_greedy(spark):
 
 
 def test_alias_chains_end_at_the_root(spark):
-    got = extraction.resolve_aliases(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "alias string, target string"))
+    got = names.alias_roots(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "alias string, target string"))
     assert {r["root"] for r in got.collect()} == {"d"}
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.functions import scratch
 from tideglass.functions.sqlop import Op
 
 # Pairs come from each episode's ordered array, equal arrays counted once with a weight, and not from joining episodes.
@@ -228,13 +229,8 @@ def with_checkpoints(df: DataFrame, make):
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written once, compressed, beside the checkpoints; within with_checkpoints only."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df written once, compressed, in the shared folder until the driver ends."""
+    return scratch.written(df, "step")
 
 
 def _minimal_sets(detects: DataFrame, techniques: DataFrame) -> DataFrame:
