@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from tideglass.functions.sqlop import literal
-from tideglass.operators import clustering, cooccurrence, extraction, graph, names, search, sequences, simulation
+from tideglass.operators import clustering, cooccurrence, graph, names, search, sequences, simulation
 
 EPISODES = {"e1": "ABC", "e2": "AB", "e3": "ACD", "e4": "BC", "e5": "ABCD", "e6": "D"}
 
