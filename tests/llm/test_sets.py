@@ -154,6 +154,68 @@ def test_pivots_decide_on_a_whole_table(spark, monkeypatch):
     assert got == want and any(not windows and n for _, windows, n in calls)
 
 
+def near_copies(n, seed=11):
+    """Copies of one text: two of three have one word changed and are linked with each other; every third one has three
+    words changed elsewhere, and is a near miss of the former (96 of 136 shingles) that bitmaps don't rule out."""
+    rng = random.Random(seed)
+    texts = []
+    for i in range(n):
+        words = [f"b{k}" for k in range(120)]
+        for k in rng.sample(range(60, 115, 6), 3) if i % 3 == 2 else [rng.randrange(5, 55)]:
+            words[k] = f"e{i}-{k}"
+        texts.append(" ".join(words))
+    return list(enumerate(texts))
+
+
+def test_rows_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    """Near misses between the members of a group are compared, but never written as a row for each pair and region."""
+    written = Counter()
+    write = jaccard_join.materialize
+
+    def counted(df, tag, *rest):
+        table = write(df, tag, *rest)
+        written[size] += table.count()
+        return table
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    for size in (40, 200):
+        rows = near_copies(size)
+        want, _ = components(dict(rows))
+        got = jaccard_join.cluster(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+        assert 1 < len(set(want.values())) < size
+    assert written[200] < 8 * written[40]
+
+
+@pytest.mark.parametrize(("leaf", "weight"), [(4096, 4_000_000), (4096, 2500), (15, 4_000_000), (15, 900)])
+def test_open_cells_are_joined_parted_and_stay_exact(spark, monkeypatch, leaf, weight):
+    """What is still open after the first proposals meets in one cell, in the cells it came from where that would be
+    larger than a leaf, and block against block where sets are heavy."""
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "BLOCK", leaf)
+    monkeypatch.setattr(jaccard_join, "WEIGHT", weight)
+    rows = near_copies(70, seed=2) + [(1000 + i, t.replace("b", "c")) for i, t in near_copies(25, seed=3)]
+    want, _ = components(dict(rows))
+    got = jaccard_join.cluster(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
+def test_cells_are_resolved_like_all_pairs():
+    rng = np.random.default_rng(6)
+    for m in (2, 7, 12, 40):
+        for _ in range(15):
+            base = rng.integers(0, 2**63, 60).astype(np.uint64)
+            sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(44, 60), replace=False), rng.integers(0, 2**63, rng.integers(0, 8)).astype(np.uint64)])) for _ in range(m)]
+            home = [bool(rng.integers(0, 3)) for _ in range(m)]
+            label = [int(rng.integers(0, m)) for _ in range(m)]
+            linked = {(i, j) for i in range(m) for j in range(i + 1, m) if 4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j]))}
+            known = [(label.index(v), i) for i, v in enumerate(label)]
+            got = jaccard_join.resolve(list(range(m)), home, label, sets, 75)
+            assert {(min(p), max(p)) for p in got} <= {(i, j) for i, j in linked if home[i] or home[j]}
+            root, want = joined(known + got, m), joined(known + [(i, j) for i, j in linked if home[i] or home[j]], m)
+            assert len(set(root)) == len(set(want)) and len(set(zip(root, want, strict=True))) == len(set(root))
+
+
 def joined(pairs, m):
     root = list(range(m))
     for i, j in pairs:

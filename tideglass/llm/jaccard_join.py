@@ -8,10 +8,12 @@ can part a space into regions that are joined on their own:
    equal members count once.
 2. Leaves. A region of at most LEAF sets proposes a spanning forest of its possible links, never all its pairs: bitmaps
    bound the distances of each member to those that it is not connected with. Proposals are then decided exactly, once
-   each. A region whose proposals all hold is settled. In the others, members that several were compared with are
-   pivots: by the triangle inequality two sets are at least as far apart as their exact distances from a pivot differ.
-   These regions propose again without what that rules out, in proportion to what failed, until none has a proposal
-   left.
+   each. A region whose proposals all hold is settled. Of the others only members are left that may still be linked with
+   one that they are not connected with anywhere. Regions whose remaining members have the same least one become one
+   cell, as regions of near copies differ little; a cell gets its members' whole sets, once each, and goes on by itself.
+   Members that several were compared with are its pivots: by the triangle inequality two sets are at least as far apart
+   as their exact distances from a pivot differ. It proposes again without what that rules out, in proportion to what
+   failed, until it has no proposal left. So tables hold members of regions, never their pairs.
 3. Pivots. A larger region is first cut into shells, by distance from the empty set (the number of shingles), and each
    shell into the Voronoi regions of elected pivots, which are settled on their own.
 4. Windows. Whatever is not connected with most of its region by then may have partners in other Voronoi regions: it is
@@ -28,7 +30,7 @@ gives an empty result. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,8 @@ PIVOTS = 64
 BLOCK = 4096
 HOT = 2000
 SPREAD = 50_000
+#: Shingles of all sets of a cell that is compared in one task: 32 MB.
+WEIGHT = 4_000_000
 #: Edges that one task connects: 16 MB.
 TOGETHER = 1_000_000
 _KNOWN = 200_000
@@ -248,9 +252,9 @@ def forest(n: list[int], bits: list[bytes], home: list[bool], root: list[int], f
     two members are at least as far apart as their distances from it differ (triangle inequality)."""
     m = len(n)
     out: list[tuple[int, int]] = []
-    pivots = _pivots(failed, m)
     if m <= 8:
         # Small regions are most of all: plain integers are faster here.
+        pivots = _pivots(failed, m)
         maps = [(int.from_bytes(b, "little"), 8 * len(b)) for b in bits]
         root = list(root)
         for i in range(m):
@@ -270,7 +274,24 @@ def forest(n: list[int], bits: list[bytes], home: list[bool], root: list[int], f
                         old, new = root[j], root[i]
                         root = [new if r == old else r for r in root]
         return out
-    sizes, at_home, roots = np.array(n, np.int64), np.array(home, bool), np.array(root, np.int64)
+    roots = np.array(root, np.int64)
+    for k, at in near(n, bits, home, roots, failed, percent):
+        if len(at) <= spare:
+            out += [(k, int(j)) for j in at]
+            spare -= len(at)
+            continue
+        spare = 0
+        for j in at[np.sort(np.unique(roots[at], return_index=True)[1])]:
+            out.append((k, int(j)))
+            roots[roots == roots[j]] = roots[k]
+    return out
+
+
+def near(n: list[int], bits: list[bytes], home: list[bool], roots: np.ndarray, failed: dict[tuple[int, int], int], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each position, those after it that it may be linked with, nearest first, as forest has it; roots may change
+    from one position to the next."""
+    m, pivots = len(n), _pivots(failed, len(n))
+    sizes, at_home = np.array(n, np.int64), np.array(home, bool)
     lengths = np.array([len(b) for b in bits])
     stops = np.searchsorted(sizes, 100 * sizes // percent, "right")
     matrix, low, length = np.zeros((0, 0), np.uint64), 0, 0
@@ -290,22 +311,12 @@ def forest(n: list[int], bits: list[bytes], home: list[bool], root: list[int], f
             if d[k] >= 0:
                 differ = np.maximum(differ, np.where(d[at] >= 0, np.abs(d[at] - d[k]), 0))
         fits = room(sizes[at], sizes[k], differ, percent)
-        if failed:
-            fits &= np.array([(k, j) not in failed for j in at.tolist()], bool)
         at, differ = at[fits], differ[fits]
-        if not len(at):
-            continue
-        order = np.argsort(differ, kind="stable")
-        at = at[order]
-        if len(at) <= spare:
-            out += [(k, int(j)) for j in at]
-            spare -= len(at)
-            continue
-        spare = 0
-        for j in at[np.sort(np.unique(roots[at], return_index=True)[1])]:
-            out.append((k, int(j)))
-            roots[roots == roots[j]] = roots[k]
-    return out
+        if failed and len(at):
+            fresh = np.array([(k, j) not in failed for j in at.tolist()], bool)
+            at, differ = at[fresh], differ[fresh]
+        if len(at):
+            yield k, at[np.argsort(differ, kind="stable")]
 
 
 def _pivots(failed: dict[tuple[int, int], int], m: int, most: int = 16) -> list[np.ndarray]:
@@ -326,64 +337,76 @@ def _pivots(failed: dict[tuple[int, int], int], m: int, most: int = 16) -> list[
 CELL = "g bigint, x bigint, n bigint, bits binary, home boolean, label bigint"
 
 
-def propose(cells: DataFrame, decided: DataFrame | None, percent: int) -> DataFrame:
-    """g, x, p: pairs that may be linked, as few as connect each cell; of the two, p has fewer shingles or the lesser id.
-    decided: g, x, p, ok, apart of earlier attempts."""
+def _roots(labels: list[int]) -> list[int]:
+    """For each position the first one that has its label."""
+    first: dict[int, int] = {}
+    return [first.setdefault(label, i) for i, label in enumerate(labels)]
+
+
+def _each(cells: DataFrame, failed: DataFrame | None, act: Callable[[list[tuple], list[tuple]], list[tuple]], columns: list[str]) -> DataFrame:
+    """g and the columns of act's rows for each cell. act gets the cell's rows x, p, apart of failed, and its members in
+    order of size: n, x, home, label, bits."""
     spark = cells.sparkSession
     rows = cells.select("g", F.lit(1).alias("member"), "n", "x", F.lit(0).cast("bigint").alias("p"), "home", "label", "bits")
-    if decided is not None:
-        rows = rows.unionByName(decided.select("g", F.lit(0).alias("member"), F.col("apart").alias("n"), "x", "p", F.col("ok").alias("home"), F.lit(0).cast("bigint").alias("label"), F.lit(b"").alias("bits")))
+    if failed is not None:
+        rows = rows.unionByName(failed.select("g", F.lit(0).alias("member"), F.col("apart").alias("n"), "x", "p", F.lit(False).alias("home"), F.lit(0).cast("bigint").alias("label"), F.lit(b"").alias("bits")))
     placed = rows.repartition(width(spark), "g").sortWithinPartitions("g", "member", "n", "x")
+    names = ["g", *(c.split()[0] for c in columns)]
+    types = [pa.int64(), *(pa.bool_() if c.endswith("boolean") else pa.int64() for c in columns)]
 
-    def close(known: list[tuple], held: list[tuple]) -> list[tuple[int, int]]:
-        if len(held) < 2:
-            return []
-        n, x, home, root, bits = (list(c) for c in zip(*held, strict=True))
-        failed: dict[tuple[int, int], int] = {}
-        if known:
-            place = {v: i for i, v in enumerate(x)}
-            up = list(range(len(x)))
-
-            def top(i: int) -> int:
-                while up[i] != i:
-                    up[i] = up[up[i]]
-                    i = up[i]
-                return i
-
-            first: dict[int, int] = {}
-            for i, r in enumerate(root):
-                up[i] = first.setdefault(r, i)
-            for a, b, ok, apart in known:
-                i, j = sorted((place[a], place[b]))
-                if ok:
-                    i, j = sorted((top(i), top(j)))
-                    up[j] = i
-                else:
-                    failed[i, j] = apart
-            root = [root[top(i)] for i in range(len(x))]
-        # As many pairs at once as failed before, so that the work grows with what is near.
-        return [(x[j], x[i]) for i, j in forest(n, bits, home, root, failed, 4 * len(failed), percent)]
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: int | None = None
         known: list[tuple] = []
         held: list[tuple] = []
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple] = []
         for batch in batches:
             for g, member, n, x, p, home, label, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != key:
-                    out += [(key, *pair) for pair in close(known, held)]
+                    if len(held) > 1:
+                        out += [(key, *row) for row in act(known, held)]
                     key, known, held = g, [], []
                 if member:
                     held.append((n, x, home, label, bits))
                 else:
-                    known.append((x, p, home, n))
-            yield pa.record_batch([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["g", "x", "p"])
+                    known.append((x, p, n))
+            yield batch_of(out)
             out = []
-        out = [(key, *pair) for pair in close(known, held)]
-        yield pa.record_batch([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["g", "x", "p"])
+        if len(held) > 1:
+            yield batch_of([(key, *row) for row in act(known, held)])
+
+    return placed.mapInArrow(run, ", ".join(["g bigint", *columns]))
+
+
+def propose(cells: DataFrame, percent: int) -> DataFrame:
+    """g, x, p: pairs that may be linked, as few as connect each cell; of the two, p has fewer shingles or the lesser id."""
 
-    return placed.mapInArrow(run, "g bigint, x bigint, p bigint")
+    def close(known: list[tuple], held: list[tuple]) -> list[tuple]:
+        n, x, home, label, bits = (list(c) for c in zip(*held, strict=True))
+        return [(x[j], x[i]) for i, j in forest(n, bits, home, _roots(label), {}, 0, percent)]
+
+    return _each(cells, None, close, ["x bigint", "p bigint"])
+
+
+def still_open(cells: DataFrame, failed: DataFrame, percent: int) -> DataFrame:
+    """g, least, x, n, home, label: members of each cell that may be linked with one of another label, and the least of
+    them. failed: g, x, p, apart of pairs that are not linked."""
+
+    def close(known: list[tuple], held: list[tuple]) -> list[tuple]:
+        n, x, home, label, bits = (list(c) for c in zip(*held, strict=True))
+        place = {v: i for i, v in enumerate(x)}
+        apart = {(min(i, j), max(i, j)): d for i, j, d in ((place[a], place[b], d) for a, b, d in known)}
+        some = np.zeros(len(n), bool)
+        for k, at in near(n, bits, home, np.array(_roots(label)), apart, percent):
+            some[k] = True
+            some[at] = True
+        left = np.flatnonzero(some).tolist()
+        least = min((x[i] for i in left), default=0)
+        return [(least, x[i], n[i], home[i], label[i]) for i in left]
+
+    return _each(cells, failed, close, ["least bigint", "x bigint", "n bigint", "home boolean", "label bigint"])
 
 
 class Sets:
@@ -420,6 +443,13 @@ class Sets:
         return texts.mapInArrow(run, "sid bigint, bits binary").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("bits").alias("bits"))
 
 
+def compare(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[bool, int]:
+    """Whether two sets (sorted, not empty) are linked, and in how many shingles they differ."""
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    common = int((b[at] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common), len(a) + len(b) - 2 * common
+
+
 def decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """x, p, ok, apart for distinct pairs (x, p): whether they are linked, and in how many shingles they differ; written
     once."""
@@ -431,40 +461,102 @@ def decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ok, apart = [], []
             for one, other in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, other))
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                common = int((b[at] == a).sum())
-                ok.append(100 * common >= percent * (len(a) + len(b) - common))
-                apart.append(len(a) + len(b) - 2 * common)
+                holds, far = compare(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (one, other)), percent)
+                ok.append(holds)
+                apart.append(far)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ok, pa.bool_()), pa.array(apart, pa.int64())], names=["x", "p", "ok", "apart"])
 
     return materialize(met.mapInArrow(run, "x bigint, p bigint, ok boolean, apart bigint"), "decided")
 
 
+def resolve(x: list[int], home: list[bool], label: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (x, p) that connect all members of a cell that are connected by labels and by links of which an end is at
+    home. Every distance that was found rules out others (forest)."""
+    order = sorted(range(len(x)), key=lambda i: (len(sets[i]), x[i]))
+    x, home, label, sets = ([c[i] for i in order] for c in (x, home, label, sets))
+    n, bits, root = [len(s) for s in sets], [parity(s).tobytes() for s in sets], np.array(_roots(label))
+    out: list[tuple[int, int]] = []
+    failed: dict[tuple[int, int], int] = {}
+    # As many pairs at once as failed before, so that the work grows with what is near.
+    while pairs := forest(n, bits, home, root, failed, 4 * len(failed), percent):
+        for i, j in pairs:
+            if root[i] == root[j]:
+                continue
+            ok, apart = compare(sets[i], sets[j], percent)
+            if ok:
+                out.append((x[j], x[i]))
+                root[root == root[j]] = root[i]
+            else:
+                failed[i, j] = apart
+    return out
+
+
+def finish(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, p) of cells (g, x, home, label), decided where all sets of a cell are together."""
+    rows = cells.join(sets.select(F.col("sid").alias("x"), "bits"), "x").select("g", "x", "home", "label", "bits")
+    placed = rows.repartition(width(cells.sparkSession), "g").sortWithinPartitions("g", "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: int | None = None
+        held: list[tuple] = []
+
+        def links() -> pa.RecordBatch:
+            found = resolve(*(list(c) for c in zip(*held, strict=True)), percent) if held else []
+            return pa.record_batch([pa.array([r[j] for r in found], pa.int64()) for j in range(2)], names=["x", "p"])
+
+        for batch in batches:
+            for i, (g, x, home, label) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
+                if g != key:
+                    yield links()
+                    key, held = g, []
+                held.append((x, home, label, np.frombuffer(batch.column(4)[i].as_py(), np.uint64)))
+        yield links()
+
+    return placed.mapInArrow(run, "x bigint, p bigint")
+
+
+def joined(opened: DataFrame) -> DataFrame:
+    """g, x, home, label of what is still open: cells with the same least member are one, if that is no larger than a
+    leaf, and each member is in it once; cells of much weight are dealt out block against block."""
+    members = opened.groupBy("least").agg(F.countDistinct("x").alias("members"))
+    named = opened.join(members, "least").withColumn("g", F.when(F.col("members") <= LEAF, F.col("least")).otherwise(F.col("g")))
+    cells = materialize(named.groupBy("g", "x").agg(F.first("n").alias("n"), F.max("home").alias("home"), F.first("label").alias("label")), "joined")
+    heavy = cells.groupBy("g").agg(F.sum("n").alias("weight")).where(F.col("weight") > WEIGHT).select("g")
+    parts = blocks(sized(cells.join(heavy, "g", "left_semi").withColumn("bits", F.lit(b""))))
+    columns = ["g", "x", "home", "label"]
+    return cells.join(heavy, "g", "left_anti").select(*columns).unionByName(parts.select(*columns))
+
+
 def settle(cells: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """Links (x, p) that connect all sets of each cell that are connected by links within it. cells may be read twice."""
+    """Links (x, p) that connect, with those that labels stand for, all sets of each cell that are connected by links
+    within it. cells may be read twice; each x has one label."""
     spark = cells.sparkSession
-    first = cells
-    linked: DataFrame | None = None
-    decided: DataFrame | None = None
-    while True:
-        proposed = materialize(propose(cells, decided, percent), "proposed")
-        pairs = materialize(proposed.select("x", "p").distinct(), "pairs")
-        if not pairs.limit(1).count():
-            break
-        fresh = decide(pairs, sets.of(pairs), percent)
-        good = fresh.where("ok").select("x", "p")
-        linked = good if linked is None else linked.unionByName(good)
-        verdicts = materialize(proposed.join(fresh, ["x", "p"]).select("g", "x", "p", "ok", "apart"), "verdicts")
-        again = materialize(verdicts.where("NOT ok").select("g").distinct(), "unsettled")
-        if not again.limit(1).count():
-            break
-        old, left = decided, cells
-        decided = materialize((verdicts if old is None else old.unionByName(verdicts)).join(again, "g", "left_semi"), "verdicts")
-        cells = materialize(left.join(again, "g", "left_semi"), "cells")
-        release(None if left is first else left, old, again, pairs, proposed, verdicts)
-    release(None if cells is first else cells, decided, proposed, pairs)
-    return linked if linked is not None else spark.createDataFrame([], "x bigint, p bigint")
+    proposed = materialize(propose(cells, percent), "proposed")
+    pairs = materialize(proposed.select("x", "p").distinct(), "pairs")
+    if not pairs.limit(1).count():
+        release(proposed, pairs)
+        return spark.createDataFrame([], "x bigint, p bigint")
+    decided = decide(pairs, sets.of(pairs), percent)
+    linked = decided.where("ok").select("x", "p")
+    failed = materialize(proposed.join(decided.where("NOT ok").select("x", "p", "apart"), ["x", "p"]).select("g", "x", "p", "apart"), "failed")
+    again = materialize(failed.select("g").distinct(), "unsettled")
+    release(proposed, pairs)
+    if not again.limit(1).count():
+        release(failed, again)
+        return linked
+    left = materialize(cells.join(again, "g", "left_semi"), "cells")
+    # What is connected anywhere is connected here.
+    labels = components(linked.unionByName(left.where("x != label").select("x", F.col("label").alias("p"))))
+    named = left.join(labels, F.col("x") == F.col("node"), "left").select("g", "x", "n", "bits", "home", F.coalesce("node_label", "x").alias("label"))
+    opened = materialize(still_open(named, failed, percent), "opened")
+    release(failed, again, left, labels)
+    if not opened.limit(1).count():
+        release(opened)
+        return linked
+    rest = materialize(joined(opened), "rest")
+    found = materialize(finish(rest, sets.of(rest.select("x", F.col("x").alias("p"))), percent), "found")
+    release(opened, rest)
+    return linked.unionByName(found)
 
 
 def shells(regions: DataFrame, percent: int) -> DataFrame:
@@ -542,10 +634,10 @@ def _mix(a: int, b: int) -> int:
 
 def blocks(cells: DataFrame) -> DataFrame:
     """Cells (sized) block against block: members at home by strays, which are all that is guest or not of the main
-    label. Every open pair has a stray and a member at home."""
-    half = max(1, BLOCK // 2)
+    label. Every open pair has a stray and a member at home. Blocks are bounded in members and in shingles."""
+    parts = lambda which: F.ceil(F.greatest(F.count_if(which) / max(1, BLOCK // 2), F.sum(F.when(which, F.col("n")).otherwise(0)) / max(1, WEIGHT // 2))).cast("int")
     stray = (F.col("label") != F.col("main")) | ~F.col("home")
-    counts = cells.groupBy("g").agg(F.ceil(F.count_if("home") / half).cast("int").alias("rows"), F.greatest(F.lit(1), F.ceil(F.count_if(stray) / half).cast("int")).alias("cols"))
+    counts = cells.groupBy("g").agg(parts(F.col("home")).alias("rows"), F.greatest(F.lit(1), parts(stray)).alias("cols"))
     spin = lambda n, seed: F.pmod(F.xxhash64("x", F.lit(seed)), n).cast("int")
     own = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: F.struct(spin(F.col("rows"), 5).alias("i"), j.alias("j"))))
     across = F.when(stray, F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), spin(F.col("cols"), 6).alias("j"))))
