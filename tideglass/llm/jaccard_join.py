@@ -518,13 +518,16 @@ def finish(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def joined(opened: DataFrame) -> DataFrame:
     """g, x, home, label of what is still open: cells with the same least member are one, if that is no larger than a
     leaf, and each member is in it once; cells of much weight are dealt out block against block."""
-    members = opened.groupBy("least").agg(F.countDistinct("x").alias("members"))
-    named = opened.join(members, "least").withColumn("g", F.when(F.col("members") <= LEAF, F.col("least")).otherwise(F.col("g")))
-    cells = materialize(named.groupBy("g", "x").agg(F.first("n").alias("n"), F.max("home").alias("home"), F.first("label").alias("label")), "joined")
-    heavy = cells.groupBy("g").agg(F.sum("n").alias("weight")).where(F.col("weight") > WEIGHT).select("g")
+    columns = ["g", "x", "n", "home", "label"]
+    met = opened.groupBy(F.col("least").alias("g"), "x").agg(F.first("n").alias("n"), F.max("home").alias("home"), F.first("label").alias("label"))
+    met = materialize(met, "met")
+    # Of cells beyond these bounds there are few for the rows, so their names are broadcast and no cell gathers in a task.
+    large = F.broadcast(met.groupBy("g").count().where(F.col("count") > LEAF).select("g"))
+    own = opened.join(large.withColumnRenamed("g", "least"), "least", "left_semi").select(*columns)
+    cells = materialize(met.join(large, "g", "left_anti").unionByName(own), "joined")
+    heavy = F.broadcast(cells.groupBy("g").agg(F.sum("n").alias("weight")).where(F.col("weight") > WEIGHT).select("g"))
     parts = blocks(sized(cells.join(heavy, "g", "left_semi").withColumn("bits", F.lit(b""))))
-    columns = ["g", "x", "home", "label"]
-    return cells.join(heavy, "g", "left_anti").select(*columns).unionByName(parts.select(*columns))
+    return cells.join(heavy, "g", "left_anti").unionByName(parts.select(*columns)).select("g", "x", "home", "label")
 
 
 def settle(cells: DataFrame, sets: Sets, percent: int) -> DataFrame:
