@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tideglass.functions import scratch
 from tideglass.operators import cooccurrence, extraction, graph, search, simulation
 from tideglass.plans import bindings
 
@@ -47,6 +48,27 @@ def test_large_groups_of_evidence_are_deduplicated(spark):
         assert all(sorted(r["id"] for r in got if r["grp"] == g) == want for g in ("a", None))
 
 
+def test_evidence_is_settled_over_names_of_sets(spark, monkeypatch):
+    rng = random.Random(11)
+    common, items = [f"c{i}" for i in range(40)], []
+    for i in range(80):  # families of near copies, and what shares common words alone
+        own = [f"x{i}y{j}" for j in range(rng.randint(1, 60))] + rng.sample(common, rng.randint(0, 40))
+        for j in range(rng.choice([1, 1, 2, 12])):
+            words = [w if rng.random() > 0.04 else f"z{rng.randrange(10**6)}" for w in own]
+            items.append((i * 100 + j, " ".join(rng.sample(words, len(words)))))
+    items += [(9000, items[0][1]), (9001, ""), (9001, " "), (9002, "ÄB äb"), (9003, "äb")]
+    lines = spark.createDataFrame([(g, i, t) for g in ("a", "b", None) for i, t in items] + [("b", 9100, None)], "grp string, id long, text string")
+    want, tables, write = _greedy(items), [], scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, tag: (tables.append(df), write(df, tag))[1])
+    # All blocks small; nearly all of them large, with and without passes before their pairs.
+    for rounds, small in ((3, 64), (2, 2), (0, 2)):
+        got = extraction.jaccard_evidence(lines, rounds=rounds, small=small).collect()
+        for g in ("a", "b", None):
+            assert sorted(r["id"] for r in got if r["grp"] == g) == want + [9100] * (g == "b")
+    # Words are written for sets of candidate pairs alone.
+    assert tables and not [d for d in tables if "words" in d.columns and "u" not in d.columns]
+
+
 def test_large_groups_of_vectors_lose_equal_ones(spark):
     rows = [(1, i, 1, [float(i % 30), 1.0]) for i in range(60)] + [(2, 100 + i, i, [1.0, 0.0]) for i in range(3)]
     got = {r["id"]: r["keep_id"] for r in search.semantic_dedup(spark.createDataFrame(rows, "grp long, id long, size long, v array<float>")).collect()}

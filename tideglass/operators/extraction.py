@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.functions.sqlop import Op
+from tideglass.operators.evidence import jaccard_evidence
 from tideglass.sources import stix
 
 # A line is scored by its cues; claims are mentions of cue words with a confidence from the line.
@@ -139,49 +140,6 @@ def split_sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", lines.cast("bigint").alias("n_lines"))
 
 
-def _word_sets(lines: DataFrame) -> DataFrame:
-    """grp, id, n (characters), words (distinct, sorted) of each row of lines."""
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            grp, ids, texts = (c.to_pylist() for c in batch.columns)
-            words = [sorted(set((t or "").lower().split())) for t in texts]
-            yield pa.record_batch([pa.array(grp, pa.string()), pa.array(ids, pa.int64()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["grp", "id", "n", "words"])
-
-    # A null group is one too, and joins don't meet nulls.
-    named = F.coalesce(F.concat(F.lit("+"), F.col("grp").cast("string")), F.lit("-"))
-    return lines.select(named.alias("grp"), F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "grp string, id long, n long, words array<string>")
-
-
-def _prefixes(sets: DataFrame, threshold: float, ordered: int = 20_000) -> DataFrame:
-    """grp, word, k, size: sets that are alike share one of these words, the first of either in one order of all words.
-
-    Frequent words come last; how many of them are `ordered` changes the blocks' sizes, and no pair.
-    """
-    import math
-
-    import pyarrow as pa
-
-    often = {r["word"]: r["count"] for r in sets.select(F.explode("words").alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(ordered).collect()}
-    counts = sets.sparkSession.sparkContext.broadcast(often)
-
-    def run(batches):
-        for batch in batches:
-            at, out, sizes = [], [], []
-            for i, words in enumerate(batch.column(2).to_pylist()):
-                take = len(words) - math.ceil(threshold * len(words) - 1e-9) + 1
-                first = sorted(words, key=lambda w: (counts.value.get(w, 0), w))[:take]
-                at += [i] * len(first)
-                out += first
-                sizes += [len(words)] * len(first)
-            where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(out, pa.string()), pa.array(sizes, pa.int64())], names=["grp", "k", "word", "size"])
-
-    key = sets.schema["k"].dataType.simpleString()
-    return sets.select("grp", "k", "words").mapInArrow(run, f"grp string, k {key}, word string, size long")
-
-
 def not_ignored(entities: DataFrame, rules: DataFrame, most: int = 10_000) -> DataFrame:
     """entities (name, ...) that no rule (kind, value) takes: blank names, names that a list has (user, vendor, generic,
     code, extension; without case), names that end with an extension, and names that a pattern matches from their start.
@@ -207,58 +165,6 @@ def bundle_checks(objects: DataFrame) -> DataFrame:
     return found.groupBy("type", "error").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
-def jaccard_evidence(lines: DataFrame, threshold: float = 0.85, rounds: int = 3) -> DataFrame:
-    """Within each group, evidence whose word set is like that of a longer kept one goes: grp, id. Longest first, then
-    by id; rows without words stay.
-
-    Equal sets count once. Candidates share a word of their prefixes and are alike in size. A set that comes first in
-    all its blocks is kept, as nothing before it is open, and takes what is like it; so large groups of near copies
-    leave in `rounds` passes with one pair a member. Pairs among those still open are then settled in order.
-    """
-    from tideglass.operators.clustering import with_checkpoints, written
-
-    def run() -> DataFrame:
-        order = F.struct((-F.col("n")).alias("n"), "id", F.monotonically_increasing_id().alias("row"))
-        # Words hold no space, so joined words are equal where the sets are.
-        rows = written(_word_sets(lines).select("grp", order.alias("k"), "words", F.sha2(F.array_join("words", " "), 256).alias("digest")))
-        bare = rows.where(F.size("words") == 0).select("grp", "k")
-        filled = rows.where(F.size("words") > 0)
-        copies = written(filled.select("grp", "k").join(filled.groupBy("grp", "digest").agg(F.min("k").alias("k")), ["grp", "k"], "left_anti"))
-        sets = filled.join(copies, ["grp", "k"], "left_anti").select("grp", "k", "words")
-        blocks = written(_prefixes(sets, threshold))
-
-        def alike(pairs: DataFrame) -> DataFrame:
-            near = pairs.where((F.least("x", "y") > threshold * F.greatest("x", "y") - 1e-9) & (F.col("a") < F.col("b"))).select("grp", "a", "b")
-            # Written first, so few pairs go to the word sets and not the sets to them.
-            near = written(near.distinct())
-            near = near.join(filled.select("grp", F.col("k").alias("a"), F.col("words").alias("u")), ["grp", "a"]).join(filled.select("grp", F.col("k").alias("b"), F.col("words").alias("v")), ["grp", "b"])
-            shared = F.size(F.array_intersect("u", "v"))
-            return near.where(shared > F.lit(threshold) * (F.size("u") + F.size("v") - shared)).select("grp", "a", "b")
-
-        kept = bare
-        for _ in range(rounds):
-            heads = blocks.groupBy("grp", "word").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("members"))
-            placed = written(blocks.join(heads, ["grp", "word"]).withColumn("first", F.col("k") == F.col("head")).drop("head"))
-            sure = written(placed.groupBy("grp", "k").agg(F.min("first").alias("sure")).where("sure").select("grp", "k"))
-            firsts = placed.where("first AND members > 1").join(sure, ["grp", "k"], "left_semi").select("grp", "word", F.col("k").alias("a"), F.col("size").alias("x"))
-            others = placed.where("members > 1 AND NOT first").select("grp", "word", F.col("k").alias("b"), F.col("size").alias("y"))
-            gone = alike(firsts.join(others, ["grp", "word"])).select("grp", F.col("b").alias("k"))
-            blocks = written(blocks.join(written(sure.unionByName(gone).distinct()), ["grp", "k"], "left_anti"))
-            kept = kept.unionByName(sure)
-        left = blocks.select("grp", "k").distinct()
-        edges = written(alike(blocks.select("grp", "word", F.col("k").alias("a"), F.col("size").alias("x")).join(blocks.select("grp", "word", F.col("k").alias("b"), F.col("size").alias("y")), ["grp", "word"])))
-        while left.limit(1).count():
-            sure = written(left.join(edges.select("grp", F.col("b").alias("k")).distinct(), ["grp", "k"], "left_anti"))
-            gone = edges.join(sure.withColumnRenamed("k", "a"), ["grp", "a"], "left_semi").select("grp", F.col("b").alias("k"))
-            done = written(sure.unionByName(gone).distinct())
-            left = written(left.join(done, ["grp", "k"], "left_anti"))
-            edges = written(edges.join(done.withColumnRenamed("k", "a"), ["grp", "a"], "left_anti").join(done.withColumnRenamed("k", "b"), ["grp", "b"], "left_anti"))
-            kept = kept.unionByName(sure)
-        return kept.select(F.when(F.col("grp") != "-", F.col("grp").substr(F.lit(2), F.length("grp"))).alias("grp"), F.col("k.id").alias("id"))
-
-    return with_checkpoints(lines, run)
-
-
 _EMA = "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events WHERE value > 0), l AS (SELECT event_type, list(value ORDER BY rn) AS v FROM o GROUP BY event_type) SELECT event_type, len(v)::BIGINT AS n, round(list_reduce(v, lambda a, x: 0.9::DOUBLE * a + (1 - 0.9::DOUBLE) * x), 6) AS ema FROM l"
 _LINES = "WITH l AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), p AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS stop FROM l) SELECT doc_id, min(line)::BIGINT AS first_line, max(line)::BIGINT AS last_line FROM p WHERE stop - length(t) - 1 < floor(n * 3 / 4) AND stop > floor(n / 4) GROUP BY doc_id"
 _NEAR = "WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL) SELECT a.name, b.name AS near_name, CAST(levenshtein(a.name, b.name) AS BIGINT) AS edits, CAST(NULL AS BIGINT) AS p_partkey FROM n AS a JOIN n AS b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= 2 UNION ALL SELECT p_name, NULL, NULL, p_partkey FROM part WHERE p_name IS NOT NULL"
