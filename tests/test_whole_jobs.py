@@ -167,3 +167,24 @@ def test_paths_of_any_length(spark):
     assert sure["a>b>c>d"] == 0.2125 and sure["a>b>d"] == round(0.05 * 0.8, 9)
     assert {r["state"]: r["pct"] for r in simulation.interdiction_impact(edges, ["a"], ["d"]).collect()} == {"b": 100.0, "c": 50.0}
     assert {r["path"] for r in simulation.what_if(edges, ["a"], ["c"], ["d"]).collect()} == {"a>b", "a>b>d"}
+
+
+def test_hubs_are_never_joined_with_their_edges(spark, monkeypatch):
+    pairs = [(f"e{i}", f"t{i % 3}") for i in range(60)] + [(f"e{i}", f"t{i % 5 + 10}") for i in range(0, 60, 2)] + [("e1", None), ("x", "y"), ("x", "y"), (None, "z"), ("t1", "t1")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, front = {"e1": 0}, ["e1"]
+    for hop in range(1, 5):
+        front = sorted({m for k in front if k is not None for m in near[k]} - set(want), key=str)
+        want |= dict.fromkeys(front, hop)
+    tables, write = [], scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, tag: (tables.append(df), write(df, tag))[1])
+    for few in (100_000, 0):
+        monkeypatch.setattr(graph, "FEW", few, raising=False)
+        got = [(r["node"], r["hops"]) for r in graph.shortest(edges, "e1", 4).collect()]
+        assert len(got) == len(set(got)) and dict(got) == want and len(got) == len(want)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in tables]
+    assert any("LeftSemi" in p for p in plans) and not any("Join Inner" in p for p in plans)

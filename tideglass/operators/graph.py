@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.functions import scratch
 from tideglass.functions.sqlop import Op
-from tideglass.operators.clustering import with_checkpoints
 
 _EDGES = "edges AS (SELECT 'detects' AS type, strategy AS src, technique AS dst FROM {detects} UNION ALL SELECT 'mitigates', mitigation, technique FROM {mitigates})"
 RELATIONS = ("detects", "mitigates")
+#: Nodes that are broadcast to the edges; beyond, edges and nodes are shuffled to each other.
+FEW = 100_000
 
 OPS = {
     "i01_subgraph": Op("Up to ten strategies and mitigations of each live technique of a family.", f"WITH {_EDGES} SELECT technique, type, src FROM (SELECT t.technique, type, src, row_number() OVER (PARTITION BY t.technique, type ORDER BY src) AS rn FROM {{techniques}} AS t JOIN edges ON t.technique = edges.dst WHERE family = :family AND NOT revoked) AS r WHERE rn <= :top", family="Brand#11", top=10),
@@ -33,21 +37,36 @@ def checked(types: list[str] | None) -> list[str]:
 
 
 def shortest(edges: DataFrame, source: object, max_length: int = 5) -> DataFrame:
-    """Undirected distances from a node of edges (src, dst): node, hops. Rounds of joins; each node is reached once."""
+    """Undirected distances from a node of edges (src, dst): node, hops. Each round keeps the edges that touch the last
+    one's nodes: a hub's edges pass one by one and are never held together. Each node is reached once, in rounds that only
+    the last two can have met before."""
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
-
-    def run() -> DataFrame:
-        both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
-        seen = front = spark.createDataFrame([(source, 0)], f"node {kind}, hops long")
-        for hop in range(1, max_length + 1):
-            front = front.join(both, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(hop).cast("long").alias("hops")).checkpoint()
-            if not front.limit(1).count():
-                break
-            seen = seen.unionByName(front).checkpoint()
-        return seen
-
-    return with_checkpoints(edges, run)
+    held = scratch.written(edges.select("src", F.col("dst").cast(kind).alias("dst")).distinct(), "edges")
+    found = held.agg(F.approx_count_distinct("src").alias("src"), F.approx_count_distinct("dst").alias("dst")).first()
+    last, front = None, spark.createDataFrame([(source, 0)], f"node {kind}, hops long")
+    seen = [front]
+    n = 1
+
+    def touched(near: str, far: str) -> DataFrame:
+        own = front.select(F.col("node").alias(near))
+        if n > FEW and found[near] <= FEW:
+            # Few nodes are at this end, so only they are looked for, and edges aren't dealt by them.
+            own = held.select(near).distinct().join(own, near, "left_semi")
+        small = min(n, found[near]) <= FEW
+        return held.join(F.broadcast(own) if small else own, near, "left_semi").select(F.col(far).alias("node"))
+
+    for hop in range(1, max_length + 1):
+        fresh = touched("src", "dst").unionByName(touched("dst", "src")).distinct()
+        for before in [x for x in (last, front) if x is not None]:
+            known = before.select(F.col("node").alias("known"))
+            fresh = fresh.join(known, F.col("node").eqNullSafe(F.col("known")), "left_anti")
+        last, front = front, scratch.written(fresh.select("node", F.lit(hop).cast("long").alias("hops")), "front")
+        n = front.count()
+        if not n:
+            break
+        seen.append(front)
+    return reduce(DataFrame.unionByName, seen)
 
 
 def _paths(transitions: DataFrame) -> DataFrame:
