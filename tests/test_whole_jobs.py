@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tideglass.functions import scratch
-from tideglass.operators import cooccurrence, extraction, graph, search, simulation
+from tideglass.operators import cooccurrence, extraction, graph, review, search, simulation
 from tideglass.plans import bindings
 
 
@@ -188,3 +188,27 @@ def test_hubs_are_never_joined_with_their_edges(spark, monkeypatch):
         assert len(got) == len(set(got)) and dict(got) == want and len(got) == len(want)
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in tables]
     assert any("LeftSemi" in p for p in plans) and not any("Join Inner" in p for p in plans)
+
+
+def _shuffled(node):
+    """Rows that the exchanges of a plan that has run wrote."""
+    kind = node.nodeName()
+    if kind.startswith("AdaptiveSparkPlan"):
+        return _shuffled(node.executedPlan())
+    if "QueryStage" in kind:
+        return _shuffled(node.plan())
+    own = node.metrics().get("shuffleRecordsWritten").get().value() if kind == "Exchange" else 0
+    return own + sum(_shuffled(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_actors_of_flows_are_counted_without_a_row_for_each(spark):
+    op, rng = review.OPS["p01_attribution"], random.Random(2)
+    for n in (25, 150):
+        part_use = spark.createDataFrame([("x", e if e else None, t) for e in range(120) for t in sorted(rng.sample(range(40), rng.randint(1, 6)))] + [("y", 3, 0), ("x", 121, None), ("x", 122, 99)], "actor string, episode long, technique long")
+        uses = spark.createDataFrame([(f"a{a}", t) for t in range(40) for a in range(n) if rng.random() < 0.8], "actor string, technique long")
+        for top in (10, 3):
+            got = op(part_use=part_use, uses=uses, top=top)
+            want = spark.sql(op.sql(top=top), part_use=part_use, uses=uses)
+            assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+        # Five rows of masks at most for each row of part_use, and the words' best.
+        assert _shuffled(got._jdf.queryExecution().executedPlan()) < part_use.count() * n * 0.4

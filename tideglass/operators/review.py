@@ -1,5 +1,13 @@
 """Review queues, feedback, provenance, reports and flow listings."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tideglass.functions import scratch
 from tideglass.functions.sqlop import Op
 
 _ASOF = "2024-01-31 00:00:00"
@@ -87,6 +95,60 @@ OPS = {
     "p40_duplicate_results": Op("Of duplicate job results the one with most techniques, the earliest of equals.", "SELECT job, result, techniques FROM (SELECT report_id AS job, flow AS result, n AS techniques, row_number() OVER (PARTITION BY report_id ORDER BY n DESC, created, flow) AS rn FROM {flow_reports} AS f JOIN (SELECT episode, CAST(count(*) AS BIGINT) AS n FROM {et} GROUP BY episode) AS c ON f.flow = c.episode) AS r WHERE rn = 1"),
 }
 
+#: Actors that one mask tells apart.
+MASK = 62
+
+
+def _attribution(part_use: DataFrame, uses: DataFrame, top: int) -> DataFrame:
+    """Actors that use most of a flow's techniques. A technique's actors are bits of masks, so a flow's technique is one
+    row for each MASK actors and not one for each actor; bits are added up where a flow's rows are."""
+    order = F.row_number().over(Window.orderBy("actor")) - 1
+    uses = scratch.written(uses.select("actor", "technique"), "uses")
+    actors = scratch.written(uses.select("actor").distinct().withColumn("place", order.cast("long")), "actors")
+    placed = uses.join(F.broadcast(actors.withColumnRenamed("actor", "known")), F.col("actor").eqNullSafe(F.col("known")))
+    bit = F.expr(f"shiftleft(1L, CAST(place % {MASK} AS INT))")
+    masks = placed.groupBy("technique", F.floor(F.col("place") / MASK).alias("word")).agg(F.bit_or(bit).alias("mask"))
+    met = part_use.select(F.col("episode").alias("flow"), "technique").join(masks, "technique").select("flow", "word", "mask")
+
+    def added(rows: pa.Table) -> pa.RecordBatch:
+        """Of each flow and word of some whole flows the `top` actors."""
+        rows = rows.combine_chunks()
+        word, mask = rows.column("word").to_numpy(), rows.column("mask").to_numpy()
+        flow = rows.column("flow").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        begin = np.flatnonzero(np.r_[True, (flow[1:] != flow[:-1]) | (word[1:] != word[:-1])])
+        counts = np.stack([np.add.reduceat((mask >> b) & 1, begin) for b in range(MASK)], axis=1)
+        # Actors are in order, and a stable sort keeps it among equal counts.
+        best = np.argsort(-counts, axis=1, kind="stable")[:, :top]
+        overlap = np.take_along_axis(counts, best, 1)
+        at, _ = np.nonzero(overlap)
+        place = (word[begin][:, None] * MASK + best)[overlap > 0]
+        return pa.record_batch([rows.column("flow").combine_chunks().take(pa.array(begin[at])), pa.array(place), pa.array(overlap[overlap > 0])], names=["flow", "place", "overlap"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in (b for b in batches if b.num_rows):
+            own = pa.Table.from_batches([batch])
+            held = own if held is None else pa.concat_tables([held, own])
+            flow = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            last = int(np.flatnonzero(flow != flow[-1])[-1]) + 1 if (flow != flow[-1]).any() else 0  # the last flow may go on
+            if last:
+                whole = held.num_rows - len(flow) + last
+                yield added(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield added(held)
+
+    kind = met.schema["flow"].dataType.simpleString()
+    found = met.repartition("flow").sortWithinPartitions("flow", "word").mapInArrow(run, f"flow {kind}, place long, overlap long")
+    if actors.count() > MASK:
+        rank = F.row_number().over(Window.partitionBy("flow").orderBy(F.desc("overlap"), "place"))
+        found = found.withColumn("rn", rank).where(F.col("rn") <= top)
+    named = found.join(F.broadcast(actors), "place")
+    return named.select("flow", "actor", "overlap", F.least(F.lit(95), 15 * F.col("overlap")).cast("bigint").alias("confidence"))
+
+
+OPS["p01_attribution"].by(_attribution)
+
 # For the check: the same rules in another shape.
 CHECKS = {
     "l13_aggregate_confidence": "WITH t AS (SELECT DISTINCT technique FROM {actions} UNION SELECT technique FROM {brand_mitigates}), v AS (SELECT technique, (SELECT avg(confidence) / 100 FROM {actions} AS a WHERE a.technique = t.technique) AS s, (SELECT avg(CASE WHEN mitigation % 10 = 0 THEN 0.5::DOUBLE ELSE (mitigation % 10) / 10.0::DOUBLE END) FROM {brand_mitigates} AS m WHERE m.technique = t.technique) AS r FROM t) SELECT technique, round(CASE WHEN s IS NOT NULL AND r IS NOT NULL THEN (7 * s + 3 * r) / 10 ELSE coalesce(s, r) END, 6) AS confidence FROM v WHERE s IS NOT NULL OR r IS NOT NULL",
