@@ -98,3 +98,20 @@ def test_search_by_fields(spark):
         for q, text in queries.items():
             mine = [(r["score"], r["field"], r["id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
             assert mine == bm25(docs, text, boosts)[:7]
+
+
+def test_words_of_one_row_are_counted_where_it_is(spark):
+    from tests.test_whole_jobs import _shuffled
+
+    def held(rows):
+        docs = spark.createDataFrame(rows, "report_id long, body string")
+        df = textindex.postings(*textindex._rows(docs, ["body"], "report_id"))
+        got = {(r["term"], r["id"]): (r["tf"], r["length"]) for r in df.collect()}
+        return got, _shuffled(df._jdf.queryExecution().executedPlan())
+
+    rows = [(i, f"a b{i} b{i} c{i % 3}") for i in range(50)]
+    got, moved = held(rows)
+    assert moved == 0 and len(got) == 150 and got["b7", 7] == (2, 4)
+    got, moved = held([*rows, (7, "a d"), (8, None)])
+    # Words of the repeated ids alone: three and two of id 7, three of id 8.
+    assert moved <= 3 * 8 and len(got) == 151 and got["a", 7] == (2, 6) and got["d", 7] == (1, 6) and got["c2", 8] == (1, 4)

@@ -2,7 +2,7 @@
 
 An index is two Parquet tables: postings (term, field, id, tf, length), sorted by term so that a search's terms prune row
 groups, and statistics of each field (documents with text, mean length). Document frequencies are counts of postings, so
-they are stored with them. An index is written once and opened as often as it is searched.
+a search counts those of its own terms. An index is written once and opened as often as it is searched.
 
 Words are maximal runs of letters and digits in lower case. A null or empty field has no words and doesn't count in its
 field's statistics; rows of one id are one document whose fields lie end to end.
@@ -10,11 +10,15 @@ field's statistics; rows of one id are one document whose fields lie end to end.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideglass.functions import scratch
 from tideglass.functions.scratch import new_path
 from tideglass.operators.matching import match_phrases
 
@@ -35,27 +39,54 @@ class Index:
     fields: DataFrame
 
 
-def postings(docs: DataFrame, fields: list[str], key: str) -> DataFrame:
-    """term, field, id, tf, length (words of the document's field), df (documents of the field that have the term)."""
+def _rows(docs: DataFrame, fields: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """id, field, ws (words) of ids that one row has, and of ids that several have; only these need be brought together."""
+    several = scratch.written(docs.groupBy(docs[key].alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated-ids")
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(docs[f]).alias("ws")) for f in fields])).alias("x")
-    words = docs.select(docs[key].alias("id"), each).select("id", "x.field", F.explode("x.ws").alias("term"))
-    counted = words.groupBy("term", "field", "id").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = words.groupBy("field", "id").agg(F.count(F.lit(1)).alias("length"))
-    df = counted.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
-    # A term's postings are many and its frequency is one row: rare terms are the small side of their join.
-    return counted.join(lengths, ["field", "id"]).join(df, ["term", "field"])
+    rows = docs.select(docs[key].alias("id"), each).select("id", "x.field", "x.ws")
+    if not several.limit(1).count():
+        return rows, rows.where("false")
+    return rows.join(several, "id", "left_anti"), rows.join(several, "id", "left_semi")
+
+
+def postings(once: DataFrame, again: DataFrame) -> DataFrame:
+    """term, field, id, tf, length (words of the document's field). Words are counted where their document is."""
+    words = _counted(again)
+    tf = words.groupBy("term", "field", "id").agg(F.sum("tf").alias("tf"))
+    length = words.groupBy("field", "id").agg(F.sum("tf").alias("length"))
+    return _counted(once).unionByName(tf.join(length, ["field", "id"]))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """term, field, id, tf, length of each row."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out, tf, length = [], [], [], []
+            for i, words in enumerate(batch.column(2).to_pylist()):
+                counts = Counter(words)
+                at += [i] * len(counts)
+                out += counts
+                tf += counts.values()
+                length += [len(words)] * len(counts)
+            where = pa.array(at, pa.int64())
+            columns = [pa.array(out, pa.string()), batch.column(1).take(where), batch.column(0).take(where), pa.array(tf, pa.int64()), pa.array(length, pa.int64())]
+            yield pa.record_batch(columns, names=["term", "field", "id", "tf", "length"])
+
+    return rows.mapInArrow(run, f"term string, field string, id {kind}, tf long, length long")
 
 
 def write_index(docs: DataFrame, fields: list[str], path: str, key: str = "report_id", files: int | None = None) -> Index:
     """Write the index of docs to a folder and open it. Ids that are null name no document and are left out."""
-    held = postings(docs.where(docs[key].isNotNull()), fields, key)
+    once, again = _rows(docs.where(docs[key].isNotNull()), fields, key)
+    held = postings(once, again)
     spark = docs.sparkSession
     # Dealt by ranges of terms (and ids, as one term may have most postings), so each file covers few terms.
     dealt = held.repartitionByRange(files, "term", "id") if files else held.repartitionByRange("term", "id")
-    dealt.sortWithinPartitions("term", "field", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
-    one = stored.select("field", "id", "length").distinct()
-    one.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/fields")
+    dealt.sortWithinPartitions("term", "field", "id").write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/postings")
+    sizes = once.select("field", F.size("ws").cast("long").alias("length")).unionByName(again.groupBy("field", "id").agg(F.sum(F.size("ws")).alias("length")).select("field", "length"))
+    sizes.where("length > 0").groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/fields")
     return open_index(spark, path)
 
 
@@ -77,7 +108,10 @@ def search(index: Index, queries: DataFrame, boosts: dict[str, float], top: int
     known = asked.select("term").distinct()
     few = known.limit(FEW_TERMS + 1).count() <= FEW_TERMS
     # Postings of asked terms only; then as many rows as queries and postings share.
-    hit = index.postings.join(F.broadcast(asked) if few else asked, "term").join(F.broadcast(fields), "field")
+    met = index.postings.join(F.broadcast(known) if few else known, "term", "left_semi")
+    df = met.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+    wanted = asked.join(df, "term").join(F.broadcast(fields), "field")
+    hit = index.postings.join(F.broadcast(wanted) if few else wanted, ["term", "field"])
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     by_field = hit.groupBy("query_id", "id", "field").agg((F.max("boost") * F.sum(part)).alias("s"))
